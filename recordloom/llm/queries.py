@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordloom.llm import mixing, url_filter
+from recordloom.llm import language_id, mixing, quality, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,7 +63,18 @@ select page_id, host, path, rule, case
 from ruled
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_mix": op2_mix, "op4_url_filter": op4_url_filter}
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    return language_id.language_digest(_table(spark, sf_dir, "documents"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document."""
+    return quality.quality_digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_mix": op2_mix, "op3_language_id": op3_language_id, "op4_url_filter": op4_url_filter, "op9_quality": op9_quality}
 ORACLES: dict[str, str] = {"op2_mix": OP2_SQL, "op4_url_filter": OP4_SQL}
 
 
