@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordloom.llm import decontamination, language_id, mixing, quality, secrets, url_filter
+from recordloom.llm import decontamination, language_id, mixing, near_duplicates, quality, secrets, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,13 +79,33 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_digest(_table(spark, sf_dir, "documents"))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents under Jaccard similarity of at least 0.75."""
+    return near_duplicates.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+OP8_SQL = rf"""
+with recursive worded as (
+  select doc_id, regexp_extract_all(translate(text, '{url_filter.UPPER}', '{url_filter.LOWER}'), '[^\x20\x09-\x0D]+') as w from documents),
+sets as (select doc_id, list_distinct(case when len(w) >= 5 then [array_to_string(w[i:i+4], ' ') for i in range(1, len(w) - 3)]
+                                           when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from worded),
+items as (select doc_id, len(s) as n, unnest(s) as g from sets),
+links as (select a.doc_id as u, b.doc_id as v from items a join items b on a.g = b.g and a.doc_id <> b.doc_id
+          group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+reach as (select doc_id as u, doc_id as v from documents union select r.u, l.v from reach r join links l on r.v = l.u),
+least_reached as (select u, min(v) as c from reach group by u)
+select doc_id, cast(coalesce(len(s), 0) as bigint) as n_shingles, c as component_id, c = doc_id as kept
+from sets join least_reached on u = doc_id
+"""
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality score of every document."""
     return quality.quality_digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_decontamination": op1_decontamination, "op2_mix": op2_mix, "op3_language_id": op3_language_id, "op4_url_filter": op4_url_filter, "op6_secrets": op6_secrets, "op9_quality": op9_quality}
-ORACLES: dict[str, str] = {"op2_mix": OP2_SQL, "op4_url_filter": OP4_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_decontamination": op1_decontamination, "op2_mix": op2_mix, "op3_language_id": op3_language_id, "op4_url_filter": op4_url_filter, "op6_secrets": op6_secrets, "op8_near_duplicates": op8_near_duplicates, "op9_quality": op9_quality}
+ORACLES: dict[str, str] = {"op2_mix": OP2_SQL, "op4_url_filter": OP4_SQL, "op8_near_duplicates": OP8_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
