@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordloom.llm import decontamination, language_id, mixing, near_duplicates, quality, secrets, url_filter
+from recordloom.llm import decontamination, language_id, mixing, near_duplicates, neighbours, quality, secrets, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_digest(_table(spark, sf_dir, "documents"))
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors of every vector whose id is divisible by 100."""
+    return neighbours.search(_table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0)
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents under Jaccard similarity of at least 0.75."""
     return near_duplicates.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -104,7 +109,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_decontamination": op1_decontamination, "op2_mix": op2_mix, "op3_language_id": op3_language_id, "op4_url_filter": op4_url_filter, "op6_secrets": op6_secrets, "op8_near_duplicates": op8_near_duplicates, "op9_quality": op9_quality}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_decontamination": op1_decontamination, "op2_mix": op2_mix, "op3_language_id": op3_language_id, "op4_url_filter": op4_url_filter, "op6_secrets": op6_secrets, "op7_neighbours": op7_neighbours, "op8_near_duplicates": op8_near_duplicates, "op9_quality": op9_quality}
 ORACLES: dict[str, str] = {"op2_mix": OP2_SQL, "op4_url_filter": OP4_SQL, "op8_near_duplicates": OP8_SQL}
 
 
