@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordloom.llm import decontamination, language_id, mixing, near_duplicates, neighbours, quality, secrets, url_filter
+from recordloom.llm import decontamination, language_id, mixing, near_duplicates, neighbours, quality, secrets, substring_dedup, suffix_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,29 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents without windows of 20 that start earlier."""
+    return substring_dedup.substring_digest(_table(spark, sf_dir, "documents"))
+
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of all documents without strings of 200 that also start elsewhere."""
+    return suffix_dedup.suffix_digest(_table(spark, sf_dir, "documents"))
+
+
+OP5_SQL = r"""
+with worded as (select doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) as w from documents),
+starts as (select doc_id, w, unnest(range(1, len(w) - 18)) as s from worded where len(w) >= 20),
+wins as (select doc_id, s, md5(array_to_string(w[s:s+19], ' ')) as h from starts),
+firsts as (select h, min((doc_id, s)) as f from wins group by h),
+gone as (select distinct doc_id, unnest(range(s, s + 20)) as p from (select doc_id, s from wins join firsts using (h) where (doc_id, s) > f) x),
+lost as (select doc_id, list(p) as ps from gone group by doc_id),
+kept as (select wd.doc_id, len(wd.w) as n, coalesce(len(l.ps), 0) as g, wd.w as w, coalesce(l.ps, []) as ps from worded wd left join lost l on wd.doc_id = l.doc_id)
+select doc_id, cast(n as bigint) as n_words, cast(g as bigint) as n_removed,
+       sha256(array_to_string([w[i] for i in range(1, n + 1) if not list_contains(ps, i)], ' ')) as kept_sha256 from kept
+"""
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The secrets of every document."""
     return secrets.secret_digest(_table(spark, sf_dir, "documents"))
@@ -109,8 +132,8 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_decontamination": op1_decontamination, "op2_mix": op2_mix, "op3_language_id": op3_language_id, "op4_url_filter": op4_url_filter, "op6_secrets": op6_secrets, "op7_neighbours": op7_neighbours, "op8_near_duplicates": op8_near_duplicates, "op9_quality": op9_quality}
-ORACLES: dict[str, str] = {"op2_mix": OP2_SQL, "op4_url_filter": OP4_SQL, "op8_near_duplicates": OP8_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_decontamination": op1_decontamination, "op2_mix": op2_mix, "op3_language_id": op3_language_id, "op4_url_filter": op4_url_filter, "op5_substring_dedup": op5_substring_dedup, "op6_secrets": op6_secrets, "op7_neighbours": op7_neighbours, "op8_near_duplicates": op8_near_duplicates, "op9_quality": op9_quality, "op10_suffix_dedup": op10_suffix_dedup}
+ORACLES: dict[str, str] = {"op2_mix": OP2_SQL, "op4_url_filter": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op8_near_duplicates": OP8_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
