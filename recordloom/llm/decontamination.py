@@ -16,11 +16,12 @@ result is empty; other columns may have any name.
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.llm import textkit as tk
-from recordloom.llm.textmap import emit_rows
+from recordloom.llm.textmap import add_columns, emit_rows
 
 SEED, COVERAGE = 5, 0.5
 #: 16 bytes each: at most 16 MB are broadcast at once.
@@ -120,30 +121,55 @@ class Items:
         return out
 
 
+def item_parts(items: DataFrame, seed: int = SEED, max_seeds: int = MAX_SEEDS) -> list[Broadcast]:
+    """Broadcasts of all items, in parts of at most about `max_seeds` characters, hence seeds."""
+    sized = items.where("text is not null").select("item_id", "text")
+    n_parts = max(1, -(-int(sized.agg(F.sum(F.length("text"))).first()[0] or 0) // max_seeds))
+    out = []
+    for part in range(n_parts):
+        rows = sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_parts)) == part).orderBy("item_id", "text").collect()
+        out.append(items.sparkSession.sparkContext.broadcast(Items([r["item_id"] for r in rows], [r["text"] for r in rows], seed)))
+    return out
+
+
+def matches(it: Items, data: np.ndarray, at: np.ndarray, coverage: float, seed: int) -> list[tuple]:
+    """(row, item_id, item_words, matched_words, n_tiles, longest_tile, coverage) of the pairs that reach `coverage`."""
+    codes, first = tokens(data, at)
+    found = []
+    for r, k in sorted(it.pairs(codes, first)):
+        words = it.words[k]
+        tiles = greedy_tiles(codes[first[r] : first[r + 1]], words, min(seed, len(words)))
+        matched = sum(t[2] for t in tiles)
+        if matched >= coverage * len(words):
+            found.append((r, it.ids[k], len(words), matched, len(tiles), max(t[2] for t in tiles), matched / len(words)))
+    return found
+
+
+def clean(docs: DataFrame, items: DataFrame, seed: int = SEED, coverage: float = COVERAGE, max_seeds: int = MAX_SEEDS) -> DataFrame:
+    """The rows of `docs` that contain no test item, with all their columns."""
+    rows = docs
+    for shared in item_parts(items, seed, max_seeds):
+
+        def flag(data: np.ndarray, at: np.ndarray, shared=shared) -> list:
+            hit = np.zeros(len(at) - 1, bool)
+            hit[[m[0] for m in matches(shared.value, data, at, coverage, seed)]] = True
+            return [hit]
+
+        rows = add_columns(rows, "text", docs.columns, {"__hit": "boolean"}, flag).where("not __hit").select(docs.columns)
+    return rows
+
+
 def contaminated(docs: DataFrame, items: DataFrame, seed: int = SEED, coverage: float = COVERAGE, key: str = "doc_id", max_seeds: int = MAX_SEEDS) -> DataFrame:
     """One row for each document and test item with tiles over at least `coverage` of the item.
 
     Columns: the key, item_id, item_words, matched_words, n_tiles, longest_tile, coverage.
     """
-    spark = docs.sparkSession
-    # parts of items by their own sizes, cut on the driver from (id, size) in order; texts follow part by part
-    sized = items.where("text is not null").select("item_id", "text", F.length("text").alias("__n"))
     out = {"item_id": "long", "item_words": "long", "matched_words": "long", "n_tiles": "long", "longest_tile": "long", "coverage": "double"}
-    n_parts = max(1, -(-int(sized.agg(F.sum("__n")).first()[0] or 0) // max_seeds))
     done = None
-    for part in range(n_parts):
-        rows = sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_parts)) == part).select("item_id", "text").orderBy("item_id", "text").collect()
-        shared = spark.sparkContext.broadcast(Items([r["item_id"] for r in rows], [r["text"] for r in rows], seed))
+    for shared in item_parts(items, seed, max_seeds):
 
         def tile(data: np.ndarray, at: np.ndarray, shared=shared) -> tuple[np.ndarray, list]:
-            it = shared.value
-            codes, first = tokens(data, at)
-            found = []
-            for r, k in sorted(it.pairs(codes, first)):
-                tiles = greedy_tiles(codes[first[r] : first[r + 1]], it.words[k], min(seed, len(it.words[k])))
-                matched = sum(t[2] for t in tiles)
-                if matched >= coverage * len(it.words[k]):
-                    found.append((r, it.ids[k], len(it.words[k]), matched, len(tiles), max(t[2] for t in tiles), matched / len(it.words[k])))
+            found = matches(shared.value, data, at, coverage, seed)
             columns = list(zip(*found, strict=True)) or [()] * 7
             ints = [np.array(c, np.int64) for c in columns[:6]]
             return ints[0], [pa.array(columns[1], pa.int64()), *ints[2:], np.array(columns[6], np.float64)]
