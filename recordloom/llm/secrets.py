@@ -222,14 +222,17 @@ def _plant(line: str, rng: np.random.Generator) -> tuple[str, int, int]:
 
 
 def train(docs: DataFrame, max_train: int = MAX_TRAIN, seed: int = 5) -> Field | None:
-    """Fit on lines of a bounded sample of texts, the first `max_train` by hash; one in two gets a planted secret.
+    """Fit on lines of a bounded sample of texts, the first `max_train` by hash of the id; one in two gets a planted secret.
 
-    A line is cut around the text's first digit, if there is one, so that numbers of all kinds are
+    A line of 400 characters is cut around the text's first digit, if there is one, so that numbers of all kinds are
     among the tokens outside.  Lines with a base match teach its value as a secret.
     """
-    near = F.regexp_extract("text", r".{0,150}[0-9].{0,200}", 0)
-    line = F.when(near != "", near).otherwise(F.substring("text", 1, 400))
-    rows = docs.where("text is not null").select(F.xxhash64("text").alias("h"), line.alias("line")).orderBy("h", "line").limit(max_train).collect()
+    draw = F.xxhash64("doc_id")
+    last = docs.where("text is not null").select(draw.alias("h")).orderBy("h").limit(max_train).agg(F.max("h")).first()[0]
+    if last is None:
+        return None
+    line = F.substring("text", F.greatest(F.regexp_instr("text", F.lit("[0-9]")) - 150, F.lit(1)), F.lit(400))
+    rows = docs.where("text is not null").where(draw <= last).select(draw.alias("h"), line.alias("line")).orderBy("h", "line").limit(max_train).collect()
     lines = [r["line"] for r in rows if r["line"]]
     if not lines:
         return None
