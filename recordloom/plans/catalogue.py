@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from recordloom.plans import corpus  # noqa: F401
+from recordloom.plans import corpus, relational  # noqa: F401
