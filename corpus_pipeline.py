@@ -30,9 +30,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets replaced; n_chars counts the new text."""
-    done = secrets.scan(docs, secrets.train(docs), docs.columns, redact=True)
-    text = F.col("redacted")
-    return done.withColumns({"text": text, "n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)}).select(docs.columns)
+    done = secrets.redact(docs, secrets.train(docs))
+    return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
