@@ -57,7 +57,7 @@ def families(standing: DataFrame) -> DataFrame:
     """(node, component): sketches that share one of both's rarest retained values, transitively."""
     values = standing.select("doc_id", F.size("sketch").alias("k"), F.explode("sketch").alias("value"))
     common = values.groupBy("value").agg(F.count("*").alias("n")).where("n > 1")
-    shared = values.join(common, "value")
+    shared = values.join(common.hint("merge"), "value")
     order = Window.partitionBy("doc_id").orderBy("n", "value")
     ranked = shared.withColumns({"rank": F.row_number().over(order), "n_shared": F.count("*").over(Window.partitionBy("doc_id"))})
     # values of no other text come first in the order of rarity
@@ -137,7 +137,8 @@ def links(docs: DataFrame, family: DataFrame, threshold: int, width: int, block:
     """(u, v): spanning forests of the links within each pair of blocks of each family, on full sets."""
     sizes = family.groupBy("component").agg(F.count("*").alias("n"))
     members = family.join(sizes, "component").select(F.col("node").alias("doc_id"), "component", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    texts = docs.select("doc_id", "text").join(members, "doc_id")
+    # a merge at every size: broadcasting members would pay for small inputs only
+    texts = docs.select("doc_id", "text").join(members.hint("merge"), "doc_id")
     encode = lambda data, at: [[s.tobytes() for s in shingle_sets(data, at, width)]]
     sets = add_columns(texts, "text", ["doc_id", "component", "blocks"], {"shingles": "binary"}, encode)
     mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
@@ -159,7 +160,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 75, width: int = WIDTH, ke
     full = sketched.where("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("stands"))
     in_class = settle(full.select("doc_id", "h1", "h2", "n_shingles").join(classes, ["h1", "h2", "n_shingles"]).select("doc_id", "stands"))
-    standing = full.select("doc_id", "sketch").join(in_class.where("doc_id = stands").select("doc_id").distinct(), "doc_id")
+    standing = full.select("doc_id", "sketch").join(in_class.where("doc_id = stands").select("doc_id").distinct().hint("merge"), "doc_id")
     near = settle(links(docs, families(standing), threshold, width, block))
     # classes with several ids, and ids with several texts, are links too
     edges = near.unionByName(in_class.where("doc_id <> stands").select(F.col("doc_id").alias("u"), F.col("stands").alias("v")))
