@@ -16,7 +16,7 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 SCOPES = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "thead": {"table"}, "tbody": {"table"}, "option": {"select"}}
 CLOSE_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
 SILENT = {"script", "style", "noscript", "template"}
-SCHEMA = "pre int, post int, parent int, depth int, tag string, id string, class string, role string, level string, href string, start string, span int, text string"
+SCHEMA = "pre int, post int, parent int, depth int, tag string, id string, class string, role string, level string, href string, start string, row int, col int, rows int, cols int, text string"
 
 
 class _Tree(HTMLParser):
@@ -26,6 +26,7 @@ class _Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.rows: list[dict] = []
         self.open: list[int] = []
+        self.grids: dict[int, dict] = {}
 
     def _close(self, n: int) -> None:
         for i in self.open[n:]:
@@ -46,14 +47,31 @@ class _Tree(HTMLParser):
         if tag in CLOSES:
             self._close_tags(CLOSES[tag], SCOPES[tag])
         a = dict(attrs)
+        row, col = self._cell(tag, a) if tag in ("tr", "td", "th") else (-1, -1)
         number = lambda k: int(a[k]) if (a.get(k) or "").isdigit() else 1
         self.rows.append({
             "pre": len(self.rows), "post": len(self.rows), "parent": self.open[-1] if self.open else -1, "depth": len(self.open), "tag": tag, "id": a.get("id") or "", "class": a.get("class") or "",
-            "role": a.get("role") or "", "level": a.get("aria-level") or "", "href": a.get("href") or "", "start": a.get("start") or a.get("value") or "", "span": number("colspan"), "text": "",
+            "role": a.get("role") or "", "level": a.get("aria-level") or "", "href": a.get("href") or "", "start": a.get("start") or a.get("value") or "", "row": row, "col": col, "rows": number("rowspan"), "cols": number("colspan"), "text": "",
         })
         if tag not in VOID:
             self.open.append(len(self.rows) - 1)
 
+    def _cell(self, tag: str, a: dict) -> tuple[int, int]:
+        """The grid place of a row or cell in its table; cells step over those that reach down from above."""
+        table = next((i for i in reversed(self.open) if self.rows[i]["tag"] == "table"), -1)
+        grid = self.grids.setdefault(table, {"row": -1, "col": 0, "taken": set()})
+        if tag == "tr":
+            grid["row"], grid["col"] = grid["row"] + 1, 0
+            return grid["row"], -1
+        row = max(grid["row"], 0)
+        while (row, grid["col"]) in grid["taken"]:
+            grid["col"] += 1
+        size = [max(1, int(a[k])) if (a.get(k) or "").isdigit() else 1 for k in ("rowspan", "colspan")]
+        col = grid["col"]
+        grid["taken"] |= {(row + i, col + j) for i in range(min(size[0], 200)) for j in range(min(size[1], 200))}
+        grid["col"] += size[1]
+        return row, col
+
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
@@ -68,7 +86,7 @@ class _Tree(HTMLParser):
     def handle_data(self, data: str) -> None:
         """Text between elements is a row of its own, so that document order is kept."""
         if self.open and data.strip() and self.rows[self.open[-1]]["tag"] not in SILENT:
-            self.rows.append({"pre": len(self.rows), "post": len(self.rows), "parent": self.open[-1], "depth": len(self.open), "tag": "#text", "id": "", "class": "", "role": "", "level": "", "href": "", "start": "", "span": 1, "text": " ".join(data.split())})
+            self.rows.append({"pre": len(self.rows), "post": len(self.rows), "parent": self.open[-1], "depth": len(self.open), "tag": "#text", "id": "", "class": "", "role": "", "level": "", "href": "", "start": "", "row": -1, "col": -1, "rows": 1, "cols": 1, "text": " ".join(data.split())})
 
 
 def parse(html: str | None) -> list[dict]:

@@ -81,34 +81,89 @@ def links(nodes: DataFrame) -> DataFrame:
     return a.join(texts, [KEY, "o_pre"], "left").select(KEY, F.row_number().over(Window.partitionBy(KEY).orderBy("o_pre")).alias("seq"), "href", title.alias("title"))
 
 
-BLOCKS = [*HEADINGS, "p", "li", "dt", "dd", "td", "th", "pre", "blockquote", "div", "section", "article", "main", "body", "caption", "figcaption"]
+BLOCKS = [*HEADINGS, "p", "li", "dt", "dd", "td", "th", "pre", "blockquote", "div", "section", "article", "main", "body", "caption", "figcaption", "hr"]
 
 
-def render(nodes: DataFrame) -> DataFrame:
-    """(key, text): every block a line or more in document order.
+def _joined(*columns: str) -> Column:
+    """Texts in order as one line."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*columns, "text"))), lambda x: x["text"]), " ")
 
-    Headings get `#` marks, items `-` or their number at an indent of two for each outer list, cells of
-    a row stand between bars, terms end in a colon and their descriptions are indented.
-    """
-    clean = denoised(nodes)
-    text = clean.where("tag = '#text'").select(KEY, "pre", "text")
-    held = lambda tags, cols: clean.where(F.col("tag").isin(tags)).select(KEY, F.col("pre").alias("o_pre"), F.col("post").alias("o_post"), *cols)
-    # each text's nearest block: the ancestor block that starts last
-    block = contained(text, held(BLOCKS, [F.col("tag").alias("o_tag")]), [KEY, "pre", "text", "o_pre", "o_tag"]).groupBy(KEY, "pre", "text").agg(F.max(F.struct("o_pre", "o_tag")).alias("b")).select(KEY, "pre", "text", "b.o_pre", "b.o_tag")
-    parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pre", "text"))), lambda x: x["text"]), " ")
-    lines = block.groupBy(KEY, "o_pre", "o_tag").agg(parts.alias("line"), F.min("pre").alias("at"))
-    # items: their list, its kind, and how many lists are around
+
+def pieces(nodes: DataFrame) -> DataFrame:
+    """(key, pre, part, text): texts, short footnote marks in brackets, and targets after informative links."""
+    above = nodes.select(KEY, F.col("pre").alias("parent"), F.col("tag").alias("above"))
+    text = nodes.where("tag = '#text'").join(above, [KEY, "parent"]).select(KEY, "pre", F.lit(0).alias("part"), F.when((F.col("above") == "sup") & (F.length("text") <= 4), F.concat(F.lit("["), "text", F.lit("]"))).otherwise(F.col("text")).alias("text"))
+    a = nodes.where((F.col("tag") == "a") & F.col("href").rlike("^https?://")).select(KEY, F.col("pre").alias("o_pre"), F.col("post").alias("o_post"), F.col("href").alias("target"))
+    shown = contained(nodes.where("tag = '#text'"), a, [KEY, "o_pre", "target", "pre", "text"]).groupBy(KEY, "o_pre", "target").agg(_joined("pre").alias("shown"), F.max("pre").alias("pre"))
+    bare = lambda c: F.lower(F.regexp_replace(c, "/+$", ""))
+    target = shown.where(~F.contains(bare(F.col("target")), bare(F.col("shown")))).select(KEY, "pre", F.lit(1).alias("part"), F.concat(F.lit("["), "target", F.lit("]")).alias("text"))
+    return text.unionByName(target).unionByName(nodes.where("tag = 'hr'").select(KEY, "pre", F.lit(0).alias("part"), F.lit("---").alias("text")))
+
+
+def _items(clean: DataFrame) -> DataFrame:
+    """(key, o_pre, lists, mark): the depth and the mark of each list item; numbers start and restart as the page says."""
     item = clean.where("tag = 'li'").select(KEY, "pre", "parent", F.col("start").alias("value"))
     lists = clean.where("tag in ('ul', 'ol')").select(KEY, F.col("pre").alias("parent"), F.col("tag").alias("list"), F.coalesce(F.col("start").try_cast("int"), F.lit(1)).alias("begin"))
     w = Window.partitionBy(KEY, "parent").orderBy("pre")
     item = item.join(lists, [KEY, "parent"]).withColumns({"i": F.row_number().over(w), "set": F.col("value").try_cast("int")})
     item = item.withColumn("base", F.last(F.when(F.col("set").isNotNull(), F.col("set") - F.col("i")), ignorenulls=True).over(w))
-    around = contained(item.select(KEY, "pre"), held(["ul", "ol"], []), [KEY, "pre"]).groupBy(KEY, "pre").agg(F.count("*").alias("lists"))
-    item = item.join(around, [KEY, "pre"]).select(KEY, F.col("pre").alias("o_pre"), "lists", F.when(F.col("list") == "ol", F.concat((F.col("i") + F.coalesce("base", F.col("begin") - 1)).cast("string"), F.lit("."))).otherwise("-").alias("mark"))
-    row = clean.where("tag = 'tr'").select(KEY, F.col("pre").alias("row"), F.col("post").alias("row_end"))
-    cells = lines.where("o_tag in ('td', 'th')").join(row, KEY).where("o_pre > row and o_pre <= row_end").groupBy(KEY, "o_pre", "line", "at").agg(F.max("row").alias("row"))
-    rows = cells.groupBy(KEY, "row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_pre", "line"))), lambda x: x["line"]), " | ").alias("shown"), F.min("at").alias("at"))
-    other = lines.where("o_tag not in ('td', 'th')").join(item, [KEY, "o_pre"], "left")
+    outer = clean.where("tag in ('ul', 'ol')").select(KEY, F.col("pre").alias("o_pre"), F.col("post").alias("o_post"))
+    around = contained(item.select(KEY, "pre"), outer, [KEY, "pre"]).groupBy(KEY, "pre").agg(F.count("*").alias("lists"))
+    number = F.concat((F.col("i") + F.coalesce("base", F.col("begin") - 1)).cast("string"), F.lit("."))
+    return item.join(around, [KEY, "pre"]).select(KEY, F.col("pre").alias("o_pre"), "lists", F.when(F.col("list") == "ol", number).otherwise("-").alias("mark"))
+
+
+def tables(clean: DataFrame) -> DataFrame:
+    """Cells of data tables: (key, t_pre, o_pre, row, col, rows, cols, tag); a table is layout if it says so or has no row of two cells."""
+    outer = clean.where("tag = 'table'").select(KEY, F.col("pre").alias("o_pre"), F.col("post").alias("o_post"), F.col("role").alias("t_role"))
+    held = contained(clean.where("tag in ('td', 'th')"), outer, [KEY, "pre", "o_pre", "t_role", "row", "col", "rows", "cols", "tag"])
+    # the nearest table of a cell is the one that starts last
+    own = held.groupBy(KEY, "pre", "row", "col", "rows", "cols", "tag").agg(F.max(F.struct("o_pre", "t_role")).alias("t")).select(KEY, F.col("pre").alias("o_pre"), "row", "col", "rows", "cols", "tag", F.col("t.o_pre").alias("t_pre"), F.col("t.t_role").alias("t_role"))
+    wide = own.groupBy(KEY, "t_pre", "t_role", "row").agg(F.count("*").alias("n")).groupBy(KEY, "t_pre", "t_role").agg(F.max("n").alias("n")).where("n > 1 and lower(t_role) <> 'presentation'").select(KEY, "t_pre")
+    return own.join(wide, [KEY, "t_pre"]).drop("t_role")
+
+
+def _table_lines(cells: DataFrame, texts: DataFrame, captions: DataFrame) -> DataFrame:
+    """(key, at, sub, shown): a title line, the header row, then numbered rows; spanned cells repeat their text."""
+    filled = cells.join(texts, [KEY, "o_pre"], "left").select(KEY, "t_pre", "tag", F.coalesce("line", F.lit("")).alias("line"), F.explode(F.expr("sequence(row, row + rows - 1)")).alias("r"), "col", "cols", "row")
+    filled = filled.select(KEY, "t_pre", "tag", "line", "r", F.explode(F.expr("sequence(col, col + cols - 1)")).alias("c"), (F.col("r") == F.col("row")).alias("own"))
+    one = filled.groupBy(KEY, "t_pre", "r", "c").agg(F.max_by("line", "c").alias("line"), F.bool_and(F.col("tag") == "th").alias("th"))
+    width = one.groupBy(KEY, "t_pre").agg((F.max("c") + 1).alias("width"))
+    at = F.map_from_entries(F.collect_list(F.struct("c", "line")))
+    row = one.groupBy(KEY, "t_pre", "r").agg(at.alias("cells"), F.bool_and("th").alias("th")).join(width, [KEY, "t_pre"])
+    shown = F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda c: F.coalesce(F.try_element_at("cells", c), F.lit("")))
+    row = row.withColumn("cut", shown).where(F.exists("cut", lambda x: x != "")).withColumn("text", F.array_join("cut", " | "))
+    head = row.where("th").groupBy(KEY, "t_pre").agg(F.min("r").alias("head"))
+    w = Window.partitionBy(KEY, "t_pre").orderBy("r").rowsBetween(Window.unboundedPreceding, 0)
+    row = row.join(head, [KEY, "t_pre"], "left").withColumn("is_head", F.col("r").eqNullSafe(F.col("head")))
+    row = row.withColumn("k", F.sum((~F.col("is_head")).cast("int")).over(w))
+    lines = row.select(KEY, "t_pre", (F.col("r") + 1).alias("sub"), F.when(F.col("is_head"), F.concat(F.lit("Columns: "), "text")).otherwise(F.concat(F.lit("Row "), F.col("k").cast("string"), F.lit(": "), "text")).alias("shown"))
+    title = width.join(captions, [KEY, "t_pre"], "left").select(KEY, "t_pre", F.lit(0).alias("sub"), F.concat_ws(" ", F.lit("TABLE:"), "caption").alias("shown"))
+    return lines.unionByName(title).withColumnRenamed("t_pre", "at")
+
+
+def render(nodes: DataFrame, interface: list[str] = ()) -> DataFrame:
+    """(key, text): every block a line or more in document order, the same for the same page.
+
+    Headings get `#` marks, items `-` or their number at an indent of two for each outer list, data
+    tables a title, a header and numbered rows, terms a colon, and their descriptions an indent.
+    Lines that equal one of `interface` in lower case are left out.
+    """
+    clean = denoised(nodes)
+    text = pieces(clean)
+    blocks = clean.where(F.col("tag").isin(BLOCKS)).select(KEY, F.col("pre").alias("o_pre"), F.col("post").alias("o_post"), F.col("tag").alias("o_tag"))
+    # each text's nearest block: the ancestor block that starts last
+    inside = text.join(blocks, KEY).where((F.col("pre") >= F.col("o_pre")) & (F.col("pre") <= F.col("o_post")))
+    block = inside.groupBy(KEY, "pre", "part", "text").agg(F.max(F.struct("o_pre", "o_tag")).alias("b")).select(KEY, "pre", "part", "text", "b.o_pre", "b.o_tag")
+    cells = tables(clean)
+    spans = cells.join(clean.select(KEY, F.col("pre").alias("o_pre"), F.col("post").alias("c_post")), [KEY, "o_pre"]).select(KEY, F.col("o_pre").alias("c_pre"), "c_post")
+    # texts of data cells, lists and all, become the cell's line
+    in_cell = block.join(spans, KEY).where("pre > c_pre and pre <= c_post").groupBy(KEY, "pre", "part", "text").agg(F.max("c_pre").alias("c_pre"))
+    texts = in_cell.groupBy(KEY, F.col("c_pre").alias("o_pre")).agg(_joined("pre", "part").alias("line"))
+    caption = clean.where("tag = 'caption'").select(KEY, F.col("pre").alias("o_pre"), F.col("parent").alias("t_pre"))
+    captions = block.join(caption, [KEY, "o_pre"]).groupBy(KEY, "t_pre").agg(_joined("pre", "part").alias("caption"))
+    free = block.join(in_cell.select(KEY, "pre", "part"), [KEY, "pre", "part"], "left_anti").join(caption.select(KEY, "o_pre"), [KEY, "o_pre"], "left_anti")
+    lines = free.groupBy(KEY, "o_pre", "o_tag").agg(_joined("pre", "part").alias("line"), F.min("pre").alias("at")).join(_items(clean), [KEY, "o_pre"], "left")
     shown = (
         F.when(F.col("o_tag").isin(HEADINGS), F.concat(F.repeat(F.lit("#"), F.substring("o_tag", 2, 1).cast("int")), F.lit(" "), "line"))
         .when(F.col("o_tag") == "li", F.concat(F.repeat(F.lit("  "), F.coalesce("lists", F.lit(1)).cast("int") - 1), F.coalesce("mark", F.lit("-")), F.lit(" "), "line"))
@@ -116,8 +171,12 @@ def render(nodes: DataFrame) -> DataFrame:
         .when(F.col("o_tag").isin("dd", "blockquote"), F.concat(F.lit("  "), "line"))
         .otherwise(F.col("line"))
     )
-    every = other.select(KEY, "at", shown.alias("shown")).unionByName(rows.select(KEY, "at", "shown"))
-    return every.groupBy(KEY).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "shown"))), lambda x: x["shown"]), "\n").alias("text"))
+    every = lines.select(KEY, "at", F.lit(0).alias("sub"), shown.alias("shown")).unionByName(_table_lines(cells, texts, captions))
+    if interface:
+        low = F.lower(F.trim("shown"))
+        parts = F.filter(F.transform(F.split(low, r"\|"), lambda x: F.trim(x)), lambda p: p != "")
+        every = every.where(~low.isin(list(interface)) & ~((F.size(parts) > 1) & F.forall(parts, lambda p: p.isin(list(interface)))))
+    return every.groupBy(KEY).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "sub", "shown"))), lambda x: x["shown"]), "\n").alias("text"))
 
 
 def breadcrumb(nodes: DataFrame, most: int = 400) -> DataFrame:

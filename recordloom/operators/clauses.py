@@ -78,7 +78,7 @@ def segments(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     cut = F.regexp_replace(F.col(text), r"(?m)^\s*(?:[-*•]|\d+\.)\s+|([.!?])\s+|\n+", "$1\u0001")
     cut = F.regexp_replace(cut, r";\s+otherwise,?\s+", "\u0002")
     cut = F.regexp_replace(cut, r";\s+(?=(?:an?|the|students|no|at)\b)", "\u0001")
-    clauses = F.filter(F.transform(F.split(cut, "\u0001"), F.trim), lambda s: s != "")
+    clauses = F.filter(F.transform(F.split(cut, "\u0001"), lambda x: F.trim(x)), lambda s: s != "")
     rows = texts.select(key, F.posexplode(clauses).alias("i", "c"))
     rows = rows.select(key, (F.col("i") + 1).alias("n"), F.posexplode(F.split("c", "\u0002")).alias("branch", "clause"), F.col("c").contains("\u0002").alias("branches"))
     letter = F.when(F.col("branches"), F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), F.col("branch") + 1)).otherwise("")

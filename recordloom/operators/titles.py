@@ -52,7 +52,7 @@ def classify(rows: DataFrame, title: str = "title", label: str = "label") -> Dat
     out = rows.withColumns({"__t": t, "__l": lab})
     plain = tx.strip_footnotes(F.col("__t"))
     tail = F.regexp_extract(F.col("__t"), TAIL_GROUPS, 1)
-    inside = lambda c, p: F.transform(F.regexp_extract_all(c, F.lit(p), F.lit(1)), F.trim)
+    inside = lambda c, p: F.transform(F.regexp_extract_all(c, F.lit(p), F.lit(1)), lambda x: F.trim(x))
     out = out.withColumns({"__plain": plain, "__base": tx.strip_footnotes(F.regexp_replace(F.col("__t"), TAIL_GROUPS, "")), "__ends": F.reverse(inside(tail, r"\(([^()]*)\)")), "__all": inside(plain, r"\(([^()]{1,40})\)")})
     has = lambda g: (F.size(found(g, UNDERGRADUATE, UNDERGRADUATE_PHRASE)) > 0) | (F.size(found(g, GRADUATE, GRADUATE_PHRASE)) > 0)
     comma = F.when(F.col("__plain").contains(",") & ~F.col("__plain").endswith(")"), F.trim(F.regexp_extract("__plain", r",([^,]*)$", 1)))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from recordloom.dom import nodes as dom
 from recordloom.dom import regions
+from recordloom.operators import pages, resolve
 from recordloom.registry import query
 from recordloom.sources.tables import table
 
@@ -53,3 +54,54 @@ def page_render(spark: SparkSession, sf: str) -> DataFrame:
 @query("page_breadcrumb")
 def page_breadcrumb(spark: SparkSession, sf: str) -> DataFrame:
     return regions.breadcrumb(_nodes(spark, sf))
+
+
+SITE = [
+    (1, """<ul><li><a href="index.php?catoid=20">Catalogue 2024-2025</a> [ARCHIVED]</li><li><a href="index.php?catoid=22">Catalogue 2026–2027</a></li><li><a href="index.php?catoid=22">Catalogue again</a></li><li><a href="index.php?catoid=9">About</a></li></ul>
+    <nav><a href="content.php?catoid=22&navoid=1">Programs and more</a><a href="content.php?catoid=22&navoid=2">Programs</a><a href="content.php?catoid=20&navoid=3">Programs</a></nav>
+    <main><a href="preview_program.php?catoid=22&poid=5&returnto=1">Art (BA)</a><a href="/preview_program.php?catoid=22&poid=6#x">Law</a><a href="preview_program.php?poid=5&catoid=22">Art</a><a href="preview_program.php?catoid=22&poid=">None</a><a href="#top">Top</a></main>"""),
+]
+
+
+def _anchors(spark: SparkSession) -> DataFrame:
+    return resolve.anchors(dom.nodes(spark.createDataFrame(SITE, "page_id int, html string")))
+
+
+@query("edition_list", "select * from (values (1, '20', '2024-2025', true), (1, '22', '2026-2027', false)) v(page_id, edition, year, archived)")
+def edition_list(spark: SparkSession, sf: str) -> DataFrame:
+    return resolve.editions(_anchors(spark))
+
+
+@query("edition_current", "select 1 as page_id, '22' as edition, '2026-2027' as year")
+def edition_current(spark: SparkSession, sf: str) -> DataFrame:
+    return resolve.current(resolve.editions(_anchors(spark)))
+
+
+@query("navigation_target", "select 1 as page_id, '2' as id")
+def navigation_target(spark: SparkSession, sf: str) -> DataFrame:
+    return resolve.navigation(_anchors(spark), "Programs", F.lit("22"))
+
+
+@query("program_links", "select * from (values (1, 1, '22', '5', 'Art (BA)'), (1, 2, '22', '6', 'Law')) v(page_id, seq, catoid, poid, title)")
+def program_links(spark: SparkSession, sf: str) -> DataFrame:
+    return resolve.program_links(_anchors(spark))[0].select("page_id", "seq", "catoid", "poid", "title")
+
+
+@query("program_link_duplicates", "select 1 as page_id, 1::bigint as duplicates")
+def program_link_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    return resolve.program_links(_anchors(spark))[1]
+
+
+ATTEMPTS = [(1, None, False, True, 200), (2, "reset", False, False, None), (3, None, True, True, 200), (4, None, False, False, 200), (5, None, False, True, 503)]
+
+
+@query("acquisition_modes", "select * from (values (1, 'direct'), (2, 'network_failure'), (3, 'challenge'), (4, 'invalid'), (5, 'invalid')) v(id, mode)")
+def acquisition_modes(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.createDataFrame(ATTEMPTS, "id int, error string, challenged boolean, valid boolean, status int")
+    return rows.select("id", pages.acquisition_mode(F.col("error"), F.col("challenged"), F.col("valid"), F.col("status")).alias("mode"))
+
+
+@query("final_url_ids", "select * from (values (1, true), (2, false), (3, false)) v(id, same)")
+def final_url_ids(spark: SparkSession, sf: str) -> DataFrame:
+    rows = [(1, "http://x/p?catoid=1&poid=2", "https://x/p?poid=2&catoid=1&print"), (2, "http://x/p?catoid=1&poid=2", "http://x/p?catoid=1&poid=3"), (3, "http://x/p?catoid=1&poid=2", "http://x/p?catoid=1")]
+    return spark.createDataFrame(rows, "id int, a string, b string").select("id", resolve.same_page(F.col("a"), F.col("b"), ["catoid", "poid"]).alias("same"))

@@ -117,7 +117,7 @@ HTML = """<html><body><nav><a href='/x'>Skip</a></nav><main><h1>Title</h1><p>One
 def test_render_and_links(spark):
     n = dom.nodes(spark.createDataFrame([(1, HTML), (2, None), (3, "")], "page_id int, html string"))
     text = {r["page_id"]: r["text"] for r in regions.render(n).collect()}
-    assert text[1].split("\n") == ["# Title", "One two three", "- a", "- b", "  3. c", "  7. d", "  8. e", "k | v", "1 | 2", "t:", "  d", "## Next", "why again"]
+    assert text[1].split("\n") == ["# Title", "One two three", "- a", "- b", "  3. c", "  7. d", "  8. e", "TABLE:", "Columns: k | v", "Row 1: 1 | 2", "t:", "  d", "## Next", "why again"]
     assert [(r["seq"], r["href"], r["title"]) for r in regions.links(n).orderBy("seq").collect()] == [(1, "/x", "Skip"), (2, "/y", "why")]
     chosen = regions.region(n).first()
     assert chosen["o_tag"] == "main"
@@ -125,6 +125,17 @@ def test_render_and_links(spark):
     assert cut == n.where("tag = '#text' and page_id = 1").count() - 2
 
 
+GRID = """<body><table><caption>Cap</caption><tr><th>A</th><th>B</th><th>C</th></tr><tr><td rowspan=2>x</td><td colspan=2>y<ul><li>z</ul></td></tr><tr><td></td><td>w</td></tr><tr><td></td></tr></table>
+<table role=presentation><tr><td>one</td><td>two</td></tr></table><p>see <a href='https://x.example.com/p'>here</a><sup>1</sup> <a href='https://y.example.com/'>y.example.com</a></p><hr><p>Back to top</p><p>help | back to top</p></body>"""
+
+
+def test_render_tables_links_and_interface(spark):
+    n = dom.nodes(spark.createDataFrame([(1, GRID)], "page_id int, html string"))
+    assert regions.render(n, ["back to top", "help"]).first()["text"].split("\n") == [
+        "TABLE: Cap", "Columns: A | B | C", "Row 1: x | y z | y z", "Row 2: x |  | w", "one", "two", "see here [https://x.example.com/p] [1] y.example.com", "---",
+    ]
+
+
 def test_node_intervals(spark):
     rows = {r["pre"]: r for r in dom.nodes(spark.createDataFrame([(1, HTML)], "page_id int, html string")).collect()}
     for r in rows.values():
