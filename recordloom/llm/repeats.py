@@ -70,9 +70,9 @@ def span(place: F.Column, shape: Shape) -> F.Column:
 
 
 def standing(docs: DataFrame, left: DataFrame, shape: Shape) -> DataFrame:
-    """(gram, n, n_contexts, doc_id, start, count, codes): the items that the windows of each standing place cover.
+    """(gram, n, n_contexts, doc_id, start, low, codes): the items that the windows of each standing place cover.
 
-    `start` is the place of the first window and `count` the number of windows.
+    `start` is the place of the first window, `low` how far it is before the anchor.
     """
     per_doc = left.groupBy("doc_id").agg(F.collect_list(F.struct("gram", "n", "n_contexts", "place")).alias("wanted"))
     joined = docs.select("doc_id", "text").join(per_doc, "doc_id")
@@ -97,12 +97,12 @@ def standing(docs: DataFrame, left: DataFrame, shape: Shape) -> DataFrame:
                 items = pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(tk.signed(codes[pick]))) if shape.gram < 32 else None
                 values = items.cast(pa.list_(pa.int64())) if items is not None else pa.array([part[x:y].tobytes() for x, y in zip(begin, stop, strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(gram), pa.array(n), pa.array(many), b.column(0).take(pa.array(rows + start)), pa.array(q - low), pa.array(size - shape.length + 1), values],
-                    ["gram", "n", "n_contexts", "doc_id", "start", "count", "codes"],
+                    [pa.array(gram), pa.array(n), pa.array(many), b.column(0).take(pa.array(rows + start)), pa.array(q - low), pa.array(low), values],
+                    ["gram", "n", "n_contexts", "doc_id", "start", "low", "codes"],
                 )
 
     kind = "array<bigint>" if shape.gram < 32 else "binary"
-    return joined.mapInArrow(run, f"gram long, n long, n_contexts long, doc_id long, start long, count long, codes {kind}")
+    return joined.mapInArrow(run, f"gram long, n long, n_contexts long, doc_id long, start long, low long, codes {kind}")
 
 
 def code_rows(column: pa.Array, lookup: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:

@@ -24,20 +24,49 @@ from recordloom.llm import textkit as tk
 LENGTH, GRAM, DIGIT, GROUP = 200, 32, 40, 16_384
 
 
-def equal_windows(codes: np.ndarray, start: np.ndarray, length: int, digit: int) -> np.ndarray:
-    """A group for each window, by most-significant-digit passes; -1 for windows that equal no other."""
+def digit_codes(codes: np.ndarray, start: np.ndarray, length: int, digit: int) -> np.ndarray:
+    """A row for each digit: what it holds in each window, as one 64-bit code."""
     h1, h2 = tk.RangeHash(codes), tk.RangeHash(tk.mix(codes))
-    group = np.full(len(start), -1, np.int64)
-    alive, key = np.arange(len(start)), np.zeros(len(start), np.uint64)
-    for at in range(0, length, digit):
-        end = min(length, at + digit)
-        a, b = start[alive] + at, start[alive] + end
-        code = tk.mix(h1(a, b) + tk.mix(h2(a, b) + tk.mix(key)))
-        _, place, count = np.unique(code, return_inverse=True, return_counts=True)
+    edges = [*range(0, length, digit), length]
+    return np.stack([tk.mix(h1(start + a, start + b) + tk.mix(h2(start + a, start + b))) for a, b in zip(edges[:-1], edges[1:], strict=True)])
+
+
+def repeated(digits: np.ndarray) -> np.ndarray:
+    """Which windows equal another, by passes from the most significant digit on; single ones drop out of each."""
+    alive, key = np.arange(digits.shape[1]), np.zeros(digits.shape[1], np.uint64)
+    for row in digits:
+        _, place, count = np.unique(tk.mix(row[alive] + tk.mix(key)), return_inverse=True, return_counts=True)
         more = count[place] > 1
         alive, key = alive[more], place[more].astype(np.uint64)
-    group[alive] = key.astype(np.int64)
-    return group
+    out = np.zeros(digits.shape[1], bool)
+    out[alive] = True
+    return out
+
+
+def repeated_by_place(raw: list[bytes], low: np.ndarray, length: int, digit: int, block: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """(context, offset) of the windows of these contexts that equal another window.
+
+    `low` is how far before the anchor each context's first window starts.  Equal windows have their
+    anchor at equal places, so windows are compared place by place, in blocks of bounded size.
+    """
+    rows, offsets, digits = [], [], []
+    size = np.array([len(x) for x in raw], np.int64)
+    for a, b, _, first in tk.chunks(np.zeros(0, np.uint8), np.concatenate([[0], np.cumsum(size)]), tk.CHUNK_BYTES // 2):
+        start, row = tk.windows(codes := tk.BYTE_CODE[np.frombuffer(b"".join(raw[a:b]), np.uint8)], first, length)
+        rows.append((row + a).astype(np.int32))
+        offsets.append((start - first[row]).astype(np.int32))
+        digits.append(digit_codes(codes, start, length, digit))
+    rows, offsets, digits = np.concatenate(rows), np.concatenate(offsets), np.concatenate(digits, 1)
+    place = low[rows].astype(np.int32) - offsets
+    order = np.argsort(place, kind="stable")
+    ends = np.append(np.flatnonzero(np.diff(place[order])) + 1, len(order))
+    hit, begin = np.zeros(len(rows), bool), 0
+    for end in ends.tolist():
+        if end - begin >= block or end == len(order):
+            part = order[begin:end]
+            hit[part] = repeated(digits[:, part])
+            begin = end
+    return rows[hit], offsets[hit]
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, digit: int = DIGIT, group_size: int = GROUP) -> DataFrame:
@@ -49,12 +78,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, digi
     rows = repeats.standing(docs, left, shape)
 
     def judge(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        codes, first = repeats.code_rows(table.column("codes").combine_chunks(), tk.BYTE_CODE)
-        start, row = tk.windows(codes, first, length)
-        group = equal_windows(codes, start, length, digit)
-        hit = (group >= 0) & (table.column("n").to_numpy()[row] == 1)
-        doc, begin = table.column("doc_id").to_numpy(), table.column("start").to_numpy()
-        return merged(doc[row[hit]], (begin[row] + start - first[row])[hit], length)
+        row, offset = repeated_by_place(table.column("codes").to_pylist(), table.column("low").to_numpy(), length, digit)
+        once = table.column("n").to_numpy()[row] == 1
+        row, offset = row[once], offset[once]
+        return merged(table.column("doc_id").to_numpy()[row], table.column("start").to_numpy()[row] + offset, length)
 
     detail = repeats.in_groups(rows.where(F.col("n_contexts") <= group_size), judge)
     hot = repeats.dealt_windows(rows.where(F.col("n_contexts") > group_size), shape, tk.BYTE_CODE)
