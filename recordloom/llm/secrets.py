@@ -298,36 +298,43 @@ def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join([*out, text[last:]])
 
 
-def scan(docs: DataFrame, field: Field | None, keep: list[str], redact: bool = False) -> DataFrame:
-    """`keep` columns, then counts, digest and spans; with `redact`, also the text without its secrets."""
+def _apply(docs: DataFrame, field: Field | None, keep: list[str], out: dict[str, str], row) -> DataFrame:
+    """`keep` columns and the values that `row` (text or null, spans) gives for each text."""
     arrow_rows(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(field)
-    out = {"n_assign": "long", "n_access": "long", "n_hex": "long", "base_sha256": "string", "spans": "string", "n_secrets": "long"} | ({"redacted": "string"} if redact else {})
+    kinds = [pa.int64() if v == "long" else pa.string() for v in out.values()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             column = b.column(b.num_columns - 1)
             data, at = tk.utf8(column)
             for start, end, part, begins in tk.chunks(data, at):
-                made: dict[str, list] = {k: [] for k in out}
-                for r, spans in enumerate(scan_batch(part, begins, shared.value)):
-                    base = [s for s in spans if s[0] != "crf"]
-                    show = lambda xs: ",".join(f"{k}:{s}:{e}" for k, s, e in xs)
-                    for k in KINDS[:3]:
-                        made[f"n_{k}"].append(sum(s[0] == k for s in base))
-                    made["base_sha256"].append(hashlib.sha256(show(base).encode()).hexdigest())
-                    made["spans"].append(show(spans))
-                    made["n_secrets"].append(len(spans))
-                    if redact:
-                        whole = column[start + r].as_py()
-                        made["redacted"].append(redacted(whole, spans) if spans else whole)
-                kinds = [pa.int64() if v == "long" else pa.string() for v in out.values()]
-                yield pa.RecordBatch.from_arrays([*(c.slice(start, end - start) for c in b.columns[:-1]), *(pa.array(v, k) for v, k in zip(made.values(), kinds, strict=True))], [*keep, *out])
-
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), *(f"{k} {v}" for k, v in out.items())])
+                made = [row(column[start + r].as_py() if out.keys() == {"__redacted"} else None, spans) for r, spans in enumerate(scan_batch(part, begins, shared.value))]
+                columns = [pa.array(v, k) for v, k in zip(zip(*made, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(c.slice(start, end - start) for c in b.columns[:-1]), *columns], [*keep, *out])
+
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), *(f"`{k}` {v}" for k, v in out.items())])
     return docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text")).mapInArrow(run, schema)
 
 
+def scan(docs: DataFrame, field: Field | None, keep: list[str]) -> DataFrame:
+    """`keep` columns, then n_assign, n_access, n_hex, base_sha256, spans and n_secrets of every text."""
+
+    def row(_: None, spans: list[tuple[str, int, int]]) -> tuple:
+        base = [s for s in spans if s[0] != "crf"]
+        show = lambda xs: ",".join(f"{k}:{s}:{e}" for k, s, e in xs)
+        return *(sum(s[0] == k for s in base) for k in KINDS[:3]), hashlib.sha256(show(base).encode()).hexdigest(), show(spans), len(spans)
+
+    out = {"n_assign": "long", "n_access": "long", "n_hex": "long", "base_sha256": "string", "spans": "string", "n_secrets": "long"}
+    return _apply(docs, field, keep, out, row)
+
+
+def redact(docs: DataFrame, field: Field | None) -> DataFrame:
+    """`docs` with every secret in `text` replaced; all other columns stay."""
+    done = _apply(docs, field, docs.columns, {"__redacted": "string"}, lambda text, spans: (redacted(text, spans) if spans else text,))
+    return done.select(*[F.col("__redacted").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+
+
 def secret_digest(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans (and n_secrets) of every document."""
     return scan(docs.select("doc_id", "text"), train(docs, **options), ["doc_id"])
