@@ -185,3 +185,23 @@ def breadcrumb(nodes: DataFrame, most: int = 400) -> DataFrame:
     texts = contained(nodes.where("tag = '#text'"), outer, [KEY, "pre", "text"])
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("pre", "text"))), lambda x: x["text"])
     return texts.groupBy(KEY).agg(F.substring(F.array_join(F.array_distinct(ordered), " > "), 1, most).alias("breadcrumb"))
+
+
+def metadata(nodes: DataFrame, school: str = r"\b(?:School|College|Department|Division) of [A-Z][\w &]+", within: int = 60) -> DataFrame:
+    """(key, title, school): the first h1, else the page title up to a bar or dash; the first unit named in the first elements."""
+    outer = nodes.where("tag in ('h1', 'title')").select(KEY, F.col("pre").alias("o_pre"), F.col("post").alias("o_post"), F.col("tag").alias("o_tag"))
+    texts = contained(nodes.where("tag = '#text'"), outer, [KEY, "o_pre", "o_tag", "pre", "text"]).withColumn("part", F.lit(0)).groupBy(KEY, "o_pre", "o_tag").agg(_joined("pre", "part").alias("line"))
+    first = lambda tag: F.min_by(F.when(F.col("o_tag") == tag, F.col("line")), F.when(F.col("o_tag") == tag, F.col("o_pre")))
+    titles = texts.groupBy(KEY).agg(F.coalesce(first("h1"), F.trim(F.regexp_extract(first("title"), r"^([^|–]*)", 1))).alias("title"))
+    unit = F.nullif(F.regexp_extract("text", school, 0), F.lit(""))
+    named = nodes.where(F.col("pre") < within).groupBy(KEY).agg(F.min_by(unit, F.when(unit.isNotNull(), F.col("pre"))).alias("school"))
+    return nodes.select(KEY).distinct().join(titles, KEY, "left").join(named, KEY, "left")
+
+
+def locators(nodes: DataFrame, most: int = 12) -> DataFrame:
+    """(key, pre, path): each element's path of tags from the root, with ids and first classes."""
+    mark = F.concat("tag", F.when(F.col("id") != "", F.concat(F.lit("#"), "id")).otherwise(""), F.when(F.col("class") != "", F.concat(F.lit("."), F.split_part("class", F.lit(" "), F.lit(1)))).otherwise(""))
+    outer = nodes.where("tag <> '#text'").select(KEY, F.col("pre").alias("o_pre"), F.col("post").alias("o_post"), mark.alias("mark"))
+    each = nodes.where("tag <> '#text'").select(KEY, "pre").join(outer, KEY).where((F.col("pre") >= F.col("o_pre")) & (F.col("pre") <= F.col("o_post")))
+    path = F.transform(F.array_sort(F.collect_list(F.struct("o_pre", "mark"))), lambda x: x["mark"])
+    return each.groupBy(KEY, "pre").agg(path.alias("p")).select(KEY, "pre", F.array_join(F.slice("p", -F.least(F.size("p"), F.lit(most)), F.lit(most)), " > ").alias("path"))

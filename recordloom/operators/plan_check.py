@@ -124,9 +124,19 @@ def conflicts(rows: DataFrame) -> DataFrame:
     return both
 
 
-def validate(plans: DataFrame, students: DataFrame, catalog: DataFrame, clearance: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Per course (plan_id, ord, course, status, reasons) and per plan (plan_id, overall, total_units, warnings)."""
-    rows = joined(plans, students, catalog, clearance)
+def require_sections(plans: DataFrame) -> DataFrame:
+    """`plans`, which fail when read if an entry names no section."""
+    named = F.coalesce(F.size("sections") > 0, F.lit(False)) & F.col("course").isNotNull()
+    bad = F.concat(F.lit("a planned course needs its sections: "), F.coalesce("course", F.lit("null")))
+    return plans.where(F.when(named, True).otherwise(F.raise_error(bad).cast("boolean")))
+
+
+def validate(plans: DataFrame, students: DataFrame, catalog: DataFrame, clearance: DataFrame, full_time: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Per course (plan_id, ord, course, status, reasons) and per plan (plan_id, overall, total_units, warnings).
+
+    With `full_time`, a load under the full-time units is a warning too.
+    """
+    rows = joined(require_sections(plans), students, catalog, clearance)
     names = plans.select("plan_id", F.col("ord").alias("other"), F.col("course").alias("other_course"))
     met = conflicts(rows).join(names, ["plan_id", "other"]).groupBy("plan_id", "ord").agg(F.array_sort(F.collect_list(F.struct("other", "other_course"))).alias("met"))
     rows = rows.join(met, ["plan_id", "ord"], "left")
@@ -140,6 +150,7 @@ def validate(plans: DataFrame, students: DataFrame, catalog: DataFrame, clearanc
     plan = courses.groupBy("plan_id").agg(F.coalesce(F.sum("units"), F.lit(0.0)).alias("total_units"), F.max("severity").alias("worst"), lost.alias("lost"))
     warnings = F.array_compact(F.array(
         F.when(F.col("total_units") > MOST_UNITS, F.concat(F.lit("load of "), F.col("total_units").cast("string"), F.lit(f" units is above {MOST_UNITS}"))),
+        F.when(F.lit(full_time) & (F.col("total_units") < FULL_TIME), F.concat(F.lit("load of "), F.col("total_units").cast("string"), F.lit(f" units is below {FULL_TIME}"))),
         F.when(F.col("lost") != "", F.concat(F.lit("total leaves out: "), F.col("lost"))),
     ))
     plan = plan.withColumn("warnings", warnings)

@@ -56,6 +56,16 @@ def page_breadcrumb(spark: SparkSession, sf: str) -> DataFrame:
     return regions.breadcrumb(_nodes(spark, sf))
 
 
+@query("page_metadata")
+def page_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    return regions.metadata(_nodes(spark, sf))
+
+
+@query("page_locators")
+def page_locators(spark: SparkSession, sf: str) -> DataFrame:
+    return regions.locators(_nodes(spark, sf))
+
+
 SITE = [
     (1, """<ul><li><a href="index.php?catoid=20">Catalogue 2024-2025</a> [ARCHIVED]</li><li><a href="index.php?catoid=22">Catalogue 2026–2027</a></li><li><a href="index.php?catoid=22">Catalogue again</a></li><li><a href="index.php?catoid=9">About</a></li></ul>
     <nav><a href="content.php?catoid=22&navoid=1">Programs and more</a><a href="content.php?catoid=22&navoid=2">Programs</a><a href="content.php?catoid=20&navoid=3">Programs</a></nav>

@@ -73,6 +73,20 @@ def manifest(files: DataFrame) -> DataFrame:
     return files.agg(F.count("*").alias("n_files"), F.to_json(F.map_from_entries(entries)).alias("manifest"))
 
 
+def hash_listing(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """file and SHA-256 of the files under a path."""
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+    return rows.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("hash"))
+
+
+def merged_stores(stores: list[DataFrame], surrogate: str = "id") -> DataFrame:
+    """Rows of several stores without their surrogate ids; columns that a store lacks are null."""
+    out = stores[0].drop(surrogate)
+    for s in stores[1:]:
+        out = out.unionByName(s.drop(surrogate), allowMissingColumns=True)
+    return out
+
+
 def log_rows(rows: DataFrame, message: str, evidence: str) -> DataFrame:
     """Log rows with their long fields cut to the sizes that logs keep."""
     return rows.withColumns({message: F.substring(message, 1, 2000), evidence: F.substring(evidence, 1, 1500)})

@@ -85,3 +85,11 @@ def test_upsert_sink_is_idempotent(spark, tmp_path):
         merge(second, 1)
     assert ev.versions(str(tmp_path / "state")) == [0, 1]
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "state/version=1")).collect())) == [(1, 10, 1), (2, 20, 2), (3, 30, 2)]
+
+
+def test_hash_listing_and_merged_stores(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("x")
+    got = files.hash_listing(spark, str(tmp_path), "*.txt").collect()
+    assert [(r["file"], r["hash"][:8]) for r in got] == [("a.txt", "2d711642")]
+    a, b = spark.createDataFrame([(1, "x")], "id int, t string"), spark.createDataFrame([(1, "y", 5)], "id int, t string, n int")
+    assert sorted(map(str, files.merged_stores([a, b]).collect())) == ["Row(t='x', n=None)", "Row(t='y', n=5)"]

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from recordloom.dom import nodes as dom
@@ -156,3 +157,17 @@ def test_report_helpers(spark):
 def test_clause_rules_are_unique():
     rows = clauses.rule_rows()
     assert len(rows) == len(set(rows)) and len({r[0] for r in rows}) == 16
+
+
+def test_metadata_and_locators(spark):
+    page = "<html><head><title>Art | Site</title></head><body id=b><p>School of Fine Arts</p><div class='x y'><h2>Z</h2></div></body></html>"
+    n = dom.nodes(spark.createDataFrame([(1, page), (2, HTML), (3, None)], "page_id int, html string"))
+    got = {r["page_id"]: (r["title"], r["school"]) for r in regions.metadata(n).collect()}
+    assert got == {1: ("Art", "School of Fine Arts"), 2: ("Title", None)}
+    assert "html > body#b > div.x > h2" in {r["path"] for r in regions.locators(n).collect()}
+
+
+def test_entries_need_sections(spark):
+    plan = spark.createDataFrame([("p", 1, "A 1", [])], "plan_id string, ord long, course string, sections array<string>")
+    with pytest.raises(Exception, match="needs its sections"):
+        plan_check.require_sections(plan).collect()
