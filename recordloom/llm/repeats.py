@@ -51,14 +51,15 @@ def places(docs: DataFrame, shape: Shape) -> DataFrame:
         return row, [tk.signed(gram), tk.signed(context), place]
 
     every = emit_rows(docs.select("doc_id", "text").where("doc_id is not null"), "doc_id", {"gram": "long", "context": "long", "place": "long"}, emit)
-    common = every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    # settled, so that the join reads its sides straight from shuffles and a hot gram's rows can be split
+    common = settle(every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
     return settle(every.join(common, "gram", "left_semi"))
 
 
 def contexts(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of each context: how often it occurs and its first place; and those whose gram has several contexts."""
     each = settle(found.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "place")).alias("first")))
-    several = each.groupBy("gram").agg(F.count("*").alias("n_contexts")).where("n_contexts > 1")
+    several = settle(each.groupBy("gram").agg(F.count("*").alias("n_contexts")).where("n_contexts > 1"))
     return each, settle(each.join(several, "gram").select("gram", "n", "n_contexts", F.col("first.doc_id").alias("doc_id"), F.col("first.place").alias("place")))
 
 
