@@ -96,8 +96,8 @@ class Centroids:
 
 
 def valid(vectors: DataFrame, key: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """(id, v): rows whose vector takes part, in double precision."""
-    v = F.col(column).cast("array<double>")
+    """(id, v): rows whose vector takes part, as it is stored; distances are in double precision."""
+    v = F.col(column)
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     return vectors.where(F.col(key).isNotNull() & F.coalesce(fine, F.lit(False))).select(F.col(key).cast("long").alias("id"), v.alias("v"))
 
@@ -105,7 +105,7 @@ def valid(vectors: DataFrame, key: str = "vec_id", column: str = "embedding") ->
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1)
+    return flat.reshape(len(column), -1).astype(np.float64)
 
 
 def search(vectors: DataFrame, is_query, k: int = 10, list_size: int = LIST_SIZE, probes: int = PROBES, ratio: float = RATIO) -> DataFrame:
@@ -118,7 +118,8 @@ def search(vectors: DataFrame, is_query, k: int = 10, list_size: int = LIST_SIZE
         return spark.createDataFrame([], out)
     dims = sample["v"].map(len)
     dim = int(dims.mode().iloc[0])
-    x = np.stack(sample["v"][dims == dim].to_list())
+    x = np.stack(sample["v"][dims == dim].to_list()).astype(np.float64)
+    kind = rows.schema["v"].dataType.simpleString()
     n = rows.count()
     centroids = Centroids(train_centroids(x, max(1, min(MAX_CENTROIDS, len(x), int(np.sqrt(n)) + 1))))
     shared = spark.sparkContext.broadcast(centroids)
@@ -143,7 +144,7 @@ def search(vectors: DataFrame, is_query, k: int = 10, list_size: int = LIST_SIZE
             at = pa.array(picked)
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array(lists.astype(np.int32)), b.column(1).take(at)], ["id", "list", "v"])
 
-    posted = settle(rows.mapInArrow(post, "id long, list int, v array<double>"))
+    posted = settle(rows.mapInArrow(post, f"id long, list int, v {kind}"))
     # one row a list: the parts that it is dealt into
     parts = F.broadcast(posted.groupBy("list").agg(F.ceil(F.count("*") / list_size).cast("int").alias("parts")))
     dealt = posted.join(parts, "list").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
@@ -161,7 +162,7 @@ def search(vectors: DataFrame, is_query, k: int = 10, list_size: int = LIST_SIZE
             at = pa.array(np.array(ids, np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array(np.array(lists, np.int32)), b.column(1).take(at)], ["qid", "list", "q"])
 
-    asked = rows.where(is_query(F.col("id"))).mapInArrow(route, "qid long, list int, q array<double>")
+    asked = rows.where(is_query(F.col("id"))).mapInArrow(route, f"qid long, list int, q {kind}")
     asked = asked.join(parts, "list").select("qid", "q", "list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
 
     def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
