@@ -28,9 +28,12 @@ from recordloom.llm.graph import components
 from recordloom.llm.store import settle
 from recordloom.llm.textmap import add_columns
 
-WIDTH, KEEP, LEAST_SHARE, BLOCK = 5, 40, 0.55, 256
-#: An estimate from 40 values has a deviation of about 0.065; pairs within 4.6 of them stay.
+# LEAST_SHARE: at 0.75 the smaller of two sets shares 30 of 40 values or more on average, with a deviation of 2.7
+WIDTH, KEEP, LEAST_SHARE, BLOCK = 5, 40, 0.45, 256
+#: An estimate from 40 values has a deviation of about 0.068; pairs within 4.4 of them stay.
 SLACK = 0.3
+#: Shingles of a block: two blocks of 2 MB of hashes are compared at a time, however long their texts are.
+BLOCK_SHINGLES = 1 << 18
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, width: int = WIDTH) -> list[np.ndarray]:
@@ -56,14 +59,15 @@ def sketches(docs: DataFrame, width: int = WIDTH, keep: int = KEEP) -> DataFrame
 def families(standing: DataFrame) -> DataFrame:
     """(node, component): sketches that share one of both's rarest retained values, transitively."""
     values = standing.select("doc_id", F.size("sketch").alias("k"), F.explode("sketch").alias("value"))
-    common = values.groupBy("value").agg(F.count("*").alias("n")).where("n > 1")
+    # settled, so that the joins read their sides straight from shuffles and a hot value's rows can be split
+    common = settle(values.groupBy("value").agg(F.count("*").alias("n")).where("n > 1"))
     shared = values.join(common.hint("merge"), "value")
     order = Window.partitionBy("doc_id").orderBy("n", "value")
     ranked = shared.withColumns({"rank": F.row_number().over(order), "n_shared": F.count("*").over(Window.partitionBy("doc_id"))})
     # values of no other text come first in the order of rarity
     listed = ranked.where(F.col("k") - F.col("n_shared") + F.col("rank") <= F.col("k") - F.ceil(F.col("k") * LEAST_SHARE) + 1).select("value", "doc_id")
     listed = settle(listed)
-    heads = listed.groupBy("value").agg(F.min("doc_id").alias("v"), F.count("*").alias("n")).where("n > 1").select("value", "v")
+    heads = settle(listed.groupBy("value").agg(F.min("doc_id").alias("v"), F.count("*").alias("n")).where("n > 1").select("value", "v"))
     return components(listed.join(heads, "value").select(F.col("doc_id").alias("u"), "v"))
 
 
@@ -133,10 +137,14 @@ def _forest(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, threshold
     return out
 
 
-def links(docs: DataFrame, family: DataFrame, threshold: int, width: int, block: int) -> DataFrame:
-    """(u, v): spanning forests of the links within each pair of blocks of each family, on full sets."""
-    sizes = family.groupBy("component").agg(F.count("*").alias("n"))
-    members = family.join(sizes, "component").select(F.col("node").alias("doc_id"), "component", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+def links(docs: DataFrame, family: DataFrame, sizes: DataFrame, threshold: int, width: int, block: int) -> DataFrame:
+    """(u, v): spanning forests of the links within each pair of blocks of each family, on full sets.
+
+    `sizes` has doc_id and n_shingles.  A block is bounded by its texts and by their shingles.
+    """
+    family = family.select(F.col("node").alias("doc_id"), "component").join(sizes.groupBy("doc_id").agg(F.max("n_shingles").alias("n")), "doc_id")
+    total = family.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    members = family.join(total, "component").select("doc_id", "component", "blocks")
     # a merge at every size: broadcasting members would pay for small inputs only
     texts = docs.select("doc_id", "text").join(members.hint("merge"), "doc_id")
     encode = lambda data, at: [[s.tobytes() for s in shingle_sets(data, at, width)]]
@@ -161,7 +169,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 75, width: int = WIDTH, ke
     classes = full.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("stands"))
     in_class = settle(full.select("doc_id", "h1", "h2", "n_shingles").join(classes, ["h1", "h2", "n_shingles"]).select("doc_id", "stands"))
     standing = full.select("doc_id", "sketch").join(in_class.where("doc_id = stands").select("doc_id").distinct().hint("merge"), "doc_id")
-    near = settle(links(docs, families(standing), threshold, width, block))
+    near = settle(links(docs, families(standing), full.select("doc_id", "n_shingles"), threshold, width, block))
     # classes with several ids, and ids with several texts, are links too
     edges = near.unionByName(in_class.where("doc_id <> stands").select(F.col("doc_id").alias("u"), F.col("stands").alias("v")))
     found = components(edges)
