@@ -15,22 +15,27 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return hung.where("u > v").distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def _is_forest(edges: DataFrame) -> bool:
+    """Whether every node hangs on one root, which hangs on nothing."""
+    several = edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
+    hanging = edges.select(F.col("v").alias("u")).join(edges.select("u"), "u", "left_semi")
+    return several.unionAll(hanging).isEmpty()
+
+
+def components(edges: DataFrame, max_steps: int = 40) -> DataFrame:
     """(node, component) for the nodes of `edges` (u, v): the smallest node reachable.
 
-    Every round at least halves the depth of the trees, so that the rounds grow with the logarithm
-    of the longest path; each round's edges are settled in the shared folder.
+    Every alternation at least halves the depth of the trees, so that the steps grow with the
+    logarithm of the longest path.  Two alternations make a step, whose edges are settled in the
+    shared folder; what is asked of them is only whether they are stars.
     """
     edges = settle(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    # what tells two rounds' edges apart, without bringing them to the driver
-    mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    seen = mark(edges)
-    for _ in range(max_rounds):
-        edges = settle(_star(_star(edges, True), False))
-        now = mark(edges)
-        if now == seen:
+    for _ in range(max_steps):
+        if _is_forest(edges):
             break
-        seen = now
+        for large in (True, False, True, False):
+            edges = _star(edges, large)
+        edges = settle(edges)
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -16,7 +16,7 @@ WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes of text that one vectorised step handles, unless a single text is longer.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 _BASE = U(0x9E3779B97F4A7C15 | 1)
 _BASE_INV = U(pow(int(_BASE), -1, 1 << 64))
 
