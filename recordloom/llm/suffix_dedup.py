@@ -51,7 +51,7 @@ def repeated_by_place(raw: list[bytes], low: np.ndarray, length: int, digit: int
     """
     rows, offsets, digits = [], [], []
     size = np.array([len(x) for x in raw], np.int64)
-    for a, b, _, first in tk.chunks(np.zeros(0, np.uint8), np.concatenate([[0], np.cumsum(size)]), tk.CHUNK_BYTES // 2):
+    for a, b, _, first in tk.chunks(np.zeros(0, np.uint8), np.concatenate([[0], np.cumsum(size)]), 2 * tk.CHUNK_BYTES):
         start, row = tk.windows(codes := tk.BYTE_CODE[np.frombuffer(b"".join(raw[a:b]), np.uint8)], first, length)
         rows.append((row + a).astype(np.int32))
         offsets.append((start - first[row]).astype(np.int32))
