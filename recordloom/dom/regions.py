@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recordloom.sources.shared import settled
+
 KEY = "page_id"
 # fixed values: what may be a region, what is chrome, what is noise
 REGIONS = ["main", "article", "section", "td", "div", "body"]
@@ -149,13 +151,13 @@ def render(nodes: DataFrame, interface: list[str] = ()) -> DataFrame:
     tables a title, a header and numbered rows, terms a colon, and their descriptions an indent.
     Lines that equal one of `interface` in lower case are left out.
     """
-    clean = denoised(nodes)
+    clean = settled(denoised(nodes))
     text = pieces(clean)
     blocks = clean.where(F.col("tag").isin(BLOCKS)).select(KEY, F.col("pre").alias("o_pre"), F.col("post").alias("o_post"), F.col("tag").alias("o_tag"))
     # each text's nearest block: the ancestor block that starts last
     inside = text.join(blocks, KEY).where((F.col("pre") >= F.col("o_pre")) & (F.col("pre") <= F.col("o_post")))
-    block = inside.groupBy(KEY, "pre", "part", "text").agg(F.max(F.struct("o_pre", "o_tag")).alias("b")).select(KEY, "pre", "part", "text", "b.o_pre", "b.o_tag")
-    cells = tables(clean)
+    block = settled(inside.groupBy(KEY, "pre", "part", "text").agg(F.max(F.struct("o_pre", "o_tag")).alias("b")).select(KEY, "pre", "part", "text", "b.o_pre", "b.o_tag"))
+    cells = settled(tables(clean))
     spans = cells.join(clean.select(KEY, F.col("pre").alias("o_pre"), F.col("post").alias("c_post")), [KEY, "o_pre"]).select(KEY, F.col("o_pre").alias("c_pre"), "c_post")
     # texts of data cells, lists and all, become the cell's line
     in_cell = block.join(spans, KEY).where("pre > c_pre and pre <= c_post").groupBy(KEY, "pre", "part", "text").agg(F.max("c_pre").alias("c_pre"))

@@ -7,16 +7,18 @@ from recordloom.dom import nodes as dom
 from recordloom.dom import regions
 from recordloom.operators import pages, resolve
 from recordloom.registry import query
+from recordloom.sources.shared import settled
 from recordloom.sources.tables import table
 
 
 def _nodes(spark: SparkSession, sf: str) -> DataFrame:
-    return dom.nodes(table(spark, sf, "pages"))
+    """The node table, parsed once however often a query reads it."""
+    return settled(dom.nodes(table(spark, sf, "pages")))
 
 
 @query("page_nodes")
 def page_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    return _nodes(spark, sf).select("page_id", "pre", "post", "parent", "depth", "tag", "href", "text")
+    return dom.nodes(table(spark, sf, "pages")).select("page_id", "pre", "post", "parent", "depth", "tag", "href", "text")
 
 
 @query("page_region")
@@ -74,7 +76,7 @@ SITE = [
 
 
 def _anchors(spark: SparkSession) -> DataFrame:
-    return resolve.anchors(dom.nodes(spark.createDataFrame(SITE, "page_id int, html string")))
+    return resolve.anchors(settled(dom.nodes(spark.createDataFrame(SITE, "page_id int, html string"))))
 
 
 @query("edition_list", "select * from (values (1, '20', '2024-2025', true), (1, '22', '2026-2027', false)) v(page_id, edition, year, archived)")
