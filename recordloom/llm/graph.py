@@ -26,16 +26,14 @@ def components(edges: DataFrame, max_steps: int = 40) -> DataFrame:
     """(node, component) for the nodes of `edges` (u, v): the smallest node reachable.
 
     Every alternation at least halves the depth of the trees, so that the steps grow with the
-    logarithm of the longest path.  Two alternations make a step, whose edges are settled in the
-    shared folder; what is asked of them is only whether they are stars.
+    logarithm of the longest path.  Each step's edges are settled in the shared folder, so that plans
+    stay small; what is asked of them is only whether they are stars.
     """
     edges = settle(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     for _ in range(max_steps):
         if _is_forest(edges):
             break
-        for large in (True, False, True, False):
-            edges = _star(edges, large)
-        edges = settle(edges)
+        edges = settle(_star(_star(edges, True), False))
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -166,7 +166,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 75, width: int = WIDTH, ke
     """doc_id, n_shingles, component_id, kept: link sets with 100 * intersection >= threshold * union."""
     sketched = sketches(docs, width, keep)
     full = sketched.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("stands"))
+    classes = settle(full.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("stands")))
     in_class = settle(full.select("doc_id", "h1", "h2", "n_shingles").join(classes, ["h1", "h2", "n_shingles"]).select("doc_id", "stands"))
     standing = full.select("doc_id", "sketch").join(in_class.where("doc_id = stands").select("doc_id").distinct().hint("merge"), "doc_id")
     near = settle(links(docs, families(standing), full.select("doc_id", "n_shingles"), threshold, width, block))
