@@ -10,7 +10,7 @@ alike (ties go to the first language by name); other columns may have any name.
 """
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.llm import textkit as tk
@@ -63,18 +63,12 @@ def _sample(docs: DataFrame, label: str, limit: int) -> DataFrame:
     """About `limit` labelled rows by hash of the id, as even over labels as their counts allow."""
     rows = docs.where(F.col(label).isNotNull() & F.col("text").isNotNull())
     counts = rows.groupBy(F.col(label).alias("__label")).count()
-    each = F.lit(float(limit)) / F.count("*").over(_everything())
+    each = F.lit(float(limit)) / F.count("*").over(Window.partitionBy())
     share = F.broadcast(counts.select("__label", F.least(F.lit(1.0), each / F.col("count")).alias("__share")).limit(limit))
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
     return rows.join(share, rows[label] == share["__label"]).where(draw < F.col("__share"))
 
 
-def _everything():
-    from pyspark.sql import Window
-
-    return Window.partitionBy()
-
-
 def train(docs: DataFrame, label: str = "lang", max_train: int = MAX_TRAIN, epochs: int = 6, rate: float = 2.0, seed: int = 7) -> LanguageModel | None:
     """Fit on a bounded sample of the labelled rows of `docs`; a fifth of it calibrates the scores.
 

@@ -31,12 +31,16 @@ SPAN_BITS = 20
 
 @dataclass(frozen=True)
 class Shape:
-    """How windows are made: what items are, how many make a window and an anchor, and how big a group may be."""
+    """How windows are made: what items are, how many make a window and an anchor, and how big a group may be.
+
+    `raw` items are single bytes, and contexts travel as bytes; others travel as their codes.
+    """
 
     items: Items
     length: int
     gram: int
     group_size: int
+    raw: bool
 
     @property
     def width(self) -> int:
@@ -93,16 +97,18 @@ def standing(docs: DataFrame, left: DataFrame, shape: Shape) -> DataFrame:
                 fits = stop <= first[rows + 1]  # an id with several texts
                 rows, gram, n, many, q, low, begin, stop = (x[fits] for x in (rows, gram, n, many, q, low, begin, stop))
                 size = stop - begin
-                offsets = np.concatenate([[0], np.cumsum(size)])
-                pick = np.repeat(begin - offsets[:-1], size) + np.arange(offsets[-1])
-                items = pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(tk.signed(codes[pick]))) if shape.gram < 32 else None
-                values = items.cast(pa.list_(pa.int64())) if items is not None else pa.array([part[x:y].tobytes() for x, y in zip(begin, stop, strict=True)], pa.binary())
+                if shape.raw:
+                    values = pa.array([part[x:y].tobytes() for x, y in zip(begin, stop, strict=True)], pa.binary())
+                else:
+                    offsets = np.concatenate([[0], np.cumsum(size)])
+                    pick = np.repeat(begin - offsets[:-1], size) + np.arange(offsets[-1])
+                    values = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(tk.signed(codes[pick])))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(gram), pa.array(n), pa.array(many), b.column(0).take(pa.array(rows + start)), pa.array(q - low), pa.array(low), values],
                     ["gram", "n", "n_contexts", "doc_id", "start", "low", "codes"],
                 )
 
-    kind = "array<bigint>" if shape.gram < 32 else "binary"
+    kind = "binary" if shape.raw else "array<bigint>"
     return joined.mapInArrow(run, f"gram long, n long, n_contexts long, doc_id long, start long, low long, codes {kind}")
 
 

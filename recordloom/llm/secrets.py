@@ -33,7 +33,7 @@ N_FEATURES = 24
 MINED = re.compile(r"password|passwd|secret|token|api_?key", re.IGNORECASE | re.ASCII)
 
 
-def base_spans(text: str, lowered: str | None = None) -> list[tuple[str, int, int]]:
+def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans of the base patterns, leftmost and non-overlapping for each kind."""
     out = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8] if MINED.search(text) else []
     out += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16] if "AKIA" in text else []

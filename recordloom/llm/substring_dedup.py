@@ -103,7 +103,7 @@ def word_items(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def earlier_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group_size: int = GROUP) -> DataFrame:
     """(doc_id, span) in words, of every window that also starts earlier in the corpus."""
-    shape = repeats.Shape(word_items, length, gram, group_size)
+    shape = repeats.Shape(word_items, length, gram, group_size, raw=False)
     found = repeats.places(docs, shape)
     each, left = repeats.contexts(found)
     later = found.join(each.select("gram", "context", "first"), ["gram", "context"]).where("doc_id <> first.doc_id or place <> first.place")

@@ -71,7 +71,7 @@ def repeated_by_place(raw: list[bytes], low: np.ndarray, length: int, digit: int
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, digit: int = DIGIT, group_size: int = GROUP) -> DataFrame:
     """(doc_id, span): spans of every window of `length` bytes that also starts elsewhere."""
-    shape = repeats.Shape(lambda data, at: (tk.BYTE_CODE[data], at), length, gram, group_size)
+    shape = repeats.Shape(lambda data, at: (tk.BYTE_CODE[data], at), length, gram, group_size, raw=True)
     found = repeats.places(docs, shape)
     each, left = repeats.contexts(found)
     whole = found.join(each.where("n > 1").select("gram", "context"), ["gram", "context"], "left_semi").select("doc_id", repeats.span(F.col("place"), shape).alias("span"))
