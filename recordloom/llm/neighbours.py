@@ -6,6 +6,11 @@ nearly as near.  A query finds centroids by best-first search in an in-memory ne
 keeps the lists whose distance is within a ratio of the nearest.  Lists over `list_size` vectors are
 dealt into parts that are searched side by side, so no task ever gets a whole hot list.
 
+The k-th distance that this finds is a bound.  The search is then finished exactly: every list whose
+ball (centroid and radius of the vectors nearest to it) reaches within a query's bound is compared in
+full, each vector once, so that the probes decide how early a list is met and never what is found.
+Where balls overlap, as those of noise in many dimensions do, that is nearly every list.
+
 Edge cases: vectors that are null, zero, or hold null or non-finite components take no part; vectors
 of another dimension than the sample's most frequent take none either; equal distances go to the
 smaller id; null ids take no part; a repeated id counts once (its first posting with the smallest
@@ -25,6 +30,8 @@ from recordloom.llm.store import settle
 MAX_TRAIN, MAX_CENTROIDS = 20_000, 2_048
 LIST_SIZE, COPIES, BOUNDARY = 512, 6, 1.15
 PROBES, LEAST_LISTS, RATIO, GRAPH_DEGREE, BEAM = 48, 8, 1.6, 16, 96
+#: Of the exact finish: vectors and queries that a task compares, by their floats (16 MB) and at least, and cells that are aimed at.
+CELL_FLOATS, LEAST_CELL, CELLS = 1 << 21, 1_024, 64
 
 
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -108,8 +115,44 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1).astype(np.float64)
 
 
+def pack(points: np.ndarray, sizes: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """The cell of each list and the parts of each cell: neighbouring lists share a cell of at most `rows` vectors, a larger list has its own."""
+    far = squared(points, points)
+    cell, filled, left, at = np.zeros(len(points), np.int32), [0], np.ones(len(points), bool), 0
+    for _ in range(len(points)):
+        left[at] = False
+        if filled[-1] and filled[-1] + sizes[at] > rows:
+            filled.append(0)
+        cell[at] = len(filled) - 1
+        filled[-1] += int(sizes[at])
+        at = int(np.where(left, far[at], np.inf).argmin())
+    return cell, np.maximum(1, -(-np.array(filled) // rows))
+
+
+def closest(v: np.ndarray, ids: np.ndarray, q: np.ndarray, qids: np.ndarray, bound: np.ndarray, k: int) -> tuple[list, list, list]:
+    """Query id, id and distance of the `k` nearest distinct ids of each query within its bound; a product only picks whom to compare."""
+    made: tuple[list, list, list] = ([], [], [])
+    unique, norm = len(np.unique(ids)) == len(ids), (v**2).sum(1).max()
+    step = max(1, CELL_FLOATS // len(v))
+    for i in range(0, len(q), step):
+        some, top = squared(q[i : i + step], v), bound[i : i + step] ** 2
+        if unique and len(v) > k and not np.isfinite(top).all():
+            top = np.minimum(top, np.partition(some, k, axis=1)[:, k])  # one more than k, for the query itself
+        top = top + 1e-9 * (norm + (q[i : i + step] ** 2).sum(1))
+        for j in range(len(some)):
+            at = np.flatnonzero((some[j] <= top[j]) & (ids != qids[i + j]))
+            score = np.sqrt(((v[at] - q[i + j]) ** 2).sum(1))
+            order = np.lexsort((ids[at], score))
+            _, first = np.unique(ids[at][order], return_index=True)
+            order = order[np.sort(first)[:k]]
+            made[0].extend([int(qids[i + j])] * len(order))
+            made[1].extend(ids[at][order].tolist())
+            made[2].extend(score[order].tolist())
+    return made
+
+
 def search(vectors: DataFrame, is_query, k: int = 10, list_size: int = LIST_SIZE, probes: int = PROBES, ratio: float = RATIO) -> DataFrame:
-    """query_id, rank, vec_id, score: the `k` nearest that are found for each row where `is_query` (a function of the id) holds."""
+    """query_id, rank, vec_id, score: the `k` nearest of each row where `is_query` (a function of the id) holds."""
     spark = vectors.sparkSession
     rows = valid(vectors)
     out = "query_id long, rank int, vec_id long, score double"
@@ -132,7 +175,7 @@ def search(vectors: DataFrame, is_query, k: int = 10, list_size: int = LIST_SIZE
             if not len(v):
                 continue
             keep = min(COPIES, len(c))
-            ids, lists, picked = [], [], []
+            lists, picked, far = [], [], []
             for i in range(0, len(v), 1024):
                 d = squared(v[i : i + 1024], c)
                 near = np.argpartition(d, keep - 1, axis=1)[:, :keep]
@@ -140,11 +183,13 @@ def search(vectors: DataFrame, is_query, k: int = 10, list_size: int = LIST_SIZE
                 row, col = np.nonzero(dn <= BOUNDARY**2 * dn.min(1, keepdims=True))
                 picked.append(row + i)
                 lists.append(near[row, col])
-            picked, lists = np.concatenate(picked), np.concatenate(lists)
+                far.append(np.where(col == dn.argmin(1)[row], np.sqrt(dn[row, col]), np.nan))
+            picked, lists, far = np.concatenate(picked), np.concatenate(lists), np.concatenate(far)
             at = pa.array(picked)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array(lists.astype(np.int32)), b.column(1).take(at)], ["id", "list", "v"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array(lists.astype(np.int32)), pa.array(far, from_pandas=True), b.column(1).take(at)], ["id", "list", "far", "v"])
 
-    posted = settle(rows.mapInArrow(post, f"id long, list int, v {kind}"))
+    # far: distance to the nearest centroid, null in the further lists
+    posted = settle(rows.mapInArrow(post, f"id long, list int, far double, v {kind}"))
     # one row a list: the parts that it is dealt into
     parts = F.broadcast(posted.groupBy("list").agg(F.ceil(F.count("*") / list_size).cast("int").alias("parts")))
     dealt = posted.join(parts, "list").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
@@ -166,22 +211,62 @@ def search(vectors: DataFrame, is_query, k: int = 10, list_size: int = LIST_SIZE
     asked = asked.join(parts, "list").select("qid", "q", "list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
 
     def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
-        made = {"query_id": [], "vec_id": [], "score": []}
+        made = ([], [], [])
         if left.num_rows and right.num_rows:
-            v, q = _matrix(left.column("v")), _matrix(right.column("q"))
-            ids, qids = left.column("id").to_numpy(), right.column("qid").to_numpy()
-            for one, qid in zip(q, qids, strict=True):
-                score = np.sqrt(((v - one) ** 2).sum(1))
-                score[ids == qid] = np.inf
-                best = np.lexsort((ids, score))[:k]
-                best = best[np.isfinite(score[best])]
-                made["query_id"] += [int(qid)] * len(best)
-                made["vec_id"] += ids[best].tolist()
-                made["score"] += score[best].tolist()
-        return pa.table({"query_id": pa.array(made["query_id"], pa.int64()), "vec_id": pa.array(made["vec_id"], pa.int64()), "score": pa.array(made["score"], pa.float64())})
-
-    found = dealt.groupBy("list", "part").cogroup(asked.groupBy("list", "part")).applyInArrow(nearest, "query_id long, vec_id long, score double")
-    # a vector that was met in several lists counts once
-    once = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+            made = closest(_matrix(left.column("v")), left.column("id").to_numpy(), _matrix(right.column("q")), right.column("qid").to_numpy(), right.column("bound").to_numpy(), k)
+        return pa.table({"query_id": pa.array(made[0], pa.int64()), "vec_id": pa.array(made[1], pa.int64()), "score": pa.array(made[2], pa.float64())})
+
+    pairs = "query_id long, vec_id long, score double"
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def ranked(found: DataFrame) -> DataFrame:
+        # a vector that was met in several lists counts once
+        once = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+        return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    asked = asked.withColumn("bound", F.lit(float("inf")))
+    early = settle(ranked(dealt.groupBy("list", "part").cogroup(asked.groupBy("list", "part")).applyInArrow(nearest, pairs)))
+
+    # the exact finish; one row a list comes to the driver
+    radius, sizes = np.full(len(centroids.points), -np.inf), np.zeros(len(centroids.points), np.int64)
+    for r in posted.where("far is not null").groupBy("list").agg(F.max("far").alias("far"), F.count("*").alias("n")).collect():
+        radius[r["list"]], sizes[r["list"]] = r["far"], r["n"]
+    most = max(1, CELL_FLOATS // dim)
+    cell, cell_parts = pack(centroids.points, sizes, min(most, max(LEAST_CELL, n // CELLS)))
+    grid = spark.sparkContext.broadcast((radius, cell, cell_parts))
+    bounds = early.groupBy("query_id").agg(F.when(F.count("*") == k, F.max("score")).alias("bound"))
+    queries = rows.where(is_query(F.col("id"))).select(F.col("id").alias("qid"), F.col("v").alias("q"))
+    queries = queries.join(bounds, F.col("qid") == F.col("query_id"), "left").select("qid", "q", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
+    blocks = max(1, -(-queries.count() // most))
+
+    def place(batches):
+        _, cell, cell_parts = grid.value
+        for b in batches:
+            at = cell[b.column(1).to_numpy()]
+            part = b.column(0).to_numpy().view(np.uint64) % cell_parts[at].astype(np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(2), pa.array(at), pa.array(part.astype(np.int32)), b.column(3)], ["id", "cell", "part", "v"])
+
+    def reach(batches):
+        (radius, cell, cell_parts), c = grid.value, shared.value.points
+        inside = np.zeros((len(c), len(cell_parts)), np.float32)
+        inside[np.arange(len(c)), cell] = 1
+        widest = (np.sqrt((c**2).sum(1)) + np.maximum(radius, 0)).max()
+        for whole in batches:
+            for i in range(0, whole.num_rows, 1024):
+                b = whole.slice(i, 1024)
+                q = _matrix(b.column(1))
+                # the slack is far above the rounding of a product
+                limit = b.column(2).to_numpy() + 1e-6 * (widest + np.sqrt((q**2).sum(1)))
+                near = (np.sqrt(squared(q, c)) - radius <= limit[:, None]) & np.isfinite(radius)
+                row, col = np.nonzero(near.astype(np.float32) @ inside)
+                times = cell_parts[col]
+                part = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                at = pa.array(np.repeat(row, times))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), b.column(2).take(at), pa.array(np.repeat(col, times).astype(np.int32)), pa.array(part.astype(np.int32))], ["qid", "q", "bound", "cell", "part"])
+
+    side = posted.where("far is not null").select(F.xxhash64("id").alias("h"), "list", "id", "v").mapInArrow(place, f"id long, cell int, part int, v {kind}")
+    side = side.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = queries.mapInArrow(reach, f"qid long, q {kind}, bound double, cell int, part int").withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int"))
+    keys = ["cell", "part", "block"]
+    late = side.groupBy(*keys).cogroup(met.groupBy(*keys)).applyInArrow(nearest, pairs)
+    return ranked(early.select("query_id", "vec_id", "score").unionByName(late))

@@ -169,3 +169,30 @@ def test_neighbours_recall(spark):
         d[ids == q] = np.inf
         hit += len(got[q] & set(ids[np.lexsort((ids, d))[:10]].tolist()))
     assert set(got) == {int(i) for i in ids if i % 100 == 0} and hit >= 0.9 * 10 * len(got)
+
+
+def test_neighbours_are_exact_when_few_lists_are_probed(spark):
+    r = np.random.default_rng(8)
+    x = r.normal(0, 1, (3000, 16))
+    x[1000:2000] = x[0]  # a third of the rows are one vector
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(3000, x[5].tolist())] * 12
+    # 55 lists, one of them probed
+    got: dict[int, list] = {}
+    for w in neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i % 100 == 0, list_size=64, probes=1).orderBy("query_id", "rank").collect():
+        got.setdefault(w["query_id"], []).append((w["vec_id"], w["score"]))
+    x = np.vstack([x, x[5]])
+    for q in range(0, 3001, 100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        best = np.lexsort((np.arange(3001), d))[:10]
+        assert got[q] == [(int(i), float(d[i])) for i in best]
+    assert len(got) == 31
+
+
+def test_a_query_is_met_by_every_list_that_may_matter():
+    r = np.random.default_rng(9)
+    points, sizes = r.normal(0, 1, (40, 3)), r.integers(0, 50, 40)
+    sizes[7] = 400
+    cell, parts = neighbours.pack(points, sizes, 100)
+    filled = np.bincount(cell, weights=sizes)
+    assert len(filled) == len(parts) and parts[cell[7]] == -(-filled[cell[7]] // 100) >= 4 and (filled <= 100 * parts).all()
