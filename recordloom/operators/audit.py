@@ -72,10 +72,13 @@ def duplicate_groups(docs: DataFrame, key: str, text: str) -> DataFrame:
     return hashed.join(groups, "h").select(key, "group_size", "first_member", "last_member")
 
 
-def members(docs: DataFrame, key: str, text: str, largest: int = 1000) -> DataFrame:
-    """h, members joined by `;` in order, of the groups of 2 to `largest` equal bodies; larger ones are listed by `duplicate_groups`."""
+def members(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """h, n, members joined by `;` in order, of every group of two or more equal bodies.
+
+    Lists are begun before the shuffle; a group is one row, so its ids and separators are at most 2 GB.
+    """
     hashed = docs.select(key, tx.body_hash(F.coalesce(F.col(text), F.lit(""))).alias("h"))
-    sizes = hashed.groupBy("h").agg(F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("n") <= largest))
+    sizes = hashed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
     listed = hashed.join(sizes, "h").groupBy("h").agg(F.array_sort(F.collect_list(key)).alias("m"))
     return listed.select("h", F.size("m").alias("n"), F.array_join(F.transform("m", lambda x: x.cast("string")), ";").alias("members"))
 

@@ -171,3 +171,9 @@ def test_entries_need_sections(spark):
     plan = spark.createDataFrame([("p", 1, "A 1", [])], "plan_id string, ord long, course string, sections array<string>")
     with pytest.raises(Exception, match="needs its sections"):
         plan_check.require_sections(plan).collect()
+
+
+def test_members_of_a_large_group_are_listed(spark):
+    rows = [(i, "one body") for i in range(1500)] + [(2000, "pair"), (2001, "pair"), (3000, "single")]
+    got = {r["n"]: r["members"] for r in audit.members(spark.createDataFrame(rows, "k long, t string"), "k", "t").collect()}
+    assert got == {1500: ";".join(map(str, range(1500))), 2: "2000;2001"}
