@@ -157,15 +157,22 @@ def listed_flags(rows: DataFrame, key: str, listed: DataFrame, out: str = "liste
     return total
 
 
-def url_verdicts(pages: DataFrame, rules: list[tuple[str, str, str]], listed: DataFrame, key_labels: int = 3) -> DataFrame:
+def url_verdicts(pages: DataFrame, rules: list[tuple[str, str, str]], listed: DataFrame) -> DataFrame:
     """page_id, host, path, rule and verdict of every page; see the module for nulls and ties.
 
-    A url with a fitting rule gets the verdict of the longest one.  Any other is blocked if its key,
-    the last `key_labels` labels of its host, is listed, and else allowed.
+    A url with a fitting rule gets the verdict of the longest one.  Any other is blocked if its host or
+    a domain above it is listed, and else allowed.  Hosts are judged without port and trailing dot, and
+    returned as they are.  There is a pass for each number of labels that listed keys have.
     """
     host, path = host_path(F.col("url"))
-    rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
-    rows = pages.select("page_id", host.alias("host"), path.alias("path")).select("*", rule.alias("rule"), verdict.alias("says"), F.substring_index("host", ".", -key_labels).alias("domain"))
-    return listed_flags(rows, "domain", listed).select(
-        "page_id", "host", "path", "rule", F.coalesce("says", F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict")
-    )
+    rule, verdict = rule_columns(F.col("bare"), F.col("path"), rules)
+    rows = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("bare", F.regexp_replace("host", r"\.?(:[0-9]*)?$", ""))
+    rows = rows.select("page_id", "host", "path", "bare", rule.alias("rule"), verdict.alias("says"))
+    labels = F.size(F.split("key", r"\.")).alias("labels")
+    # at most as many rows as a key has labels
+    depths = sorted(r["labels"] for r in listed.where("key is not null").select(labels).distinct().collect())
+    found = F.lit(False)
+    for n in depths:
+        rows = listed_flags(rows.withColumn("domain", F.substring_index("bare", ".", -n)), "domain", listed.where(labels == n), f"listed{n}").drop("domain")
+        found = found | F.col(f"listed{n}")
+    return rows.select("page_id", "host", "path", "rule", F.coalesce("says", F.when(found, "block").otherwise("allow")).alias("verdict"))

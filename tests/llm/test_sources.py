@@ -99,6 +99,17 @@ def test_url_edges(spark):
     assert {r["verdict"] for r in url_filter.url_verdicts(rows.where("page_id in (3, 4)"), RULES, listed.limit(0)).collect()} == {"allow"}
 
 
+def test_listed_keys_of_any_depth_are_found(spark):
+    listed = spark.createDataFrame([("bad.org",), ("a.b.worse.org",), ("x.evil.org",), (None,)], "key string")
+    hosts = ["bad.org", "www.bad.org", "p.q.r.bad.org", "notbad.org", "a.b.worse.org", "z.a.b.worse.org", "b.worse.org", "x.evil.org:8080", "y.x.evil.org.", "x.evil.org.:80", "evil.org", "org"]
+    rows = spark.createDataFrame([(h, f"http://{h}/p") for h in hosts] + [("none", None)], "page_id string, url string")
+    got = {r["page_id"]: (r["host"], r["verdict"]) for r in url_filter.url_verdicts(rows, [("allow", "com", "/")], listed).collect()}
+    fine = {"notbad.org", "b.worse.org", "evil.org", "org"}
+    assert got == {h: (h, "allow" if h in fine else "block") for h in hosts} | {"none": ("", "allow")}
+    ruled = spark.createDataFrame([(1, "http://x.com:80/p")], "page_id long, url string")
+    assert [r["rule"] for r in url_filter.url_verdicts(ruled, [("allow", "com", "/")], listed).collect()] == ["com/"]
+
+
 @pytest.mark.parametrize("max_broadcast", [1 << 26, 3000])
 def test_cascade_is_exact(spark, max_broadcast):
     rows = spark.range(20000).select(F.concat(F.lit("h"), F.col("id").cast("string")).alias("host"))
