@@ -92,6 +92,23 @@ select doc_id, cast(n as bigint) as n_words, cast(g as bigint) as n_removed,
 """
 
 
+OP10_SQL = r"""
+with raw as (select doc_id, encode(coalesce(text, '')) as b from documents),
+starts as (select doc_id, b, unnest(range(1, octet_length(b) - 198)) as s from raw where octet_length(b) >= 200),
+hashed as (select doc_id, s, md5(b[s:s+199]) as h from starts),
+twice as (select h from hashed group by h having count(*) > 1),
+hits as (select doc_id, s from hashed semi join twice using (h)),
+marked as (select *, case when s > lag(s) over (partition by doc_id order by s) + 200 or lag(s) over (partition by doc_id order by s) is null then 1 else 0 end as new from hits),
+numbered as (select *, sum(new) over (partition by doc_id order by s) as part from marked),
+parts as (select doc_id, min(s) as a, max(s) + 200 as z from numbered group by doc_id, part),
+lost as (select doc_id, list(a order by a) as begins, list(z order by a) as ends, sum(z - a) as gone from parts group by doc_id),
+cut as (select r.doc_id, b, coalesce(gone, 0) as gone, coalesce(len(begins), 0) as n, list_concat([1], coalesce(ends, [])) as keep_from, list_concat(coalesce(begins, []), [octet_length(b) + 1]) as keep_to
+        from raw r left join lost l on r.doc_id = l.doc_id)
+select doc_id, cast(octet_length(b) as bigint) as n_bytes, cast(gone as bigint) as n_removed, cast(n as bigint) as n_spans,
+       sha256(unhex(array_to_string([case when keep_to[i] > keep_from[i] then hex(b[keep_from[i]:keep_to[i]-1]) else '' end for i in range(1, n + 2)], ''))) as kept_sha256 from cut
+"""
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The secrets of every document."""
     return secrets.secret_digest(_table(spark, sf_dir, "documents"))
@@ -133,7 +150,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_decontamination": op1_decontamination, "op2_mix": op2_mix, "op3_language_id": op3_language_id, "op4_url_filter": op4_url_filter, "op5_substring_dedup": op5_substring_dedup, "op6_secrets": op6_secrets, "op7_neighbours": op7_neighbours, "op8_near_duplicates": op8_near_duplicates, "op9_quality": op9_quality, "op10_suffix_dedup": op10_suffix_dedup}
-ORACLES: dict[str, str] = {"op2_mix": OP2_SQL, "op4_url_filter": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op8_near_duplicates": OP8_SQL}
+ORACLES: dict[str, str] = {"op2_mix": OP2_SQL, "op4_url_filter": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op8_near_duplicates": OP8_SQL, "op10_suffix_dedup": OP10_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -34,15 +34,17 @@ def add_columns(df: DataFrame, text: str | Column, keep: list[str], out: dict[st
     return df.select(*[F.col(f"`{c}`") for c in keep], column.alias("__text")).mapInArrow(run, ", ".join([*_schema(df, keep), *(f"`{k}` {v}" for k, v in out.items())]))
 
 
-def emit_rows(df: DataFrame, key: str, out: dict[str, str], fn: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, list]]) -> DataFrame:
-    """Any number of rows for each text: `fn` returns the row index of each, then the columns; `key` comes first."""
+def emit_rows(df: DataFrame, key: str | list[str], out: dict[str, str], fn: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, list]]) -> DataFrame:
+    """Any number of rows for each text: `fn` returns the row index of each, then the columns; the key columns come first."""
     arrow_rows(df.sparkSession)
+    keys = [key] if isinstance(key, str) else key
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, at = tk.utf8(b.column(1))
+            data, at = tk.utf8(b.column(len(keys)))
             for start, _, part, begins in tk.chunks(data, at):
                 rows, columns = fn(part, begins)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows + start)), *(pa.array(c) for c in columns)], [key, *out])
+                mine = pa.array(rows + start)
+                yield pa.RecordBatch.from_arrays([*(c.take(mine) for c in b.columns[:-1]), *(pa.array(c) for c in columns)], [*keys, *out])
 
-    return df.select(F.col(f"`{key}`"), F.col("text").alias("__text")).mapInArrow(run, ", ".join([*_schema(df, [key]), *(f"`{k}` {v}" for k, v in out.items())]))
+    return df.select(*[F.col(f"`{c}`") for c in keys], F.col("text").alias("__text")).mapInArrow(run, ", ".join([*_schema(df, keys), *(f"`{k}` {v}" for k, v in out.items())]))
