@@ -36,6 +36,8 @@ from recordloom.llm.store import arrow_rows, settle
 from recordloom.llm.textmap import emit_rows
 
 LENGTH, GRAM, GROUP = 200, 32, 16_384
+#: Places of large groups, of 32 bytes each, that are broadcast to the texts (16 MB); more of them are joined by a merge.
+MAX_BROADCAST = 1 << 19
 RUN = "gram long, doc_id long, text_key long, start long, low int, high int, run binary"
 
 
@@ -126,9 +128,9 @@ def anchor_places(texts: DataFrame, length: int, gram: int) -> DataFrame:
     return emit_rows(texts.where(F.octet_length("text") >= length), ["doc_id", "text_key"], {"gram": "long", "place": "long"}, emit)
 
 
-def runs(texts: DataFrame, places: DataFrame, length: int) -> DataFrame:
-    """The bytes of the run of each place, as RUN."""
-    wanted = places.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("gram", "place")).alias("wanted")).hint("merge")
+def runs(texts: DataFrame, places: DataFrame, length: int, join: str = "merge") -> DataFrame:
+    """The bytes of the run of each place, as RUN; `join` is how texts meet their places."""
+    wanted = places.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("gram", "place")).alias("wanted")).hint(join)
     joined = texts.join(wanted, ["doc_id", "text_key"]).select("doc_id", "text_key", "wanted", "text")
     arrow_rows(texts.sparkSession)
 
@@ -229,14 +231,19 @@ def split_groups(rows: DataFrame, length: int, width: int, group_size: int) -> D
 
 
 def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, group_size: int = GROUP) -> DataFrame:
-    """(doc_id, text_key, span): spans of every window of `length` bytes that also starts elsewhere."""
+    """(doc_id, text_key, span): spans of every window of `length` bytes that also starts elsewhere.
+
+    Only the places of large groups may be broadcast to the texts, and only up to MAX_BROADCAST of them.
+    """
     every = settle(anchor_places(texts, length, gram))
     # settled, so that the join reads its sides straight from shuffles and a hot anchor's rows can be split
     common = settle(every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"))
     found = every.join(common.hint("merge"), "gram")
     spans = judged(runs(texts, found.where(F.col("n") <= group_size), length), length)
-    if not common.where(F.col("n") > group_size).isEmpty():
-        spans = spans.unionAll(split_groups(runs(texts, found.where(F.col("n") > group_size), length), length, length - gram + 1, group_size))
+    in_large = common.where(F.col("n") > group_size).agg(F.sum("n")).first()[0]
+    if in_large:
+        join = "broadcast" if in_large <= MAX_BROADCAST else "merge"
+        spans = spans.unionAll(split_groups(runs(texts, found.where(F.col("n") > group_size), length, join), length, length - gram + 1, group_size))
     return spans
 
 
