@@ -10,6 +10,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Hang each node's larger (large) or smaller (small) neighbours and itself on its smallest neighbour."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
     least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+    if large:  # settled, so that the join reads its sides straight from shuffles and the rows of a hub can be split
+        least = settle(least).hint("merge")
     hung = both.join(least, "u")
     hung = hung.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")) if large else hung.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     return hung.where("u > v").distinct()
@@ -22,7 +24,7 @@ def _is_forest(edges: DataFrame) -> bool:
     return several.unionAll(hanging).isEmpty()
 
 
-def components(edges: DataFrame, max_steps: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of `edges` (u, v): the smallest node reachable.
 
     Every alternation at least halves the depth of the trees, so that the steps grow with the
@@ -30,10 +32,6 @@ def components(edges: DataFrame, max_steps: int = 40) -> DataFrame:
     stay small; what is asked of them is only whether they are stars.
     """
     edges = settle(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    for _ in range(max_steps):
-        if _is_forest(edges):
-            break
+    while not _is_forest(edges):
         edges = settle(_star(_star(edges, True), False))
-    else:
-        raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -4,9 +4,13 @@
    a class, and one text stands for it.
 2. The KEEP smallest hashes of a set are its bottom-k sketch.  Retained values that two sketches
    share are inverted lists; of each sketch only the rarest values are listed, as two sets that are
-   similar enough share so many retained values that one must be among the rarest of both.
-3. The lists join texts to families.  Within a family, texts are compared in blocks: union sketches
-   estimate which are too far apart, and the full sets decide the rest exactly.
+   similar enough share so many retained values that one must be among the rarest of both.  A text
+   with enough values of its own, such as one that shares no more than a passage with others, is
+   therefore on no list.
+3. Lists that share texts are brought together and dealt into pairs of blocks.  In a pair of blocks
+   the inverted lists of all retained values give the overlap of every two texts; pairs with too
+   small an overlap, or that union sketches estimate to be too far apart, are left out, and the full
+   sets decide the rest exactly.
 4. Each pair of blocks reports a spanning forest of its links, never all pairs, and the components
    of all forests are those of all links.
 
@@ -28,10 +32,11 @@ from recordloom.llm.graph import components
 from recordloom.llm.store import settle
 from recordloom.llm.textmap import add_columns
 
-# LEAST_SHARE: at 0.75 the smaller of two sets shares 30 of 40 values or more on average, with a deviation of 2.7
-WIDTH, KEEP, LEAST_SHARE, BLOCK = 5, 40, 0.45, 256
-#: An estimate from 40 values has a deviation of about 0.068; pairs within 4.4 of them stay.
-SLACK = 0.3
+# LEAST_SHARE: two sketches of sets with similarity 0.75 share 72 of 96 values on average where one set holds the other,
+# with a deviation of at most 4.2, and more otherwise; 52 is 4.8 deviations below
+WIDTH, KEEP, LEAST_SHARE, BLOCK = 5, 96, 0.54, 512
+#: An estimate from 96 values has a deviation of at most 0.044; pairs within 4.5 of them stay.
+SLACK = 0.2
 #: Shingles of a block: two blocks of 2 MB of hashes are compared at a time, however long their texts are.
 BLOCK_SHINGLES = 1 << 18
 
@@ -56,8 +61,8 @@ def sketches(docs: DataFrame, width: int = WIDTH, keep: int = KEEP) -> DataFrame
     return settle(add_columns(docs.select("doc_id", "text"), "text", ["doc_id"], {"n_shingles": "long", "h1": "long", "h2": "long", "sketch": "array<bigint>"}, run))
 
 
-def families(standing: DataFrame) -> DataFrame:
-    """(node, component): sketches that share one of both's rarest retained values, transitively."""
+def listed_values(standing: DataFrame) -> DataFrame:
+    """(value, doc_id): the inverted lists of the rarest retained values of every sketch, settled."""
     values = standing.select("doc_id", F.size("sketch").alias("k"), F.explode("sketch").alias("value"))
     # settled, so that the joins read their sides straight from shuffles and a hot value's rows can be split
     common = settle(values.groupBy("value").agg(F.count("*").alias("n")).where("n > 1"))
@@ -66,13 +71,20 @@ def families(standing: DataFrame) -> DataFrame:
     ranked = shared.withColumns({"rank": F.row_number().over(order), "n_shared": F.count("*").over(Window.partitionBy("doc_id"))})
     # values of no other text come first in the order of rarity
     listed = ranked.where(F.col("k") - F.col("n_shared") + F.col("rank") <= F.col("k") - F.ceil(F.col("k") * LEAST_SHARE) + 1).select("value", "doc_id")
-    listed = settle(listed)
+    return settle(listed)
+
+
+def families(listed: DataFrame) -> DataFrame:
+    """(node, component): texts of lists that have texts in common."""
     heads = settle(listed.groupBy("value").agg(F.min("doc_id").alias("v"), F.count("*").alias("n")).where("n > 1").select("value", "v"))
     return components(listed.join(heads, "value").select(F.col("doc_id").alias("u"), "v"))
 
 
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """How many values each two sets share."""
+    """How many values each two sets share: the inverted list of every value counts one for each two sets on it.
+
+    Lists of one set drop out; the others are counted 4,096 at a time, by a product.
+    """
     n = len(sets)
     owner = np.repeat(np.arange(n), [len(s) for s in sets])
     value, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -91,8 +103,8 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return both.astype(np.int64)
 
 
-def estimates(sets: list[np.ndarray], keep: int) -> np.ndarray:
-    """Jaccard similarity of each two sets as their union sketches show it.
+def estimates(sets: list[np.ndarray], keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each two sets, how many values their sketches share, and their similarity as the union sketch shows it.
 
     Up to the smaller of two sketches' largest values both know all values of their sets, so these
     values are the bottom of the union; the share of them that both hold estimates the similarity.
@@ -102,14 +114,22 @@ def estimates(sets: list[np.ndarray], keep: int) -> np.ndarray:
     upto = np.minimum(reach[:, None], reach[None, :])
     known = np.stack([np.searchsorted(s, row, "right") for s, row in zip(sketch, upto, strict=True)])
     shared = _overlaps(sketch)
-    return shared / np.maximum(known + known.T - shared, 1)
+    return shared, shared / np.maximum(known + known.T - shared, 1)
+
+
+def candidates(sets: list[np.ndarray], threshold: int, keep: int) -> np.ndarray:
+    """Which two sets overlap in enough retained values, and are near enough by the estimate."""
+    shared, estimate = estimates(sets, keep)
+    size = np.minimum([len(s) for s in sets], keep)
+    near = (shared >= np.ceil(np.minimum(size[:, None], size[None, :]) * LEAST_SHARE)) & (estimate >= threshold / 100 - SLACK)
+    np.fill_diagonal(near, False)
+    return near
 
 
 def _forest(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, threshold: int, keep: int) -> list[tuple[int, int]]:
     """Spanning forest of the links of these texts; with two sides, of those across them."""
     n = len(ids)
-    close = estimates(sets, keep) >= threshold / 100 - SLACK
-    np.fill_diagonal(close, False)
+    close = candidates(sets, threshold, keep)
     if side.any() and not side.all():
         close &= side[:, None] != side[None, :]
     left = np.flatnonzero(close.any(1))
@@ -169,7 +189,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 75, width: int = WIDTH, ke
     classes = settle(full.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("stands")))
     in_class = settle(full.select("doc_id", "h1", "h2", "n_shingles").join(classes, ["h1", "h2", "n_shingles"]).select("doc_id", "stands"))
     standing = full.select("doc_id", "sketch").join(in_class.where("doc_id = stands").select("doc_id").distinct().hint("merge"), "doc_id")
-    near = settle(links(docs, families(standing), full.select("doc_id", "n_shingles"), threshold, width, block))
+    near = settle(links(docs, families(listed_values(standing)), full.select("doc_id", "n_shingles"), threshold, width, block))
     # classes with several ids, and ids with several texts, are links too
     edges = near.unionByName(in_class.where("doc_id <> stands").select(F.col("doc_id").alias("u"), F.col("stands").alias("v")))
     found = components(edges)

@@ -68,11 +68,42 @@ def test_estimates_follow_similarity():
     r = np.random.default_rng(2)
     common = r.integers(0, 2**63, 900, dtype=np.uint64)
     sets = [np.unique(np.concatenate([common[: 300 * k], r.integers(0, 2**63, 900 - 300 * k, dtype=np.uint64)])) for k in (1, 2, 3)]
-    est = near_duplicates.estimates(sets, 400)
+    shared, est = near_duplicates.estimates(sets, 400)
+    assert shared[0, 1] == len(np.intersect1d(sets[0][:400], sets[1][:400]))
     true = np.array([[len(np.intersect1d(a, b)) / len(np.union1d(a, b)) for b in sets] for a in sets])
     assert np.abs(est - true)[~np.eye(3, dtype=bool)].max() < 0.1
 
 
+def test_a_shared_passage_makes_few_candidates(spark):
+    """1,500 texts that share a passage of 60 words, at a similarity of about 0.3."""
+    r = random.Random(3)
+    passage = words(r, 60, 10**6)
+    rows = [(k, f"{words(r, 35, 10**6)} {passage} {words(r, 35, 10**6)}") for k in range(1500)]
+    sketched = near_duplicates.sketches(spark.createDataFrame(rows, "doc_id long, text string"))
+    family = near_duplicates.families(near_duplicates.listed_values(sketched))
+    sizes = [x["count"] for x in family.groupBy("component").count().collect()]
+    assert sum(n * (n - 1) // 2 for n in sizes) < 0.01 * 1500 * 1499 / 2
+
+
+def test_links_near_the_threshold_are_found(spark):
+    """Pairs of texts at similarities around 0.75: the same links as brute force finds."""
+    r = random.Random(12)
+    rows = []
+    for _ in range(400):
+        base = words(r, r.randint(150, 500), 10**6).split()
+        other = list(base)
+        for _ in range(max(1, round(len(base) * r.uniform(0.024, 0.034)))):
+            other[r.randrange(len(other))] = f"e{r.randrange(10**6)}"
+        if r.random() < 0.5:
+            other = base + words(r, round(len(base) * r.uniform(0.24, 0.34)), 10**6).split()
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(other))]
+    sets = [shingles(t) for _, t in rows]
+    share = [len(sets[k] & sets[k + 1]) / len(sets[k] | sets[k + 1]) for k in range(0, len(rows), 2)]
+    assert sum(0.75 <= x <= 0.80 for x in share) > 80 and sum(0.70 <= x < 0.75 for x in share) > 40
+    got = {x["doc_id"]: x["component_id"] for x in near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all((got[2 * k + 1] == 2 * k) == (x >= 0.75) and got[2 * k] == 2 * k for k, x in enumerate(share))
+
+
 def test_components_of_a_long_path(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 103), (103, 101)] + [(200 + i, 300) for i in range(30)]
     got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
