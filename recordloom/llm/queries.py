@@ -31,12 +31,22 @@ weighed as (select *, [5.0::double, 2.0::double, 1.0::double][cast((sid - 1) % 3
 filled as (select *, cap * sum(w) over (order by cap / w, sid rows between current row and unbounded following)
              <= w * (total - coalesce(sum(cap) over (order by cap / w, sid rows between unbounded preceding and 1 preceding), 0)) as filled_up from weighed),
 goal as (select source, source_size, case when filled_up then cap else least(cap, w * ((total - coalesce(sum(case when filled_up then cap end) over (), 0)) / sum(case when not filled_up then w end) over ())) end as target from filled),
-placed as (select s.doc_id, s.size, g.source_size, g.target, cast(floor(g.target + 0.5) as bigint) as quota,
+quotas as (select s.sid, g.source, g.source_size, g.target, cast(floor(g.target + 0.5) as bigint) as quota from goal g join per s on g.source is not distinct from s.source),
+bounds as (select sid, coalesce(floor(sum(quota) over (order by sid rows between unbounded preceding and 1 preceding)::bigint::double / sum(quota) over ()::bigint::double * 4294967296.0::double), 0)::bigint as lo,
+                  floor(sum(quota) over (order by sid rows between unbounded preceding and current row)::bigint::double / sum(quota) over ()::bigint::double * 4294967296.0::double)::bigint as hi
+           from quotas where quota > 0),
+plan as (select *, (words + block - 1) // block as n_slots from (select words, greatest(1, least(2048, words // 65536)) as block from (select coalesce(sum(quota), 0)::bigint as words from quotas))),
+points as (select t, ((t % 2147483648) * 2654435769) % 4294967296 as p from (select unnest(range(n_slots)) as t from plan)),
+slots as (select sid, t, row_number() over (partition by sid order by t) - 1 as k from points join bounds on p >= lo and p < hi),
+gives as (select q.sid, least(count(*) * any_value(block), any_value(source_size) * 2)::bigint as g from slots s join quotas q on s.sid = q.sid, plan group by q.sid),
+placed as (select s.doc_id, s.size, q.source_size, q.target, q.sid, coalesce(gives.g, 0) as g, block,
              cast(coalesce(sum(s.size) over (partition by s.source order by s.ord, s.doc_id rows between unbounded preceding and 1 preceding), 0) as bigint) as place
-           from sized s join goal g on s.source is not distinct from g.source)
-select doc_id, size, source_size, target,
-       cast(greatest(0, least(place + size, quota) - place) + greatest(0, least(place + source_size + size, quota) - place - source_size) as bigint) as taken
-from placed
+           from sized s join quotas q on s.source is not distinct from q.source left join gives on gives.sid = q.sid, plan),
+spread as (select *, greatest(0, least(place + size, g) - place) as once, greatest(0, least(place + source_size + size, g) - place - source_size) as again from placed)
+select doc_id, size, source_size, target, cast(once + again as bigint) as taken, t as first_slot,
+       cast(case when once > 0 then (place + once - 1) // block - place // block + 1 else 0 end
+            + case when again > 0 then (place + source_size + again - 1) // block - (place + source_size) // block + 1 else 0 end as bigint) as n_parts
+from spread left join slots on once > 0 and slots.sid = spread.sid and slots.k = place // block
 """
 
 

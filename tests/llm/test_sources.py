@@ -1,6 +1,7 @@
 """Mixing, URL filters, the text primitives and the pipeline."""
 
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -21,32 +22,51 @@ def test_mix_query(spark):
     assert spark_rows(queries()["op2_mix"](spark, SF)) == duck_rows(connect(SF), OP2_SQL)
 
 
-def test_mix_is_whole_and_even(spark):
+@pytest.mark.parametrize("block", [64, None])
+def test_mix_is_even_and_near_its_targets(spark, block):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    block = 64
     mixed, sized, per = mixing.mix(docs, block_words=block)
     rows = mixed.join(sized.select("row", "source"), "row").collect()
     targets = {r["source"]: r for r in per.collect()}
+    n_slots, block = mixing.slot_count(per, block)
     slots: dict[int, dict] = {}
     for r in rows:
         s = slots.setdefault(r["slot"], {"source": r["source"], "n": 0})
         assert s["source"] == r["source"]
         s["n"] += r["n_words"]
+    # the owner of every slot, by the rule itself
+    total, edge, edges = sum(t["quota"] for t in targets.values()), 0, []
+    for t in sorted(targets.values(), key=lambda t: t["sid"]):
+        edges.append((edge / total * 2**32 // 1, (edge + t["quota"]) / total * 2**32 // 1, t["source"]))
+        edge += t["quota"]
+    left = {k: 2 * t["source_size"] for k, t in targets.items()}
+    for slot in range(n_slots):
+        owner = next(k for lo, hi, k in edges if lo <= slot * mixing.GOLDEN % 2**32 < hi)
+        words = min(block, left[owner])
+        left[owner] -= words
+        assert slots.get(slot, {"n": 0})["n"] == words and (not words or slots[slot]["source"] == owner)
     taken: dict[str, int] = {}
     for s in slots.values():
         taken[s["source"]] = taken.get(s["source"], 0) + s["n"]
-    assert all(abs(taken[k] - v["target"]) <= 0.5 for k, v in targets.items())
-    assert sum(s["n"] != block for s in slots.values()) <= len(targets)
+    assert all(abs(taken.get(k, 0) - t["target"]) <= 4 * block + 1 for k, t in targets.items())
     # any tenth of the schedule holds the sources by their shares
-    order = sorted(slots)
-    for cut in range(0, len(order), len(order) // 10):
-        part = order[cut : cut + len(order) // 10]
-        if len(part) < len(order) // 10:
-            continue
-        for k, v in targets.items():
-            share = v["quota"] / sum(t["quota"] for t in targets.values())
-            n = sum(slots[s]["source"] == k for s in part)
-            assert abs(n - share * len(part)) <= 6 + 0.25 * share * len(part) or cut > 0.85 * len(order)
+    for cut in range(0, n_slots - n_slots // 10, n_slots // 10):
+        part = range(cut, cut + n_slots // 10)
+        for k, t in targets.items():
+            n = sum(slots[s]["source"] == k for s in part if s in slots)
+            assert abs(n - t["quota"] / total * len(part)) <= 5
+
+
+def test_mixed_texts(spark):
+    docs = edge_docs(spark)
+    got = mixing.mixed_texts(docs, block_words=50).collect()
+    words = {str(r[0]) + str(r[3]): re.findall(r"[^\x20\x09-\x0D]+", r[1] or "") for r in edge_rows() if r[0] != 18}
+    for r in got:
+        if r["doc_id"] != 18:
+            assert re.findall(r"[^\x20\x09-\x0D]+", r["text"]) == words[str(r["doc_id"]) + str(r["source"])][r["first_word"] : r["first_word"] + r["n_words"]]
+    digest = mixing.mix_digest(docs, block_words=50).collect()
+    assert sum(r["n_words"] for r in got) == sum(r["taken"] for r in digest) and len(got) == sum(r["n_parts"] for r in digest)
+    assert mixing.mixed_texts(empty_docs(spark)).count() == 0
 
 
 def test_mix_edges(spark):
