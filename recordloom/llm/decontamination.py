@@ -7,13 +7,18 @@ Karp-Rabin pass finds the matches of each length from rolling hashes.  The tiles
 item's words is its coverage, whatever their order, so reordered passages count in full.
 
 Seeds are held as a sorted array of at most MAX_SEEDS hashes, which is broadcast; more items are
-passed in parts of that size, each over all documents.
+passed in parts of that size, each over all documents.  Parts are made one at a time, and released
+once their result is written.  Pairs whose shared seeds cover less of the item than is asked for are
+not tiled.
 
 Edge cases: null and empty texts have no words and match nothing; an item of fewer than `seed` words
 is matched as a whole; repeated documents or items pair separately; without items or documents the
 result is empty; other columns may have any name.
 """
 
+from collections import deque
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.core.broadcast import Broadcast
@@ -21,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.llm import textkit as tk
+from recordloom.llm.store import settle, unused
 from recordloom.llm.textmap import add_columns, emit_rows
 
 SEED, COVERAGE = 5, 0.5
@@ -70,14 +76,16 @@ def greedy_tiles(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[in
             break
         width = found
         d, i, hd, hi = common(width)
-        where: dict[int, list[int]] = {}
+        where: dict[int, deque[int]] = {}
         for at, h in zip(i.tolist(), hi.tolist(), strict=True):
-            where.setdefault(h, []).append(at)
+            where.setdefault(h, deque()).append(at)
         hit = np.isin(hd, hi)
         for at, h in zip(d[hit].tolist(), hd[hit].tolist(), strict=True):
             if not free_doc[at : at + width].all():
                 continue
-            for to in where[h]:
+            places = where[h]
+            while places:  # a place that is taken stays taken, so that each is tried once
+                to = places.popleft()
                 if free_item[to : to + width].all():
                     free_doc[at : at + width] = free_item[to : to + width] = False
                     tiles.append((at, to, width))
@@ -95,48 +103,62 @@ class Items:
         self.ids = [ids[k] for k in keep]
         self.words = [codes[first[k] : first[k + 1]] for k in keep]
         # items too short for a seed are searched as whole sequences, by their own length
-        by_width: dict[int, list[tuple[int, int]]] = {}
+        by_width: dict[int, list[int]] = {}
         for k, w in enumerate(self.words):
-            width = min(seed, len(w))
-            h = tk.RangeHash(w)
-            start = np.arange(len(w) - width + 1)
-            by_width.setdefault(width, []).extend((int(x), k) for x in h(start, start + width))
+            by_width.setdefault(min(seed, len(w)), []).append(k)
         self.seeds = {}
-        for width, found in by_width.items():
-            found = sorted(set(found))
-            self.seeds[width] = (np.array([f[0] for f in found], np.uint64), np.array([f[1] for f in found]))
-
-    def pairs(self, codes: np.ndarray, first: np.ndarray) -> set[tuple[int, int]]:
-        """(row, item) that share a seed."""
-        out: set[tuple[int, int]] = set()
+        for width, owners in by_width.items():
+            h, owner, place = [], [], []
+            for k in owners:
+                start = np.arange(len(self.words[k]) - width + 1)
+                h.append(tk.RangeHash(self.words[k])(start, start + width))
+                owner.append(np.full(len(start), k))
+                place.append(start)
+            h, owner, place = np.concatenate(h), np.concatenate(owner), np.concatenate(place)
+            order = np.argsort(h, kind="stable")
+            self.seeds[width] = h[order], owner[order], place[order]
+
+    def pairs(self, codes: np.ndarray, first: np.ndarray, coverage: float) -> list[tuple[int, int]]:
+        """(row, item) whose shared seeds cover enough of the item for tiles to do so: tiles consist of shared seeds."""
+        out: list[tuple[int, int]] = []
         h = tk.RangeHash(codes)
-        for width, (seeds, owner) in self.seeds.items():
+        size = np.array([len(w) for w in self.words])
+        for width, (seeds, owner, place) in self.seeds.items():
             start, row = tk.windows(codes, first, width)
             code = h(start, start + width)
             low = np.searchsorted(seeds, code)
             hit = np.flatnonzero(seeds[np.minimum(low, len(seeds) - 1)] == code)
-            high = np.searchsorted(seeds, code[hit], "right")
-            for r, a, b in zip(row[hit].tolist(), low[hit].tolist(), high.tolist(), strict=True):
-                out.update((r, int(k)) for k in owner[a:b])
-        return out
-
-
-def item_parts(items: DataFrame, seed: int = SEED, max_seeds: int = MAX_SEEDS) -> list[Broadcast]:
-    """Broadcasts of all items, in parts of at most about `max_seeds` characters, hence seeds."""
+            # each seed once for a row
+            key = np.unique(np.stack([row[hit], low[hit]], 1), axis=0)
+            many = np.searchsorted(seeds, seeds[key[:, 1]], "right") - key[:, 1]
+            at = np.repeat(key[:, 1] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            row, item, where = np.repeat(key[:, 0], many), owner[at], place[at]
+            order = np.lexsort((where, item, row))
+            row, item, where = row[order], item[order], where[order]
+            same = (row[1:] == row[:-1]) & (item[1:] == item[:-1])
+            new = np.concatenate([[True], ~same])[: len(row)]
+            covers = np.concatenate([[width], np.where(same, np.minimum(np.diff(where), width), width)])[: len(row)]
+            begin = np.flatnonzero(new)
+            covered = np.add.reduceat(covers, begin) if len(begin) else covers
+            enough = covered >= coverage * size[item[begin]]
+            out += zip(row[begin][enough].tolist(), item[begin][enough].tolist(), strict=True)
+        return sorted(out)
+
+
+def item_parts(items: DataFrame, seed: int = SEED, max_seeds: int = MAX_SEEDS) -> Iterator[tuple[Broadcast, bool]]:
+    """Broadcasts of all items, in parts of at most about `max_seeds` characters, hence seeds, made one at a time; and whether it is the only one."""
     sized = items.where("text is not null").select("item_id", "text")
     n_parts = max(1, -(-int(sized.agg(F.sum(F.length("text"))).first()[0] or 0) // max_seeds))
-    out = []
     for part in range(n_parts):
         rows = sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_parts)) == part).orderBy("item_id", "text").collect()
-        out.append(items.sparkSession.sparkContext.broadcast(Items([r["item_id"] for r in rows], [r["text"] for r in rows], seed)))
-    return out
+        yield items.sparkSession.sparkContext.broadcast(Items([r["item_id"] for r in rows], [r["text"] for r in rows], seed)), n_parts == 1
 
 
 def matches(it: Items, data: np.ndarray, at: np.ndarray, coverage: float, seed: int) -> list[tuple]:
     """(row, item_id, item_words, matched_words, n_tiles, longest_tile, coverage) of the pairs that reach `coverage`."""
     codes, first = tokens(data, at)
     found = []
-    for r, k in sorted(it.pairs(codes, first)):
+    for r, k in it.pairs(codes, first, coverage):
         words = it.words[k]
         tiles = greedy_tiles(codes[first[r] : first[r + 1]], words, min(seed, len(words)))
         matched = sum(t[2] for t in tiles)
@@ -148,14 +170,18 @@ def matches(it: Items, data: np.ndarray, at: np.ndarray, coverage: float, seed:
 def clean(docs: DataFrame, items: DataFrame, seed: int = SEED, coverage: float = COVERAGE, max_seeds: int = MAX_SEEDS) -> DataFrame:
     """The rows of `docs` that contain no test item, with all their columns."""
     rows = docs
-    for shared in item_parts(items, seed, max_seeds):
+    (hit_,) = unused(docs, "hit")
+    for shared, only in item_parts(items, seed, max_seeds):
 
         def flag(data: np.ndarray, at: np.ndarray, shared=shared) -> list:
             hit = np.zeros(len(at) - 1, bool)
             hit[[m[0] for m in matches(shared.value, data, at, coverage, seed)]] = True
             return [hit]
 
-        rows = add_columns(rows, "text", docs.columns, {"__hit": "boolean"}, flag).where("not __hit").select(docs.columns)
+        rows = add_columns(rows, "text", docs.columns, {hit_: "boolean"}, flag).where(~F.col(hit_)).select(docs.columns)
+        if not only:
+            rows = settle(rows)
+            shared.destroy()
     return rows
 
 
@@ -166,7 +192,7 @@ def contaminated(docs: DataFrame, items: DataFrame, seed: int = SEED, coverage:
     """
     out = {"item_id": "long", "item_words": "long", "matched_words": "long", "n_tiles": "long", "longest_tile": "long", "coverage": "double"}
     done = None
-    for shared in item_parts(items, seed, max_seeds):
+    for shared, only in item_parts(items, seed, max_seeds):
 
         def tile(data: np.ndarray, at: np.ndarray, shared=shared) -> tuple[np.ndarray, list]:
             found = matches(shared.value, data, at, coverage, seed)
@@ -175,5 +201,8 @@ def contaminated(docs: DataFrame, items: DataFrame, seed: int = SEED, coverage:
             return ints[0], [pa.array(columns[1], pa.int64()), *ints[2:], np.array(columns[6], np.float64)]
 
         one = emit_rows(docs, key, out, tile)
+        if not only:
+            one = settle(one)
+            shared.destroy()
         done = one if done is None else done.unionAll(one)
     return done

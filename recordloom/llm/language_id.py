@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.llm import textkit as tk
+from recordloom.llm.store import unused
 from recordloom.llm.textmap import add_columns
 
 BUCKETS = 1 << 14
@@ -60,13 +61,13 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 
 def _sample(docs: DataFrame, label: str, limit: int) -> DataFrame:
-    """About `limit` labelled rows by hash of the id, as even over labels as their counts allow."""
-    rows = docs.where(F.col(label).isNotNull() & F.col("text").isNotNull())
+    """About `limit` labelled rows by hash of id and text, as even over labels as their counts allow; never over twice as many."""
+    rows = docs.select("doc_id", "text", label).where(F.col(label).isNotNull() & F.col("text").isNotNull())
     counts = rows.groupBy(F.col(label).alias("__label")).count()
     each = F.lit(float(limit)) / F.count("*").over(Window.partitionBy())
     share = F.broadcast(counts.select("__label", F.least(F.lit(1.0), each / F.col("count")).alias("__share")).limit(limit))
-    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    return rows.join(share, rows[label] == share["__label"]).where(draw < F.col("__share"))
+    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
+    return rows.join(share, rows[label] == share["__label"]).where(draw < F.col("__share")).orderBy(draw, label).limit(2 * limit)
 
 
 def train(docs: DataFrame, label: str = "lang", max_train: int = MAX_TRAIN, epochs: int = 6, rate: float = 2.0, seed: int = 7) -> LanguageModel | None:
@@ -133,7 +134,8 @@ def train(docs: DataFrame, label: str = "lang", max_train: int = MAX_TRAIN, epoc
 def predict(docs: DataFrame, model: LanguageModel | None, keep: list[str]) -> DataFrame:
     """`keep` columns with lang_pred, score and rejected for every whole text."""
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    rows = docs.withColumn("__letters", letters)
+    has, lang, score = unused(docs, "has_letters", "lang_found", "score_found")
+    rows = docs.withColumn(has, letters)
     if model is None:
         return docs.select(*keep, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -143,13 +145,13 @@ def predict(docs: DataFrame, model: LanguageModel | None, keep: list[str]) -> Da
         p = m.probabilities(data, at)
         return [np.array(m.languages, object)[p.argmax(1)], p.max(1).astype(np.float64)]
 
-    done = add_columns(rows, "text", [*keep, "__letters"], {"__lang": "string", "__score": "double"}, run)
-    found: Column = F.col("__letters")
+    done = add_columns(rows, "text", [*keep, has], {lang: "string", score: "double"}, run)
+    found: Column = F.col(has)
     return done.select(
         *keep,
-        F.when(found, F.col("__lang")).otherwise("und").alias("lang_pred"),
-        F.when(found, F.col("__score")).otherwise(0.0).alias("score"),
-        (~found | (F.col("__score") < model.threshold)).alias("rejected"),
+        F.when(found, F.col(lang)).otherwise("und").alias("lang_pred"),
+        F.when(found, F.col(score)).otherwise(0.0).alias("score"),
+        (~found | (F.col(score) < model.threshold)).alias("rejected"),
     )
 
 

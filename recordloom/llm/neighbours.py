@@ -12,7 +12,8 @@ full, each vector once, so that the probes decide how early a list is met and ne
 Where balls overlap, as those of noise in many dimensions do, that is nearly every list.
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components take no part; vectors
-of another dimension than the sample's most frequent take none either; equal distances go to the
+of another dimension than the sample's most frequent take none either, as they have no distance to
+the others; equal distances go to the
 smaller id; null ids take no part; a repeated id counts once (its first posting with the smallest
 distance); an empty table, or one without queries, gives an empty result.
 """
@@ -28,7 +29,7 @@ from recordloom.llm.store import settle
 
 #: Rows to train on, and centroids: with 64 floats each these are at most 5 MB and 0.5 MB.
 MAX_TRAIN, MAX_CENTROIDS = 20_000, 2_048
-LIST_SIZE, COPIES, BOUNDARY = 512, 6, 1.15
+LIST_SIZE, COPIES, BOUNDARY = 512, 2, 1.15
 PROBES, LEAST_LISTS, RATIO, GRAPH_DEGREE, BEAM = 48, 8, 1.6, 16, 96
 #: Of the exact finish: vectors and queries that a task compares, by their floats (16 MB) and at least, and cells that are aimed at.
 CELL_FLOATS, LEAST_CELL, CELLS = 1 << 21, 1_024, 64

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.llm import textkit as tk
-from recordloom.llm.store import arrow_rows
+from recordloom.llm.store import arrow_rows, unused
 
 # fixed values: the base patterns
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -378,8 +378,8 @@ def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join([*out, text[last:]])
 
 
-def _apply(docs: DataFrame, field: Field | None, keep: list[str], out: dict[str, str], row) -> DataFrame:
-    """`keep` columns and the values that `row` (text or null, spans) gives for each text."""
+def _apply(docs: DataFrame, field: Field | None, keep: list[str], out: dict[str, str], row, whole: bool = False) -> DataFrame:
+    """`keep` columns and the values that `row` (the text if `whole`, spans) gives for each text."""
     arrow_rows(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(field)
     kinds = [pa.int64() if v == "long" else pa.string() for v in out.values()]
@@ -389,12 +389,12 @@ def _apply(docs: DataFrame, field: Field | None, keep: list[str], out: dict[str,
             column = b.column(b.num_columns - 1)
             data, at = tk.utf8(column)
             for start, end, part, begins in tk.chunks(data, at):
-                made = [row(column[start + r].as_py() if out.keys() == {"__redacted"} else None, spans) for r, spans in enumerate(scan_batch(part, begins, shared.value))]
+                made = [row(column[start + r].as_py() if whole else None, spans) for r, spans in enumerate(scan_batch(part, begins, shared.value))]
                 columns = [pa.array(v, k) for v, k in zip(zip(*made, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(c.slice(start, end - start) for c in b.columns[:-1]), *columns], [*keep, *out])
 
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), *(f"`{k}` {v}" for k, v in out.items())])
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias(unused(docs, "text_in")[0])).mapInArrow(run, schema)
 
 
 def scan(docs: DataFrame, field: Field | None, keep: list[str]) -> DataFrame:
@@ -411,8 +411,9 @@ def scan(docs: DataFrame, field: Field | None, keep: list[str]) -> DataFrame:
 
 def redact(docs: DataFrame, field: Field | None) -> DataFrame:
     """`docs` with every secret in `text` replaced; all other columns stay."""
-    done = _apply(docs, field, docs.columns, {"__redacted": "string"}, lambda text, spans: (redacted(text, spans) if spans else text,))
-    return done.select(*[F.col("__redacted").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    (name,) = unused(docs, "redacted")
+    done = _apply(docs, field, docs.columns, {name: "string"}, lambda text, spans: (redacted(text, spans) if spans else text,), whole=True)
+    return done.select(*[F.col(name).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def secret_digest(docs: DataFrame, **options) -> DataFrame:

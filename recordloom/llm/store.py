@@ -1,35 +1,31 @@
 """Intermediate tables in the folder that all executors share."""
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests), a temporary folder."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = os.path.join(tempfile.mkdtemp(prefix="recordloom-"), "shared")
-        spark.sparkContext.setCheckpointDir(at)
-    return at
+from recordloom.sources.shared import settled
 
 
 def settle(df: DataFrame) -> DataFrame:
     """`df` written as Parquet in the shared folder and read again.
 
     This cuts the lineage: whatever follows survives lost executors without computing `df` again.
-    The files stay until the cluster empties that folder, as results may still be read from them.
     """
-    spark = df.sparkSession
-    at = f"{shared_dir(spark)}/recordloom-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    return settled(df)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Each name, with underscores added until no column of `df` has it."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
 
 
 def arrow_rows(spark: SparkSession, rows: int = 512) -> None:
-    """Keep Arrow batches of whole texts small; a smaller setting of the session stays."""
+    """Keep Arrow batches of whole texts small in this session; a smaller setting stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows:
         spark.conf.set(key, str(rows))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.llm import textkit as tk
-from recordloom.llm.store import arrow_rows
+from recordloom.llm.store import arrow_rows, unused
 
 
 def _schema(df: DataFrame, keep: list[str]) -> list[str]:
@@ -31,7 +31,7 @@ def add_columns(df: DataFrame, text: str | Column, keep: list[str], out: dict[st
                 yield pa.RecordBatch.from_arrays([*(c.slice(start, end - start) for c in b.columns[:-1]), *made], [*keep, *out])
 
     column = F.col(text) if isinstance(text, str) else text
-    return df.select(*[F.col(f"`{c}`") for c in keep], column.alias("__text")).mapInArrow(run, ", ".join([*_schema(df, keep), *(f"`{k}` {v}" for k, v in out.items())]))
+    return df.select(*[F.col(f"`{c}`") for c in keep], column.alias(unused(df, "text_in")[0])).mapInArrow(run, ", ".join([*_schema(df, keep), *(f"`{k}` {v}" for k, v in out.items())]))
 
 
 def emit_rows(df: DataFrame, key: str | list[str], out: dict[str, str], fn: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, list]]) -> DataFrame:
@@ -47,4 +47,4 @@ def emit_rows(df: DataFrame, key: str | list[str], out: dict[str, str], fn: Call
                 mine = pa.array(rows + start)
                 yield pa.RecordBatch.from_arrays([*(c.take(mine) for c in b.columns[:-1]), *(pa.array(c) for c in columns)], [*keys, *out])
 
-    return df.select(*[F.col(f"`{c}`") for c in keys], F.col("text").alias("__text")).mapInArrow(run, ", ".join([*_schema(df, keys), *(f"`{k}` {v}" for k, v in out.items())]))
+    return df.select(*[F.col(f"`{c}`") for c in keys], F.col("text").alias(unused(df, "text_in")[0])).mapInArrow(run, ", ".join([*_schema(df, keys), *(f"`{k}` {v}" for k, v in out.items())]))

@@ -14,10 +14,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.store import settle
+from recordloom.llm.store import settle, unused
 
 BITS_PER_KEY = 16
 PROBES = 4
@@ -98,28 +99,30 @@ def _bitmap(keys: DataFrame, level: int, n: int) -> np.ndarray:
     return out
 
 
-def build_cascade(universe: DataFrame, max_levels: int = 64) -> Cascade:
+def build_cascade(universe: DataFrame) -> Cascade:
     """The cascade of a table (h long, listed boolean) with one row for each key hash.
 
     Each level is about BITS_PER_KEY bits for each key that it encodes, and about one key in a
-    hundred passes wrongly to the next, so that few levels are needed and all shrink.
+    hundred passes wrongly to the next, so that few levels are needed and all shrink.  Every level has
+    other hash functions, so that different hashes part at some level.
     """
+    spark = universe.sparkSession
     levels: list[np.ndarray] = []
     counts = {r["listed"]: r["count"] for r in universe.groupBy("listed").count().collect()}
     inside, n = universe.where("listed"), counts.get(True, 0)
     outside = universe.where("not listed")
     while n:
-        if len(levels) == max_levels:
-            raise ValueError("the cascade does not end: distinct keys share a hash")
-        level, bits = len(levels), _bitmap(inside, len(levels), n)
-        levels.append(bits)
+        level = len(levels)
+        levels.append(_bitmap(inside, level, n))
+        bits = spark.sparkContext.broadcast(levels[-1])
 
-        def passed(batches: Iterator[pa.RecordBatch], level: int = level, bits: np.ndarray = bits) -> Iterator[pa.RecordBatch]:
+        def passed(batches: Iterator[pa.RecordBatch], level: int = level, bits: Broadcast = bits) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                block, mask = _probe(b.column(0).to_numpy(), level, len(bits))
-                yield b.filter(pa.array((bits[block] & mask) == mask))
+                block, mask = _probe(b.column(0).to_numpy(), level, len(bits.value))
+                yield b.filter(pa.array((bits.value[block] & mask) == mask))
 
         wrong = settle(outside.select("h").mapInArrow(passed, "h long"))
+        bits.destroy()
         inside, outside, n = wrong, inside, wrong.count()
     return Cascade(levels)
 
@@ -127,30 +130,41 @@ def build_cascade(universe: DataFrame, max_levels: int = 64) -> Cascade:
 def listed_flags(rows: DataFrame, key: str, listed: DataFrame, out: str = "listed", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """`rows` with a boolean column `out`: whether the string column `key` is in `listed` (column `key`).
 
-    The universe is every key of `rows`, so the answer is exact for each of them.  If a cascade of
-    all keys would exceed `max_broadcast` bytes, keys are split by hash and each part has its own
-    cascade and its own pass over the rows of that part.
+    The universe is every key of `rows`, so the answer is exact for each of them.  The largest level
+    encodes the listed keys, or those of the others that pass the first level, of which at most one in
+    fifty is expected.  If the levels would exceed `max_broadcast` bytes, keys are split by hash and each
+    part has its own cascade and its own pass over the rows of that part.  Keys whose 64-bit hashes are
+    equal although only some are listed are left out of the cascade and held as strings; they are about
+    as many as the square of the keys over 2**65.
     """
+    h, k = unused(rows, "h", "k")
     keys = rows.select(F.coalesce(F.col(key), F.lit("")).alias("k")).distinct()
     known = listed.select(F.col("key").alias("k")).where("k is not null").distinct().withColumn("listed", F.lit(True))
-    universe = settle(keys.join(known, "k", "left").select(F.xxhash64("k").alias("h"), F.coalesce("listed", F.lit(False)).alias("listed")))
-    n = universe.where("listed").count()
-    parts = max(1, -(-n * BITS_PER_KEY // 8 * 2 // max_broadcast))
-    hashed = rows.withColumn("__h", F.xxhash64(F.coalesce(F.col(key), F.lit(""))))
+    every = settle(keys.join(known, "k", "left").select("k", F.xxhash64("k").alias("h"), F.coalesce("listed", F.lit(False)).alias("listed")))
+    universe = settle(every.groupBy("h").agg(F.bool_or("listed").alias("listed"), F.bool_and("listed").alias("all")))
+    mixed = universe.where("listed and not all").select("h")
+    exact = {r["k"]: r["listed"] for r in every.join(mixed, "h", "left_semi").collect()}
+    universe = universe.where("listed = all").select("h", "listed")
+    counts = {r["listed"]: r["count"] for r in universe.groupBy("listed").count().collect()}
+    largest = max(counts.get(True, 0), counts.get(False, 0) // 50 if counts.get(True, 0) else 0)
+    parts = max(1, -(-largest * BITS_PER_KEY // 8 * 3 // max_broadcast))
+    hashed = rows.select("*", F.coalesce(F.col(key), F.lit("")).alias(k)).withColumn(h, F.xxhash64(k))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", `{out}` boolean"
     done = []
     for part in range(parts):
         of = lambda c: F.pmod(F.col(c), F.lit(parts)) == part
         cascade = build_cascade(universe.where(of("h")) if parts > 1 else universe)
-        levels = hashed.sparkSession.sparkContext.broadcast(cascade.levels)
+        levels = rows.sparkSession.sparkContext.broadcast(cascade.levels)
 
-        def judge(batches: Iterable[pa.RecordBatch], levels=levels) -> Iterator[pa.RecordBatch]:
+        def judge(batches: Iterable[pa.RecordBatch], levels: Broadcast = levels) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                at = b.schema.get_field_index("__h")
-                inside = Cascade(levels.value).test(b.column(at).to_numpy())
-                yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(inside)], [*b.schema.names[:at], out])
+                inside = Cascade(levels.value).test(b.column(b.num_columns - 1).to_numpy())
+                if exact:
+                    inside = np.array([exact.get(x, y) for x, y in zip(b.column(b.num_columns - 2).to_pylist(), inside.tolist(), strict=True)], bool)
+                yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(inside)], [*b.schema.names[:-2], out])
 
-        part_rows = hashed.where(of("__h")) if parts > 1 else hashed
-        done.append(part_rows.mapInArrow(judge, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", `{out}` boolean"))
+        part_rows = hashed.where(of(h)) if parts > 1 else hashed
+        done.append(part_rows.mapInArrow(judge, schema))
     total = done[0]
     for more in done[1:]:
         total = total.unionAll(more)

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 #: Columns that clash with names which operators use inside.
-EXTRA = ["score", "size", "row", "h1", "node", "component", "gram", "spans", "value", "n", "id", "item_id", "taken", "held_out", "label"]
+EXTRA = ["score", "size", "row", "h1", "node", "component", "gram", "spans", "value", "n", "id", "item_id", "taken", "held_out", "label", "__hit", "hit", "__score", "__redacted", "redacted", "__h", "h", "k", "__text", "__letters", "__label", "__share", "__lang", "__key"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 

@@ -13,7 +13,7 @@ from recordloom.llm import anchors, mixing, url_filter
 from recordloom.llm import textkit as tk
 from recordloom.llm.queries import OP2_SQL, OP4_SQL, queries
 from tests.compare import connect, duck_rows, spark_rows
-from tests.llm.edge import EXTRA, edge_docs, edge_rows, empty_docs
+from tests.llm.edge import EXTRA, edge_docs, edge_rows, empty_docs, words
 
 SF = "/root/testdata/sf0.001"
 
@@ -188,10 +188,31 @@ def test_pipeline(spark):
         assert kept <= ids and len(kept) == out.count()
         assert name != "secrets" or kept == ids
         docs, ids = out, kept
-    done = {r["doc_id"]: r["size"] for r in corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()}
-    assert set(done) == ids
-    assert spark_rows(corpus_pipeline.run(spark, SF))[1] == spark_rows(corpus_pipeline.STAGES[-1][1](spark, docs, SF))[1]
     assert docs.where("text rlike '[0-9a-f]{32}'").count() == 0 and docs.where("n_chars <> length(text)").count() == 0
+    # the mix by brute force: the words of each source's slots are those of its shuffled documents, in turn
+    mixed = sorted(corpus_pipeline.run(spark, SF).collect(), key=lambda r: (r["slot"], r["doc_id"], r["first_word"]))
+    words = {r["doc_id"]: (r["source"], re.findall(r"[^\x20\x09-\x0D]+", r["text"])) for r in docs.collect()}
+    taken: dict[int, int] = {}
+    for r in mixed:
+        source, all_words = words[r["doc_id"]]
+        assert r["source"] == source and re.findall(r"[^\x20\x09-\x0D]+", r["text"]) == all_words[r["first_word"] : r["first_word"] + r["n_words"]]
+        taken[r["doc_id"]] = taken.get(r["doc_id"], 0) + r["n_words"]
+    assert all(n <= 2 * len(words[k][1]) for k, n in taken.items())
+    assert taken == {r["doc_id"]: r["taken"] for r in mixing.mix_digest(docs).collect() if r["taken"]}
+
+
+def test_near_duplicate_stage_loses_no_text(spark):
+    r = random.Random(3)
+    a, b, c = (words(r, 80) for _ in range(3))
+    rows = [(1, a, "x"), (1, b, "x"), (1, a, "w"), (2, b + " tail", "y"), (None, c, "z"), (None, c, "z"), (None, a + " end", "z"), (3, None, "n"), (4, "", "n"), (5, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("row_key", F.lit(1))
+    for _ in range(2):
+        kept = corpus_pipeline.near_duplicate_stage(spark, docs.repartition(3, F.rand()), SF).collect()
+        heads = sorted((r["text"] or "")[:20] for r in kept)
+        assert heads == sorted([a[:20], b[:20], c[:20], "", "", ""])
+        first = {tuple(map(str, r)) for r in kept}
+        again = {tuple(map(str, r)) for r in corpus_pipeline.near_duplicate_stage(spark, docs.orderBy(F.rand()), SF).collect()}
+        assert first == again
 
 
 def test_pipeline_edges(spark, tmp_path):
@@ -201,6 +222,10 @@ def test_pipeline_edges(spark, tmp_path):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             assert stage(spark, docs, str(tmp_path)).columns == docs.columns
             stage(spark, docs, str(tmp_path)).count()
+        assert corpus_pipeline.mixing_stage(spark, docs, "").count() >= 0
+    bare = corpus_pipeline.secret_stage(spark, edge_docs(spark).drop("n_chars"), "")
+    assert "n_chars" not in bare.columns and bare.count() == len(edge_rows())
     kept = corpus_pipeline.near_duplicate_stage(spark, edge_docs(spark), str(tmp_path)).collect()
-    ids = sorted(r["doc_id"] for r in kept if r["doc_id"] is not None)
-    assert len(ids) == len(set(ids)) and 8 not in ids and sum(r["doc_id"] is None for r in kept) == 1
+    texts = [r["text"] for r in kept]
+    base = next(r[1] for r in edge_rows() if r[0] == 7)
+    assert sum(t is not None and t.lower()[:40] == base[:40] for t in texts) == 1 and sum(r["doc_id"] == 18 for r in kept) == 2
