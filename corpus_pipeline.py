@@ -7,20 +7,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.llm import decontamination, mixing, near_duplicates, quality, secrets
-from recordloom.llm.store import settle
+from recordloom.llm.store import settle, unused
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is at least 0.5; labels are learnt as in the quality query."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(quality.learnable()).select("doc_id", F.col("quality").alias("label"))
-    return quality.score(docs, quality.train(docs, labels), docs.columns, "__score").where(F.col("__score") >= 0.5).select(docs.columns)
+    (score,) = unused(docs, "quality_score")
+    return quality.score(docs, quality.train(docs, labels), docs.columns, score).where(F.col(score) >= 0.5).select(docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates; of rows that repeat an id, one; rows without an id stay."""
-    kept = near_duplicates.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id")
-    rows = docs.where("doc_id is not null").join(kept.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return rows.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    """One document of each group of near-duplicates.
+
+    A row is known by a 64-bit hash of its id and text, so that texts under one id, or under none, are
+    documents of their own, and similar ones among them are duplicates like others.  Of rows equal in
+    id and text the one with the smallest hash of all columns stays.  Reruns keep the same rows.
+    """
+    key, pick = unused(docs, "row_key", "row_pick")
+    of_row = F.xxhash64("doc_id", "text")
+    kept = near_duplicates.near_duplicates(docs.select(of_row.alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias(key)).distinct()
+    first = docs.groupBy(of_row.alias(key)).agg(F.min(F.xxhash64(*docs.columns)).alias(pick))
+    named = docs.select("*", of_row.alias(key), F.xxhash64(*docs.columns).alias(pick))
+    return named.join(first.join(kept.hint("merge"), key).hint("merge"), [key, pick]).dropDuplicates([key, pick]).select(docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,14 +38,16 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their secrets replaced; n_chars counts the new text."""
+    """All documents, their secrets replaced; n_chars, where there is one, counts the new text."""
     done = secrets.redact(docs, secrets.train(docs))
+    if "n_chars" not in docs.columns:
+        return done
     return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words the mix takes of each document."""
-    return mixing.mix_digest(docs)
+    """The mixed corpus: slot, doc_id, source, first_word, n_words and text of every part of a document."""
+    return mixing.mixed_texts(docs)
 
 
 STAGES = [
