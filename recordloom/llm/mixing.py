@@ -13,7 +13,7 @@ only doc_id, text and source are read, so other columns may have any name.  Targ
 one row a source.
 """
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.llm.store import settle
@@ -136,7 +136,15 @@ def mixed_texts(docs: DataFrame, **options) -> DataFrame:
     are ordered by (slot, doc_id, first_word) within files of consecutive slots.
     """
     mixed, sized, _ = mix(docs, "text", **options)
-    words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})")), (F.col("first_word") + 1).cast("int"), F.col("n_words").cast("int")), " ")
-    text = F.when(F.col("n_words") == F.col("size"), F.col("text")).otherwise(words)
-    rows = mixed.join(sized.select("row", "source", "size", "text"), "row").select("slot", "doc_id", "source", "first_word", "n_words", text.alias("text"))
+    parts = mixed.groupBy("row").agg(F.collect_list(F.struct("slot", "first_word", "n_words")).alias("parts"))
+    # words are split once for a document, and only where it is cut: as the one element of an array they are bound to a name
+    words = F.when(F.exists("parts", lambda p: p["n_words"] < F.col("size")), F.split(F.ltrim("text", F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+"))
+
+    def cut(w: Column, p: Column) -> Column:
+        some = F.array_join(F.slice(w, (p["first_word"] + 1).cast("int"), p["n_words"].cast("int")), " ")
+        return F.struct(p["slot"].alias("slot"), p["first_word"].alias("first_word"), p["n_words"].alias("n_words"), F.when(p["n_words"] == F.col("size"), F.col("text")).otherwise(some).alias("text"))
+
+    cuts = F.transform(F.array(words), lambda w: F.transform("parts", lambda p: cut(w, p)))[0]
+    rows = parts.join(sized.select("row", "doc_id", "source", "size", "text"), "row").select("doc_id", "source", F.explode(cuts).alias("part"))
+    rows = rows.select("part.slot", "doc_id", "source", "part.first_word", "part.n_words", "part.text")
     return rows.repartitionByRange("slot").sortWithinPartitions("slot", "doc_id", "first_word")
