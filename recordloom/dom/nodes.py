@@ -7,7 +7,7 @@ everything after it is joins, windows and aggregates over the node table.
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 # fixed values: elements without content, and which open elements a start tag closes
@@ -19,6 +19,15 @@ SILENT = {"script", "style", "noscript", "template"}
 SCHEMA = "pre int, post int, parent int, depth int, tag string, id string, class string, role string, level string, href string, start string, row int, col int, rows int, cols int, text string"
 
 
+#: Rows or columns that a cell spans at most, where it is placed and where it is shown.
+MAX_SPAN = 200
+
+
+def _span(a: dict, name: str) -> int:
+    value = a.get(name) or ""
+    return min(max(1, int(value)), MAX_SPAN) if value.isdigit() and value.isascii() and len(value) < 20 else 1
+
+
 class _Tree(HTMLParser):
     """Rows of one page; `text` is the element's own text, `post` the last `pre` below it."""
 
@@ -48,10 +57,9 @@ class _Tree(HTMLParser):
             self._close_tags(CLOSES[tag], SCOPES[tag])
         a = dict(attrs)
         row, col = self._cell(tag, a) if tag in ("tr", "td", "th") else (-1, -1)
-        number = lambda k: int(a[k]) if (a.get(k) or "").isdigit() else 1
         self.rows.append({
             "pre": len(self.rows), "post": len(self.rows), "parent": self.open[-1] if self.open else -1, "depth": len(self.open), "tag": tag, "id": a.get("id") or "", "class": a.get("class") or "",
-            "role": a.get("role") or "", "level": a.get("aria-level") or "", "href": a.get("href") or "", "start": a.get("start") or a.get("value") or "", "row": row, "col": col, "rows": number("rowspan"), "cols": number("colspan"), "text": "",
+            "role": a.get("role") or "", "level": a.get("aria-level") or "", "href": a.get("href") or "", "start": a.get("start") or a.get("value") or "", "row": row, "col": col, "rows": _span(a, "rowspan"), "cols": _span(a, "colspan"), "text": "",
         })
         if tag not in VOID:
             self.open.append(len(self.rows) - 1)
@@ -66,9 +74,9 @@ class _Tree(HTMLParser):
         row = max(grid["row"], 0)
         while (row, grid["col"]) in grid["taken"]:
             grid["col"] += 1
-        size = [max(1, int(a[k])) if (a.get(k) or "").isdigit() else 1 for k in ("rowspan", "colspan")]
+        size = [_span(a, k) for k in ("rowspan", "colspan")]
         col = grid["col"]
-        grid["taken"] |= {(row + i, col + j) for i in range(min(size[0], 200)) for j in range(min(size[1], 200))}
+        grid["taken"] |= {(row + i, col + j) for i in range(size[0]) for j in range(size[1])}
         grid["col"] += size[1]
         return row, col
 
@@ -97,16 +105,27 @@ def parse(html: str | None) -> list[dict]:
     return tree.rows
 
 
-def nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+def nodes(pages: DataFrame, key: str = "page_id", html: str = "html", flush: int = 20_000) -> DataFrame:
     """key and the node columns; `a` is an ancestor of `d` if a.pre < d.pre <= a.post."""
     kind = pages.schema[key].dataType.simpleString()
+    kinds = {"int": pa.int32(), "string": pa.string()}
+    fields = [(name, kinds[of]) for name, of in (c.split() for c in SCHEMA.split(", "))]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in SCHEMA.split(", ")]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k, h in zip(b[key], b[html], strict=True):
-                rows = pd.DataFrame(parse(h), columns=names)
-                rows.insert(0, key, k)
-                yield rows
-
-    return pages.select(key, html).mapInPandas(run, f"{key} {kind}, {SCHEMA}")
+            rows, of = [], []
+
+            def made(b: pa.RecordBatch = b) -> pa.RecordBatch:
+                columns = [pa.array([r[name] for r in rows], t) for name, t in fields]  # noqa: B023
+                return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of, pa.int64())), *columns], [key, *(name for name, _ in fields)])  # noqa: B023
+
+            for k, page in enumerate(b.column(1)):
+                more = parse(page.as_py())
+                rows += more
+                of += [k] * len(more)
+                if len(rows) >= flush:
+                    yield made()
+                    rows, of = [], []
+            yield made()
+
+    return pages.select(key, html).mapInArrow(run, f"`{key}` {kind}, {SCHEMA}")

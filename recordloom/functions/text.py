@@ -16,11 +16,11 @@ def folded(c: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def strip_newlines(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\n+|\n+$", "")
+    return F.btrim(c, F.lit("\n"))
 
 
 def strip_footnotes(c: Column) -> Column:

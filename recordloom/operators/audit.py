@@ -73,14 +73,13 @@ def duplicate_groups(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def members(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """h, n, members joined by `;` in order, of every group of two or more equal bodies.
+    """h, n, member: a row for every member of every group of two or more equal bodies.
 
-    Lists are begun before the shuffle; a group is one row, so its ids and separators are at most 2 GB.
+    Sizes are summed before a shuffle and joined back, so that no task holds a group.
     """
-    hashed = docs.select(key, tx.body_hash(F.coalesce(F.col(text), F.lit(""))).alias("h"))
+    hashed = docs.select(F.col(key).alias("member"), tx.body_hash(F.coalesce(F.col(text), F.lit(""))).alias("h"))
     sizes = hashed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    listed = hashed.join(sizes, "h").groupBy("h").agg(F.array_sort(F.collect_list(key)).alias("m"))
-    return listed.select("h", F.size("m").alias("n"), F.array_join(F.transform("m", lambda x: x.cast("string")), ";").alias("members"))
+    return hashed.join(sizes, "h").select("h", "n", "member")
 
 
 def priority(verdict: Column, flagged: Column) -> Column:

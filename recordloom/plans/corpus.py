@@ -97,7 +97,7 @@ def doc_duplicate_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("doc_duplicate_members", f"""
 with h as (select doc_id, sha256({SQL_FOLD.format("coalesce(text, '')")}) as h from documents)
-select h, cast(count(*) as int) as n, string_agg(cast(doc_id as varchar), ';' order by doc_id) as members from h group by h having count(*) between 2 and 1000
+select h, n, member from (select h, doc_id as member, count(*) over (partition by h) as n from h) x where n > 1
 """)
 def doc_duplicate_members(spark: SparkSession, sf: str) -> DataFrame:
     return audit.members(_docs(spark, sf), "doc_id", "text")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recordloom.dom import nodes as dom
+from recordloom.functions import unicode as uni
 from recordloom.dom import regions
 from recordloom.operators import audit, clauses, gate, pages, plan_check, report, titles
 from recordloom.operators import relational as rel
@@ -175,5 +176,31 @@ def test_entries_need_sections(spark):
 
 def test_members_of_a_large_group_are_listed(spark):
     rows = [(i, "one body") for i in range(1500)] + [(2000, "pair"), (2001, "pair"), (3000, "single")]
-    got = {r["n"]: r["members"] for r in audit.members(spark.createDataFrame(rows, "k long, t string"), "k", "t").collect()}
-    assert got == {1500: ";".join(map(str, range(1500))), 2: "2000;2001"}
+    got = {(r["member"], r["n"]) for r in audit.members(spark.createDataFrame(rows, "k long, t string"), "k", "t").collect()}
+    assert got == {(i, 1500) for i in range(1500)} | {(2000, 2), (2001, 2)}
+
+
+def test_endless_spans_are_cut(spark):
+    page = '<table><tr><td rowspan="1000000000" colspan="99999">a</td><td>b</td></tr><tr><td>c</td></tr></table>'
+    got = {(r["rows"], r["cols"]) for r in dom.nodes(spark.createDataFrame([(1, page)], "page_id int, html string")).where("tag = 'td'").collect()}
+    assert got == {(dom.MAX_SPAN, dom.MAX_SPAN), (1, 1)}
+
+
+def test_page_keys_of_any_kind(spark):
+    pages = spark.createDataFrame([("a", "<p>x</p>"), (None, "<p>y</p>"), ("c", None)], "page_id string, html string")
+    assert {(r["page_id"], r["text"]) for r in dom.nodes(pages).where("tag = '#text'").collect()} == {("a", "x"), (None, "y")}
+
+
+def test_text_in_unicode_forms(spark):
+    texts = ["Ｆｕｌｌ ﬁt\u200b", "Ärger élan", "STRASSE straße", None, ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(uni.nfkc("t").alias("a"), uni.nfkd_ascii("t").alias("b"), uni.casefold("t").alias("c")).collect()
+    assert [r["a"] for r in rows] == ["Full fit\u200b", "Ärger élan", "STRASSE straße", None, ""]
+    assert [r["b"] for r in rows][:2] == ["Full fit", "Arger elan"] and [r["c"] for r in rows][2:] == ["strasse strasse", None, ""]
+    assert [r[0] for r in spark.createDataFrame([("Café (B.A.)",), ("con",)], "t string").select(uni.name_slug("t")).collect()] == ["cafe_b_a", "con"]
+
+
+def test_relative_urls(spark):
+    base = "http://a.org/b/c/d?q"
+    hrefs = ["g", "../g", "/g", "//h/g", "?x", "", "#s", "https://z/y", None, "./../../../g", "[bad"]
+    got = [r[0] for r in spark.createDataFrame([(base, h) for h in hrefs], "b string, h string").select(uni.resolve("b", "h")).collect()]
+    assert got == ["http://a.org/b/c/g", "http://a.org/b/g", "http://a.org/g", "http://h/g", "http://a.org/b/c/d?x", base, base + "#s", "https://z/y", None, "http://a.org/g", "http://a.org/b/c/[bad"]
