@@ -54,3 +54,14 @@ def year_range(c: Column) -> Column:
 def leading_number(c: Column) -> Column:
     """The number that a text starts with."""
     return F.regexp_extract(c, r"^\s*([-+]?(?:\d+\.?\d*|\.\d+))", 1).try_cast("double")
+
+
+def utc_second(ts: Column) -> Column:
+    """A time as `YYYY-MM-DDTHH:MM:SSZ`; the session's zone is UTC."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def day_block(start: Column, end: Column, first: int = 8 * 60, last: int = 21 * 60) -> Column:
+    """Struct (top, height): minutes of a block as percent of a calendar day from `first` to `last`."""
+    span = last - first
+    return F.struct(((start - first) / span * 100).alias("top"), ((end - start) / span * 100).alias("height"))

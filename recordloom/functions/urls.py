@@ -48,3 +48,8 @@ def print_view(url: Column) -> Column:
     query = part(url, 4)
     flagged = F.concat(F.regexp_replace(url, "#.*$", ""), F.when(query == "", "?").otherwise("&"), F.lit("print"))
     return F.when(query.contains("print"), url).otherwise(flagged)
+
+
+def last_number(url: Column) -> Column:
+    """The number that is a path's last segment; null without one."""
+    return F.regexp_extract(F.coalesce(url, F.lit("")), r"/(\d+)(?:[?#]|$)", 1).try_cast("long")

@@ -105,3 +105,14 @@ def compare_runs(before: DataFrame, after: DataFrame, key: str, state: str, mark
 def first_by(keys: list[str], order: list[Column]) -> Column:
     """Row number for keep-first rules."""
     return F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+
+
+def checks(rows: DataFrame, failing: dict[str, Column], unique: dict[str, list[str]]) -> DataFrame:
+    """name, n_failed, ok of each check, and of `all` together; `unique` counts rows beyond the first of a key."""
+    counts = rows.agg(*[F.count_if(c).alias(name) for name, c in failing.items()])
+    out = counts.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("n_failed")) for n in failing])).alias("c")).select("c.*")
+    for name, key in unique.items():
+        copies = rows.groupBy(*key).agg((F.count("*") - 1).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_failed"))
+        out = out.unionAll(copies.select(F.lit(name).alias("name"), "n_failed"))
+    total = out.rollup("name").agg(F.sum("n_failed").alias("n_failed"))
+    return total.select(F.coalesce("name", F.lit("all")).alias("name"), "n_failed", (F.col("n_failed") == 0).alias("ok"))

@@ -53,3 +53,9 @@ def acquisition_mode(error: Column, challenged: Column, valid: Column, status: C
 
 def link_count(html: Column, pattern: str) -> Column:
     return F.size(F.array_distinct(F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(pattern), F.lit(0))))
+
+
+def ready(html: Column, text: Column, least: int = 400) -> Column:
+    """Whether a program page has loaded: a title, enough text, and units if it links to courses."""
+    courses = html.contains("preview_course") | html.contains("showCourse")
+    return html.rlike(r"(?i)<h1[\s>]") & (F.length(text) > least) & (~courses | text.rlike(r"Units?:\s*\d"))

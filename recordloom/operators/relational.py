@@ -120,3 +120,18 @@ def keep_last(rows: DataFrame, key: list[str], order: str) -> DataFrame:
 def insert_absent(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """`old` and the rows of `new` whose key it lacks."""
     return old.unionByName(new.join(old.select(*key), key, "left_anti").select(old.columns))
+
+
+def update_where(rows: DataFrame, condition: Column, **values: Column) -> DataFrame:
+    """`rows` with new values where the condition holds; an unknown condition changes nothing."""
+    return rows.withColumns({c: F.when(condition, v).otherwise(F.col(c)) for c, v in values.items()})
+
+
+def delete_where(rows: DataFrame, condition: Column) -> DataFrame:
+    """`rows` without those for which the condition is known to hold."""
+    return rows.where(~F.coalesce(condition, F.lit(False)))
+
+
+def keyed(rows: DataFrame, group: list[str], key: str, value: str) -> DataFrame:
+    """One row a group, whose `entries` map keys to values; keys are unique within a group, and a group is one record."""
+    return rows.groupBy(*group).agg(F.map_from_entries(F.collect_list(F.struct(key, value))).alias("entries"))

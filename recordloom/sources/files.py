@@ -5,7 +5,7 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -92,6 +92,18 @@ def log_rows(rows: DataFrame, message: str, evidence: str) -> DataFrame:
     return rows.withColumns({message: F.substring(message, 1, 2000), evidence: F.substring(evidence, 1, 1500)})
 
 
+def dump_totals(rows: DataFrame, **conditions: Column) -> DataFrame:
+    """One row: a JSON object of the number of rows, and of those that meet each condition."""
+    counts = [F.count("*").alias("n"), *[F.count_if(c).alias(name) for name, c in conditions.items()]]
+    return rows.agg(F.struct(*counts).alias("t")).select(F.to_json("t").alias("totals"))
+
+
+def dump(rows: DataFrame, path: str, **conditions: Column) -> None:
+    """Rows as JSON lines under `path`/rows and their totals under `path`/totals."""
+    rows.write.mode("overwrite").json(f"{path}/rows")
+    dump_totals(rows, **conditions).write.mode("overwrite").text(f"{path}/totals")
+
+
 NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 

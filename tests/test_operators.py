@@ -11,6 +11,7 @@ from recordloom.dom import regions
 from recordloom.operators import audit, clauses, gate, pages, plan_check, report, titles
 from recordloom.operators import relational as rel
 from recordloom.plans import records
+from recordloom.sources import files
 
 
 def verdict(spark, body, name=""):
@@ -204,3 +205,24 @@ def test_relative_urls(spark):
     hrefs = ["g", "../g", "/g", "//h/g", "?x", "", "#s", "https://z/y", None, "./../../../g", "[bad"]
     got = [r[0] for r in spark.createDataFrame([(base, h) for h in hrefs], "b string, h string").select(uni.resolve("b", "h")).collect()]
     assert got == ["http://a.org/b/c/g", "http://a.org/b/g", "http://a.org/g", "http://h/g", "http://a.org/b/c/d?x", base, base + "#s", "https://z/y", None, "http://a.org/g", "http://a.org/b/c/[bad"]
+
+
+def test_conditional_changes_leave_unknown_rows(spark):
+    rows = spark.createDataFrame([(1, "running"), (2, None), (3, "done")], "k int, status string")
+    running = F.col("status") == "running"
+    assert {r.k: r.status for r in rel.update_where(rows, running, status=F.lit("pending")).collect()} == {1: "pending", 2: None, 3: "done"}
+    assert {r.k for r in rel.delete_where(rows, running).collect()} == {2, 3}
+
+
+def test_checks_of_an_empty_and_a_faulty_table(spark):
+    rows = spark.createDataFrame([(1, "a"), (1, None), (2, "b")], "k int, v string")
+    found = lambda df: {r.name: (r.n_failed, r.ok) for r in audit.checks(df, {"has_v": F.col("v").isNull()}, {"unique": ["k"]}).collect()}
+    assert found(rows) == {"has_v": (1, False), "unique": (1, False), "all": (2, False)}
+    assert found(rows.where("k > 5")) == {"has_v": (0, True), "unique": (0, True), "all": (0, True)}
+
+
+def test_dump_writes_rows_and_totals(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "x"), (2, None)], "k int, v string")
+    files.dump(rows, str(tmp_path), n_named=F.col("v").isNotNull())
+    assert spark.read.text(str(tmp_path / "totals")).first()[0] == '{"n":2,"n_named":1}'
+    assert spark.read.json(str(tmp_path / "rows")).count() == 2
