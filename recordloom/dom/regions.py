@@ -1,6 +1,6 @@
 """Content regions, headings, sections, links and plain text from node tables."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from recordloom.sources.shared import settled
@@ -14,31 +14,52 @@ NOISE_ROLES = ["navigation", "banner", "contentinfo", "search"]
 HEADINGS = [f"h{k}" for k in range(1, 7)]
 
 
-def contained(nodes: DataFrame, outer: DataFrame, inside: list[str]) -> DataFrame:
-    """Nodes with each of the `outer` nodes (key, o_pre, o_post and more) that holds them.
+def contained(nodes: DataFrame, outer: DataFrame, inside: list[str], itself: bool = False) -> DataFrame:
+    """Nodes with each of the `outer` nodes (key, o_pre, o_post and more) that holds them, or that is the node where `itself`.
 
-    An interval join within a page: equal on the page, a range on the numbers.
+    Members are numbered from o_pre + 1 to o_post, so this is an equal join on page and number: its work is
+    the sum of what the outer nodes hold, and one large page is spread over many tasks.
     """
-    return nodes.join(outer, KEY).where((F.col("pre") > F.col("o_pre")) & (F.col("pre") <= F.col("o_post"))).select(*inside)
+    begin = F.col("o_pre") + (0 if itself else 1)
+    return nodes.join(outer.where(begin <= F.col("o_post")).withColumn("pre", F.explode(F.sequence(begin, "o_post"))), [KEY, "pre"]).select(*inside)
+
+
+def running() -> WindowSpec:
+    """A page's nodes up to each one."""
+    return Window.partitionBy(KEY).orderBy("pre").rowsBetween(Window.unboundedPreceding, 0)
+
+
+def sums(nodes: DataFrame, measures: dict[str, Column]) -> DataFrame:
+    """Nodes (whole subtrees) with the sum of each measure over what they hold: two running sums and an equal join, however deep a page is."""
+    run = nodes.withColumns({m: F.sum(c).over(running()) for m, c in measures.items()})
+    last = run.select(KEY, F.col("pre").alias("post"), *[F.col(m).alias(f"to_{m}") for m in measures])
+    return run.join(last, [KEY, "post"]).select(*nodes.columns, *[(F.col(f"to_{m}") - F.col(m)).alias(m) for m in measures])
+
+
+def score(length: Column, link_length: Column, named: Column) -> Column:
+    """The score of a region by its text, headings, items, tables and h1 (columns of those names), less what speaks of navigation."""
+    # fixed values: the weights
+    return (
+        F.log(length + 1) * 12 + F.col("headings") * 6 + F.least("items", F.lit(200)) * 0.6 + F.col("tables") * 5 + F.least("h1", F.lit(1)) * 40
+        - F.when(link_length > 0.85 * length, 80).otherwise(0) - F.when(named, 120).otherwise(0) - F.when(F.col("tag").isin("body", "html"), 30).otherwise(0)
+    )
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
     """Regions with their measures and score; eligible ones have text and no chrome inside."""
-    outer = nodes.where(F.col("tag").isin(REGIONS)).select(KEY, F.col("pre").alias("o_pre"), F.col("post").alias("o_post"), F.col("tag").alias("o_tag"), F.lower(F.concat_ws(" ", "class", "id")).alias("o_name"))
     own = F.length("text")
-    anchor = Window.partitionBy(KEY).orderBy("pre").rowsBetween(Window.unboundedPreceding, 0)
+    one = lambda c: c.cast("long")
     # text within a link: the last link that starts before it and has not ended
-    marked = nodes.withColumn("in_link", F.max(F.when(F.col("tag") == "a", F.col("post"))).over(anchor) >= F.col("pre"))
-    held = contained(marked, outer, [KEY, "o_pre", "o_post", "o_tag", "o_name", "tag", "text", "in_link", "role"])
-    c = held.groupBy(KEY, "o_pre", "o_post", "o_tag", "o_name").agg(
-        F.sum(own).alias("chars"), F.sum(F.when(F.col("in_link"), own).otherwise(0)).alias("link_chars"), F.count_if(F.col("tag").isin(HEADINGS)).alias("headings"),
-        F.count_if(F.col("tag") == "li").alias("items"), F.count_if(F.col("tag") == "table").alias("tables"), F.count_if(F.col("tag") == "h1").alias("h1"), F.count_if(F.col("tag").isin(CHROME)).alias("chrome"),
-    )
-    score = (
-        F.log(F.col("chars") + 1) * 12 + F.col("headings") * 6 + F.least("items", F.lit(200)) * 0.6 + F.col("tables") * 5 + F.least("h1", F.lit(1)) * 40
-        - F.when(F.col("link_chars") > 0.85 * F.col("chars"), 80).otherwise(0) - F.when(F.col("o_name").rlike("nav|menu|sidebar|ad"), 120).otherwise(0) - F.when(F.col("o_tag") == "body", 30).otherwise(0)
-    )
-    return c.withColumn("score", F.when(F.col("chars") == 0, -1000.0).otherwise(score)).withColumn("eligible", (F.col("chars") > 0) & (F.col("chrome") == 0) & (F.col("o_tag") != "body"))
+    marked = nodes.withColumn("in_link", F.max(F.when(F.col("tag") == "a", F.col("post"))).over(running()) >= F.col("pre"))
+    c = sums(marked, {
+        "chars": own, "link_chars": F.when(F.col("in_link"), own).otherwise(0), "headings": one(F.col("tag").isin(HEADINGS)), "items": one(F.col("tag") == "li"),
+        "tables": one(F.col("tag") == "table"), "h1": one(F.col("tag") == "h1"), "chrome": one(F.col("tag").isin(CHROME)),
+    }).where(F.col("tag").isin(REGIONS) & (F.col("post") > F.col("pre")))
+    name = F.lower(F.concat_ws(" ", "class", "id"))
+    value = F.when(F.col("chars") == 0, -1000.0).otherwise(score(F.col("chars"), F.col("link_chars"), name.rlike("nav|menu|sidebar|ad")))
+    measures = ["chars", "link_chars", "headings", "items", "tables", "h1", "chrome"]
+    c = c.select(KEY, F.col("pre").alias("o_pre"), F.col("post").alias("o_post"), F.col("tag").alias("o_tag"), name.alias("o_name"), *measures, value.alias("score"))
+    return c.withColumn("eligible", (F.col("chars") > 0) & (F.col("chrome") == 0) & (F.col("o_tag") != "body"))
 
 
 def region(nodes: DataFrame) -> DataFrame:
@@ -52,8 +73,7 @@ def denoised(nodes: DataFrame) -> DataFrame:
     """Nodes outside of noise elements."""
     # noise intervals nest or are apart, so the furthest end so far tells whether a node is inside
     noise = F.col("tag").isin(NOISE) | F.col("role").isin(NOISE_ROLES)
-    w = Window.partitionBy(KEY).orderBy("pre").rowsBetween(Window.unboundedPreceding, 0)
-    ends = nodes.withColumn("__end", F.max(F.when(noise, F.col("post"))).over(w))
+    ends = nodes.withColumn("__end", F.max(F.when(noise, F.col("post"))).over(running()))
     return ends.where(F.col("__end").isNull() | (F.col("pre") > F.col("__end"))).drop("__end")
 
 
@@ -155,12 +175,12 @@ def render(nodes: DataFrame, interface: list[str] = ()) -> DataFrame:
     text = pieces(clean)
     blocks = clean.where(F.col("tag").isin(BLOCKS)).select(KEY, F.col("pre").alias("o_pre"), F.col("post").alias("o_post"), F.col("tag").alias("o_tag"))
     # each text's nearest block: the ancestor block that starts last
-    inside = text.join(blocks, KEY).where((F.col("pre") >= F.col("o_pre")) & (F.col("pre") <= F.col("o_post")))
+    inside = contained(text, blocks, [KEY, "pre", "part", "text", "o_pre", "o_tag"], itself=True)
     block = settled(inside.groupBy(KEY, "pre", "part", "text").agg(F.max(F.struct("o_pre", "o_tag")).alias("b")).select(KEY, "pre", "part", "text", "b.o_pre", "b.o_tag"))
     cells = settled(tables(clean))
-    spans = cells.join(clean.select(KEY, F.col("pre").alias("o_pre"), F.col("post").alias("c_post")), [KEY, "o_pre"]).select(KEY, F.col("o_pre").alias("c_pre"), "c_post")
+    spans = cells.join(clean.select(KEY, F.col("pre").alias("o_pre"), F.col("post").alias("o_post")), [KEY, "o_pre"]).select(KEY, "o_pre", "o_post", F.col("o_pre").alias("c_pre"))
     # texts of data cells, lists and all, become the cell's line
-    in_cell = block.join(spans, KEY).where("pre > c_pre and pre <= c_post").groupBy(KEY, "pre", "part", "text").agg(F.max("c_pre").alias("c_pre"))
+    in_cell = contained(block.select(KEY, "pre", "part", "text"), spans, [KEY, "pre", "part", "text", "c_pre"]).groupBy(KEY, "pre", "part", "text").agg(F.max("c_pre").alias("c_pre"))
     texts = in_cell.groupBy(KEY, F.col("c_pre").alias("o_pre")).agg(_joined("pre", "part").alias("line"))
     caption = clean.where("tag = 'caption'").select(KEY, F.col("pre").alias("o_pre"), F.col("parent").alias("t_pre"))
     captions = block.join(caption, [KEY, "o_pre"]).groupBy(KEY, "t_pre").agg(_joined("pre", "part").alias("caption"))
@@ -204,6 +224,6 @@ def locators(nodes: DataFrame, most: int = 12) -> DataFrame:
     """(key, pre, path): each element's path of tags from the root, with ids and first classes."""
     mark = F.concat("tag", F.when(F.col("id") != "", F.concat(F.lit("#"), "id")).otherwise(""), F.when(F.col("class") != "", F.concat(F.lit("."), F.split_part("class", F.lit(" "), F.lit(1)))).otherwise(""))
     outer = nodes.where("tag <> '#text'").select(KEY, F.col("pre").alias("o_pre"), F.col("post").alias("o_post"), mark.alias("mark"))
-    each = nodes.where("tag <> '#text'").select(KEY, "pre").join(outer, KEY).where((F.col("pre") >= F.col("o_pre")) & (F.col("pre") <= F.col("o_post")))
+    each = contained(nodes.where("tag <> '#text'").select(KEY, "pre"), outer, [KEY, "pre", "o_pre", "mark"], itself=True)
     path = F.transform(F.array_sort(F.collect_list(F.struct("o_pre", "mark"))), lambda x: x["mark"])
     return each.groupBy(KEY, "pre").agg(path.alias("p")).select(KEY, "pre", F.array_join(F.slice("p", -F.least(F.size("p"), F.lit(most)), F.lit(most)), " > ").alias("path"))

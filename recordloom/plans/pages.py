@@ -3,8 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recordloom.dom import discovery, regions
 from recordloom.dom import nodes as dom
-from recordloom.dom import regions
 from recordloom.operators import pages, resolve
 from recordloom.registry import query
 from recordloom.sources.shared import settled
@@ -68,6 +68,24 @@ def page_locators(spark: SparkSession, sf: str) -> DataFrame:
     return regions.locators(_nodes(spark, sf))
 
 
+@query("page_content_region")
+def page_content_region(spark: SparkSession, sf: str) -> DataFrame:
+    """The content region of every page by the strict rule, or the error that there is none."""
+    return discovery.region(discovery.regions(_nodes(spark, sf)), strict=True)
+
+
+@query("page_boundary")
+def page_boundary(spark: SparkSession, sf: str) -> DataFrame:
+    """The first section of every page with its end, or the error that it can't be proven; with the number of its links."""
+    return discovery.discover(_nodes(spark, sf), table(spark, sf, "pages"), F.lit(True), path="", ids=())[1]
+
+
+@query("page_discovery")
+def page_discovery(spark: SparkSession, sf: str) -> DataFrame:
+    """The links inside the first section of every page, resolved against its url, each once."""
+    return discovery.discover(_nodes(spark, sf), table(spark, sf, "pages"), F.lit(True), path="", ids=())[0]
+
+
 SITE = [
     (1, """<ul><li><a href="index.php?catoid=20">Catalogue 2024-2025</a> [ARCHIVED]</li><li><a href="index.php?catoid=22">Catalogue 2026–2027</a></li><li><a href="index.php?catoid=22">Catalogue again</a></li><li><a href="index.php?catoid=9">About</a></li></ul>
     <nav><a href="content.php?catoid=22&navoid=1">Programs and more</a><a href="content.php?catoid=22&navoid=2">Programs</a><a href="content.php?catoid=20&navoid=3">Programs</a></nav>
