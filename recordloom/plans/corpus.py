@@ -179,17 +179,22 @@ def audit_label_join(spark: SparkSession, sf: str) -> DataFrame:
 
 
 SQL_RUNS = f"""
-with r as (select doc_id, n_chars, doc_id // 2 as k, case when n_chars >= 971 then 'PASS' else 'REVIEW' end as s, md5({SQL_FOLD.format("coalesce(text, '')")}) as m from documents),
-b as (select k, s, m from r where doc_id % 2 = 0 and n_chars % 10 <> 3), a as (select k, s, m from r where doc_id % 2 = 1 and n_chars % 10 <> 7),
+with b as (select doc_id as k, case when n_chars >= 971 then 'PASS' else 'REVIEW' end as s, md5({SQL_FOLD.format("coalesce(text, '')")}) as m from documents),
+t as (select doc_id, regexp_replace(coalesce(text, ''), '[0-9]', '', 'g') as x from documents),
+a as (select doc_id as k, case when length(x) between 900 and 3000 then 'PASS' else 'REVIEW' end as s, md5({SQL_FOLD.format("x")}) as m from t),
 j as (select coalesce(b.k, a.k) as k, case when b.s is null then 'added' when a.s is null then 'removed' when b.s <> 'PASS' and a.s = 'PASS' then 'repaired'
   when b.s = 'PASS' and a.s <> 'PASS' then 'regressed' when a.m <> b.m then 'changed' else 'same' end as change from b full join a on a.k = b.k)
 """
 
 
 def _runs(spark: SparkSession, sf: str) -> DataFrame:
-    """Even and odd documents as two runs over the same keys."""
-    rows = _docs(spark, sf).select("doc_id", "n_chars", F.floor(F.col("doc_id") / 2).alias("k"), F.when(F.col("n_chars") >= 971, "PASS").otherwise("REVIEW").alias("s"), F.md5(tx.folded(F.coalesce("text", F.lit(""))).cast("binary")).alias("m"))
-    return audit.compare_runs(rows.where("doc_id % 2 = 0 and n_chars % 10 <> 3"), rows.where("doc_id % 2 = 1 and n_chars % 10 <> 7"), "k", "s", "m")
+    """All documents as they are, and with their digits gone and another rule of size."""
+    verdict = lambda good: F.when(good, "PASS").otherwise("REVIEW").alias("s")
+    mark = lambda t: F.md5(tx.folded(t).cast("binary")).alias("m")
+    text = F.coalesce("text", F.lit(""))
+    bare = F.regexp_replace(text, "[0-9]", "")
+    docs = _docs(spark, sf).withColumnRenamed("doc_id", "k")
+    return audit.compare_runs(docs.select("k", verdict(F.col("n_chars") >= 971), mark(text)), docs.select("k", verdict(F.length(bare).between(900, 3000)), mark(bare)), "k", "s", "m")
 
 
 @query("before_after", SQL_RUNS + "select k, change from j")

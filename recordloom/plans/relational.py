@@ -70,13 +70,13 @@ def status_counts_with_zero(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("sequence_continue", """
-with known as (select o_orderkey, o_orderkey + 1 as seq from orders where o_orderkey % 2 = 1), top as (select coalesce(max(seq), 0) as t from known)
-select * from known union all select o_orderkey, t + row_number() over (order by o_orderkey) as seq from orders, top where o_orderkey % 2 = 0
+with known as (select doc_id, doc_id * 2 as seq from labels), top as (select coalesce(max(seq), 0) as t from known)
+select * from known union all select doc_id, t + row_number() over (order by doc_id) as seq from documents, top where not exists (select 1 from known where known.doc_id = documents.doc_id)
 """)
 def sequence_continue(spark: SparkSession, sf: str) -> DataFrame:
-    orders = table(spark, sf, "orders").select("o_orderkey")
-    known = orders.where("o_orderkey % 2 = 1").withColumn("seq", F.col("o_orderkey") + 1)
-    return rel.continued(known, orders, "o_orderkey", "seq")
+    """Labelled documents keep their numbers, all others go on after them."""
+    known = table(spark, sf, "labels").select("doc_id", (F.col("doc_id") * 2).alias("seq"))
+    return rel.continued(known, table(spark, sf, "documents").select("doc_id"), "doc_id", "seq")
 
 
 @query("dedup_links", """
@@ -396,14 +396,13 @@ def ordered_map(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("state_upsert", """
-select coalesce(o.k, n.k) as k, coalesce(o.seq, n.seq) as seq, coalesce(n.price, o.price) as price
-from (select o_orderkey as k, o_orderkey * 2 as seq, o_totalprice as price from orders where o_orderkey % 3 <> 0) o full join (select o_orderkey as k, -o_orderkey as seq, o_totalprice + 1 as price from orders where o_orderkey % 2 = 0) n on o.k = n.k
+select coalesce(o.k, n.k) as k, coalesce(o.seq, n.seq) as seq, coalesce(n.value, o.value) as value
+from (select doc_id as k, doc_id * 2 as seq, cast(n_chars as bigint) as value from documents) o full join (select doc_id as k, -doc_id as seq, cast(quality as bigint) as value from labels) n on o.k = n.k
 """)
 def state_upsert(spark: SparkSession, sf: str) -> DataFrame:
-    """Known rows keep their sequence, all take the newest price."""
-    orders = table(spark, sf, "orders")
-    old = orders.where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") * 2).alias("seq"), F.col("o_totalprice").alias("price"))
-    new = orders.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("k"), (-F.col("o_orderkey")).alias("seq"), (F.col("o_totalprice") + 1).alias("price"))
+    """Known rows keep their sequence, labelled ones take the newer value."""
+    old = table(spark, sf, "documents").select(F.col("doc_id").alias("k"), (F.col("doc_id") * 2).alias("seq"), F.col("n_chars").cast("long").alias("value"))
+    new = table(spark, sf, "labels").select(F.col("doc_id").alias("k"), (-F.col("doc_id")).alias("seq"), F.col("quality").cast("long").alias("value"))
     return rel.upsert(old, new, ["k"], ["seq"])
 
 
@@ -412,36 +411,44 @@ def latest_rows(spark: SparkSession, sf: str) -> DataFrame:
     return rel.keep_last(table(spark, sf, "events").select("user_id", "event_id", "event_type"), ["user_id"], "event_id")
 
 
-SQL_STATE = f"""
-with state as (select doc_id, case when doc_id % 5 = 0 then 'pending' else 'complete' end as status, case when doc_id % 7 = 0 then null else 'f' || doc_id end as filename, md5(coalesce(text, '')) as h from documents where doc_id % 11 <> 0),
-disk as (select 'f' || doc_id as filename, case when doc_id % 13 = 0 then md5('x') else md5(coalesce(text, '')) end as h from documents where doc_id % 3 <> 0),
+SQL_STATE = """
+with body as (select doc_id, md5(coalesce(text, '')) as h, md5(regexp_replace(coalesce(text, ''), '[0-9]', '#', 'g')) as masked from documents),
+state as (select doc_id, case when toxic = 1 then 'pending' else 'complete' end as status, case when quality = 0 then null else 'f' || doc_id end as filename, h from labels join body using (doc_id)),
+disk as (select 'f' || min(doc_id) as filename, min(masked) as h from body group by body.h),
 j as (select s.doc_id, case when s.status <> 'complete' then 'pending' when s.filename is null then 'no_filename' when d.filename is null then 'missing' when d.h <> s.h then 'hash_mismatch' else 'ok' end as finding from state s left join disk d on d.filename = s.filename)
 """
 
 
-def _state(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("h"))
-    name = F.concat(F.lit("f"), F.col("doc_id").cast("string"))
-    state = docs.where("doc_id % 11 <> 0").select("doc_id", F.when(F.col("doc_id") % 5 == 0, "pending").otherwise("complete").alias("status"), F.when(F.col("doc_id") % 7 != 0, name).alias("filename"), "h")
-    disk = docs.where("doc_id % 3 <> 0").select(name.alias("filename"), F.when(F.col("doc_id") % 13 == 0, F.md5(F.lit("x").cast("binary"))).otherwise(F.col("h")).alias("dh"), F.lit(True).alias("there"))
+def _state(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """What is known of labelled documents, and the files on disk: equal bodies share the first one's, and digits are masked there."""
+    text = F.coalesce("text", F.lit(""))
+    body = table(spark, sf, "documents").select("doc_id", F.md5(text.cast("binary")).alias("h"), F.md5(F.regexp_replace(text, "[0-9]", "#").cast("binary")).alias("masked"))
+    name = lambda c: F.concat(F.lit("f"), c.cast("string"))
+    status = F.when(F.col("toxic") == 1, "pending").otherwise("complete")
+    known = table(spark, sf, "labels").select("doc_id", status.alias("status"), F.when(F.coalesce(F.col("quality") != 0, F.lit(True)), name(F.col("doc_id"))).alias("filename"))
+    disk = body.groupBy("h").agg(F.min("doc_id").alias("first"), F.min("masked").alias("dh")).select(name(F.col("first")).alias("filename"), "dh", F.lit(True).alias("there"))
+    return known.join(body.select("doc_id", "h"), "doc_id"), disk
+
+
+def _findings(spark: SparkSession, sf: str) -> DataFrame:
+    known, disk = _state(spark, sf)
     finding = F.when(F.col("status") != "complete", "pending").when(F.col("filename").isNull(), "no_filename").when(F.col("there").isNull(), "missing").when(F.col("dh") != F.col("h"), "hash_mismatch").otherwise("ok")
-    return state.join(disk, "filename", "left").select("doc_id", finding.alias("finding"))
+    return known.join(disk, "filename", "left").select("doc_id", finding.alias("finding"))
 
 
 @query("state_integrity", SQL_STATE + "select doc_id, finding from j where finding not in ('ok', 'pending')")
 def state_integrity(spark: SparkSession, sf: str) -> DataFrame:
-    return _state(spark, sf).where("finding not in ('ok', 'pending')")
+    return _findings(spark, sf).where("finding not in ('ok', 'pending')")
 
 
-@query("state_work_list", SQL_STATE + "select doc_id from j where finding <> 'ok' union all select doc_id from documents where doc_id % 11 = 0")
+@query("state_work_list", SQL_STATE + "select doc_id from j where finding <> 'ok' union all select doc_id from documents where not exists (select 1 from labels where labels.doc_id = documents.doc_id)")
 def state_work_list(spark: SparkSession, sf: str) -> DataFrame:
     """What a resumed run has to do again, and what no run has seen."""
-    new = table(spark, sf, "documents").select("doc_id").join(_state(spark, sf), "doc_id", "left_anti")
-    return _state(spark, sf).where("finding <> 'ok'").select("doc_id").unionAll(new)
+    new = table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_anti")
+    return _findings(spark, sf).where("finding <> 'ok'").select("doc_id").unionAll(new)
 
 
 @query("stray_files", SQL_STATE + "select d.filename from disk d where not exists (select 1 from state s where s.filename = d.filename)")
 def stray_files(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id")
-    name = F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("filename")
-    return docs.where("doc_id % 3 <> 0").select(name).join(docs.where("doc_id % 11 <> 0 and doc_id % 7 <> 0").select(name), "filename", "left_anti")
+    known, disk = _state(spark, sf)
+    return disk.select("filename").join(known.select("filename"), "filename", "left_anti")
