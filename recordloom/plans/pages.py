@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from recordloom.dom import discovery, regions
 from recordloom.dom import nodes as dom
-from recordloom.operators import pages, resolve
+from recordloom.operators import resolve
 from recordloom.registry import query
 from recordloom.sources.shared import settled
 from recordloom.sources.tables import table
@@ -120,18 +120,3 @@ def program_links(spark: SparkSession, sf: str) -> DataFrame:
 @query("program_link_duplicates", "select 1 as page_id, 1::bigint as duplicates")
 def program_link_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return resolve.program_links(_anchors(spark))[1]
-
-
-ATTEMPTS = [(1, None, False, True, 200), (2, "reset", False, False, None), (3, None, True, True, 200), (4, None, False, False, 200), (5, None, False, True, 503)]
-
-
-@query("acquisition_modes", "select * from (values (1, 'direct'), (2, 'network_failure'), (3, 'challenge'), (4, 'invalid'), (5, 'invalid')) v(id, mode)")
-def acquisition_modes(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame(ATTEMPTS, "id int, error string, challenged boolean, valid boolean, status int")
-    return rows.select("id", pages.acquisition_mode(F.col("error"), F.col("challenged"), F.col("valid"), F.col("status")).alias("mode"))
-
-
-@query("final_url_ids", "select * from (values (1, true), (2, false), (3, false)) v(id, same)")
-def final_url_ids(spark: SparkSession, sf: str) -> DataFrame:
-    rows = [(1, "http://x/p?catoid=1&poid=2", "https://x/p?poid=2&catoid=1&print"), (2, "http://x/p?catoid=1&poid=2", "http://x/p?catoid=1&poid=3"), (3, "http://x/p?catoid=1&poid=2", "http://x/p?catoid=1")]
-    return spark.createDataFrame(rows, "id int, a string, b string").select("id", resolve.same_page(F.col("a"), F.col("b"), ["catoid", "poid"]).alias("same"))

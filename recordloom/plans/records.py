@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from recordloom.functions import codes, urls
 from recordloom.functions import text as tx
-from recordloom.operators import clauses, feed, pages, plan_check, report, titles
+from recordloom.operators import clauses, feed, pages, plan_check, report, resolve, titles
 from recordloom.registry import query
 from recordloom.sources.tables import table
 
@@ -102,45 +102,46 @@ def accounting_partition(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy(part.alias("part")).agg(F.count("*").alias("n")).unionAll(rows.agg(F.count("*").alias("n")).select(F.lit("discovered"), "n"))
 
 
-CODES = [(1, "csci 104"), (2, "CSCI104L extra"), (3, "  math 225 "), (4, "hello"), (5, "BUAD-304"), (6, "ee 101lx"), (7, ""), (8, "20263"), (9, "20241"), (10, "2024x")]
+# a course code as it may be typed, and the term of an order, from columns of the tables
+SQL_CODE = "lower(c_mktsegment) || case when c_custkey % 2 = 0 then ' ' else '' end || c_custkey || 'x'"
+SQL_TERM = "cast(year(o_orderdate) as varchar) || cast(1 + (month(o_orderdate) - 1) // 4 as varchar)"
 
 
 @query("code_normalise", f"""
-with t(id, c) as (values {_values(CODES)}), m as (select *, regexp_extract(trim(c), '^([A-Za-z]+)\\s*(\\d+[A-Za-z]?)', 1) as a, regexp_extract(trim(c), '^([A-Za-z]+)\\s*(\\d+[A-Za-z]?)', 2) as b from t)
+with t as (select c_custkey as id, {SQL_CODE} as c from customer), m as (select *, regexp_extract(trim(c), '^([A-Za-z]+)\\s*(\\d+[A-Za-z]?)', 1) as a, regexp_extract(trim(c), '^([A-Za-z]+)\\s*(\\d+[A-Za-z]?)', 2) as b from t)
 select id, upper(case when a <> '' then a || ' ' || b else trim(c) end) as code, upper(case when regexp_extract(trim(c), '^[A-Za-z]+') <> '' then regexp_extract(trim(c), '^[A-Za-z]+') else trim(c) end) as prefix, try_cast(nullif(regexp_extract(c, '\\d+'), '') as int) as number from m
 """)
 def code_normalise(spark: SparkSession, sf: str) -> DataFrame:
-    c = F.col("c")
-    return spark.createDataFrame(CODES, "id int, c string").select("id", codes.normal_code(c).alias("code"), codes.prefix(c).alias("prefix"), codes.number(c).alias("number"))
+    c = F.concat(F.lower("c_mktsegment"), F.when(F.col("c_custkey") % 2 == 0, " ").otherwise(""), F.col("c_custkey").cast("string"), F.lit("x"))
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), codes.normal_code(c).alias("code"), codes.prefix(c).alias("prefix"), codes.number(c).alias("number"))
 
 
 @query("term_year", f"""
-with t(id, c) as (values {_values(CODES)}), y as (select id, c, try_cast(nullif(regexp_extract(c, '^(\\d{{4}})\\d$', 1), '') as int) as y from t)
+with t as (select o_orderkey as id, {SQL_TERM} as c from orders), y as (select id, c, try_cast(nullif(regexp_extract(c, '^(\\d{{4}})\\d$', 1), '') as int) as y from t)
 select id, cast(y as varchar) || '-' || substr(cast(y + 1 as varchar), 3, 2) as academic_year, case regexp_extract(c, '^\\d{{4}}(\\d)$', 1) when '1' then 'spring' when '2' then 'summer' when '3' then 'fall' end as season from y
 """)
 def term_year(spark: SparkSession, sf: str) -> DataFrame:
-    c = F.col("c")
-    return spark.createDataFrame(CODES, "id int, c string").select("id", codes.academic_year(c).alias("academic_year"), codes.season(c).alias("season"))
+    """The academic year and season of each order's term, a term being four months."""
+    c = F.concat(F.year("o_orderdate").cast("string"), F.floor((F.month("o_orderdate") + 3) / 4).cast("string"))
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), codes.academic_year(c).alias("academic_year"), codes.season(c).alias("season"))
 
 
-TIMES = [(1, "09:30"), (2, "25:99"), (3, "TBA"), (4, ""), (5, None), (6, "9"), (7, "10:15:00"), (8, "ab:cd"), (9, "00:00"), (10, "13:05")]
-
-
-@query("unresolved_times", f"""
-with t(id, c) as (values {_values(TIMES)}), p as (select id, try_cast(nullif(regexp_extract(c, '^\\s*([+-]?\\d+)\\s*:\\s*([+-]?\\d+)\\s*$', 1), '') as int) * 60 + try_cast(nullif(regexp_extract(c, '^\\s*([+-]?\\d+)\\s*:\\s*([+-]?\\d+)\\s*$', 2), '') as int) as minutes from t)
+@query("unresolved_times", """
+with t as (select event_id as id, case when event_type = 'error' then 'TBA' else hour(ts) || ' : ' || minute(ts) end as c from events), p as (select id, try_cast(nullif(regexp_extract(c, '^\\s*([+-]?\\d+)\\s*:\\s*([+-]?\\d+)\\s*$', 1), '') as int) * 60 + try_cast(nullif(regexp_extract(c, '^\\s*([+-]?\\d+)\\s*:\\s*([+-]?\\d+)\\s*$', 2), '') as int) as minutes from t)
 select id, minutes, minutes is null as unresolved from p
 """)
 def unresolved_times(spark: SparkSession, sf: str) -> DataFrame:
-    m = codes.minutes(F.col("c"))
-    return spark.createDataFrame(TIMES, "id int, c string").select("id", m.alias("minutes"), m.isNull().alias("unresolved"))
+    """Minutes of each event's written time; errors have none."""
+    m = codes.minutes(F.when(F.col("event_type") == "error", "TBA").otherwise(F.concat_ws(" : ", F.hour("ts").cast("string"), F.minute("ts").cast("string"))))
+    return table(spark, sf, "events").select(F.col("event_id").alias("id"), m.alias("minutes"), m.isNull().alias("unresolved"))
 
 
-@query("clock_labels", f"""
-with t(m) as (values (0), (570), (725), (785), (1439))
-select m, cast(case when (m // 60) % 12 = 0 then 12 else (m // 60) % 12 end as varchar) || ':' || lpad(cast(m % 60 as varchar), 2, '0') || case when m // 60 < 12 then ' AM' else ' PM' end as label from t
+@query("clock_labels", """
+with t as (select event_id, hour(ts) * 60 + minute(ts) as m from events)
+select event_id, cast(case when (m // 60) % 12 = 0 then 12 else (m // 60) % 12 end as varchar) || ':' || lpad(cast(m % 60 as varchar), 2, '0') || case when m // 60 < 12 then ' AM' else ' PM' end as label from t
 """)
 def clock_labels(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame([(m,) for m in (0, 570, 725, 785, 1439)], "m int").select("m", codes.clock_label(F.col("m")).alias("label"))
+    return table(spark, sf, "events").select("event_id", codes.clock_label((F.hour("ts") * 60 + F.minute("ts")).cast("int")).alias("label"))
 
 
 SQL_URL = r"""
@@ -194,22 +195,28 @@ def page_features(spark: SparkSession, sf: str) -> DataFrame:
 _any = lambda c, words: "list_filter([" + ", ".join(f"case when contains({c}, '{w}') then '{w}' end" for w in words) + "], lambda x: x is not null)"
 
 
-@query("page_challenge", f"""
+SQL_CHALLENGE = f"""
 with p as (select page_id, {_any(f"lower({SQL_TITLE})", pages.TITLE_MARKS)} as a, {_any("lower(coalesce(html, ''))", pages.SCRIPT_MARKS)} as s,
   {_any("lower(regexp_replace(coalesce(html, ''), '(?is)<noscript[^>]*>.*?</noscript>', ' ', 'g'))", pages.TEXT_MARKS)} as b, length({_sql_hidden(True)}) as n from pages)
 select page_id, len(a) > 0 or len(s) > 0 or (len(b) > 0 and (n < 3500 or len(b) >= 2)) as challenged,
   array_to_string(list_concat(list_transform(a, lambda m: 'title:' || m), list_transform(b, lambda m: 'body:' || m), list_transform(s, lambda m: 'script:' || m)), ' ') as evidence from p
-""")
+"""
+
+
+@query("page_challenge", SQL_CHALLENGE)
 def page_challenge(spark: SparkSession, sf: str) -> DataFrame:
     c = pages.challenge(F.col("html"))
     return table(spark, sf, "pages").select("page_id", c["challenged"].alias("challenged"), F.array_join(c["evidence"], " ").alias("evidence"))
 
 
-@query("page_semantic", f"""
+SQL_SEMANTIC = f"""
 with p as (select page_id, html, {_sql_hidden()} as t from pages)
 select page_id, length(t) >= 700 and (regexp_matches(html, '(?i)<h1[^>]*>\\s*\\S') or contains(html, 'Program:')) and ({" + ".join(f"cast(contains(lower(t), '{s}') as int)" for s in pages.SIGNALS)}) >= 2 as program_ok,
   length(t) >= 1500 and contains(lower(t), 'the') and len(list_distinct(regexp_extract_all(html, 'href="[^"]+"'))) >= 5 as index_ok from p
-""")
+"""
+
+
+@query("page_semantic", SQL_SEMANTIC)
 def page_semantic(spark: SparkSession, sf: str) -> DataFrame:
     html = F.col("html")
     context = F.lower(tx.visible_text(html)).contains("the")
@@ -217,6 +224,23 @@ def page_semantic(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", ok("program").alias("program_ok"), ok("index").alias("index_ok"))
 
 
+@query("acquisition_modes", f"""
+select page_id, case when html is null then 'network_failure' when challenged then 'challenge' when index_ok then 'direct' else 'invalid' end as mode from pages left join ({SQL_CHALLENGE}) using (page_id) left join ({SQL_SEMANTIC}) using (page_id)
+""")
+def acquisition_modes(spark: SparkSession, sf: str) -> DataFrame:
+    """How each page was got, had it come with status 200 where it has a body."""
+    html = F.col("html")
+    lost = F.when(html.isNull(), "no body")
+    valid = pages.semantic_ok(F.lit("index"), html, pages.link_count(html, 'href="[^"]+"'), F.lower(tx.visible_text(html)).contains("the"))
+    return table(spark, sf, "pages").select("page_id", pages.acquisition_mode(lost, pages.challenge(html)["challenged"], valid, F.lit(200)).alias("mode"))
+
+
+@query("final_url_ids", SQL_URL + "select page_id, len(list_filter(e, lambda z: split_part(z, '=', 1) = 'page')) > 0 as same from k")
+def final_url_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the canonical url of each page still names the requested `page`; an absent one counts as another."""
+    return table(spark, sf, "pages").select("page_id", resolve.same_page(F.col("url"), urls.canonical(F.col("url")), ["page"]).alias("same"))
+
+
 REPORTS = [
     (1, "PROGRAM: 1832 X\nBACHELOR OF SCIENCE - BUSINESS ADMINISTRATION PROGRAM\n (FINANCE)\nCATALOG YEAR: 20243\nCurrent Class Level Junior\nEARNED: 3.45 GPA\nTRNSFR WORK 64.0 TR\nMINOR: NO MINOR 20243\n128 UNITS needed HAVE NOT BEEN SATISFIED\n64-UNIT RESIDENCY SATISFIED\n"
         "20243 BUAD304 -O 4.0 B- Organizational Behavior\n20261 BUAD302 4.0 RG >IPCommunication Strategy\n20261 XYZ 3000 12.0 RG >IPOff-Campus Studies\n20233 MATH 118x 4.0 A Fundamental Principles\n20233 ART 101 4.0 Untitled course"),
