@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordloom.llm import decontamination, language_id, mixing, near_duplicates, neighbours, quality, secrets, substring_dedup, suffix_dedup, url_filter
+from recordloom.llm import clustering, decontamination, language_id, mixing, near_duplicates, neighbours, quality, secrets, substring_dedup, suffix_dedup, toxicity, url_filter, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -159,8 +159,49 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_decontamination": op1_decontamination, "op2_mix": op2_mix, "op3_language_id": op3_language_id, "op4_url_filter": op4_url_filter, "op5_substring_dedup": op5_substring_dedup, "op6_secrets": op6_secrets, "op7_neighbours": op7_neighbours, "op8_near_duplicates": op8_near_duplicates, "op9_quality": op9_quality, "op10_suffix_dedup": op10_suffix_dedup}
-ORACLES: dict[str, str] = {"op2_mix": OP2_SQL, "op4_url_filter": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op8_near_duplicates": OP8_SQL, "op10_suffix_dedup": OP10_SQL}
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of every vector after five rounds from 40 of them."""
+    return clustering.clusters(_table(spark, sf_dir, "embeddings"), k=40, rounds=5, seed="2", dim=64)
+
+
+def _op11_sql(rounds: int) -> str:
+    """Each round as two steps: nearest centroids by exact distances, then floors of exact means."""
+    apart = "list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    steps = r"""
+with kept as (
+  select vec_id, row_number() over () as rid, list_transform(embedding, lambda e: cast(floor(cast(e as double) * 256) as bigint)) as x from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda e: e is not null and isfinite(cast(e as double)))) = 64),
+c0 as (select row_number() over (order by h, x) - 1 as k, x as c from (select sha256('2:' || vec_id) as h, x from kept where vec_id is not null order by h, x limit 40)),
+"""
+    for n in range(rounds + 1):
+        steps += f"a{n} as materialized (select rid, arg_min(k, (d, k)) as k, min(d) as d from (select rid, k, cast({apart} as bigint) as d from kept, c{n}) group by rid),\n"
+        if n < rounds:
+            steps += f"""m{n} as (select k, list(cast((s - ((s % n) + n) % n) // n as bigint) order by i) as c
+  from (select k, i, sum(v)::hugeint as s, count(*)::hugeint as n from (select k, unnest(range(64)) as i, unnest(x) as v from kept join a{n} using (rid)) group by k, i) group by k),
+c{n + 1} as materialized (select c{n}.k, coalesce(m{n}.c, c{n}.c) as c from c{n} left join m{n} using (k)),
+"""
+    return steps.rstrip(",\n") + f"""
+select vec_id, cast(k as int) as cluster, d as distance, cast(sum(d) over (partition by k) as bigint) as cluster_inertia, cast(sum(d) over () as bigint) as inertia,
+       sha256(array_to_string(c, ',')) as centroid_sha256
+from a{rounds} join kept using (rid) join c{rounds} using (k)
+"""
+
+
+OP11_SQL = _op11_sql(5)
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity score of every document."""
+    return toxicity.toxicity_digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four whitened components of every vector."""
+    return whitening.whitening_digest(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_decontamination": op1_decontamination, "op2_mix": op2_mix, "op3_language_id": op3_language_id, "op4_url_filter": op4_url_filter, "op5_substring_dedup": op5_substring_dedup, "op6_secrets": op6_secrets, "op7_neighbours": op7_neighbours, "op8_near_duplicates": op8_near_duplicates, "op9_quality": op9_quality, "op10_suffix_dedup": op10_suffix_dedup, "op11_centroids": op11_centroids, "op12_toxicity": op12_toxicity, "op13_whitening": op13_whitening}
+ORACLES: dict[str, str] = {"op2_mix": OP2_SQL, "op4_url_filter": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op8_near_duplicates": OP8_SQL, "op10_suffix_dedup": OP10_SQL, "op11_centroids": OP11_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
