@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from recordloom.plans import corpus, pages, records, relational, state  # noqa: F401
+from recordloom.plans import corpus, pages, records, relational, runs, state  # noqa: F401

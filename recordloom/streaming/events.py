@@ -1,13 +1,8 @@
-"""Streaming forms: windows with watermarks, and incremental state."""
-
-import os
-from collections.abc import Callable
+"""Streaming forms: windows with watermarks."""
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.operators import relational as rel
-
 
 def event_stream(spark: SparkSession, path: str, schema, per_trigger: int = 1) -> DataFrame:
     """Parquet files that arrive under `path`, with event time as a timestamp."""
@@ -30,36 +25,3 @@ def sessions(events: DataFrame, gap: str = "6 hours", late: str = "1 day") -> Da
     """Sessions of each user that end after `gap` without an event."""
     rows = events.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"))
     return rows.select("user_id", F.col("w.start").alias("start"), "n")
-
-
-def retry_budget(attempts: DataFrame, budget: int = 3, late: str = "1 day") -> DataFrame:
-    """First `budget` attempts of each key and window of a day, kept by state; others are refused."""
-    counted = attempts.withWatermark("ts", late).groupBy("user_id", F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("attempts"))
-    return counted.select("user_id", F.col("w.start").alias("day"), "attempts", F.greatest(F.col("attempts") - budget, F.lit(0)).alias("refused"))
-
-
-def upsert_sink(path: str, key: list[str], keep: list[str]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that merges each batch into a table of versions.
-
-    Each batch writes a new version beside the last and reads the last whole one, so that a batch
-    that is run again after a failure gives the same table.
-    """
-
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        new = rel.keep_last(batch, key, batch.columns[-1])
-        last = f"{path}/version={batch_id - 1}"
-        try:
-            old = spark.read.parquet(last)
-        except Exception as e:  # no version before the first batch
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            old = new.limit(0)
-        rel.upsert(old, new, key, keep).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
-
-    return merge
-
-
-def versions(path: str) -> list[int]:
-    """Versions that a local test folder holds."""
-    return sorted(int(d.split("=")[1]) for d in os.listdir(path) if d.startswith("version="))

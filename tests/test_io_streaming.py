@@ -75,18 +75,6 @@ def test_streams_equal_batches(spark, tmp_path, form):
     assert show(got) == show(batch)
 
 
-def test_upsert_sink_is_idempotent(spark, tmp_path):
-    merge = ev.upsert_sink(str(tmp_path / "state"), ["k"], ["seq"])
-    first = spark.createDataFrame([(1, 10, 1), (2, 20, 1)], "k int, seq int, at int")
-    second = spark.createDataFrame([(2, 99, 2), (3, 30, 2)], "k int, seq int, at int")
-    for _ in range(2):
-        merge(first, 0)
-    for _ in range(2):
-        merge(second, 1)
-    assert ev.versions(str(tmp_path / "state")) == [0, 1]
-    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "state/version=1")).collect())) == [(1, 10, 1), (2, 20, 2), (3, 30, 2)]
-
-
 def test_hash_listing_and_merged_stores(spark, tmp_path):
     (tmp_path / "a.txt").write_text("x")
     got = files.hash_listing(spark, str(tmp_path), "*.txt").collect()
