@@ -60,7 +60,7 @@ with parts as (
   select page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 1), ''), '{url_filter.UPPER}', '{url_filter.LOWER}') as host,
          coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 2), '') as path from pages),
 ruled as (
-  select *, case
+  select *, regexp_replace(host, '\\.?(:[0-9]*)?$', '') as bare, case
     when ('.' || host) like '%.www.example.com' and path like '/en/%' then 'www.example.com/en/'
     when ('.' || host) like '%.example.com' and path like '/en/%' then 'example.com/en/'
     when ('.' || host) like '%.net' and path like '/es/%' then 'net/es/'
@@ -69,7 +69,7 @@ ruled as (
   from parts)
 select page_id, host, path, rule, case
     when rule in ('www.example.com/en/', 'com/') then 'allow' when rule is not null then 'block'
-    when {" or ".join(f"('.' || host) like '%.{k}'" for k in LISTED)} then 'block' else 'allow' end as verdict
+    when {" or ".join(f"('.' || bare) like '%.{k}'" for k in LISTED)} then 'block' else 'allow' end as verdict
 from ruled
 """
 

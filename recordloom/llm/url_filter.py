@@ -175,11 +175,11 @@ def url_verdicts(pages: DataFrame, rules: list[tuple[str, str, str]], listed: Da
     """page_id, host, path, rule and verdict of every page; see the module for nulls and ties.
 
     A url with a fitting rule gets the verdict of the longest one.  Any other is blocked if its host or
-    a domain above it is listed, and else allowed.  Hosts are judged without port and trailing dot, and
-    returned as they are.  There is a pass for each number of labels that listed keys have.
+    a domain above it is listed, and else allowed.  Rules fit the host as it is returned; listed keys are
+    looked up without its port and trailing dot.  There is a pass for each number of labels that listed keys have.
     """
     host, path = host_path(F.col("url"))
-    rule, verdict = rule_columns(F.col("bare"), F.col("path"), rules)
+    rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     rows = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("bare", F.regexp_replace("host", r"\.?(:[0-9]*)?$", ""))
     rows = rows.select("page_id", "host", "path", "bare", rule.alias("rule"), verdict.alias("says"))
     labels = F.size(F.split("key", r"\.")).alias("labels")

@@ -12,7 +12,7 @@ import corpus_pipeline
 from recordloom.llm import anchors, mixing, url_filter
 from recordloom.llm import textkit as tk
 from recordloom.llm.queries import OP2_SQL, OP4_SQL, queries
-from tests.compare import connect, duck_rows, spark_rows
+from tests.compare import TABLES, connect, duck_rows, spark_rows
 from tests.llm.edge import EXTRA, edge_docs, edge_rows, empty_docs, words
 
 SF = "/root/testdata/sf0.001"
@@ -127,7 +127,20 @@ def test_listed_keys_of_any_depth_are_found(spark):
     fine = {"notbad.org", "b.worse.org", "evil.org", "org"}
     assert got == {h: (h, "allow" if h in fine else "block") for h in hosts} | {"none": ("", "allow")}
     ruled = spark.createDataFrame([(1, "http://x.com:80/p")], "page_id long, url string")
-    assert [r["rule"] for r in url_filter.url_verdicts(ruled, [("allow", "com", "/")], listed).collect()] == ["com/"]
+    assert [r["rule"] for r in url_filter.url_verdicts(ruled, [("allow", "com", "/")], listed).collect()] == [None]
+
+
+def test_ports_and_trailing_dots_equal_the_sql(spark, tmp_path):
+    """Rules fit the host with its port and dot, listed names the host without them; the query and its SQL agree."""
+    hosts = ["www.example.com:8080", "a.net.", "a.net.:80", "a.net", "spam-farm.example.com", "x.spam-farm.example.com:8080", "spam-farm.example.net.", "casino-win.example.org.:443", "notspam-farm.example.org", "example.com:", "b:c:80"]
+    urls = [f"http://{h}{path}" for h in hosts for path in ("/en/a", "/es/x", "/fr/", "", "?q")] + [None, "", "x"]
+    for t in TABLES:
+        spark.createDataFrame([(k, u) for k, u in enumerate(urls)] if t == "pages" else [], "page_id long, url string").coalesce(1).write.parquet(str(tmp_path / f"{t}.parquet"))
+    got = queries()["op4_url_filter"](spark, str(tmp_path))
+    assert spark_rows(got) == duck_rows(connect(str(tmp_path)), OP4_SQL)
+    rules = {(r["host"], r["path"]): (r["rule"], r["verdict"]) for r in got.collect()}
+    assert rules["www.example.com:8080", "/en/a"] == (None, "allow") and rules["a.net.", "/es/x"] == (None, "allow") and rules["a.net", "/es/x"] == ("net/es/", "block")
+    assert rules["x.spam-farm.example.com:8080", ""] == (None, "block")
 
 
 @pytest.mark.parametrize("max_broadcast", [1 << 26, 3000])
