@@ -61,13 +61,22 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 
 def _sample(docs: DataFrame, label: str, limit: int) -> DataFrame:
-    """About `limit` labelled rows by hash of id and text, as even over labels as their counts allow; never over twice as many."""
-    rows = docs.select("doc_id", "text", label).where(F.col(label).isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy(F.col(label).alias("__label")).count()
+    """(id, lang, text): about `limit` labelled texts by hash, as even over labels as their counts allow; never over twice as many.
+
+    Equal texts of a label count once, and the first of each label by hash is always taken.  Only hashes
+    are ranked; the texts that they name are then looked up where they are.
+    """
+    rows = docs.select(F.col("doc_id").cast("string").alias("id"), "text", F.col(label).cast("string").alias("lang")).where("text is not null and lang is not null")
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    once = rows.groupBy("lang", "h").agg(F.min("id").alias("id")).withColumn("draw", F.xxhash64("h", "lang"))
+    share = F.pmod("draw", F.lit(1 << 30)) / float(1 << 30)
+    once = once.withColumn("draw", share)
+    counts = once.groupBy("lang").agg(F.count("*").alias("n"), F.min(F.struct("draw", "h")).alias("first"))
     each = F.lit(float(limit)) / F.count("*").over(Window.partitionBy())
-    share = F.broadcast(counts.select("__label", F.least(F.lit(1.0), each / F.col("count")).alias("__share")).limit(limit))
-    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    return rows.join(share, rows[label] == share["__label"]).where(draw < F.col("__share")).orderBy(draw, label).limit(2 * limit)
+    counts = F.broadcast(counts.select("lang", (each / F.col("n")).alias("share"), F.col("first.h").alias("first")).orderBy("first").limit(limit))
+    drawn = once.join(counts, "lang").where((F.col("draw") < F.col("share")) | (F.col("h") == F.col("first")))
+    chosen = drawn.orderBy(F.col("h") != F.col("first"), "draw", "lang", "h").limit(2 * limit).select("lang", "h", F.col("id").alias("of"))
+    return rows.join(F.broadcast(chosen), ["lang", "h"]).where(F.col("id").eqNullSafe(F.col("of"))).dropDuplicates(["lang", "h"]).select("id", "lang", "text")
 
 
 def train(docs: DataFrame, label: str = "lang", max_train: int = MAX_TRAIN, epochs: int = 6, rate: float = 2.0, seed: int = 7) -> LanguageModel | None:
@@ -85,8 +94,7 @@ def train(docs: DataFrame, label: str = "lang", max_train: int = MAX_TRAIN, epoc
             out.append(ids.astype(np.uint16).tobytes() + n.astype(np.uint32).tobytes())
         return [out]
 
-    sample = _sample(docs, label, max_train).select(F.col("doc_id").cast("string").alias("id"), "text", F.col(label).cast("string").alias("lang"))
-    got = add_columns(sample, "text", ["id", "lang"], {"x": "binary"}, sparse).toPandas().sort_values(["id", "lang"])
+    got = add_columns(_sample(docs, label, max_train), "text", ["id", "lang"], {"x": "binary"}, sparse).toPandas().sort_values(["id", "lang", "x"])
     if got.empty:
         return None
     languages = sorted(got["lang"].unique(), key=lambda s: s.encode())
@@ -98,7 +106,10 @@ def train(docs: DataFrame, label: str = "lang", max_train: int = MAX_TRAIN, epoc
         rows.append((np.frombuffer(x[: 2 * n], np.uint16), c / max(1.0, c.sum())))
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(y))
-    check, fit = order[: len(y) // 5], order[len(y) // 5 :]
+    held = np.zeros(len(y), bool)
+    held[order[: len(y) // 5]] = True
+    held[[order[np.flatnonzero(y[order] == k)[-1]] for k in range(len(languages))]] = False  # one text of each is always learnt from
+    check, fit = order[held[order]], order[~held[order]]
     emb = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     w, bias = np.zeros((DIM, len(languages)), np.float32), np.zeros(len(languages), np.float32)
     step, steps = 0, epochs * len(fit)

@@ -37,6 +37,18 @@ def test_language_edges(spark):
     assert language_id.language_digest(empty_docs(spark)).count() == 0
 
 
+def test_language_of_repeated_rows(spark):
+    """Copies of one labelled text neither hide their language nor another."""
+    copies = [(1, "the river and the stone", "en")] * 5000
+    assert {r["lang_pred"] for r in language_id.language_digest(spark.createDataFrame(copies, "doc_id long, text string, lang string")).collect()} == {"en"}
+    others = [(k, f"der Fluss und der Stein {k}", "de") for k in range(2, 60)] + [(k, None, "fr") for k in range(60, 70)]
+    docs = spark.createDataFrame(copies + others, "doc_id long, text string, lang string")
+    sample = language_id._sample(docs, "lang", 20).collect()
+    assert len(sample) <= 40 and sum(r["lang"] == "en" for r in sample) == 1 and sum(r["lang"] == "de" for r in sample) > 3
+    pred = {r["doc_id"]: r["lang_pred"] for r in language_id.language_digest(docs).collect()}
+    assert pred[1] == "en" and all(pred[k] == "de" for k in range(2, 60)) and all(pred[k] == "und" for k in range(60, 70))
+
+
 def test_ngrams_stay_within_rows():
     data, at = tk.utf8(pa.array(["abcd", "", None, "ab", "xyz"]))
     bucket, row = language_id.ngrams(data, at)
