@@ -47,14 +47,25 @@ class Shape:
         return self.length - self.gram + 1
 
 
+#: Ids with several rows that are broadcast to the texts (8 bytes each); more of them are joined by a merge.
+MAX_REPEATED = 1 << 18
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, text: where an id has several rows, the key tells their texts apart, else it is 0."""
+    many = settle(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", F.lit(True).alias("several")))
+    many = many.hint("broadcast" if many.count() <= MAX_REPEATED else "merge")
+    return docs.select("doc_id", "text").join(many, "doc_id", "left").select("doc_id", F.when(F.col("several"), F.xxhash64("text")).otherwise(F.lit(0).cast("long")).alias("text_key"), "text")
+
+
 def places(docs: DataFrame, shape: Shape) -> DataFrame:
-    """(doc_id, gram, context, place) of all anchors whose gram is at two places or more, settled."""
+    """(doc_id, text_key, gram, context, place) of all anchors whose gram is at two places or more, settled."""
 
     def emit(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list]:
         row, gram, context, place = anchors.find(*shape.items(data, at), shape.length, shape.gram)
         return row, [tk.signed(gram), tk.signed(context), place]
 
-    every = emit_rows(docs.select("doc_id", "text").where("doc_id is not null"), "doc_id", {"gram": "long", "context": "long", "place": "long"}, emit)
+    every = emit_rows(docs.where("doc_id is not null"), ["doc_id", "text_key"], {"gram": "long", "context": "long", "place": "long"}, emit)
     # settled, so that the join reads its sides straight from shuffles and a hot gram's rows can be split
     common = settle(every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
     return settle(every.join(common, "gram", "left_semi"))
@@ -62,9 +73,9 @@ def places(docs: DataFrame, shape: Shape) -> DataFrame:
 
 def contexts(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of each context: how often it occurs and its first place; and those whose gram has several contexts."""
-    each = settle(found.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "place")).alias("first")))
+    each = settle(found.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_key", "place")).alias("first")))
     several = settle(each.groupBy("gram").agg(F.count("*").alias("n_contexts")).where("n_contexts > 1"))
-    return each, settle(each.join(several, "gram").select("gram", "n", "n_contexts", F.col("first.doc_id").alias("doc_id"), F.col("first.place").alias("place")))
+    return each, settle(each.join(several, "gram").select("gram", "n", "n_contexts", F.col("first.doc_id").alias("doc_id"), F.col("first.text_key").alias("text_key"), F.col("first.place").alias("place")))
 
 
 def span(place: F.Column, shape: Shape) -> F.Column:
@@ -75,12 +86,12 @@ def span(place: F.Column, shape: Shape) -> F.Column:
 
 
 def standing(docs: DataFrame, left: DataFrame, shape: Shape) -> DataFrame:
-    """(gram, n, n_contexts, doc_id, start, low, codes): the items that the windows of each standing place cover.
+    """(gram, n, n_contexts, doc_id, start, low, codes, text_key): the items that the windows of each standing place cover.
 
-    `start` is the place of the first window, `low` how far it is before the anchor.
+    `start` is the place of the first window, `low` how far it is before the anchor.  Equal rows give equal results.
     """
-    per_doc = left.groupBy("doc_id").agg(F.collect_list(F.struct("gram", "n", "n_contexts", "place")).alias("wanted"))
-    joined = docs.select("doc_id", "text").join(per_doc, "doc_id")
+    per_doc = left.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("gram", "n", "n_contexts", "place")).alias("wanted"))
+    joined = docs.join(per_doc, ["doc_id", "text_key"]).select("doc_id", "text", "wanted", "text_key")
     arrow_rows(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,8 +105,6 @@ def standing(docs: DataFrame, left: DataFrame, shape: Shape) -> DataFrame:
                 gram, n, many, place = (flat.field(k).to_numpy() for k in range(4))
                 q, low, high = anchors.unpack(place)
                 begin, stop = first[rows] + q - low, first[rows] + q - high + shape.length
-                fits = stop <= first[rows + 1]  # an id with several texts
-                rows, gram, n, many, q, low, begin, stop = (x[fits] for x in (rows, gram, n, many, q, low, begin, stop))
                 size = stop - begin
                 if shape.raw:
                     values = pa.array([part[x:y].tobytes() for x, y in zip(begin, stop, strict=True)], pa.binary())
@@ -104,12 +113,12 @@ def standing(docs: DataFrame, left: DataFrame, shape: Shape) -> DataFrame:
                     pick = np.repeat(begin - offsets[:-1], size) + np.arange(offsets[-1])
                     values = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(tk.signed(codes[pick])))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(gram), pa.array(n), pa.array(many), b.column(0).take(pa.array(rows + start)), pa.array(q - low), pa.array(low), values],
-                    ["gram", "n", "n_contexts", "doc_id", "start", "low", "codes"],
+                    [pa.array(gram), pa.array(n), pa.array(many), b.column(0).take(pa.array(rows + start)), pa.array(q - low), pa.array(low), values, b.column(3).take(pa.array(rows + start))],
+                    ["gram", "n", "n_contexts", "doc_id", "start", "low", "codes", "text_key"],
                 )
 
     kind = "binary" if shape.raw else "array<bigint>"
-    return joined.mapInArrow(run, f"gram long, n long, n_contexts long, doc_id long, start long, low long, codes {kind}")
+    return joined.mapInArrow(run, f"gram long, n long, n_contexts long, doc_id long, start long, low long, codes {kind}, text_key long")
 
 
 def code_rows(column: pa.Array, lookup: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
@@ -121,8 +130,8 @@ def code_rows(column: pa.Array, lookup: np.ndarray | None) -> tuple[np.ndarray,
     return lookup[np.frombuffer(b"".join(raw), np.uint8)], first
 
 
-def in_groups(rows: DataFrame, judge: Callable[[pa.Table], tuple[np.ndarray, np.ndarray, np.ndarray]], batch: int = 2048) -> DataFrame:
-    """Spans that `judge` finds in contexts, given whole groups: (doc_id, span).
+def in_groups(rows: DataFrame, judge: Callable[[pa.Table], tuple[np.ndarray, ...]], batch: int = 2048) -> DataFrame:
+    """Spans that `judge` finds in contexts, given whole groups: (doc_id, text_key, span).
 
     Rows are dealt by gram and sorted, so that groups pass in a stream; each call of `judge` gets a
     number of whole groups.
@@ -130,8 +139,8 @@ def in_groups(rows: DataFrame, judge: Callable[[pa.Table], tuple[np.ndarray, np.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(table: pa.Table) -> pa.RecordBatch:
-            doc, begin, size = judge(table)
-            return pa.RecordBatch.from_arrays([pa.array(doc), pa.array((begin << SPAN_BITS) | size)], ["doc_id", "span"])
+            doc, key, begin, size = judge(table)
+            return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(key), pa.array((begin << SPAN_BITS) | size)], ["doc_id", "text_key", "span"])
 
         held: list[pa.RecordBatch] = []
         for b in batches:
@@ -147,11 +156,11 @@ def in_groups(rows: DataFrame, judge: Callable[[pa.Table], tuple[np.ndarray, np.
         if held:
             yield flush(pa.Table.from_batches(held))
 
-    return rows.repartition("gram").sortWithinPartitions("gram", "doc_id", "start").mapInArrow(run, "doc_id long, span long")
+    return rows.repartition("gram").sortWithinPartitions("gram", "doc_id", "text_key", "start").mapInArrow(run, "doc_id long, text_key long, span long")
 
 
 def dealt_windows(rows: DataFrame, shape: Shape, lookup: np.ndarray | None) -> DataFrame:
-    """(w1, w2, n, doc_id, start) of every window of the rows' contexts."""
+    """(w1, w2, n, doc_id, text_key, start) of every window of the rows' contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -160,16 +169,16 @@ def dealt_windows(rows: DataFrame, shape: Shape, lookup: np.ndarray | None) -> D
             h1, h2 = tk.RangeHash(codes), tk.RangeHash(tk.mix(codes))
             at = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(tk.signed(h1(start, start + shape.length))), pa.array(tk.signed(h2(start, start + shape.length))), b.column(1).take(at), b.column(3).take(at), pa.array(b.column(4).to_numpy()[row] + start - first[row])],
-                ["w1", "w2", "n", "doc_id", "start"],
+                [pa.array(tk.signed(h1(start, start + shape.length))), pa.array(tk.signed(h2(start, start + shape.length))), b.column(1).take(at), b.column(3).take(at), b.column(7).take(at), pa.array(b.column(4).to_numpy()[row] + start - first[row])],
+                ["w1", "w2", "n", "doc_id", "text_key", "start"],
             )
 
-    return rows.mapInArrow(run, "w1 long, w2 long, n long, doc_id long, start long")
+    return rows.mapInArrow(run, "w1 long, w2 long, n long, doc_id long, text_key long, start long")
 
 
 def gathered(spans: DataFrame) -> DataFrame:
-    """(doc_id, spans): all spans of each text."""
-    return spans.groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
+    """(doc_id, text_key, spans): all spans of each text."""
+    return spans.groupBy("doc_id", "text_key").agg(F.collect_list("span").alias("spans"))
 
 
 def covered(spans: pa.Array, first: np.ndarray) -> np.ndarray:
@@ -186,8 +195,8 @@ def covered(spans: pa.Array, first: np.ndarray) -> np.ndarray:
 
 
 def with_spans(docs: DataFrame, spans: DataFrame, out: dict[str, str], fn: Callable[[np.ndarray, np.ndarray, pa.Array], list]) -> DataFrame:
-    """doc_id and columns `out` of every text, computed from its bytes and its spans."""
-    rows = docs.select("doc_id", "text").join(gathered(spans), "doc_id", "left").select("doc_id", "text", F.coalesce("spans", F.array().cast("array<bigint>")).alias("spans"))
+    """doc_id and columns `out` of every text of `keyed`, computed from its bytes and its spans."""
+    rows = docs.join(gathered(spans), ["doc_id", "text_key"], "left").select("doc_id", "text", F.coalesce("spans", F.array().cast("array<bigint>")).alias("spans"))
     arrow_rows(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,8 +6,8 @@ the longest match that ends at each word is the word's matching statistic.  Wher
 window length the window starts earlier in the corpus; the maximal spans of such windows go.
 
 Edge cases: null and empty texts have no words; texts shorter than a window lose nothing; a null id
-takes no part and keeps its words; rows that repeat an id count as one document; windows are judged
-on the input; an empty table gives an empty result; only doc_id and text are read.
+takes no part and keeps its words; rows that repeat an id are documents of their own, in the order of a
+hash of their texts, but rows equal in id and text count as one; windows are judged on the input; an empty table gives an empty result; only doc_id and text are read.
 """
 
 import hashlib
@@ -102,30 +102,32 @@ def word_items(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def earlier_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group_size: int = GROUP) -> DataFrame:
-    """(doc_id, span) in words, of every window that also starts earlier in the corpus."""
+    """(doc_id, text_key, span) in words, of every window of `repeats.keyed` texts that also starts earlier in the corpus."""
     shape = repeats.Shape(word_items, length, gram, group_size, raw=False)
     found = repeats.places(docs, shape)
     each, left = repeats.contexts(found)
-    later = found.join(each.select("gram", "context", "first"), ["gram", "context"]).where("doc_id <> first.doc_id or place <> first.place")
-    whole = later.select("doc_id", repeats.span(F.col("place"), shape).alias("span"))
+    later = found.join(each.select("gram", "context", "first"), ["gram", "context"]).where("doc_id <> first.doc_id or text_key <> first.text_key or place <> first.place")
+    whole = later.select("doc_id", "text_key", repeats.span(F.col("place"), shape).alias("span"))
     rows = repeats.standing(docs, left, shape)
 
     def judge(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        gram_, doc, start = (table.column(c).to_numpy() for c in ("gram", "doc_id", "start"))
+        gram_, doc, key, start = (table.column(c).to_numpy() for c in ("gram", "doc_id", "text_key", "start"))
         codes, first = repeats.code_rows(table.column("codes").combine_chunks(), None)
         edges = np.flatnonzero(np.concatenate([[True], gram_[1:] != gram_[:-1], [True]]))
         out = []
         items = codes.tolist()
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            passages = [items[first[k] : first[k + 1]] for k in range(a, b)]
-            out += [(doc[a + k], start[a + k] + at) for k, at in earlier_windows(passages, length)]
-        pairs = np.array(out, np.int64).reshape(-1, 2)
-        return pairs[:, 0], pairs[:, 1], np.full(len(pairs), length)
+            # equal rows give equal passages, of which one is enough
+            mine = [k for k in range(a, b) if k == a or (doc[k], key[k], start[k]) != (doc[k - 1], key[k - 1], start[k - 1])]
+            passages = [items[first[k] : first[k + 1]] for k in mine]
+            out += [(doc[mine[k]], key[mine[k]], start[mine[k]] + at) for k, at in earlier_windows(passages, length)]
+        found = np.array(out, np.int64).reshape(-1, 3)
+        return found[:, 0], found[:, 1], found[:, 2], np.full(len(found), length)
 
     detail = repeats.in_groups(rows.where(F.col("n_contexts") <= group_size), judge)
     hot = repeats.dealt_windows(rows.where(F.col("n_contexts") > group_size), shape, None)
-    begins = hot.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("m")).where("m > 1").select("w1", "w2", "first")
-    again = hot.join(begins, ["w1", "w2"]).where("doc_id <> first.doc_id or start <> first.start").select("doc_id", F.shiftleft("start", repeats.SPAN_BITS).bitwiseOR(F.lit(length)).alias("span"))
+    begins = hot.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "text_key", "start")).alias("first"), F.count("*").alias("m")).where("m > 1").select("w1", "w2", "first")
+    again = hot.join(begins, ["w1", "w2"]).where("doc_id <> first.doc_id or text_key <> first.text_key or start <> first.start").select("doc_id", "text_key", F.shiftleft("start", repeats.SPAN_BITS).bitwiseOR(F.lit(length)).alias("span"))
     return whole.unionAll(detail).unionAll(again)
 
 
@@ -144,4 +146,5 @@ def substring_digest(docs: DataFrame, **options) -> DataFrame:
             kept.append(hashlib.sha256(b" ".join([text[s:e] for s, e in zip((starts[keep] - at[r]).tolist(), (ends[keep] - at[r]).tolist(), strict=True)])).hexdigest())
         return [np.diff(first), total[first[1:]] - total[first[:-1]], kept]
 
-    return repeats.with_spans(docs, earlier_spans(docs, **options), {"n_words": "long", "n_removed": "long", "kept_sha256": "string"}, fn)
+    texts = repeats.keyed(docs)
+    return repeats.with_spans(texts, earlier_spans(texts, **options), {"n_words": "long", "n_removed": "long", "kept_sha256": "string"}, fn)

@@ -34,6 +34,23 @@ def brute_words(rows, length=20):
     return out
 
 
+def brute_words_by_row(rows, keys, length=20):
+    """Sorted (doc_id, n_words, n_removed, kept_sha256), one for each row; rows of an id are ordered by the hash of their texts."""
+    texts = {(k, keys[t]): re.findall(r"[^\x20\x09-\x0D]+", t or "") for k, t in rows}
+    first = {}
+    for name in sorted(texts):
+        for i in range(len(texts[name]) - length + 1):
+            first.setdefault(tuple(texts[name][i : i + length]), (*name, i))
+    out = []
+    for k, t in rows:
+        w, gone = texts[k, keys[t]], set()
+        for i in range(len(w) - length + 1):
+            if first[tuple(w[i : i + length])] < (k, keys[t], i):
+                gone.update(range(i, i + length))
+        out.append((k, len(w), len(gone), hashlib.sha256(" ".join(x for i, x in enumerate(w) if i not in gone).encode()).hexdigest()))
+    return sorted(out)
+
+
 def brute_bytes(rows, length=200):
     """Sorted (doc_id, n_bytes, n_removed, n_spans, kept_sha256), one for each row."""
     docs = [(k, (t or "").encode()) for k, t in rows]
@@ -79,6 +96,21 @@ def test_words_equal_brute_force(spark, seed, group_size):
     assert {r["doc_id"]: tuple(r)[1:] for r in got} == brute_words(rows)
 
 
+@pytest.mark.parametrize("group_size", [2, 1024])
+@pytest.mark.parametrize("most", [0, 1 << 18])
+def test_words_of_repeated_ids(spark, monkeypatch, group_size, most):
+    """Several rows under one id, equal or not, lose only what is repeated."""
+    monkeypatch.setattr("recordloom.llm.repeats.MAX_REPEATED", most)
+    r = random.Random(4)
+    p, q = words(r, 40), words(r, 40)
+    rows = [(1, p), (2, p), (2, q), (3, q + " " + p), (3, p + " x " + q), (3, p + " x " + q), (4, None), (4, ""), (4, q[:30]), (5, words(r, 50)), (5, words(r, 50))]
+    rows += [(k % 20, t) for k, t in passages(3, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keys = {x["text"]: x["h"] for x in docs.selectExpr("text", "xxhash64(text) as h").collect()}
+    got = sorted(map(tuple, substring_dedup.substring_digest(docs, group_size=group_size).collect()))
+    assert got == brute_words_by_row(rows, keys)
+
+
 @pytest.mark.parametrize("group_size", [3, 16_384])
 def test_bytes_equal_brute_force(spark, group_size):
     rows = passages(1)
