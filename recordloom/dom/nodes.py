@@ -16,16 +16,23 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 SCOPES = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "thead": {"table"}, "tbody": {"table"}, "option": {"select"}}
 CLOSE_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
 SILENT = {"script", "style", "noscript", "template"}
-SCHEMA = "pre int, post int, parent int, depth int, tag string, id string, class string, role string, level string, href string, start string, row int, col int, rows int, cols int, text string"
-
-
-#: Rows or columns that a cell spans at most, where it is placed and where it is shown.
-MAX_SPAN = 200
+#: `above` is the parent's tag, `within` that of the nearest table or cell around a node, `table` the nearest table of a row, cell or caption, `gap` the white space before a node, `raw` a text as written.
+SCHEMA = (
+    "pre int, post int, parent int, depth int, tag string, above string, within string, id string, class string, role string, level string, aria string, href string, start string, "
+    "table int, row int, col int, rows int, cols int, gap string, text string, raw string"
+)
+# fixed values: how many columns and rows a cell spans at most by the HTML standard
+MOST = {"colspan": 1_000, "rowspan": 65_534}
+LARGEST = (1 << 31) - 1
 
 
 def _span(a: dict, name: str) -> int:
+    """Rows or columns that a cell spans; those beyond its table have no effect (see `render`)."""
     value = a.get(name) or ""
-    return min(max(1, int(value)), MAX_SPAN) if value.isdigit() and value.isascii() and len(value) < 20 else 1
+    return min(max(1, int(value)), MOST[name]) if value.isdigit() and value.isascii() and len(value) < 20 else 1
+
+
+EMPTY = {"id": "", "class": "", "role": "", "level": "", "aria": "", "href": "", "start": "", "table": -1, "row": -1, "col": -1, "rows": 1, "cols": 1, "text": "", "raw": ""}
 
 
 class _Tree(HTMLParser):
@@ -36,6 +43,7 @@ class _Tree(HTMLParser):
         self.rows: list[dict] = []
         self.open: list[int] = []
         self.grids: dict[int, dict] = {}
+        self.gap = ""
 
     def _close(self, n: int) -> None:
         for i in self.open[n:]:
@@ -56,29 +64,37 @@ class _Tree(HTMLParser):
         if tag in CLOSES:
             self._close_tags(CLOSES[tag], SCOPES[tag])
         a = dict(attrs)
-        row, col = self._cell(tag, a) if tag in ("tr", "td", "th") else (-1, -1)
-        self.rows.append({
-            "pre": len(self.rows), "post": len(self.rows), "parent": self.open[-1] if self.open else -1, "depth": len(self.open), "tag": tag, "id": a.get("id") or "", "class": a.get("class") or "",
-            "role": a.get("role") or "", "level": a.get("aria-level") or "", "href": a.get("href") or "", "start": a.get("start") or a.get("value") or "", "row": row, "col": col, "rows": _span(a, "rowspan"), "cols": _span(a, "colspan"), "text": "",
-        })
+        table = next((i for i in reversed(self.open) if self.rows[i]["tag"] == "table"), -1) if tag in ("tr", "td", "th", "caption") else -1
+        row, col = self._cell(table, tag, a) if tag in ("tr", "td", "th") else (-1, -1)
+        self._add(
+            tag, id=a.get("id") or "", role=a.get("role") or "", level=a.get("aria-level") or "", aria=a.get("aria-label") or "", href=a.get("href") or "", start=a.get("start") or a.get("value") or "",
+            table=table, row=row, col=col, rows=_span(a, "rowspan"), cols=_span(a, "colspan"), **{"class": a.get("class") or ""},
+        )
         if tag not in VOID:
             self.open.append(len(self.rows) - 1)
 
-    def _cell(self, tag: str, a: dict) -> tuple[int, int]:
+    def _add(self, tag: str, **values: str | int) -> None:
+        n, parent = len(self.rows), self.open[-1] if self.open else -1
+        within = next((t for i in reversed(self.open) if (t := self.rows[i]["tag"]) in ("table", "td", "th")), "")
+        base = {"within": within, "pre": n, "post": n, "parent": parent, "depth": len(self.open), "tag": tag, "above": self.rows[parent]["tag"] if self.open else "", "gap": self.gap}
+        self.rows.append(EMPTY | base | values)
+        self.gap = ""
+
+    def _cell(self, table: int, tag: str, a: dict) -> tuple[int, int]:
         """The grid place of a row or cell in its table; cells step over those that reach down from above."""
-        table = next((i for i in reversed(self.open) if self.rows[i]["tag"] == "table"), -1)
-        grid = self.grids.setdefault(table, {"row": -1, "col": 0, "taken": set()})
+        grid = self.grids.setdefault(table, {"row": -1, "col": 0, "down": []})
         if tag == "tr":
             grid["row"], grid["col"] = grid["row"] + 1, 0
+            grid["down"] = [d for d in grid["down"] if d[2] > grid["row"]]
             return grid["row"], -1
-        row = max(grid["row"], 0)
-        while (row, grid["col"]) in grid["taken"]:
-            grid["col"] += 1
-        size = [_span(a, k) for k in ("rowspan", "colspan")]
-        col = grid["col"]
-        grid["taken"] |= {(row + i, col + j) for i in range(size[0]) for j in range(size[1])}
-        grid["col"] += size[1]
-        return row, col
+        row, col = max(grid["row"], 0), grid["col"]
+        while over := next((d for d in grid["down"] if d[0] <= col < d[1] and d[2] > row), None):
+            col = over[1]
+        rows, cols = (_span(a, k) for k in ("rowspan", "colspan"))
+        if rows > 1:
+            grid["down"].append((col, col + cols, row + rows))
+        grid["col"] = col + cols
+        return row, min(col, LARGEST)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -93,8 +109,11 @@ class _Tree(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         """Text between elements is a row of its own, so that document order is kept."""
-        if self.open and data.strip() and self.rows[self.open[-1]]["tag"] not in SILENT:
-            self.rows.append({"pre": len(self.rows), "post": len(self.rows), "parent": self.open[-1], "depth": len(self.open), "tag": "#text", "id": "", "class": "", "role": "", "level": "", "href": "", "start": "", "row": -1, "col": -1, "rows": 1, "cols": 1, "text": " ".join(data.split())})
+        if self.open and self.rows[self.open[-1]]["tag"] not in SILENT:
+            if data.strip():
+                self._add("#text", text=" ".join(data.split()), raw=data)
+            else:
+                self.gap += data
 
 
 def parse(html: str | None) -> list[dict]:

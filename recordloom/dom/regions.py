@@ -3,14 +3,13 @@
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from recordloom.sources.shared import settled
+from recordloom.operators import titles
+
 
 KEY = "page_id"
-# fixed values: what may be a region, what is chrome, what is noise
+# fixed values: what may be a region, what is chrome
 REGIONS = ["main", "article", "section", "td", "div", "body"]
 CHROME = ["nav", "header", "footer"]
-NOISE = ["script", "style", "noscript", "template", "iframe", "form", "nav", "header", "footer"]
-NOISE_ROLES = ["navigation", "banner", "contentinfo", "search"]
 HEADINGS = [f"h{k}" for k in range(1, 7)]
 
 
@@ -69,14 +68,6 @@ def region(nodes: DataFrame) -> DataFrame:
     return best.select(KEY, "b.*")
 
 
-def denoised(nodes: DataFrame) -> DataFrame:
-    """Nodes outside of noise elements."""
-    # noise intervals nest or are apart, so the furthest end so far tells whether a node is inside
-    noise = F.col("tag").isin(NOISE) | F.col("role").isin(NOISE_ROLES)
-    ends = nodes.withColumn("__end", F.max(F.when(noise, F.col("post"))).over(running()))
-    return ends.where(F.col("__end").isNull() | (F.col("pre") > F.col("__end"))).drop("__end")
-
-
 def headings(nodes: DataFrame) -> DataFrame:
     """Headings with their text and level: native ones, and elements with the heading role (level 2 if not given)."""
     level = F.when(F.col("tag").isin(HEADINGS), F.substring("tag", 2, 1).cast("int")).when(F.col("role") == "heading", F.coalesce(F.col("level").try_cast("int"), F.lit(2)))
@@ -103,121 +94,63 @@ def links(nodes: DataFrame) -> DataFrame:
     return a.join(texts, [KEY, "o_pre"], "left").select(KEY, F.row_number().over(Window.partitionBy(KEY).orderBy("o_pre")).alias("seq"), "href", title.alias("title"))
 
 
-BLOCKS = [*HEADINGS, "p", "li", "dt", "dd", "td", "th", "pre", "blockquote", "div", "section", "article", "main", "body", "caption", "figcaption", "hr"]
-
-
 def _joined(*columns: str) -> Column:
     """Texts in order as one line."""
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*columns, "text"))), lambda x: x["text"]), " ")
 
 
-def pieces(nodes: DataFrame) -> DataFrame:
-    """(key, pre, part, text): texts, short footnote marks in brackets, and targets after informative links."""
-    above = nodes.select(KEY, F.col("pre").alias("parent"), F.col("tag").alias("above"))
-    text = nodes.where("tag = '#text'").join(above, [KEY, "parent"]).select(KEY, "pre", F.lit(0).alias("part"), F.when((F.col("above") == "sup") & (F.length("text") <= 4), F.concat(F.lit("["), "text", F.lit("]"))).otherwise(F.col("text")).alias("text"))
-    a = nodes.where((F.col("tag") == "a") & F.col("href").rlike("^https?://")).select(KEY, F.col("pre").alias("o_pre"), F.col("post").alias("o_post"), F.col("href").alias("target"))
-    shown = contained(nodes.where("tag = '#text'"), a, [KEY, "o_pre", "target", "pre", "text"]).groupBy(KEY, "o_pre", "target").agg(_joined("pre").alias("shown"), F.max("pre").alias("pre"))
-    bare = lambda c: F.lower(F.regexp_replace(c, "/+$", ""))
-    target = shown.where(~F.contains(bare(F.col("target")), bare(F.col("shown")))).select(KEY, "pre", F.lit(1).alias("part"), F.concat(F.lit("["), "target", F.lit("]")).alias("text"))
-    return text.unionByName(target).unionByName(nodes.where("tag = 'hr'").select(KEY, "pre", F.lit(0).alias("part"), F.lit("---").alias("text")))
-
-
-def _items(clean: DataFrame) -> DataFrame:
-    """(key, o_pre, lists, mark): the depth and the mark of each list item; numbers start and restart as the page says."""
-    item = clean.where("tag = 'li'").select(KEY, "pre", "parent", F.col("start").alias("value"))
-    lists = clean.where("tag in ('ul', 'ol')").select(KEY, F.col("pre").alias("parent"), F.col("tag").alias("list"), F.coalesce(F.col("start").try_cast("int"), F.lit(1)).alias("begin"))
-    w = Window.partitionBy(KEY, "parent").orderBy("pre")
-    item = item.join(lists, [KEY, "parent"]).withColumns({"i": F.row_number().over(w), "set": F.col("value").try_cast("int")})
-    item = item.withColumn("base", F.last(F.when(F.col("set").isNotNull(), F.col("set") - F.col("i")), ignorenulls=True).over(w))
-    outer = clean.where("tag in ('ul', 'ol')").select(KEY, F.col("pre").alias("o_pre"), F.col("post").alias("o_post"))
-    around = contained(item.select(KEY, "pre"), outer, [KEY, "pre"]).groupBy(KEY, "pre").agg(F.count("*").alias("lists"))
-    number = F.concat((F.col("i") + F.coalesce("base", F.col("begin") - 1)).cast("string"), F.lit("."))
-    return item.join(around, [KEY, "pre"]).select(KEY, F.col("pre").alias("o_pre"), "lists", F.when(F.col("list") == "ol", number).otherwise("-").alias("mark"))
-
-
-def tables(clean: DataFrame) -> DataFrame:
-    """Cells of data tables: (key, t_pre, o_pre, row, col, rows, cols, tag); a table is layout if it says so or has no row of two cells."""
-    outer = clean.where("tag = 'table'").select(KEY, F.col("pre").alias("o_pre"), F.col("post").alias("o_post"), F.col("role").alias("t_role"))
-    held = contained(clean.where("tag in ('td', 'th')"), outer, [KEY, "pre", "o_pre", "t_role", "row", "col", "rows", "cols", "tag"])
-    # the nearest table of a cell is the one that starts last
-    own = held.groupBy(KEY, "pre", "row", "col", "rows", "cols", "tag").agg(F.max(F.struct("o_pre", "t_role")).alias("t")).select(KEY, F.col("pre").alias("o_pre"), "row", "col", "rows", "cols", "tag", F.col("t.o_pre").alias("t_pre"), F.col("t.t_role").alias("t_role"))
-    wide = own.groupBy(KEY, "t_pre", "t_role", "row").agg(F.count("*").alias("n")).groupBy(KEY, "t_pre", "t_role").agg(F.max("n").alias("n")).where("n > 1 and lower(t_role) <> 'presentation'").select(KEY, "t_pre")
-    return own.join(wide, [KEY, "t_pre"]).drop("t_role")
-
-
-def _table_lines(cells: DataFrame, texts: DataFrame, captions: DataFrame) -> DataFrame:
-    """(key, at, sub, shown): a title line, the header row, then numbered rows; spanned cells repeat their text."""
-    filled = cells.join(texts, [KEY, "o_pre"], "left").select(KEY, "t_pre", "tag", F.coalesce("line", F.lit("")).alias("line"), F.explode(F.expr("sequence(row, row + rows - 1)")).alias("r"), "col", "cols", "row")
-    filled = filled.select(KEY, "t_pre", "tag", "line", "r", F.explode(F.expr("sequence(col, col + cols - 1)")).alias("c"), (F.col("r") == F.col("row")).alias("own"))
-    one = filled.groupBy(KEY, "t_pre", "r", "c").agg(F.max_by("line", "c").alias("line"), F.bool_and(F.col("tag") == "th").alias("th"))
-    width = one.groupBy(KEY, "t_pre").agg((F.max("c") + 1).alias("width"))
-    at = F.map_from_entries(F.collect_list(F.struct("c", "line")))
-    row = one.groupBy(KEY, "t_pre", "r").agg(at.alias("cells"), F.bool_and("th").alias("th")).join(width, [KEY, "t_pre"])
-    shown = F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda c: F.coalesce(F.try_element_at("cells", c), F.lit("")))
-    row = row.withColumn("cut", shown).where(F.exists("cut", lambda x: x != "")).withColumn("text", F.array_join("cut", " | "))
-    head = row.where("th").groupBy(KEY, "t_pre").agg(F.min("r").alias("head"))
-    w = Window.partitionBy(KEY, "t_pre").orderBy("r").rowsBetween(Window.unboundedPreceding, 0)
-    row = row.join(head, [KEY, "t_pre"], "left").withColumn("is_head", F.col("r").eqNullSafe(F.col("head")))
-    row = row.withColumn("k", F.sum((~F.col("is_head")).cast("int")).over(w))
-    lines = row.select(KEY, "t_pre", (F.col("r") + 1).alias("sub"), F.when(F.col("is_head"), F.concat(F.lit("Columns: "), "text")).otherwise(F.concat(F.lit("Row "), F.col("k").cast("string"), F.lit(": "), "text")).alias("shown"))
-    title = width.join(captions, [KEY, "t_pre"], "left").select(KEY, "t_pre", F.lit(0).alias("sub"), F.concat_ws(" ", F.lit("TABLE:"), "caption").alias("shown"))
-    return lines.unionByName(title).withColumnRenamed("t_pre", "at")
-
-
-def render(nodes: DataFrame, interface: list[str] = ()) -> DataFrame:
-    """(key, text): every block a line or more in document order, the same for the same page.
-
-    Headings get `#` marks, items `-` or their number at an indent of two for each outer list, data
-    tables a title, a header and numbered rows, terms a colon, and their descriptions an indent.
-    Lines that equal one of `interface` in lower case are left out.
-    """
-    clean = settled(denoised(nodes))
-    text = pieces(clean)
-    blocks = clean.where(F.col("tag").isin(BLOCKS)).select(KEY, F.col("pre").alias("o_pre"), F.col("post").alias("o_post"), F.col("tag").alias("o_tag"))
-    # each text's nearest block: the ancestor block that starts last
-    inside = contained(text, blocks, [KEY, "pre", "part", "text", "o_pre", "o_tag"], itself=True)
-    block = settled(inside.groupBy(KEY, "pre", "part", "text").agg(F.max(F.struct("o_pre", "o_tag")).alias("b")).select(KEY, "pre", "part", "text", "b.o_pre", "b.o_tag"))
-    cells = settled(tables(clean))
-    spans = cells.join(clean.select(KEY, F.col("pre").alias("o_pre"), F.col("post").alias("o_post")), [KEY, "o_pre"]).select(KEY, "o_pre", "o_post", F.col("o_pre").alias("c_pre"))
-    # texts of data cells, lists and all, become the cell's line
-    in_cell = contained(block.select(KEY, "pre", "part", "text"), spans, [KEY, "pre", "part", "text", "c_pre"]).groupBy(KEY, "pre", "part", "text").agg(F.max("c_pre").alias("c_pre"))
-    texts = in_cell.groupBy(KEY, F.col("c_pre").alias("o_pre")).agg(_joined("pre", "part").alias("line"))
-    caption = clean.where("tag = 'caption'").select(KEY, F.col("pre").alias("o_pre"), F.col("parent").alias("t_pre"))
-    captions = block.join(caption, [KEY, "o_pre"]).groupBy(KEY, "t_pre").agg(_joined("pre", "part").alias("caption"))
-    free = block.join(in_cell.select(KEY, "pre", "part"), [KEY, "pre", "part"], "left_anti").join(caption.select(KEY, "o_pre"), [KEY, "o_pre"], "left_anti")
-    lines = free.groupBy(KEY, "o_pre", "o_tag").agg(_joined("pre", "part").alias("line"), F.min("pre").alias("at")).join(_items(clean), [KEY, "o_pre"], "left")
-    shown = (
-        F.when(F.col("o_tag").isin(HEADINGS), F.concat(F.repeat(F.lit("#"), F.substring("o_tag", 2, 1).cast("int")), F.lit(" "), "line"))
-        .when(F.col("o_tag") == "li", F.concat(F.repeat(F.lit("  "), F.coalesce("lists", F.lit(1)).cast("int") - 1), F.coalesce("mark", F.lit("-")), F.lit(" "), "line"))
-        .when(F.col("o_tag") == "dt", F.concat("line", F.lit(":")))
-        .when(F.col("o_tag").isin("dd", "blockquote"), F.concat(F.lit("  "), "line"))
-        .otherwise(F.col("line"))
-    )
-    every = lines.select(KEY, "at", F.lit(0).alias("sub"), shown.alias("shown")).unionByName(_table_lines(cells, texts, captions))
-    if interface:
-        low = F.lower(F.trim("shown"))
-        parts = F.filter(F.transform(F.split(low, r"\|"), lambda x: F.trim(x)), lambda p: p != "")
-        every = every.where(~low.isin(list(interface)) & ~((F.size(parts) > 1) & F.forall(parts, lambda p: p.isin(list(interface)))))
-    return every.groupBy(KEY).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "sub", "shown"))), lambda x: x["shown"]), "\n").alias("text"))
-
-
 def breadcrumb(nodes: DataFrame, most: int = 400) -> DataFrame:
-    """(key, breadcrumb): distinct link texts of the first breadcrumb or navigation list, in order."""
-    outer = nodes.where(F.lower(F.concat_ws(" ", "class", "id")).contains("breadcrumb") | (F.col("tag") == "nav")).groupBy(KEY).agg(F.min(F.struct("pre", "post")).alias("n")).select(KEY, F.col("n.pre").alias("o_pre"), F.col("n.post").alias("o_post"))
-    texts = contained(nodes.where("tag = '#text'"), outer, [KEY, "pre", "text"])
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pre", "text"))), lambda x: x["text"])
-    return texts.groupBy(KEY).agg(F.substring(F.array_join(F.array_distinct(ordered), " > "), 1, most).alias("breadcrumb"))
-
+    """(key, breadcrumb): the texts of each breadcrumb element in order, distinct ones parted by bars.
 
-def metadata(nodes: DataFrame, school: str = r"\b(?:School|College|Department|Division) of [A-Z][\w &]+", within: int = 60) -> DataFrame:
-    """(key, title, school): the first h1, else the page title up to a bar or dash; the first unit named in the first elements."""
+    Where a page has none: its first link that says where to return to, else what its text says so, else the
+    distinct texts of its first navigation list.
+    """
+    trail = F.array_contains(F.split("class", r"\s+"), "breadcrumb") | F.array_contains(F.split("class", r"\s+"), "breadcrumbs") | F.array_contains(F.split("class", r"\s+"), "acalog-breadcrumb") | (F.col("id") == "breadcrumb") | (F.col("aria") == "breadcrumb")
+    kind = F.when(trail, 1).when(F.col("tag") == "a", 2).when(F.col("tag") == "nav", 4)
+    outer = nodes.select(KEY, F.col("pre").alias("o_pre"), F.col("post").alias("o_post"), kind.alias("kind")).where("kind is not null")
+    texts = contained(nodes.where("tag = '#text'"), outer, [KEY, "o_pre", "kind", "pre", "text"])
+    line = F.transform(F.array_sort(F.collect_list(F.struct("pre", "text"))), lambda x: x["text"])
+    each = texts.groupBy(KEY, "o_pre", "kind").agg(line.alias("texts"))
+    each = each.withColumn("said", F.when(F.col("kind") == 1, F.regexp_replace(F.array_join("texts", " > "), r"(?:\s*>\s*)+", " > ")).when(F.col("kind") == 2, F.array_join("texts", " ")).otherwise(F.array_join(F.array_distinct("texts"), " > ")))
+    back = F.lower("said").startswith("return to") & F.length("said").between(10, 120)
+    each = each.where((F.col("kind") != 2) | back)
+    first = lambda k: F.min_by("said", F.when(F.col("kind") == k, F.col("o_pre")))
+    trails = F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == 1, F.struct("o_pre", "said")))), lambda x: x["said"])
+    found = each.groupBy(KEY).agg(F.nullif(F.array_join(F.array_distinct(trails), " | "), F.lit("")).alias("trail"), first(2).alias("link"), first(4).alias("nav"))
+    # the sentence may run over several elements, so it is looked for in the whole text of pages that speak of it
+    speaks = nodes.where("tag = '#text' and text like '%Return to%'").select(KEY).distinct()
+    whole = nodes.where("tag = '#text'").join(speaks, KEY, "left_semi").groupBy(KEY).agg(F.array_join(line, " ").alias("page"))
+    said = F.regexp_extract("page", r"Return to[^<:]*:?\s*([^<>{|}]{3,120})", 1)
+    sentence = whole.select(KEY, F.when(said != "", F.concat(F.lit("Return to: "), F.trim(said))).alias("sentence"))
+    best = F.coalesce("trail", "link", "sentence", "nav")
+    return found.join(sentence, KEY, "full").where(best.isNotNull()).select(KEY, F.substring(best, 1, most).alias("breadcrumb"))
+
+
+# fixed values: how a unit of a school is named, and the elements that may name it
+SCHOOL = r"\b((?:[A-Z][\w'&.-]+\s+){0,6}(?:School|College|Academy|Conservatory)(?:\s+(?:of|for)\s+[A-Z][\w'&,.\- ]{2,60})?)"
+SCHOOL_TAGS = ["em", "i", "p", "a", "h2", "div"]
+
+
+def metadata(nodes: DataFrame, within: int = 60) -> DataFrame:
+    """(key, title, credential, school) of every page.
+
+    The title is that of the first h1, else the page's own up to a bar or dash; the credential the field that it ends
+    in; the school what the first of `within` elements with a short text names.
+    """
     outer = nodes.where("tag in ('h1', 'title')").select(KEY, F.col("pre").alias("o_pre"), F.col("post").alias("o_post"), F.col("tag").alias("o_tag"))
     texts = contained(nodes.where("tag = '#text'"), outer, [KEY, "o_pre", "o_tag", "pre", "text"]).withColumn("part", F.lit(0)).groupBy(KEY, "o_pre", "o_tag").agg(_joined("pre", "part").alias("line"))
     first = lambda tag: F.min_by(F.when(F.col("o_tag") == tag, F.col("line")), F.when(F.col("o_tag") == tag, F.col("o_pre")))
-    titles = texts.groupBy(KEY).agg(F.coalesce(first("h1"), F.trim(F.regexp_extract(first("title"), r"^([^|–]*)", 1))).alias("title"))
-    unit = F.nullif(F.regexp_extract("text", school, 0), F.lit(""))
-    named = nodes.where(F.col("pre") < within).groupBy(KEY).agg(F.min_by(unit, F.when(unit.isNotNull(), F.col("pre"))).alias("school"))
-    return nodes.select(KEY).distinct().join(titles, KEY, "left").join(named, KEY, "left")
+    page = F.regexp_replace(F.regexp_extract(first("title"), r"^([^|–]*)", 1), r"^Program:\s*", "")
+    named = texts.groupBy(KEY).agg(F.coalesce(first("h1"), F.trim(page)).alias("title"))
+    titled = titles.credential(named, "title", "credential")
+    # only elements with a short text are read
+    some = nodes.where(F.col("tag").isin(SCHOOL_TAGS)).withColumn("nth", F.row_number().over(Window.partitionBy(KEY).orderBy("pre"))).where(F.col("nth") <= within).select(KEY, "pre", "nth")
+    sized = sums(nodes, {"n_chars": F.length("text") + (F.col("tag") == "#text").cast("int")}).where(F.col("n_chars").between(1, 201)).join(some, [KEY, "pre"])
+    short = sized.select(KEY, F.col("pre").alias("o_pre"), F.col("post").alias("o_post"), "nth")
+    said = contained(nodes.where("tag = '#text'"), short, [KEY, "nth", "pre", "text"]).withColumn("part", F.lit(0)).groupBy(KEY, "nth").agg(_joined("pre", "part").alias("line"))
+    unit = F.regexp_replace(F.trim(F.regexp_extract("line", SCHOOL, 1)), "[,.;]+$", "")
+    schools = said.withColumn("unit", unit).where(F.length("unit").between(4, 90) & ~F.lower("unit").startswith("university")).groupBy(KEY).agg(F.min_by("unit", "nth").alias("school"))
+    return nodes.select(KEY).distinct().join(titled, KEY, "left").join(schools, KEY, "left")
 
 
 def locators(nodes: DataFrame, most: int = 12) -> DataFrame:

@@ -46,10 +46,8 @@ def found(field: Column, vocabulary: list[str], pattern: str) -> Column:
     return F.concat(_phrase(field, pattern), tokens(field, vocabulary))
 
 
-def classify(rows: DataFrame, title: str = "title", label: str = "label") -> DataFrame:
-    """`rows` with ug, grad (credentials found), class and confident."""
-    t, lab = normal(F.coalesce(F.col(title), F.lit(""))), normal(F.coalesce(F.col(label), F.lit("")))
-    out = rows.withColumns({"__t": t, "__l": lab})
+def _fields(out: DataFrame) -> DataFrame:
+    """Rows of a normal title `__t` with its `__plain` form, its `__base` without fields, and the `__fields` that name credentials."""
     plain = tx.strip_footnotes(F.col("__t"))
     tail = F.regexp_extract(F.col("__t"), TAIL_GROUPS, 1)
     inside = lambda c, p: F.transform(F.regexp_extract_all(c, F.lit(p), F.lit(1)), lambda x: F.trim(x))
@@ -60,6 +58,21 @@ def classify(rows: DataFrame, title: str = "title", label: str = "label") -> Dat
     ends, every = F.filter("__ends", has), F.filter("__all", has)
     fields = F.concat(F.when(F.size(ends) > 0, F.slice(ends, 1, 1)).otherwise(comma), F.when(F.size(every) > 0, every).otherwise(comma))
     out = out.withColumns({"__fields": fields, "__base": F.when((F.size(ends) == 0) & (F.size(comma) > 0), F.trim(F.regexp_replace("__plain", r",[^,]*$", ""))).when(F.size(ends) == 0, F.col("__plain")).otherwise(F.col("__base"))})
+    return out
+
+
+def credential(rows: DataFrame, title: str, out: str) -> DataFrame:
+    """`rows` with the credential field that a title ends in: the rightmost bracketed group that names one, else what follows its last comma, else empty."""
+    fields = _fields(rows.withColumn("__t", normal(F.coalesce(F.col(title), F.lit("")))))
+    field = F.coalesce(F.try_element_at("__fields", F.lit(1)), F.lit(""))
+    return fields.withColumn(out, F.when(F.col(title).isNotNull(), field)).drop(*[c for c in fields.columns if c.startswith("__")])
+
+
+def classify(rows: DataFrame, title: str = "title", label: str = "label") -> DataFrame:
+    """`rows` with ug, grad (credentials found), class and confident."""
+    t, lab = normal(F.coalesce(F.col(title), F.lit(""))), normal(F.coalesce(F.col(label), F.lit("")))
+    out = rows.withColumns({"__t": t, "__l": lab})
+    out = _fields(out)
     collect = lambda v, p: F.array_distinct(F.flatten(F.transform("__fields", lambda f: found(f, v, p))))
     out = out.withColumns({"ug": collect(UNDERGRADUATE, UNDERGRADUATE_PHRASE), "grad": collect(GRADUATE, GRADUATE_PHRASE)})
     low = F.lower(F.concat_ws(" | ", F.nullif(F.col("__t"), F.lit("")), F.nullif(F.col("__l"), F.lit(""))))

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.dom import discovery, regions
+from recordloom.dom import discovery, noise, regions, render
 from recordloom.dom import nodes as dom
 from recordloom.operators import resolve
 from recordloom.registry import query
@@ -34,7 +34,7 @@ def page_candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("page_headings")
 def page_headings(spark: SparkSession, sf: str) -> DataFrame:
-    return regions.headings(regions.denoised(_nodes(spark, sf)))
+    return regions.headings(noise.cleaned(_nodes(spark, sf)))
 
 
 @query("page_section")
@@ -48,9 +48,16 @@ def page_links(spark: SparkSession, sf: str) -> DataFrame:
     return regions.links(_nodes(spark, sf))
 
 
+@query("page_noise")
+def page_noise(spark: SparkSession, sf: str) -> DataFrame:
+    """Every element that is no content, with the selector that says so."""
+    return noise.noise(_nodes(spark, sf)).select("page_id", "pre", "selector")
+
+
 @query("page_render")
 def page_render(spark: SparkSession, sf: str) -> DataFrame:
-    return regions.render(_nodes(spark, sf))
+    """The text of every page without noise and lines of the interface."""
+    return render.rendered(noise.cleaned(_nodes(spark, sf)))
 
 
 @query("page_breadcrumb")

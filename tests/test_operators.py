@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from recordloom.dom import nodes as dom
 from recordloom.functions import unicode as uni
-from recordloom.dom import regions
+from recordloom.dom import noise, regions, render
 from recordloom.operators import audit, clauses, gate, pages, plan_check, report, titles
 from recordloom.operators import relational as rel
 from recordloom.plans import records
@@ -119,8 +119,8 @@ HTML = """<html><body><nav><a href='/x'>Skip</a></nav><main><h1>Title</h1><p>One
 
 def test_render_and_links(spark):
     n = dom.nodes(spark.createDataFrame([(1, HTML), (2, None), (3, "")], "page_id int, html string"))
-    text = {r["page_id"]: r["text"] for r in regions.render(n).collect()}
-    assert text[1].split("\n") == ["# Title", "One two three", "- a", "- b", "  3. c", "  7. d", "  8. e", "TABLE:", "Columns: k | v", "Row 1: 1 | 2", "t:", "  d", "## Next", "why again"]
+    text = {r["page_id"]: r["text"] for r in render.rendered(noise.cleaned(n)).collect()}
+    assert text[1] == "# Title\n\nOne two three\n\n- a\n- b\n  3. c\n  7. d\n  8. e\n\nTABLE:\nColumns: k | v\nRow 1: 1 | 2\n\nt:\n  d\n\n## Next\n\nwhy again\n"
     assert [(r["seq"], r["href"], r["title"]) for r in regions.links(n).orderBy("seq").collect()] == [(1, "/x", "Skip"), (2, "/y", "why")]
     chosen = regions.region(n).first()
     assert chosen["o_tag"] == "main"
@@ -134,9 +134,9 @@ GRID = """<body><table><caption>Cap</caption><tr><th>A</th><th>B</th><th>C</th><
 
 def test_render_tables_links_and_interface(spark):
     n = dom.nodes(spark.createDataFrame([(1, GRID)], "page_id int, html string"))
-    assert regions.render(n, ["back to top", "help"]).first()["text"].split("\n") == [
-        "TABLE: Cap", "Columns: A | B | C", "Row 1: x | y z | y z", "Row 2: x |  | w", "one", "two", "see here [https://x.example.com/p] [1] y.example.com", "---",
-    ]
+    assert render.rendered(n, ["back to top", "help"]).first()["text"].split("\n") == [
+        "TABLE: Cap", "Columns: A | B | C", "Row 1: x | y z | y z", "Row 2: x |  | w", "", "one", "", "two", "", "see here [https://x.example.com/p][1] y.example.com", "", "---",
+    ] + [""]
 
 
 def test_node_intervals(spark):
@@ -161,11 +161,9 @@ def test_clause_rules_are_unique():
     assert len(rows) == len(set(rows)) and len({r[0] for r in rows}) == 16
 
 
-def test_metadata_and_locators(spark):
+def test_locators(spark):
     page = "<html><head><title>Art | Site</title></head><body id=b><p>School of Fine Arts</p><div class='x y'><h2>Z</h2></div></body></html>"
     n = dom.nodes(spark.createDataFrame([(1, page), (2, HTML), (3, None)], "page_id int, html string"))
-    got = {r["page_id"]: (r["title"], r["school"]) for r in regions.metadata(n).collect()}
-    assert got == {1: ("Art", "School of Fine Arts"), 2: ("Title", None)}
     assert "html > body#b > div.x > h2" in {r["path"] for r in regions.locators(n).collect()}
 
 
@@ -181,12 +179,6 @@ def test_members_of_a_large_group_are_listed(spark):
     assert got == {(i, 1500) for i in range(1500)} | {(2000, 2), (2001, 2)}
 
 
-def test_endless_spans_are_cut(spark):
-    page = '<table><tr><td rowspan="1000000000" colspan="99999">a</td><td>b</td></tr><tr><td>c</td></tr></table>'
-    got = {(r["rows"], r["cols"]) for r in dom.nodes(spark.createDataFrame([(1, page)], "page_id int, html string")).where("tag = 'td'").collect()}
-    assert got == {(dom.MAX_SPAN, dom.MAX_SPAN), (1, 1)}
-
-
 def test_page_keys_of_any_kind(spark):
     pages = spark.createDataFrame([("a", "<p>x</p>"), (None, "<p>y</p>"), ("c", None)], "page_id string, html string")
     assert {(r["page_id"], r["text"]) for r in dom.nodes(pages).where("tag = '#text'").collect()} == {("a", "x"), (None, "y")}
