@@ -78,8 +78,12 @@ def msd_order(words: np.ndarray, begin: np.ndarray, size: np.ndarray, group: np.
 
 def eight_bytes(data: np.ndarray) -> np.ndarray:
     """The eight bytes from each place on as one big-endian number; zeros follow the end."""
-    padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(tk.U)
-    return sum(padded[k : k + len(data) + 1] << tk.U(56 - 8 * k) for k in range(8))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    out = np.zeros(len(data) + 1, tk.U)
+    for k in range(8):  # in place, so that few arrays of eight times the data are held
+        out <<= tk.U(8)
+        out |= padded[k : k + len(out)]
+    return out
 
 
 def repeated_windows(group: np.ndarray, data: np.ndarray, first: np.ndarray, low: np.ndarray, high: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -161,10 +165,10 @@ def judged(rows: DataFrame, length: int, batch: int = 4096) -> DataFrame:
     """
 
     def judge(table: pa.Table) -> pa.RecordBatch:
-        raw = table.column("run").to_pylist()
-        first = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
+        data, at = tk.utf8(table.column("run"))
+        data, first = data[at[0] : at[-1]], at - at[0]
         low, high = table.column("low").to_numpy().astype(np.int64), table.column("high").to_numpy().astype(np.int64)
-        most, least = repeated_windows(table.column("gram").to_numpy(), np.frombuffer(b"".join(raw), np.uint8), first, low, high, length)
+        most, least = repeated_windows(table.column("gram").to_numpy(), data, first, low, high, length)
         hit = np.flatnonzero(most >= 0)
         begin = table.column("start").to_numpy()[hit] + low[hit] - most[hit]
         mine = pa.array(hit)
