@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.functions import text as tx
-from recordloom.functions.stats import counted_quantiles
+from recordloom.operators.ranges import quantiles
 from recordloom.operators import gate
 
 # fixed values: signatures beyond the gate's fatal ones; patterns that begin with ^ match at line starts
@@ -40,10 +40,9 @@ def describe(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     good = rows.where(F.col(value) > 0)
     if not keys:
         good, keys = good.withColumn("__all", F.lit(1)), ["__all"]
-    basic = good.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.stddev_pop(value).alias("stdev")
-    )
-    joined = basic.join(counted_quantiles(good, keys, value), keys).withColumn("iqr", F.col("q3") - F.col("q1"))
+    basic = good.groupBy(F.struct(*keys).alias("__k")).agg(F.count("*").alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("stdev"))
+    found = quantiles(good, keys, value).select(F.struct(*keys).alias("__k"), "median", "q1", "q3")
+    joined = basic.join(found, "__k").select("__k.*", "n", "min", "max", "mean", "median", "stdev", "q1", "q3").withColumn("iqr", F.col("q3") - F.col("q1"))
     return joined.withColumns({"low_fence": F.col("q1") - 1.5 * F.col("iqr"), "high_fence": F.col("q3") + 1.5 * F.col("iqr")}).drop("__all")
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recordloom.functions import text as tx
-from recordloom.operators import audit
+from recordloom.operators import audit, ranges
 from recordloom.operators import relational as rel
 from recordloom.registry import query
 from recordloom.sources.tables import table
@@ -46,10 +46,15 @@ from events group by grouping sets ((event_type), (hour(ts)), ())
 """)
 def runtime_buckets(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "events").select("event_type", F.hour("ts").alias("hour"), "value")
-    e, h = F.col("event_type"), F.col("hour")
-    return rows.groupingSets([[e], [h], []], e, h).agg(
-        F.count("*").alias("n"), F.count_if(F.col("value") > 50).alias("slow"), (F.count_if(F.col("value") > 50) / F.count("*")).alias("rate"), F.median("value").alias("median")
-    )
+    # each row counts for its type, for its hour and for all; the set tells a missing type from one that is summed over
+    of = lambda s, e, h: F.struct(F.lit(s).alias("s"), e.alias("event_type"), h.alias("hour"))
+    e, h, no_e, no_h = F.col("event_type"), F.col("hour"), F.lit(None).cast("string"), F.lit(None).cast("int")
+    sets = F.explode(F.array(of(1, e, no_h), of(2, no_e, h), of(3, no_e, no_h)))
+    each = rows.select(sets.alias("k"), "value")
+    slow = F.count_if(F.col("value") > 50)
+    counts = each.groupBy("k").agg(F.count("*").alias("n"), slow.alias("slow"), (slow / F.count("*")).alias("rate"))
+    middle = ranges.quantiles(each, ["k"], "value").select("k", "median")
+    return counts.join(middle, "k", "left").select("k.event_type", "k.hour", "n", "slow", "rate", "median")
 
 
 @query("runtime_percentile", "select event_type, avg(case when value <= 25 then 1.0::double else 0.0::double end) * 100 as share from events group by event_type")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from recordloom.functions import codes, urls
 from recordloom.functions import text as tx
-from recordloom.functions.stats import counted_quantiles
+from recordloom.operators import ranges
 
 
 def col(spark, values, f, kind="string"):
@@ -73,7 +73,8 @@ def test_normal_code_is_idempotent(spark, values):
 @given(st.lists(st.integers(1, 50), min_size=4, max_size=40))
 def test_exclusive_quartiles(spark, values):
     rows = spark.createDataFrame([(1, v) for v in values], "k int, v int")
-    got = counted_quantiles(rows, ["k"], "v").first()
+    got = ranges.quantiles(rows, ["k"], "v", size=7).first()
+    assert got["median"] == statistics.median(values) and got["n"] == len(values)
     q1, _, q3 = statistics.quantiles(values, n=4, method="exclusive")
     low, high = min(values), max(values)
     assert got["q1"] == pytest.approx(q1) or not low <= q1 <= high
