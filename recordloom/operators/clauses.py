@@ -81,7 +81,7 @@ def segments(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     clauses = F.filter(F.transform(F.split(cut, "\u0001"), lambda x: F.trim(x)), lambda s: s != "")
     rows = texts.select(key, F.posexplode(clauses).alias("i", "c"))
     rows = rows.select(key, (F.col("i") + 1).alias("n"), F.posexplode(F.split("c", "\u0002")).alias("branch", "clause"), F.col("c").contains("\u0002").alias("branches"))
-    letter = F.when(F.col("branches"), F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), F.col("branch") + 1)).otherwise("")
+    letter = F.when(F.col("branches"), F.when(F.col("branch") < 26, F.chr(F.col("branch") + 97)).otherwise((F.col("branch") + 1).cast("string"))).otherwise("")
     slug = F.upper(F.regexp_replace(F.col(key), r"[^A-Za-z0-9]+", "-"))
     return rows.select(key, "n", F.concat(slug, F.format_string("-%02d", "n"), letter).alias("requirement_id"), F.trim("clause").alias("clause"))
 

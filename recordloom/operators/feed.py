@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recordloom.operators import relational as rel
+
 # fixed values: section kinds by mode
 KINDS = {"Lecture": "lectures", "Lecture/Lab": "lectures", "Lecture/Discussion": "lectures", "Lab": "labs", "Discussion": "discussions", "Quiz": "quizzes"}
 FEED = (
@@ -36,6 +38,13 @@ def _section(s: Column) -> Column:
     )
 
 
+def departments(responses: DataFrame) -> DataFrame:
+    """(term, dept, dept_ord, state, n_courses) of every response: failed if its body has no list of courses, empty if the list is."""
+    c = F.from_json("body", FEED)["courses"]
+    state = F.when(c.isNull(), "failed").when(F.size(c) == 0, "empty").otherwise("ok")
+    return responses.select("term", "dept", "dept_ord", state.alias("state"), F.when(c.isNull(), 0).otherwise(F.size(c)).alias("n_courses"))
+
+
 def courses(responses: DataFrame) -> DataFrame:
     """Course records of (term, dept, dept_ord, body), body being a response as JSON.
 
@@ -63,5 +72,5 @@ def frequency(rows: DataFrame, term: str = "term", course: str = "course_name")
     """course, count, terms, label: how often a course is offered; repeats within a term count."""
     total = rows.agg(F.count_distinct(term).alias("total"))
     n = rows.groupBy(course).agg(F.count("*").alias("count"), F.array_sort(F.collect_list(term)).alias("terms"))
-    label = F.when(F.col("count") >= F.col("total") - 1, "every").when(F.col("count") >= F.floor(F.col("total") / 2), "most").when(F.col("count") == 1, "rarely").otherwise("occasionally")
+    label = rel.frequency_label(F.col("count"), F.col("total"))
     return n.crossJoin(F.broadcast(total)).select(course, "count", "terms", label.alias("label"))

@@ -99,4 +99,4 @@ def text_or_ocr(layer: Column, ocr: Column, least: int = 100) -> Column:
 
 def earned_units_agree(rows: DataFrame, key: str, stated: str) -> DataFrame:
     """Whether the units of completed rows add up to the stated number."""
-    return rows.where("state = 'completed'").groupBy(key, stated).agg((F.sum("units") == F.col(stated)).alias("agrees"))
+    return rows.where("state = 'completed'").groupBy(key, stated).agg((F.abs(F.sum("units") - F.col(stated)) < 0.005).alias("agrees"))

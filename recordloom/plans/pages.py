@@ -93,37 +93,62 @@ def page_discovery(spark: SparkSession, sf: str) -> DataFrame:
     return discovery.discover(_nodes(spark, sf), table(spark, sf, "pages"), F.lit(True), path="", ids=())[0]
 
 
-SITE = [
-    (1, """<ul><li><a href="index.php?catoid=20">Catalogue 2024-2025</a> [ARCHIVED]</li><li><a href="index.php?catoid=22">Catalogue 2026–2027</a></li><li><a href="index.php?catoid=22">Catalogue again</a></li><li><a href="index.php?catoid=9">About</a></li></ul>
-    <nav><a href="content.php?catoid=22&navoid=1">Programs and more</a><a href="content.php?catoid=22&navoid=2">Programs</a><a href="content.php?catoid=20&navoid=3">Programs</a></nav>
-    <main><a href="preview_program.php?catoid=22&poid=5&returnto=1">Art (BA)</a><a href="/preview_program.php?catoid=22&poid=6#x">Law</a><a href="preview_program.php?poid=5&catoid=22">Art</a><a href="preview_program.php?catoid=22&poid=">None</a><a href="#top">Top</a></main>"""),
-]
+# a catalogue site for every supplier: {k} and {l} are its editions, {y} to {z} their years, {p} and {q} its programmes; every third has an edition that is not archived
+SITE = (
+    '<ul><li><a href="index.php?catoid={k}">Catalogue {y}-{x}</a>{old}</li><li><a href="index.php?catoid={l}">Catalogue {x}–{z}</a></li><li><a href="index.php?catoid={l}">Catalogue again</a></li>'
+    '<li><a href="index.php?catoid=9">About</a></li></ul><nav><a href="content.php?catoid={l}&navoid={p}">Programs and more</a>{exact}<a href="content.php?catoid={k}&navoid=3">Programs</a></nav>'
+    '<main><a href="preview_program.php?catoid={l}&poid={p}&returnto=1">Art (BA)</a><a href="/preview_program.php?catoid={l}&poid={q}#x">Law</a><a href="preview_program.php?poid={p}&catoid={l}">Art</a>'
+    '<a href="preview_program.php?catoid={l}&poid=">None</a><a href="#top">Top</a><a href="portfolio.php?catoid={l}&poid={p}">Add</a><a href="preview_course.php?catoid={l}&poid={p}">Course</a></main>'
+)
+EXACT = '<a href="content.php?catoid={l}&navoid={q}">Programs</a>'
+SQL_SITES = "with s as (select s_suppkey as page_id, 20 + s_suppkey % 50 as k, 100 + s_suppkey % 50 as l, 2000 + s_suppkey % 25 as y, s_suppkey * 2 + 1 as p, s_suppkey * 2 + 2 as q, s_suppkey % 3 <> 0 as old, s_suppkey % 4 <> 0 as exact from supplier)\n"
 
 
-def _anchors(spark: SparkSession) -> DataFrame:
-    return resolve.anchors(settled(dom.nodes(spark.createDataFrame(SITE, "page_id int, html string"))))
+def _anchors(spark: SparkSession, sf: str) -> DataFrame:
+    s = F.col("s_suppkey")
+    values = {"k": 20 + s % 50, "l": 100 + s % 50, "y": 2000 + s % 25, "x": 2001 + s % 25, "z": 2002 + s % 25, "p": s * 2 + 1, "q": s * 2 + 2}
+    html = F.replace(F.replace(F.lit(SITE), F.lit("{old}"), F.when(s % 3 != 0, " [ARCHIVED]").otherwise("")), F.lit("{exact}"), F.when(s % 4 != 0, EXACT).otherwise(""))
+    for name, v in values.items():
+        html = F.replace(html, F.lit(f"{{{name}}}"), v.cast("string"))
+    return resolve.anchors(settled(dom.nodes(table(spark, sf, "supplier").select(s.alias("page_id"), html.alias("html")))))
 
 
-@query("edition_list", "select * from (values (1, '20', '2024-2025', true), (1, '22', '2026-2027', false)) v(page_id, edition, year, archived)")
+SQL_EDITIONS = SQL_SITES + """, e as (select page_id, cast(k as varchar) as edition, y || '-' || (y + 1) as year, old as archived from s union all select page_id, cast(l as varchar), (y + 1) || '-' || (y + 2), false from s)
+"""
+
+
+@query("edition_list", SQL_EDITIONS + "select * from e")
 def edition_list(spark: SparkSession, sf: str) -> DataFrame:
-    return resolve.editions(_anchors(spark))
+    """The editions that each supplier's site lists, each once."""
+    return resolve.editions(_anchors(spark, sf))
+
+
+@query("edition_years", SQL_EDITIONS + "select page_id, year, edition, archived from e")
+def edition_years(spark: SparkSession, sf: str) -> DataFrame:
+    """The first edition of each year of each site."""
+    return resolve.years(_anchors(spark, sf))
 
 
-@query("edition_current", "select 1 as page_id, '22' as edition, '2026-2027' as year")
+@query("edition_current", SQL_EDITIONS + "select page_id, edition, year from (select *, row_number() over (partition by page_id order by year desc) as r from e where not archived) where r = 1")
 def edition_current(spark: SparkSession, sf: str) -> DataFrame:
-    return resolve.current(resolve.editions(_anchors(spark)))
+    return resolve.current(resolve.editions(_anchors(spark, sf)))
 
 
-@query("navigation_target", "select 1 as page_id, '2' as id")
+@query("navigation_target", SQL_SITES + "select page_id, cast(case when exact then q else p end as varchar) as id from s")
 def navigation_target(spark: SparkSession, sf: str) -> DataFrame:
-    return resolve.navigation(_anchors(spark), "Programs", F.lit("22"))
+    """The programmes entry of each site's current edition: the one of that name, else the first that starts so."""
+    links = _anchors(spark, sf)
+    now = resolve.current(resolve.editions(links)).select("page_id", F.col("edition").alias("current_edition"))
+    return resolve.navigation(links.join(now, "page_id"), "Programs", F.col("current_edition"))
 
 
-@query("program_links", "select * from (values (1, 1, '22', '5', 'Art (BA)'), (1, 2, '22', '6', 'Law')) v(page_id, seq, catoid, poid, title)")
+@query("program_links", SQL_SITES + """
+select page_id, cast(seq as int) as seq, cast(l as varchar) as catoid, cast(poid as varchar) as poid, title from (select page_id, 1 as seq, l, p as poid, 'Art (BA)' as title from s union all select page_id, 2, l, q, 'Law' from s)
+""")
 def program_links(spark: SparkSession, sf: str) -> DataFrame:
-    return resolve.program_links(_anchors(spark))[0].select("page_id", "seq", "catoid", "poid", "title")
+    return resolve.program_links(_anchors(spark, sf))[0].select("page_id", "seq", "catoid", "poid", "title")
 
 
-@query("program_link_duplicates", "select 1 as page_id, 1::bigint as duplicates")
+@query("program_link_duplicates", SQL_SITES + "select page_id, 1::bigint as duplicates from s")
 def program_link_duplicates(spark: SparkSession, sf: str) -> DataFrame:
-    return resolve.program_links(_anchors(spark))[1]
+    return resolve.program_links(_anchors(spark, sf))[1]

@@ -1,7 +1,7 @@
 """Queries on titles, codes, urls, pages, reports and clauses, each with its SQL where SQL can express it.
 
-The record operators have no table among the star tables, so their inputs are small literal tables,
-or the `pages` table where that fits.
+The record operators have no table of their own among the given ones: titles, clauses and programmes are made of the
+rows of `part`, reports, feeds and plans of orders and their lines, so that the work grows with the tables.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,14 +21,23 @@ def _values(rows: list[tuple]) -> str:
     return ", ".join("(" + ", ".join(show(v) for v in r) + ")" for r in rows)
 
 
-TITLES = [
-    (1, "Biology (BS)", "", "Biology (BS)"), (2, "History, BA", "", None), (3, "Design (Track A) (BFA)*", "", "Design (MFA)"), (4, "Asia Minor Studies (BA)", "", "Asia Minor Studies (BA)"),
-    (5, "Dance Minor", "", "Dance Minor"), (6, "Minor in Painting", "", "Painting (BA)"), (7, "Physics (PhD)", "", "Physics (PhD)"), (8, "Law (JD)", "", None), (9, "Economics (MA)", "", "Economics (BA)"),
-    (10, "Chemistry (BS) / Chemistry (MS)", "", "Chemistry (BS)"), (11, "Graduate Certificate in Ethics", "", None), (12, "Certificate in Data", "", None), (13, "Joint Degree BA/JD", "", None), (14, "Dual Degree in Music", "", None),
-    (15, "Progressive Degree in Film (MA)", "", None), (16, "Pre-Professional Emphasis", "", None), (17, "Bachelor of Arts in Letters", "", None), (18, "Doctor of Music", "", None), (19, "Undecided", "", "Undecided (BA)"),
-    (20, "Music&nbsp;Industry (BM)†", "", "Music Industry (BM)"), (21, "Combined Degree in Art", "", None), (22, "Public Policy", "Minor", None), (23, "Systems (BS and MS)", "", None), (24, "Basics of Art", "", None), (25, "", "", None),
+# the forms that titles take: title, label and page title, with the name of a part for {}; a part has the form of its number
+FORMS = [
+    ("{} (BS)", "", "{} (BS)"), ("{}, BA", "", None), ("{} (Track A) (BFA)*", "", "{} (MFA)"), ("Asia Minor {} (BA)", "", "Asia Minor {} (BA)"),
+    ("{} Minor", "", "{} Minor"), ("Minor in {}", "", "{} (BA)"), ("{} (PhD)", "", "{} (PhD)"), ("{} (JD)", "", None), ("{} (MA)", "", "{} (BA)"),
+    ("{} (BS) / {} (MS)", "", "{} (BS)"), ("Graduate Certificate in {}", "", None), ("Certificate in {}", "", None), ("Joint Degree BA/JD in {}", "", None), ("Dual Degree in {}", "", None),
+    ("Progressive Degree in {} (MA)", "", None), ("Pre-Professional Emphasis, {}", "", None), ("Bachelor of Arts in {}", "", None), ("Doctor of {}", "", None), ("{}", "", "{} (BA)"),
+    ("{}&nbsp;Industry (BM)†", "", "{} Industry (BM)"), ("Combined Degree in {}", "", None), ("{}", "Minor", None), ("{} (BS and MS)", "", None), ("Basics of {}", "", None), ("", "", None),
 ]
-SQL_TITLES = f"with t(id, title, label, page) as (values {_values(TITLES)})"
+_NAME = "upper(substr(p_name, 1, 1)) || substr(p_name, 2)"
+
+
+def _form(k: int) -> str:
+    quoted = ", ".join("null" if f[k] is None else "'" + f[k].replace("'", "''") + "'" for f in FORMS)
+    return f"replace(([{quoted}])[cast(p_partkey % {len(FORMS)} as int) + 1], '{{}}', {_NAME})"
+
+
+SQL_TITLES = f"with t as (select p_partkey as id, {_form(0)} as title, {_form(1)} as label, {_form(2)} as page from part)"
 
 
 def _sql_tokens(field: str, vocabulary: list[str]) -> str:
@@ -67,13 +76,17 @@ def _sql_class(title: str, label: str, source: str, name: str) -> str:
 """
 
 
-def _titles(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TITLES, "id int, title string, label string, page string")
+def _titles(spark: SparkSession, sf: str) -> DataFrame:
+    """A title for every part, made of its name."""
+    name = F.concat(F.upper(F.substring("p_name", 1, 1)), F.expr("substr(p_name, 2)"))
+    forms = F.array(*[F.struct(*[F.lit(v).cast("string").alias(c) for v, c in zip(f, ("title", "label", "page"), strict=True)]) for f in FORMS])
+    form = F.element_at(forms, (F.col("p_partkey") % len(FORMS) + 1).cast("int"))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), *[F.replace(form[c], F.lit("{}"), name).alias(c) for c in ("title", "label", "page")])
 
 
 @query("classify_title", SQL_TITLES + "," + _sql_class("title", "label", "t", "c") + "select id, class, class <> 'manual_review' as confident from c")
 def classify_title(spark: SparkSession, sf: str) -> DataFrame:
-    return titles.classify(_titles(spark)).select("id", "class", "confident")
+    return titles.classify(_titles(spark, sf)).select("id", "class", "confident")
 
 
 @query("classify_modes", SQL_TITLES + "," + _sql_class("title", "label", "t", "c") + """
@@ -81,7 +94,7 @@ select id, class as bachelors, case when class = 'excluded_minor' then 'included
 """)
 def classify_modes(spark: SparkSession, sf: str) -> DataFrame:
     c = F.col("class")
-    return titles.classify(_titles(spark)).select("id", c.alias("bachelors"), titles.collected(c, "all_undergraduate").alias("all_undergraduate"), titles.collected(c, "minors").alias("minors"))
+    return titles.classify(_titles(spark, sf)).select("id", c.alias("bachelors"), titles.collected(c, "all_undergraduate").alias("all_undergraduate"), titles.collected(c, "minors").alias("minors"))
 
 
 @query("reconcile_verdicts", SQL_TITLES + "," + _sql_class("title", "label", "t", "c") + "," + _sql_class("page", "''", "(select * from t where page is not null)", "p") + """
@@ -89,7 +102,7 @@ select c.id, case when p.class is null or p.class = c.class then c.class when c.
 from c left join p on c.id = p.id
 """)
 def reconcile_verdicts(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _titles(spark)
+    rows = _titles(spark, sf)
     link = titles.classify(rows).select("id", F.col("class").alias("link"))
     page = titles.classify(rows.where("page is not null").select("id", F.col("page").alias("title"), F.lit("").alias("label"))).select("id", F.col("class").alias("page"))
     return link.join(page, "id", "left").select("id", titles.reconciled(F.col("link"), F.col("page")).alias("verdict"))
@@ -97,7 +110,7 @@ def reconcile_verdicts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("accounting_partition", SQL_TITLES + "," + _sql_class("title", "label", "t", "c") + "select case when class = 'included' then 'included' when class = 'manual_review' then 'review' else 'excluded' end as part, count(*) as n from c group by 1 union all select 'discovered', count(*) from c")
 def accounting_partition(spark: SparkSession, sf: str) -> DataFrame:
-    rows = titles.classify(_titles(spark))
+    rows = titles.classify(_titles(spark, sf))
     part = F.when(F.col("class") == "included", "included").when(F.col("class").startswith("excluded_"), "excluded").otherwise("review")
     return rows.groupBy(part.alias("part")).agg(F.count("*").alias("n")).unionAll(rows.agg(F.count("*").alias("n")).select(F.lit("discovered"), "n"))
 
@@ -241,13 +254,63 @@ def final_url_ids(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", resolve.same_page(F.col("url"), urls.canonical(F.col("url")), ["page"]).alias("same"))
 
 
-REPORTS = [
-    (1, "PROGRAM: 1832 X\nBACHELOR OF SCIENCE - BUSINESS ADMINISTRATION PROGRAM\n (FINANCE)\nCATALOG YEAR: 20243\nCurrent Class Level Junior\nEARNED: 3.45 GPA\nTRNSFR WORK 64.0 TR\nMINOR: NO MINOR 20243\n128 UNITS needed HAVE NOT BEEN SATISFIED\n64-UNIT RESIDENCY SATISFIED\n"
-        "20243 BUAD304 -O 4.0 B- Organizational Behavior\n20261 BUAD302 4.0 RG >IPCommunication Strategy\n20261 XYZ 3000 12.0 RG >IPOff-Campus Studies\n20233 MATH 118x 4.0 A Fundamental Principles\n20233 ART 101 4.0 Untitled course"),
-    (2, "BACHELOR OF FINE ARTS – DANCE Academic\nMINOR: Painting 20253\nEARNED: 2.9 GPA\nUPPER DIVISION COURSES EARNED: 3.1 GPA\nStudent Athlete: Y\n20241 DANC 101 2.0 W Ballet\n  20241 DANC 102 2.0 IP ab\n20241 DANC 103 2.0 P Jazz I"),
-    (3, ""),
+# a progress report for every order: what its head says depends on the order, its course rows are its lines
+_DEGREES = ["SCIENCE - BUSINESS ADMINISTRATION PROGRAM\\n (FINANCE)", "FINE ARTS – DANCE Academic", "ARTS - HISTORY PROGRAM", "MUSIC"]
+_LEVELS = ["Freshman", "Sophomore", "Junior", "Senior", "Visiting"]
+_MINORS = ["NO MINOR 20243", "Painting 20253", "Film and Media 20251"]
+_GRADES = ["-O 4.0 B-", "4.0 A", "2.0 RG >IP", "12.0 W", "2.0 IP", "3.5 P"]
+_TITLES = ["Organizational Behavior", "Off-Campus Studies", "ab", "Untitled course", "Jazz  I"]
+
+
+def _pick(values: list[str], key: str, sql: bool):
+    """One of some values by a key, in SQL or as a column."""
+    if sql:
+        return "([" + ", ".join("'" + v.replace("'", "''").replace("\\n", "' || chr(10) || '") + "'" for v in values) + f"])[cast({key} % {len(values)} as int) + 1]"
+    return F.element_at(F.array(*[F.lit(v.replace("\\n", "\n")) for v in values]), (F.expr(key) % len(values) + 1).cast("int"))
+
+
+# pieces of the head and of a row: literal text, or (values, key)
+_HEAD = [
+    "PROGRAM: ", "1000 + o_custkey % 9000", " X\\nBACHELOR OF ", (_DEGREES, "o_orderkey"), "\\nCATALOG YEAR: 20243\\nCurrent Class Level ", (_LEVELS, "o_custkey"), "\\nEARNED: ", "o_orderkey % 4", ".", "10 + o_custkey % 90",
+    " GPA\\nTRNSFR WORK ", "55 + o_orderkey % 20", ".0 TR\\nMINOR: ", (_MINORS, "o_orderkey"), "\\n",
 ]
-SQL_REPORTS = f"with r(id, text) as (values {_values(REPORTS)})"
+_ROW = ["", "20231 + 10 * (l_partkey % 3) + l_partkey % 3", " ", (["BUAD", "ART ", "MATH", "xy", "L"], "l_suppkey"), "", "100 + l_partkey % 400", " ", (_GRADES, "l_partkey"), " ", (_TITLES, "l_suppkey")]
+
+
+def _text_sql(parts: list) -> str:
+    shown = []
+    for k, part in enumerate(parts):
+        if isinstance(part, tuple):
+            shown.append(_pick(*part, True))
+        elif k % 2:
+            shown.append(f"cast(cast({part} as bigint) as varchar)")
+        else:
+            shown.append("'" + part.replace("\\n", "' || chr(10) || '") + "'")
+    return " || ".join(shown)
+
+
+def _text_column(parts: list):
+    shown = []
+    for k, part in enumerate(parts):
+        if isinstance(part, tuple):
+            shown.append(_pick(*part, False))
+        elif k % 2:
+            shown.append(F.expr(part).cast("long").cast("string"))
+        else:
+            shown.append(F.lit(part.replace("\\n", "\n")))
+    return F.concat(*shown)
+
+
+SQL_REPORTS = f"""with lines as (select l_orderkey, string_agg({_text_sql(_ROW)}, chr(10) order by l_linenumber, l_partkey, l_suppkey) as rows from lineitem group by l_orderkey),
+r as (select o_orderkey as id, {_text_sql(_HEAD)} || coalesce(rows, '') as text from orders left join lines on l_orderkey = o_orderkey)"""
+
+
+def _reports(spark: SparkSession, sf: str) -> DataFrame:
+    """A report for every order; an order has a few lines."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", _text_column(_ROW).alias("row")).alias("r"))
+    rows = lines.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda x: x["row"]), "\n").alias("rows"))
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), _text_column(_HEAD).alias("head"))
+    return orders.join(rows, F.col("l_orderkey") == F.col("id"), "left").select("id", F.concat("head", F.coalesce("rows", F.lit(""))).alias("text"))
 
 
 @query("report_course_rows", SQL_REPORTS + r""",
@@ -259,7 +322,7 @@ p as (select *, case when regexp_matches(after, '(?i)>IP') or grade = 'RG' then
 select id, cast(line as int) as line, regexp_extract(l, '^\s*(\d{5})', 1) as term, regexp_replace(regexp_extract(l, '^\s*\d{5}\s+([A-Za-z]{2,4}\s*\d{3}[A-Za-z]?)\s+', 1), '\s+', ' ', 'g') as code, title, cast(units as double) as units, grade, state from p where state is not null and length(title) >= 3
 """)
 def report_course_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return report.course_rows(spark.createDataFrame(REPORTS, "id int, text string"), "id")
+    return report.course_rows(_reports(spark, sf), "id")
 
 
 @query("report_fields", SQL_REPORTS + r"""
@@ -274,101 +337,201 @@ select id, case upper(coalesce(nullif(regexp_extract(text, '(?i)BACHELOR OF (SCI
 def report_fields(spark: SparkSession, sf: str) -> DataFrame:
     shown = ["degree", "major", "concentration", "program_code", "class_level", "gpa", "transfer_units", "minor", "is_transfer", "studied_abroad", "is_athlete"]
     f = report.fields(F.col("text"))
-    return spark.createDataFrame(REPORTS, "id int, text string").select("id", *[f[k].alias(k) for k in shown])
+    return _reports(spark, sf).select("id", *[f[k].alias(k) for k in shown])
 
 
 @query("report_records")
 def report_records(spark: SparkSession, sf: str) -> DataFrame:
     """Whole nested records; the fields and rows have SQL of their own."""
-    return report.parse(spark.createDataFrame(REPORTS, "id int, text string"), "id")
+    return report.parse(_reports(spark, sf), "id")
 
 
+# the forms of clause records; a part has the form of its number
 CLAUSES = [
-    ("A-01", "CNS", None, None, "ENFORCED", "ENFORCED", False), ("A-02", "CNS", "X", None, "ENFORCED", "ENFORCED", False), ("A-03", "NOT_CNS_XREQ", "NO_DOUBLE_COUNT", "mode=PAIRWISE,polarity=PERMITS", "ENFORCED", "ENFORCED", False),
-    ("A-04", "NOT_CNS_XREQ", "NO_DOUBLE_COUNT", None, "ENFORCED", "ENFORCED", False), ("A-05", "UNKNOWN", None, None, "FLAG_ONLY", "NOT_CHECKABLE", False), ("A-06", "NOT_CNS_GATE", "INITIAL_ADMISSION", "checkable=NUMERIC_THRESHOLD", "FLAG_ONLY", "NOT_CHECKABLE", True),
-    ("A-07", "NOPE", None, None, None, None, True), ("A-08", "OUT_OF_SCOPE_PDP", None, None, None, None, False), ("A-09", "NOT_CNS_GATE", "INITIAL_ADMISSION", "checkable=QUALITATIVE_REVIEW", "FLAG_ONLY", "NOT_CHECKABLE", True), ("A-10", "NOT_CNS_SPLIT", "PROPORTIONAL_CAP", None, "GATE_ONCE", "CONDITIONAL", False),
+    ("CNS", None, None, "ENFORCED", "ENFORCED", False), ("CNS", "X", None, "ENFORCED", "ENFORCED", False), ("NOT_CNS_XREQ", "NO_DOUBLE_COUNT", "mode=PAIRWISE,polarity=PERMITS", "ENFORCED", "ENFORCED", False),
+    ("NOT_CNS_XREQ", "NO_DOUBLE_COUNT", None, "ENFORCED", "ENFORCED", False), ("UNKNOWN", None, None, "FLAG_ONLY", "NOT_CHECKABLE", False), ("NOT_CNS_GATE", "INITIAL_ADMISSION", "checkable=NUMERIC_THRESHOLD", "FLAG_ONLY", "NOT_CHECKABLE", True),
+    ("NOPE", None, None, None, None, True), ("OUT_OF_SCOPE_PDP", None, None, None, None, False), ("NOT_CNS_GATE", "INITIAL_ADMISSION", "checkable=QUALITATIVE_REVIEW", "FLAG_ONLY", "NOT_CHECKABLE", True), ("NOT_CNS_SPLIT", "PROPORTIONAL_CAP", None, "GATE_ONCE", "CONDITIONAL", False),
 ]
 
 
 @query("clause_validate", f"""
-with c(id, tag, sub, q, s, v, review) as (values {_values(CLAUSES)}), k(tag, sub, q, s, v) as (values {_values(clauses.rule_rows())}),
+with f(k, tag, sub, q, s, v, review) as (values {_values([(k, *c) for k, c in enumerate(CLAUSES)])}), c as (select 'P-' || p_partkey as id, f.* from part join f on k = p_partkey % {len(CLAUSES)}), k(tag, sub, q, s, v) as (values {_values(clauses.rule_rows())}),
 j as (select c.id, c.tag, c.review, bool_or(k.tag is not null) as known, coalesce(bool_or(k.tag is not null and c.sub is not distinct from k.sub), false) as a, coalesce(bool_or(k.tag is not null and c.sub is not distinct from k.sub and coalesce(c.q, '') = k.q), false) as b,
   coalesce(bool_or(k.tag is not null and c.sub is not distinct from k.sub and coalesce(c.q, '') = k.q and c.s is not distinct from k.s and c.v is not distinct from k.v), false) as r from c left join k on c.tag = k.tag group by all)
 select id as requirement_id, 'tag' as violation from j where not known union all select id, 'subtype' from j where known and not a union all select id, 'qualifiers' from j where a and not b
 union all select id, 'roles' from j where b and not r union all select id, 'needs_review' from j where tag = 'UNKNOWN' and not review
 """)
 def clause_validate(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame(CLAUSES, "requirement_id string, tag string, subtype string, q string, solver string, validator string, needs_review boolean")
-    return clauses.violations(rows.withColumn("qualifiers", F.expr("str_to_map(q, ',', '=')")).drop("q"))
+    """What is wrong with the clause record of every part."""
+    names = ["tag", "subtype", "q", "solver", "validator", "needs_review"]
+    forms = F.array(*[F.struct(*[F.lit(v).cast("boolean" if c == "needs_review" else "string").alias(c) for v, c in zip(f, names, strict=True)]) for f in CLAUSES])
+    rows = table(spark, sf, "part").select(F.concat(F.lit("P-"), F.col("p_partkey").cast("string")).alias("requirement_id"), F.element_at(forms, (F.col("p_partkey") % len(CLAUSES) + 1).cast("int")).alias("f"))
+    return clauses.violations(rows.select("requirement_id", "f.*").withColumn("qualifiers", F.expr("str_to_map(q, ',', '=')")).drop("q"))
 
 
-PHRASES = [(1, "No more than two (2) outside courses"), (2, "at least four courses"), (3, "one or more electives"), (4, "A maximum of 8 units"), (5, "fewer than 3 courses"), (6, "choose ten units")]
+# phrases with a number in words or digits, and what they come to
+_NUMBERS = ["one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten"]
+PHRASES = [("No more than {w} ({n}) outside courses", "max {n} outside courses"), ("at least {w} courses", "min {n} courses"), ("one or more electives", "min 1 electives"), ("A maximum of {n} units", "max {n} units"), ("fewer than {n} courses", "under {n} courses"), ("choose {w} units", "choose {n} units")]
 
 
-@query("phrase_normalise", "select * from (values (1, 'max 2 outside courses'), (2, 'min 4 courses'), (3, 'min 1 electives'), (4, 'max 8 units'), (5, 'under 3 courses'), (6, 'choose 10 units')) v(id, phrase)")
+@query("phrase_normalise", f"""
+select p_partkey as id, replace({_pick([p[1] for p in PHRASES], "p_partkey", True)}, '{{n}}', cast(1 + p_size % 10 as varchar)) as phrase from part
+""")
 def phrase_normalise(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame(PHRASES, "id int, text string").select("id", clauses.normal_phrase(F.col("text")).alias("phrase"))
+    """The normal form of a phrase about every part."""
+    n = F.col("p_size") % 10
+    phrase = F.replace(F.replace(_pick([p[0] for p in PHRASES], "p_partkey", False), F.lit("{n}"), (n + 1).cast("string")), F.lit("{w}"), F.element_at(F.array(*[F.lit(w) for w in _NUMBERS]), (n + 1).cast("int")))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), clauses.normal_phrase(phrase).alias("phrase"))
 
 
-PROGRAM_TEXT = [("Art Minor", "Choose three courses from the following list: ART 101, ART 102. Complete one thesis; a minimum GPA of 2.0 is required.\n- Students may choose any two courses; otherwise, courses are assigned.")]
+PROGRAM_TEXT = "Choose three courses from the following list: {}. Complete one thesis; a minimum GPA of 2.0 is required.\n- Students may choose any two courses; otherwise, courses are assigned."
+SEGMENTS = [("-01", "Choose three courses from the following list: {}."), ("-02", "Complete one thesis"), ("-03", "a minimum GPA of 2.0 is required."), ("-04a", "Students may choose any two courses"), ("-04b", "courses are assigned.")]
 
 
-@query("clause_segments", """select * from (values ('ART-MINOR-01', 'Choose three courses from the following list: ART 101, ART 102.'), ('ART-MINOR-02', 'Complete one thesis'), ('ART-MINOR-03', 'a minimum GPA of 2.0 is required.'),
-  ('ART-MINOR-04a', 'Students may choose any two courses'), ('ART-MINOR-04b', 'courses are assigned.')) v(requirement_id, clause)""")
+@query("clause_segments", f"""
+with f(k, c) as (values {_values(SEGMENTS)}) select 'PART-' || p_partkey || '-MINOR' || k as requirement_id, replace(c, '{{}}', p_name) as clause from part, f
+""")
 def clause_segments(spark: SparkSession, sf: str) -> DataFrame:
-    return clauses.segments(spark.createDataFrame(PROGRAM_TEXT, "program string, text string"), "program").select("requirement_id", "clause")
-
-
-SECTION = "{{\"sisSectionId\": \"{0}\", \"rnrMode\": \"{1}\", \"totalSeats\": 30, \"registeredSeats\": {2}, \"linkCode\": \"{3}\", \"hasDClearance\": {4}, \"notes\": {5}, \"instructors\": [{{\"firstName\": \"Ada\", \"lastName\": \"L\"}}], \"schedule\": [{{\"days\": [\"M\"], \"startTime\": \"10:00\", \"endTime\": \"11:00\"}}]}}"
-FEEDS = [
-    ("20263", "ART", 1, "{\"courses\": [{\"courseId\": \"c1\", \"fullCourseName\": \"ART 101\", \"courseUnits\": [4.0], \"sections\": [" + SECTION.format("1", "Lecture", 35, "A", "true", "null") + ", " + SECTION.format("2", "Lab", 10, "A", "false", "\"ask\"") + "]}, {\"courseId\": \"c2\", \"fullCourseName\": \"MUS 101\", \"courseUnits\": [2.0], \"sections\": []}]}"),
-    ("20263", "MUS", 2, "{\"courses\": [{\"courseId\": \"c1\", \"fullCourseName\": \"MUS 999\"}, {\"courseId\": \"c2\", \"fullCourseName\": \"MUS 101\", \"courseUnits\": [2.0], \"sections\": []}]}"),
-    ("20261", "ART", 1, "{\"courses\": [{\"courseId\": \"c1\", \"fullCourseName\": \"ART 101\", \"courseUnits\": [], \"sections\": []}]}"),
-    ("20261", "BAD", 2, "not json"),
-]
-
-
-def _feed(spark: SparkSession) -> DataFrame:
-    return feed.courses(spark.createDataFrame(FEEDS, "term string, dept string, dept_ord int, body string"))
+    """The numbered clauses of the text of a programme for every part."""
+    rows = table(spark, sf, "part").select(F.concat(F.lit("Part "), F.col("p_partkey").cast("string"), F.lit(" Minor")).alias("program"), F.replace(F.lit(PROGRAM_TEXT), F.lit("{}"), F.col("p_name")).alias("text"))
+    return clauses.segments(rows, "program").select("requirement_id", "clause")
+
+
+# a response for every order: its department is the word of its priority, its courses are its lines
+_MODES = ["Lecture", "Lab", "Quiz", "Discussion", "Seminar"]
+_KINDS = ["lectures", "labs", "quizzes", "discussions", "other"]
+_TERM = "concat(cast(year(o_orderdate) as string), cast(1 + quarter(o_orderdate) % 3 as string))"
+_DEPT = "split_part(split_part(o_orderpriority, '-', 2), ' ', 1)"
+
+
+def _responses(spark: SparkSession, sf: str) -> DataFrame:
+    section = lambda n, key: F.struct(
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", F.lit(n)).alias("sisSectionId"), _pick(_MODES, key, False).alias("rnrMode"), F.lit(30).alias("totalSeats"), F.col("l_quantity").cast("int").alias("registeredSeats"),
+        (F.col("l_linestatus") == "F").alias("hasDClearance"), F.when(F.col("l_returnflag") == "R", "ask").when(F.col("l_returnflag") == "A", "").alias("notes"),
+    )
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", F.expr(_TERM).alias("term"), F.expr(_DEPT).alias("dept"))
+    lines = table(spark, sf, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    course = F.struct(
+        F.concat(F.lit("c"), (F.col("l_partkey") % 200).cast("string")).alias("courseId"), F.concat(F.when(F.col("l_suppkey") % 3 == 0, "OTHER").otherwise(F.col("dept")), F.lit(" "), (100 + F.col("l_partkey") % 400).cast("string")).alias("fullCourseName"),
+        F.when(F.col("l_returnflag") == "N", F.array().cast("array<double>")).otherwise(F.array("l_quantity")).alias("courseUnits"), F.when(F.col("l_suppkey") % 2 == 0, F.array(section(1, "l_suppkey"), section(2, "l_suppkey div 2"))).otherwise(F.array(section(1, "l_suppkey"))).alias("sections"),
+    )
+    listed = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(course)).alias("courses"))
+    whole = orders.join(listed, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    body = F.when(F.col("o_orderstatus") == "P", "not json").otherwise(F.to_json(F.struct(F.coalesce("courses", F.array().cast(listed.schema["courses"].dataType)).alias("courses"))))
+    return whole.select("term", "dept", F.col("o_orderkey").alias("dept_ord"), body.alias("body"))
+
+
+_SQL_KIND = lambda key: f"([{', '.join(repr(k) for k in _KINDS)}])[cast({key} % 5 as int) + 1]"
+SQL_FEED = f"""with o as (select o_orderkey, o_orderstatus, cast(year(o_orderdate) as varchar) || cast(1 + quarter(o_orderdate) % 3 as varchar) as term, split_part(split_part(o_orderpriority, '-', 2), ' ', 1) as dept from orders),
+l as (select term, dept, o_orderkey as ord, 'c' || (l_partkey % 200) as id, case when l_suppkey % 3 = 0 then 'OTHER' else dept end || ' ' || (100 + l_partkey % 400) as name, case when l_returnflag <> 'N' then l_quantity end as units,
+  {_SQL_KIND("l_suppkey")} as k1, case when l_suppkey % 2 = 0 then {_SQL_KIND("(l_suppkey // 2)")} end as k2, l_linestatus = 'F' as clear, l_returnflag = 'R' as limited from lineitem join o on o_orderkey = l_orderkey where o_orderstatus <> 'P'),
+k as (select * from l where starts_with(name, dept || ' ')), f as (select term, id, min(ord) as o from k group by term, id),
+c as (select k.term, k.id as course_id, name as course_name, units, k1 = 'labs' or coalesce(k2 = 'labs', false) as has_lab, clear as has_clearance, limited as has_restrictions,
+  case when k2 is null then k1 || '=1' when k1 = k2 then k1 || '=2' else least(k1, k2) || '=1,' || greatest(k1, k2) || '=1' end as counts from k join f on f.term = k.term and f.id = k.id and ord = o)
+"""
 
 
-@query("feed_courses", """select * from (values ('20263', 'c1', 'ART 101', 4.0::double, true, true, true, 'labs=1,lectures=1'), ('20263', 'c2', 'MUS 101', 2.0, false, false, false, ''), ('20261', 'c1', 'ART 101', null, false, false, false, '')) v(term, course_id, course_name, units, has_lab, has_clearance, has_restrictions, counts)""")
+@query("feed_courses", SQL_FEED + "select * from c")
 def feed_courses(spark: SparkSession, sf: str) -> DataFrame:
+    """The courses of every response, parsed from its JSON."""
     counts = F.array_join(F.transform(F.map_entries("section_counts"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
-    return _feed(spark).select("term", "course_id", "course_name", "units", "has_lab", "has_clearance", "has_restrictions", counts.alias("counts"))
+    return feed.courses(_responses(spark, sf)).select("term", "course_id", "course_name", "units", "has_lab", "has_clearance", "has_restrictions", counts.alias("counts"))
 
 
-@query("feed_frequency", "select * from (values ('ART 101', 2::bigint, '20261,20263', 'every'), ('MUS 101', 1, '20263', 'every')) v(course_name, count, terms, label)")
+@query("feed_frequency", SQL_FEED + """, t as (select count(distinct term) as total from c)
+select course_name, count(*) as count, string_agg(term, ',' order by term) as terms, case when count(*) >= any_value(total) - 1 then 'every' when count(*) >= any_value(total) // 2 then 'most' when count(*) = 1 then 'rarely' else 'occasionally' end as label from c, t group by course_name
+""")
 def feed_frequency(spark: SparkSession, sf: str) -> DataFrame:
-    return feed.frequency(_feed(spark)).withColumn("terms", F.array_join("terms", ","))
+    return feed.frequency(feed.courses(_responses(spark, sf))).withColumn("terms", F.array_join("terms", ","))
 
 
-PLANS = [("p1", 1, "CSCI 104", ["1", "2"]), ("p1", 2, "MATH 225", ["3"]), ("p1", 3, "HIST 400", ["9"]), ("p2", 1, "csci 104", ["1"]), ("p2", 2, "ART 101", ["5"]), ("p3", 1, "ART 101", ["6"])]
-STUDENTS = [("p1", "Computer Science", "Sophomore", 3.5, ["MATH 126"], ["MATH 225"]), ("p2", "History", "Senior", None, ["CSCI 103"], []), ("p3", "Art", None, 3.0, [], [])]
-_S = lambda kind, i, link=None, notes=None, full=False, days=("M",), a="10:00", b="11:00": (kind, i, link, notes, False, full, list(days), a, b)
-CATALOG = [
-    ("CSCI 104", "Prerequisite: CSCI 103; requires a 2.0 GPA", 4.0, True, False, False, False, [_S("lectures", "1", "A"), _S("labs", "2", "A", days=("T",))]),
-    ("MATH 225", None, 4.0, False, False, True, False, [_S("lectures", "3", a="10:30", b="12:00")]),
-    ("ART 101", "Prerequisite: consent", 2.0, False, False, False, True, [_S("lectures", "5", notes="Reserved for students in the School of Art. B.A. only", full=True, days=()), _S("lectures", "6", notes="Only open to undergraduate students", a="TBA")]),
-]
+@query("feed_departments", SQL_FEED + """
+select term, dept, o_orderkey as dept_ord, case when o_orderstatus = 'P' then 'failed' when n is null then 'empty' else 'ok' end as state, case when o_orderstatus = 'P' then 0 else coalesce(n, 0) end::int as n_courses
+from o left join (select l_orderkey, count(*) as n from lineitem group by l_orderkey) on l_orderkey = o_orderkey
+""")
+def feed_departments(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether every department answered, and with how many courses: one that failed is not one that has none."""
+    return feed.departments(_responses(spark, sf))
+
+
+# a plan for every order: its courses are the parts of its lines, in the sections that the line's number says; parts up to a size are in the catalog
+_DEPTS = ["CSCI", "MATH", "ART", "HIST"]
+_RULES = [None, "Prerequisite: CSCI 103; requires a 2.0 GPA", "Prerequisite: consent", "prereq MATH 126 or CSCI 103", "No rules"]
+_NOTES = [None, "Reserved for students in the School of Art. B.A. only", "Only open to undergraduate students", "Not available for History majors", "see the department", ""]
+_MAJORS = ["Computer Science", "History", "Art", None]
+_YEARS = ["Freshman", "Sophomore", "Junior", "Senior", None]
 CLEARANCE = [(1, "exact", "MATH", "all MATH courses", "write to the office")]
 
 
-def _checked(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    section = "array<struct<kind string, section_id string, link_code string, notes string, is_cancelled boolean, is_full boolean, days array<string>, start_time string, end_time string>>"
-    return plan_check.validate(
-        spark.createDataFrame(PLANS, "plan_id string, ord long, course string, sections array<string>"),
-        spark.createDataFrame(STUDENTS, "plan_id string, major string, class_level string, gpa double, completed array<string>, in_progress array<string>"),
-        spark.createDataFrame(CATALOG, f"code string, description string, units double, has_lab boolean, has_discussion boolean, has_clearance boolean, has_restrictions boolean, sections {section}"),
-        spark.createDataFrame(CLEARANCE, "ord int, kind string, prefix string, required_for string, how_to string"),
+def _one(values: list[str | None], key: str):
+    return F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), (F.expr(key) % len(values) + 1).cast("int"))
+
+
+def _sql_one(values: list[str | None], key: str) -> str:
+    return "([" + ", ".join("null" if v is None else "'" + v + "'" for v in values) + f"])[cast({key} % {len(values)} as int) + 1]"
+
+
+def _checked(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    code = lambda p: F.concat(_one(_DEPTS, p), F.lit(" "), (F.expr(p) + 100).cast("string"))
+    text = lambda c: F.expr(c).cast("string")
+    named = lambda p, n: F.concat(F.col(p).cast("string"), F.lit(f"-{n}"))
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").distinct()
+    chosen = F.when(F.col("l_linenumber") == 7, F.array(F.lit("none"))).when(F.col("l_linenumber") % 2 == 0, F.array(named("l_partkey", 1), named("l_partkey", 2))).otherwise(F.array(named("l_partkey", 1)))
+    typed = F.when(F.col("l_partkey") % 2 == 1, F.lower(code("l_partkey"))).otherwise(code("l_partkey"))
+    plans = lines.select(F.col("l_orderkey").alias("plan_id"), (F.col("l_linenumber").cast("long") * 1_000_000_000 + F.col("l_partkey")).alias("ord"), typed.alias("course"), chosen.alias("sections"))
+    ends = lines.groupBy("l_orderkey").agg(F.min("l_partkey").alias("least"), F.max("l_partkey").alias("most"))
+    o = table(spark, sf, "orders").join(ends, F.col("l_orderkey") == F.col("o_orderkey"))
+    students = o.select(
+        F.col("o_orderkey").alias("plan_id"), _one(_MAJORS, "o_custkey").alias("major"), _one(_YEARS, "o_custkey").alias("class_level"), F.when(F.col("o_custkey") % 9 != 0, 1.5 + (F.col("o_custkey") % 25) / 10).alias("gpa"),
+        F.array_compact(F.array(F.when(F.col("o_custkey") % 2 == 0, "MATH 126"), F.when(F.col("o_orderkey") % 3 == 0, code("least")))).alias("completed"), F.array_compact(F.array(F.when(F.col("o_orderkey") % 4 == 0, code("most")))).alias("in_progress"),
+    )
+    p = F.col("p_partkey")
+    hour = lambda n: F.concat((F.lit(n) + p % 10).cast("string"))
+    section = lambda kind, n, link, notes, full, days, a, b: F.struct(
+        F.lit(kind).alias("kind"), named("p_partkey", n).alias("section_id"), link.alias("link_code"), notes.alias("notes"), (p % 11 == 0).alias("is_cancelled"), full.alias("is_full"), days.alias("days"), a.alias("start_time"), b.alias("end_time")
     )
+    none = F.lit(None).cast("string")
+    lecture = section("lectures", 1, F.lit("A"), _one(_NOTES, "p_partkey"), p % 13 == 0, F.when(p % 17 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("M"))), F.concat(hour(8), F.lit(":00")), F.concat(hour(9), F.lit(":15")))
+    lab = section("labs", 2, F.when(p % 10 == 3, "B").otherwise("A"), none, F.lit(False), F.array(F.lit("T")), F.when(p % 19 == 0, "TBA").otherwise(F.concat(hour(9), F.lit(":30"))), F.concat(hour(10), F.lit(":00")))
+    catalog = table(spark, sf, "part").where("p_size <= 40").select(
+        code("p_partkey").alias("code"), _one(_RULES, "p_partkey").alias("description"), (F.col("p_size") % 4 + 1).cast("double").alias("units"), (p % 3 == 0).alias("has_lab"), F.lit(False).alias("has_discussion"),
+        (p % 7 == 0).alias("has_clearance"), (p % 4 == 0).alias("has_restrictions"), F.array(lecture, lab).alias("sections"),
+    )
+    return plan_check.validate(plans, students, catalog, spark.createDataFrame(CLEARANCE, "ord int, kind string, prefix string, required_for string, how_to string"))
+
+
+_SQL_CODE = lambda p: f"{_sql_one(_DEPTS, p)} || ' ' || ({p} + 100)"
+_ARRAY = lambda *cases: "list_filter([" + ", ".join(f"case when {c} then {s} end" for c, s in cases) + "], lambda f: f is not null)"
+# each check as severities; the two notes rules that can hold say so by the number of a part's note
+SQL_CHECKS = f"""
+with lines as (select distinct l_orderkey as plan_id, l_linenumber as n, l_partkey as p from lineitem),
+ends as (select plan_id, min(p) as least, max(p) as most from lines group by plan_id),
+students as (select o_orderkey as plan_id, {_sql_one(_MAJORS, "o_custkey")} as major, {_sql_one(_YEARS, "o_custkey")} as level, case when o_custkey % 9 <> 0 then 1.5::double + cast(o_custkey % 25 as double) / 10 end as gpa,
+  o_custkey % 2 = 0 as math_done, case when o_orderkey % 3 = 0 then least end as done, case when o_orderkey % 4 = 0 then most end as going from orders join ends on plan_id = o_orderkey),
+rows as (select l.plan_id, l.n, l.p, l.n::bigint * 1000000000 + l.p as ord, case when l.p % 2 = 1 then lower({_SQL_CODE("l.p")}) else {_SQL_CODE("l.p")} end as course, s.* exclude (plan_id), p_partkey is not null as known, p_size % 4 + 1 as units,
+  l.n <> 7 and p_partkey is not null as has_lecture, l.n % 2 = 0 and p_partkey is not null as chose_lab from lines l left join students s on s.plan_id = l.plan_id left join part on p_partkey = l.p and p_size <= 40),
+live as (select *, has_lecture and p % 11 <> 0 as lec, chose_lab and p % 11 <> 0 as lab from rows),
+slots as (select plan_id, ord, 'M' as day, (8 + p % 10) * 60 as a, (9 + p % 10) * 60 + 15 as b from live where lec and p % 17 <> 0 union all select plan_id, ord, 'T', (9 + p % 10) * 60 + 30, (10 + p % 10) * 60 from live where lab and p % 19 <> 0),
+met as (select ord, plan_id, count(distinct other) as clashes from (select x.plan_id, x.ord, y.ord as other from slots x join slots y on x.plan_id = y.plan_id and x.day = y.day and x.ord <> y.ord and x.a < y.b and y.a < x.b) group by plan_id, ord),
+noted as (select *, case when lec and known and p % 4 = 0 then p % 6 end as note, known and p % 4 = 0 as limited, lower(coalesce(major, '')) as m, coalesce(level is not null, false) as under from live),
+found as (select noted.*, coalesce(clashes, 0) as clashes, {_ARRAY(
+    ("done = p", "2"), ("going = p and done is distinct from p", "1"), ("p + 100 >= 400 and level in ('Freshman', 'Sophomore')", "1"), ("known and p % 7 = 0", "1"), ("known and p % 7 = 0 and p % 4 = 1", "1"), ("known and p % 7 = 0 and p % 4 = 1", "1"),
+    ("known and p % 5 = 1 and (gpa is null or gpa < 2.0)", "2"), ("known and p % 5 = 1", "2"), ("known and p % 5 = 3", "2"), ("known and p % 5 = 2", "1"), ("not known", "1"), ("lec and p % 13 = 0", "2"),
+    ("known and p % 3 = 0 and not chose_lab", "2"), ("known and p % 3 = 0 and chose_lab and has_lecture and p % 10 = 3", "2"), ("limited and (note is null or note in (0, 5))", "1"),
+    ("limited and note = 1 and m <> '' and m <> 'art'", "2"), ("limited and note = 2 and not under", "2"), ("limited and note = 3 and m = 'history'", "2"), ("limited and note = 4", "1"), ("(lec and p % 17 = 0) or (lab and p % 19 = 0)", "1"),
+)} as f from noted left join met on met.ord = noted.ord and met.plan_id = noted.plan_id),
+courses as (select plan_id, ord, course, known, units, len(f) + clashes as n_reasons, greatest(coalesce(list_max(f), 0), case when clashes > 0 then 2 else 0 end) as worst from found)
+"""
 
 
-@query("plan_validate", """select * from (values ('p1', 1::bigint, 'CSCI 104', 'fail', 2), ('p1', 2, 'MATH 225', 'fail', 5), ('p1', 3, 'HIST 400', 'warning', 2), ('p2', 1, 'csci 104', 'fail', 2), ('p2', 2, 'ART 101', 'fail', 4), ('p3', 1, 'ART 101', 'fail', 3)) v(plan_id, ord, course, status, n_reasons)""")
+@query("plan_validate", SQL_CHECKS + "select plan_id, ord, course, case worst when 2 then 'fail' when 1 then 'warning' else 'pass' end as status, cast(n_reasons as int) as n_reasons from courses")
 def plan_validate(spark: SparkSession, sf: str) -> DataFrame:
-    return _checked(spark)[0].select("plan_id", "ord", "course", "status", F.size("reasons").alias("n_reasons"))
+    """Every course of every plan, with its status and the number of its reasons."""
+    return _checked(spark, sf)[0].select("plan_id", "ord", "course", "status", F.size("reasons").alias("n_reasons"))
 
 
-@query("plan_overall", "select * from (values ('p1', 'invalid', 8.0::double, 1), ('p2', 'invalid', 6.0, 0), ('p3', 'invalid', 2.0, 0)) v(plan_id, overall, total_units, n_warnings)")
+@query("plan_overall", SQL_CHECKS + """, t as (select plan_id, coalesce(sum(case when known then units end), 0)::double as total_units, max(worst) as worst, bool_or(not known) as lost from courses group by plan_id)
+select plan_id, case when worst = 2 then 'invalid' when worst = 1 or lost or total_units > 18 then 'warning' else 'valid' end as overall, total_units, cast(case when total_units > 18 then 1 else 0 end + case when lost then 1 else 0 end as int) as n_warnings from t
+""")
 def plan_overall(spark: SparkSession, sf: str) -> DataFrame:
-    return _checked(spark)[1].select("plan_id", "overall", "total_units", F.size("warnings").alias("n_warnings"))
+    return _checked(spark, sf)[1].select("plan_id", "overall", "total_units", F.size("warnings").alias("n_warnings"))

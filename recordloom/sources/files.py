@@ -5,6 +5,7 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -17,11 +18,16 @@ MARKER = "=== CONTENT ==="
 
 
 def text_corpus(spark: SparkSession, path: str, marker: str = MARKER, keys: list[str] = HEADER) -> DataFrame:
-    """file, header (map of the known keys, the last of equal ones) and body of whole text files."""
+    """file, header and body of whole text files, as `decomposed`."""
     rows = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), "value")
+    return decomposed(rows, marker, keys)
+
+
+def decomposed(rows: DataFrame, marker: str = MARKER, keys: list[str] = HEADER) -> DataFrame:
+    """file, header (map of the known keys, the last of equal ones) and body of (file, value); what has no marker is all body."""
     at = F.instr("value", marker)
-    head = F.when(at > 0, F.expr("substring(value, 1, instr(value, '" + marker + "') - 1)")).otherwise("")
-    body = F.when(at > 0, F.expr(f"substring(value, instr(value, '{marker}') + {len(marker)})")).otherwise(F.col("value"))
+    head = F.when(at > 0, F.substring(F.col("value"), F.lit(1), at - 1)).otherwise("")
+    body = F.when(at > 0, F.substring(F.col("value"), at + len(marker), F.length("value"))).otherwise(F.col("value"))
     pairs = F.transform(F.filter(F.split(head, "\n"), lambda x: x.contains(":")), lambda x: F.struct(F.trim(F.split_part(x, F.lit(":"), F.lit(1))).alias("k"), F.trim(F.regexp_extract(x, r"^[^:]*:(.*)$", 1)).alias("v")))
     known = F.array(*[F.lit(k) for k in keys])
     last = lambda k: F.try_element_at(F.transform(F.filter(pairs, lambda p: p["k"] == k), lambda p: p["v"]), F.lit(-1))
@@ -128,6 +134,13 @@ class _Sheet(InputPartition):
         self.path, self.sheet = path, sheet
 
 
+def _read(path: str) -> bytes:
+    """A whole file of any store that pyarrow reaches by the path."""
+    store, at = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    with store.open_input_stream(at) as f:
+        return f.read()
+
+
 class WorkbookReader(DataSourceReader):
     """One partition a worksheet."""
 
@@ -135,13 +148,11 @@ class WorkbookReader(DataSourceReader):
         self.path = options["path"]
 
     def partitions(self) -> list[_Sheet]:
-        with zipfile.ZipFile(self.path) as z:
+        with zipfile.ZipFile(io.BytesIO(_read(self.path))) as z:
             return [_Sheet(self.path, n) for n in sorted(z.namelist()) if n.startswith("xl/worksheets/") and n.endswith(".xml")]
 
     def read(self, partition: _Sheet) -> Iterator[tuple]:
-        with open(partition.path, "rb") as f:
-            data = f.read()
-        for n, cells in sheet_rows(data, partition.sheet):
+        for n, cells in sheet_rows(_read(partition.path), partition.sheet):
             yield partition.sheet, n, cells
 
 

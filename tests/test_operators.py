@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from recordloom.dom import nodes as dom
 from recordloom.functions import unicode as uni
 from recordloom.dom import noise, regions, render
-from recordloom.operators import audit, clauses, gate, pages, plan_check, report, titles
+from recordloom.operators import audit, clauses, feed, gate, pages, plan_check, report, resolve, titles
 from recordloom.operators import relational as rel
-from recordloom.plans import records
 from recordloom.sources import files
 
 
@@ -41,12 +40,20 @@ def test_unit_loss_boundary(spark):
     assert [lost(bullets(*x)) for x in ((0, 2), (0, 3), (2, 3), (2, 4), (4, 0))] == [False, True, False, True, False]
 
 
+TITLES = [
+    (1, "Biology (BS)", "", "Biology (BS)"), (2, "History, BA", "", None), (3, "Design (Track A) (BFA)*", "", "Design (MFA)"), (4, "Asia Minor Studies (BA)", "", "Asia Minor Studies (BA)"),
+    (5, "Dance Minor", "", "Dance Minor"), (6, "Minor in Painting", "", "Painting (BA)"), (7, "Physics (PhD)", "", "Physics (PhD)"), (8, "Law (JD)", "", None), (9, "Economics (MA)", "", "Economics (BA)"),
+    (10, "Chemistry (BS) / Chemistry (MS)", "", "Chemistry (BS)"), (11, "Graduate Certificate in Ethics", "", None), (12, "Certificate in Data", "", None), (13, "Joint Degree BA/JD", "", None), (14, "Dual Degree in Music", "", None),
+    (15, "Progressive Degree in Film (MA)", "", None), (16, "Pre-Professional Emphasis", "", None), (17, "Bachelor of Arts in Letters", "", None), (18, "Doctor of Music", "", None), (19, "Undecided", "", "Undecided (BA)"),
+    (20, "Music&nbsp;Industry (BM)†", "", "Music Industry (BM)"), (21, "Combined Degree in Art", "", None), (22, "Public Policy", "Minor", None), (23, "Systems (BS and MS)", "", None), (24, "Basics of Art", "", None), (25, "", "", None),
+]
+
+
 def test_titles_and_modes(spark):
-    got = {r["id"]: r["class"] for r in records.classify_title(spark, "").collect()}
+    rows = titles.classify(spark.createDataFrame(TITLES, "id int, title string, label string, page string"))
+    got = {r["id"]: r["class"] for r in rows.collect()}
     want = {1: "included", 2: "included", 4: "included", 5: "excluded_minor", 7: "excluded_doctoral", 8: "excluded_professional", 9: "excluded_masters", 10: "excluded_combined", 11: "excluded_graduate_certificate", 13: "excluded_joint", 15: "excluded_progressive", 17: "included", 18: "excluded_doctoral", 19: "manual_review", 24: "manual_review"}
     assert {k: got[k] for k in want} == want
-    part = {r["part"]: r["n"] for r in records.accounting_partition(spark, "").collect()}
-    assert part["included"] + part["excluded"] + part["review"] == part["discovered"]
 
 
 def test_reconcile(spark):
@@ -60,15 +67,37 @@ def test_challenge(spark):
     assert [r[0] for r in rows.select(pages.challenge(F.col("h"))["challenged"]).collect()] == [True, True, False, False, True, False]
 
 
+PLANS = [("p1", 1, "CSCI 104", ["1", "2"]), ("p1", 2, "MATH 225", ["3"]), ("p1", 3, "HIST 400", ["9"]), ("p2", 1, "csci 104", ["1"]), ("p2", 2, "ART 101", ["5"]), ("p3", 1, "ART 101", ["6"])]
+STUDENTS = [("p1", "Computer Science", "Sophomore", 3.5, ["MATH 126"], ["MATH 225"]), ("p2", "History", "Senior", None, ["CSCI 103"], []), ("p3", "Art", None, 3.0, [], [])]
+_S = lambda kind, i, link=None, notes=None, full=False, days=("M",), a="10:00", b="11:00": (kind, i, link, notes, False, full, list(days), a, b)
+CATALOG = [
+    ("CSCI 104", "Prerequisite: CSCI 103; requires a 2.0 GPA", 4.0, True, False, False, False, [_S("lectures", "1", "A"), _S("labs", "2", "A", days=("T",))]),
+    ("MATH 225", None, 4.0, False, False, True, False, [_S("lectures", "3", a="10:30", b="12:00")]),
+    ("ART 101", "Prerequisite: consent", 2.0, False, False, False, True, [_S("lectures", "5", notes="Reserved for students in the School of Art. B.A. only", full=True, days=()), _S("lectures", "6", notes="Only open to undergraduate students", a="TBA")]),
+]
+CLEARANCE = [(1, "exact", "MATH", "all MATH courses", "write to the office")]
+
+
+def checked(spark):
+    section = "array<struct<kind string, section_id string, link_code string, notes string, is_cancelled boolean, is_full boolean, days array<string>, start_time string, end_time string>>"
+    return plan_check.validate(
+        spark.createDataFrame(PLANS, "plan_id string, ord long, course string, sections array<string>"),
+        spark.createDataFrame(STUDENTS, "plan_id string, major string, class_level string, gpa double, completed array<string>, in_progress array<string>"),
+        spark.createDataFrame(CATALOG, f"code string, description string, units double, has_lab boolean, has_discussion boolean, has_clearance boolean, has_restrictions boolean, sections {section}"),
+        spark.createDataFrame(CLEARANCE, "ord int, kind string, prefix string, required_for string, how_to string"),
+    )
+
+
 def test_plan_reasons(spark):
-    courses, overall = records._checked(spark)
+    courses, overall = checked(spark)
     got = {(r["plan_id"], r["ord"]): r["reasons"] for r in courses.collect()}
     assert "CSCI 104 lacks prerequisites: CSCI 103" in got["p1", 1] and "CSCI 104 conflicts with MATH 225" in got["p1", 1]
     assert "MATH 225 is in progress" in got["p1", 2] and "clearance: write to the office" in got["p1", 2]
     assert got["p1", 3] == ["Sophomores may not be eligible for HIST 400", "HIST 400 is not in the catalog"]
     assert "csci 104 needs a lab section and none is chosen" in got["p2", 1]
     assert "ART 101 is reserved for: School of Art" in got["p2", 2]
-    assert {r["plan_id"]: r["overall"] for r in overall.collect()} == {"p1": "invalid", "p2": "invalid", "p3": "invalid"}
+    assert {r["plan_id"]: (r["overall"], r["total_units"], len(r["warnings"])) for r in overall.collect()} == {"p1": ("invalid", 8.0, 1), "p2": ("invalid", 6.0, 0), "p3": ("invalid", 2.0, 0)}
+    assert {(k, len(v)) for k, v in got.items()} == {(("p1", 1), 2), (("p1", 2), 5), (("p1", 3), 2), (("p2", 1), 2), (("p2", 2), 4), (("p3", 1), 3)}
 
 
 def test_caps_and_grades(spark):
@@ -218,3 +247,51 @@ def test_dump_writes_rows_and_totals(spark, tmp_path):
     files.dump(rows, str(tmp_path), n_named=F.col("v").isNotNull())
     assert spark.read.text(str(tmp_path / "totals")).first()[0] == '{"n":2,"n_named":1}'
     assert spark.read.json(str(tmp_path / "rows")).count() == 2
+
+
+PHRASES = [(1, "No more than two (2) outside courses"), (2, "at least four courses"), (3, "one or more electives"), (4, "A maximum of 8 units"), (5, "fewer than 3 courses"), (6, "choose ten units")]
+
+
+def test_phrases(spark):
+    rows = spark.createDataFrame(PHRASES, "id int, text string").select("id", clauses.normal_phrase(F.col("text")).alias("p")).collect()
+    assert {r["id"]: r["p"] for r in rows} == {1: "max 2 outside courses", 2: "min 4 courses", 3: "min 1 electives", 4: "max 8 units", 5: "under 3 courses", 6: "choose 10 units"}
+
+
+def test_segments_with_many_branches(spark):
+    text = "Choose one; " + "; ".join(f"otherwise, take course {k}" for k in range(30)) + "."
+    rows = clauses.segments(spark.createDataFrame([("Art Minor", text), ("B", None), ("C", "")], "program string, text string"), "program").where("program = 'Art Minor'").orderBy("requirement_id").collect()
+    assert len(rows) == 31 and {r["requirement_id"] for r in rows} >= {"ART-MINOR-01a", "ART-MINOR-01d", "ART-MINOR-01z", "ART-MINOR-0127"}
+
+
+SECTION = "{{\"sisSectionId\": \"{0}\", \"rnrMode\": \"{1}\", \"totalSeats\": 30, \"registeredSeats\": {2}, \"linkCode\": \"{3}\", \"hasDClearance\": {4}, \"notes\": {5}, \"instructors\": [{{\"firstName\": \"Ada\", \"lastName\": \"L\"}}], \"schedule\": [{{\"days\": [\"M\"], \"startTime\": \"10:00\", \"endTime\": \"11:00\"}}]}}"
+FEEDS = [
+    ("20263", "ART", 1, "{\"courses\": [{\"courseId\": \"c1\", \"fullCourseName\": \"ART 101\", \"courseUnits\": [4.0], \"sections\": [" + SECTION.format("1", "Lecture", 35, "A", "true", "null") + ", " + SECTION.format("2", "Lab", 10, "A", "false", "\"ask\"") + "]}, {\"courseId\": \"c2\", \"fullCourseName\": \"MUS 101\", \"courseUnits\": [2.0], \"sections\": []}]}"),
+    ("20263", "MUS", 2, "{\"courses\": [{\"courseId\": \"c1\", \"fullCourseName\": \"MUS 999\"}, {\"courseId\": \"c2\", \"fullCourseName\": \"MUS 101\", \"courseUnits\": [2.0], \"sections\": []}]}"),
+    ("20261", "ART", 1, "{\"courses\": [{\"courseId\": \"c1\", \"fullCourseName\": \"ART 101\", \"courseUnits\": [], \"sections\": []}]}"),
+    ("20261", "BAD", 2, "not json"),
+]
+
+
+def test_feeds(spark):
+    responses = spark.createDataFrame([*FEEDS, ("20262", "NON", 3, '{"courses": []}'), ("20262", "NUL", 4, None)], "term string, dept string, dept_ord int, body string")
+    courses = feed.courses(responses)
+    got = {(r["term"], r["course_id"]): (r["course_name"], r["units"], r["has_lab"], r["has_clearance"], r["has_restrictions"], r["section_counts"]) for r in courses.collect()}
+    assert got == {("20263", "c1"): ("ART 101", 4.0, True, True, True, {"labs": 1, "lectures": 1}), ("20263", "c2"): ("MUS 101", 2.0, False, False, False, {}), ("20261", "c1"): ("ART 101", None, False, False, False, {})}
+    first = courses.where("has_lab").first()["sections"]["lectures"][0]
+    assert (first["instructor"], first["open_seats"], first["start_time"], first["days"]) == ("Ada L", 0, "10:00", ["M"])
+    assert {r["dept"]: r["state"] for r in feed.departments(responses).collect() if r["term"] != "20263"} == {"ART": "ok", "BAD": "failed", "NON": "empty", "NUL": "failed"}
+
+
+SITE = [
+    (1, """<ul><li><a href="index.php?catoid=20">Catalogue 2024-2025</a> [ARCHIVED]</li><li><a href="index.php?catoid=22">Catalogue 2026–2027</a></li><li><a href="index.php?catoid=22">Catalogue again</a></li><li><a href="index.php?catoid=9">About</a></li></ul>
+    <nav><a href="content.php?catoid=22&navoid=1">Programs and more</a><a href="content.php?catoid=22&navoid=2">Programs</a><a href="content.php?catoid=20&navoid=3">Programs</a></nav>
+    <main><a href="preview_program.php?catoid=22&poid=5&returnto=1">Art (BA)</a><a href="/preview_program.php?catoid=22&poid=6#x">Law</a><a href="preview_program.php?poid=5&catoid=22">Art</a><a href="preview_program.php?catoid=22&poid=">None</a><a href="#top">Top</a></main>"""),
+]
+
+
+def test_sites(spark):
+    links = resolve.anchors(dom.nodes(spark.createDataFrame(SITE, "page_id int, html string")))
+    assert sorted((r["edition"], r["year"], r["archived"]) for r in resolve.editions(links).collect()) == [("20", "2024-2025", True), ("22", "2026-2027", False)]
+    assert resolve.current(resolve.editions(links)).first()["edition"] == "22" and resolve.navigation(links, "Programs", F.lit("22")).first()["id"] == "2"
+    kept, counts = resolve.program_links(links)
+    assert [(r["seq"], r["poid"], r["title"]) for r in kept.orderBy("seq").collect()] == [(1, "5", "Art (BA)"), (2, "6", "Law")] and counts.first()["duplicates"] == 1
