@@ -89,4 +89,4 @@ def segments(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
 def tag_counts(records: DataFrame, program: str = "program") -> DataFrame:
     """Records of each tag per program, one column a tag."""
     tags = sorted({r[0] for r in RULES})
-    return records.groupBy(program).pivot("tag", tags).agg(F.count("*")).na.fill(0)
+    return records.groupBy(program).pivot("tag", tags).agg(F.count(F.lit(1))).na.fill(0)

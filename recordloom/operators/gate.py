@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.functions import text as tx
+from recordloom.sources import files
 
 # fixed values: patterns that never occur in a clean body, with their names
 FATAL = [
@@ -97,3 +98,12 @@ def verdicts(docs: DataFrame, key: str = "doc_id", text: str = "text", name: Col
     rows = features(docs, key, text, name).withColumn("reasons", reasons())
     hard = F.exists("reasons", lambda r: r.startswith("contaminated") | (r == "empty") | r.startswith("under_"))
     return rows.withColumn("verdict", F.when(hard, "FAIL").when(F.size("reasons") > 0, "REVIEW").otherwise("PASS"))
+
+
+def output_problems(outputs: DataFrame, key: str, value: str = "value") -> DataFrame:
+    """key, problem and reasons of stored outputs: one without the marker, one whose body does not pass the gate under the name in its header, or null."""
+    rows = files.decomposed(outputs.select(F.col(key).alias("file"), F.col(value).alias("value"))).withColumn("name", F.col("header")["Program"])
+    judged = verdicts(rows.select("file", "body", "name"), "file", "body", F.col("name")).select("file", "verdict", F.array_join("reasons", " | ").alias("reasons"))
+    marked = outputs.select(F.col(key).alias("file"), F.col(value).contains(files.MARKER).alias("marked"))
+    problem = F.when(~F.col("marked"), "no_marker").when(F.col("verdict") != "PASS", "content")
+    return marked.join(judged, "file").select(F.col("file").alias(key), problem.alias("problem"), F.when(F.col("marked"), F.col("reasons")).alias("reasons"))

@@ -124,6 +124,12 @@ def conflicts(rows: DataFrame) -> DataFrame:
     return both
 
 
+def incomplete(plans: DataFrame) -> DataFrame:
+    """(plan_id, ord, missing) of entries without a course or without a section, which can't be judged."""
+    missing = F.when(F.col("course").isNull(), "course").when(F.coalesce(F.size("sections") <= 0, F.lit(True)), "sections")
+    return plans.select("plan_id", "ord", missing.alias("missing")).where("missing is not null")
+
+
 def require_sections(plans: DataFrame) -> DataFrame:
     """`plans`, which fail when read if an entry names no section."""
     named = F.coalesce(F.size("sections") > 0, F.lit(False)) & F.col("course").isNotNull()

@@ -86,6 +86,13 @@ def chunks(lines: DataFrame, key: str, pos: str, line: str, divider: str = r"^\s
     return lines.withColumn("chunk", F.sum(F.col(line).rlike(divider).cast("int")).over(w))
 
 
+def labelled(lines: DataFrame, key: str, pos: str, line: str, labels: list[str]) -> DataFrame:
+    """Lines with `label`: the first of the labels that their chunk holds, by its place; null where it holds none."""
+    found = F.array_compact(F.array(*[F.when(F.col(line).contains(x), F.lit(x)) for x in labels]))
+    first = lines.withColumn("__found", found).where(F.size("__found") > 0).groupBy(key, "chunk").agg(F.min_by(F.col("__found")[0], pos).alias("label"))
+    return lines.join(first, [key, "chunk"], "left")
+
+
 def rebuilt_lines(fragments: DataFrame) -> DataFrame:
     """(page, y, line): fragments (page, x, y, s) of one baseline joined from left to right."""
     parts = F.array_sort(F.collect_list(F.struct("x", "s")))

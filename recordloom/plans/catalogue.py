@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from recordloom.plans import corpus, limits, pages, records, relational, runs, state  # noqa: F401
+from recordloom.plans import corpus, files, limits, pages, records, relational, runs, state  # noqa: F401

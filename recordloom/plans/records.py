@@ -471,7 +471,8 @@ def _sql_one(values: list[str | None], key: str) -> str:
     return "([" + ", ".join("null" if v is None else "'" + v + "'" for v in values) + f"])[cast({key} % {len(values)} as int) + 1]"
 
 
-def _checked(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def checked(spark: SparkSession, sf: str, full_time: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Every planned course and every plan, judged."""
     code = lambda p: F.concat(_one(_DEPTS, p), F.lit(" "), (F.expr(p) + 100).cast("string"))
     text = lambda c: F.expr(c).cast("string")
     named = lambda p, n: F.concat(F.col(p).cast("string"), F.lit(f"-{n}"))
@@ -497,7 +498,7 @@ def _checked(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
         code("p_partkey").alias("code"), _one(_RULES, "p_partkey").alias("description"), (F.col("p_size") % 4 + 1).cast("double").alias("units"), (p % 3 == 0).alias("has_lab"), F.lit(False).alias("has_discussion"),
         (p % 7 == 0).alias("has_clearance"), (p % 4 == 0).alias("has_restrictions"), F.array(lecture, lab).alias("sections"),
     )
-    return plan_check.validate(plans, students, catalog, spark.createDataFrame(CLEARANCE, "ord int, kind string, prefix string, required_for string, how_to string"))
+    return plan_check.validate(plans, students, catalog, spark.createDataFrame(CLEARANCE, "ord int, kind string, prefix string, required_for string, how_to string"), full_time)
 
 
 _SQL_CODE = lambda p: f"{_sql_one(_DEPTS, p)} || ' ' || ({p} + 100)"
@@ -527,11 +528,11 @@ courses as (select plan_id, ord, course, known, units, len(f) + clashes as n_rea
 @query("plan_validate", SQL_CHECKS + "select plan_id, ord, course, case worst when 2 then 'fail' when 1 then 'warning' else 'pass' end as status, cast(n_reasons as int) as n_reasons from courses")
 def plan_validate(spark: SparkSession, sf: str) -> DataFrame:
     """Every course of every plan, with its status and the number of its reasons."""
-    return _checked(spark, sf)[0].select("plan_id", "ord", "course", "status", F.size("reasons").alias("n_reasons"))
+    return checked(spark, sf)[0].select("plan_id", "ord", "course", "status", F.size("reasons").alias("n_reasons"))
 
 
 @query("plan_overall", SQL_CHECKS + """, t as (select plan_id, coalesce(sum(case when known then units end), 0)::double as total_units, max(worst) as worst, bool_or(not known) as lost from courses group by plan_id)
 select plan_id, case when worst = 2 then 'invalid' when worst = 1 or lost or total_units > 18 then 'warning' else 'valid' end as overall, total_units, cast(case when total_units > 18 then 1 else 0 end + case when lost then 1 else 0 end as int) as n_warnings from t
 """)
 def plan_overall(spark: SparkSession, sf: str) -> DataFrame:
-    return _checked(spark, sf)[1].select("plan_id", "overall", "total_units", F.size("warnings").alias("n_warnings"))
+    return checked(spark, sf)[1].select("plan_id", "overall", "total_units", F.size("warnings").alias("n_warnings"))
