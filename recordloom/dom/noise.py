@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.dom.regions import HEADINGS, KEY, running, sums
+from recordloom.sources.shared import settled
 
 # fixed values: the selectors of noise, in their order, and names of navigation
 SELECTORS = [
@@ -85,7 +86,8 @@ def named(nodes: DataFrame, removed: DataFrame) -> DataFrame:
 
 def noise(nodes: DataFrame, selectors: list[str] = SELECTORS) -> DataFrame:
     """(key, pre, post, selector): every element that is noise by itself, with the first selector that fits, or as named like navigation."""
-    first = matches(nodes, selectors).groupBy(KEY, "pre", "post").agg(F.min_by("selector", "s_order").alias("selector"))
+    # settled, as the names are looked for among what the selectors leave
+    first = settled(matches(nodes, selectors).groupBy(KEY, "pre", "post").agg(F.min_by("selector", "s_order").alias("selector")))
     return first.unionByName(named(nodes, first).withColumn("selector", F.lit(NAMED)))
 
 

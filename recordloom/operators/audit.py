@@ -18,9 +18,11 @@ def signatures(site: str = "Example University") -> list[tuple[str, str, str]]:
 
 
 def signature_counts(docs: DataFrame, key: str, text: str, table: list[tuple[str, str, str]]) -> DataFrame:
-    """key, signature, severity, hits for every signature that occurs: one scan, all patterns fused."""
-    hits = F.array(*[F.struct(F.lit(k).alias("signature"), F.lit(s).alias("severity"), F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(p)).cast("long").alias("hits")) for k, s, p in table])
-    return docs.select(key, F.explode(F.filter(hits, lambda x: x["hits"] > 0)).alias("s")).select(key, "s.signature", "s.severity", "s.hits")
+    """key, signature, severity, hits for every signature that occurs: one scan; patterns are counted only where a literal of theirs occurs."""
+    rows = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("low", F.lower("t"))
+    count = lambda k, p: F.when(gate.may_hold(k, F.col("t"), F.col("low")), F.regexp_count("t", F.lit(p))).otherwise(0).cast("long")
+    hits = F.array(*[F.struct(F.lit(k).alias("signature"), F.lit(s).alias("severity"), count(k, p).alias("hits")) for k, s, p in table])
+    return rows.select(key, F.explode(F.filter(hits, lambda x: x["hits"] > 0)).alias("s")).select(key, "s.signature", "s.severity", "s.hits")
 
 
 def counts(docs: DataFrame, key: str, text: str) -> DataFrame:

@@ -18,6 +18,7 @@ FATAL = [
     ("bot_wall", r"(?:verify you are human|Pardon our interruption|Request unsuccessful|Access Denied)"),
     ("menu_run", r"Courses\s+Programs\s+School"),
 ]
+# fixed values: course codes, units, sections, headings, bullets and stubs of a body; the words of sections, and the least sizes
 CODE = r"\b[A-Z]{2,5}\s\d{3}[A-Za-z]{0,3}\b"
 UNITS = r"(?i)\bUnits?:\s*\d|\bTotal units\b"
 SECTION = r"(?m)^#{2,4}\s+\S"
@@ -29,6 +30,26 @@ SECTION_WORDS = ["admission", "requirement", "restriction", "advisement", "prere
 LEAST_CHARS, LEAST_WEAK_CHARS, MOST_REPEATS, LONG_SENTENCE = 200, 971, 3, 80
 
 
+#: What a text must hold, as written, for a pattern to be looked for at all; a search for a literal costs a fraction of one for a pattern.
+LITERALS = {
+    "skip_link": ["Skip to Navigation"], "layout_marks": ["Begin Responsive", "End Responsive"], "html_markup": ["<"], "placeholder": ["Loading...", "Please wait", "Just a moment"], "script_markup": ["script"],
+    "script_error": ["ReferenceError", "TypeError:", "Uncaught ", "undefined is not a function"], "bot_wall": ["verify you are human", "Pardon our interruption", "Request unsuccessful", "Access Denied"], "menu_run": ["Programs"],
+    "table_header": ["TABLE:"], "script_file": [".js"], "style_file": [".css"], "menu_words": ["About"], "html_entity": ["&"], "shouting": ["!!"],
+}
+#: The same in lower case, for patterns that look at no case.
+LOWER_LITERALS = {"cookie_notice": ["cookie"], "noscript_note": ["enable javascript"], "licence_line": ["licensed under"], "units": ["unit"], "stub": ["see"]}
+
+
+def may_hold(name: str, text: Column, low: Column) -> Column:
+    """Whether a text holds a literal without which the named pattern can't occur; true for a pattern without one."""
+    held = F.lit(False)
+    for x in LITERALS.get(name, []):
+        held = held | text.contains(x)
+    for x in LOWER_LITERALS.get(name, []):
+        held = held | low.contains(x)
+    return held if name in LITERALS or name in LOWER_LITERALS else F.lit(True)
+
+
 def fatal_patterns(site: str) -> list[tuple[str, str]]:
     return [(k, p.replace("{site}", site)) for k, p in FATAL]
 
@@ -36,9 +57,9 @@ def fatal_patterns(site: str) -> list[tuple[str, str]]:
 def title_present(body: Column, name: Column) -> Column:
     """Whether a heading starts with the name's stem; any heading of level 1 to 3 if there is no stem."""
     stem = tx.folded(F.regexp_replace(F.regexp_extract(F.coalesce(name, F.lit("")), r"^([^(]*)", 1), r"[*†‡]+\s*$", ""))
-    lines = F.filter(F.split(body, r"\R"), lambda x: x.startswith("#"))
+    lines = F.filter(F.split(F.when(body.contains("#"), body).otherwise(""), r"\R"), lambda x: x.startswith("#"))
     named = F.exists(lines, lambda x: tx.folded(F.regexp_replace(x, r"^#+", "")).startswith(stem))
-    return F.when(stem == "", body.rlike(HEADING)).otherwise(named)
+    return F.when(stem == "", body.contains("#") & body.rlike(HEADING)).otherwise(named)
 
 
 def repeated_sentences(docs: DataFrame, key: str, text: str, least: int = LONG_SENTENCE) -> DataFrame:
@@ -52,23 +73,23 @@ def repeated_sentences(docs: DataFrame, key: str, text: str, least: int = LONG_S
 def features(docs: DataFrame, key: str = "doc_id", text: str = "text", name: Column | None = None, site: str = "Example University") -> DataFrame:
     """One row a document with everything that the gate judges by."""
     body = tx.strip(F.coalesce(F.col(text), F.lit("")))
-    rows = docs.select(F.col(key), body.alias("body"), (name if name is not None else F.lit("")).alias("name"))
-    b = F.col("body")
-    bullets = F.regexp_extract_all(b, F.lit(BULLET), F.lit(0))
+    rows = docs.select(F.col(key), body.alias("body"), (name if name is not None else F.lit("")).alias("name")).withColumn("low", F.lower("body"))
+    b, low = F.col("body"), F.col("low")
+    bullets = F.regexp_extract_all(F.when(b.contains("-"), b).otherwise(""), F.lit(BULLET), F.lit(0))
     bare = F.filter(bullets, lambda x: ~F.regexp_replace(x, r"^\s*-\s+[A-Z]{2,5}\s?\d{3}[A-Za-z]{0,3}", "").rlike(BULLET_UNITS))
-    last = F.element_at(F.filter(F.split(F.concat(F.lit("\n"), b), r"\R"), lambda x: tx.strip(x) != ""), -1)
+    last = F.element_at(F.split(F.substring_index(b, "\n", -1), r"\R"), -1)  # a body has no white space at its end
     rows = rows.select(
         key, "body",
         F.length(b).cast("long").alias("body_chars"),
-        F.array_compact(F.array(*[F.when(b.rlike(p), F.lit(k)) for k, p in fatal_patterns(site)])).alias("fatal"),
+        F.array_compact(F.array(*[F.when(may_hold(k, b, low) & b.rlike(p), F.lit(k)) for k, p in fatal_patterns(site)])).alias("fatal"),
         F.regexp_count(b, F.lit(CODE)).alias("codes"),
-        F.regexp_count(b, F.lit(UNITS)).alias("units"),
+        F.when(low.contains("unit"), F.regexp_count(b, F.lit(UNITS))).otherwise(0).alias("units"),
         title_present(b, F.col("name")).alias("has_title"),
-        F.regexp_count(b, F.lit(SECTION)).alias("sections"),
-        sum((F.lower(b).contains(w).cast("int") for w in SECTION_WORDS), F.lit(0)).alias("section_words"),
+        F.when(b.contains("##"), F.regexp_count(b, F.lit(SECTION))).otherwise(0).alias("sections"),
+        sum((low.contains(w).cast("int") for w in SECTION_WORDS), F.lit(0)).alias("section_words"),
         F.size(bullets).alias("bullets"), F.size(bare).alias("bare_bullets"),
         F.when(b == "", False).otherwise(F.coalesce(tx.strip(last).rlike(r"(?:[.!?:]|---)$|^#"), F.lit(False))).alias("ends_cleanly"),
-        b.rlike(STUB).alias("refers"),
+        (low.contains("see") & b.rlike(STUB)).alias("refers"),
     )
     repeats = repeated_sentences(rows, key, "body")
     rows = rows.drop("body").join(repeats, key, "left").withColumns({"repeats": F.coalesce("repeats", F.lit(1)).cast("long"), "excerpt": F.coalesce("excerpt", F.lit(""))})

@@ -1,6 +1,6 @@
 """Web pages as columns: features, challenge detection, semantic checks."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.functions import text as tx
@@ -18,15 +18,22 @@ def marks(c: Column, words: list[str]) -> Column:
     return F.array_compact(F.array(*[F.when(c.contains(w), F.lit(w)) for w in words]))
 
 
-def challenge(html: Column) -> Column:
-    """Struct (challenged, evidence): marks in title or scripts decide; marks in the text do on a short page, or if there are two."""
-    h = F.coalesce(html, F.lit(""))
-    body = F.lower(F.regexp_replace(h, r"(?is)<noscript[^>]*>.*?</noscript>", " "))
-    title, script, text = marks(F.lower(tx.title_of(h)), TITLE_MARKS), marks(F.lower(h), SCRIPT_MARKS), marks(body, TEXT_MARKS)
-    strong = (F.size(title) > 0) | (F.size(script) > 0)
-    weak = (F.size(text) > 0) & ((F.length(tx.visible_text(h, keep_noscript=True)) < LONG_PAGE) | (F.size(text) >= 2))
+def challenged(rows: DataFrame, html: str = "html", out: str = "challenge") -> DataFrame:
+    """`rows` with a struct (challenged, evidence): marks in title or scripts decide; marks in the text do on a short page, or if there are two.
+
+    The page is lower-cased once, as a column of its own, before it is searched for every mark.
+    """
+    h = F.coalesce(F.col(html), F.lit(""))
+    noscript = F.col("__low").contains("<noscript")
+    made = rows.withColumn("__low", F.lower(h)).withColumn("__body", F.when(noscript, F.lower(F.regexp_replace(h, r"(?is)<noscript[^>]*>.*?</noscript>", " "))).otherwise(F.col("__low"))).withColumn("__title", F.lower(tx.title_of(h)))
+    found = {"__t": marks(F.col("__title"), TITLE_MARKS), "__s": marks(F.col("__low"), SCRIPT_MARKS), "__b": marks(F.col("__body"), TEXT_MARKS)}
+    made = made.withColumns(found)
+    strong = (F.size("__t") > 0) | (F.size("__s") > 0)
+    # what is shown is only measured where it decides
+    weak = F.when(F.size("__b") == 1, F.length(tx.visible_text(h, keep_noscript=True)) < LONG_PAGE).otherwise(F.size("__b") >= 2)
     tag = lambda name, a: F.transform(a, lambda m: F.concat(F.lit(name + ":"), m))
-    return F.struct((strong | weak).alias("challenged"), F.concat(tag("title", title), tag("body", text), tag("script", script)).alias("evidence"))
+    value = F.struct((strong | weak).alias("challenged"), F.concat(tag("title", "__t"), tag("body", "__b"), tag("script", "__s")).alias("evidence"))
+    return made.withColumn(out, value).drop("__low", "__body", "__title", *found)
 
 
 def signal_count(text: Column) -> Column:

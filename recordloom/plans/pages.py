@@ -57,7 +57,7 @@ def page_noise(spark: SparkSession, sf: str) -> DataFrame:
 @query("page_render")
 def page_render(spark: SparkSession, sf: str) -> DataFrame:
     """The text of every page without noise and lines of the interface."""
-    return render.rendered(noise.cleaned(_nodes(spark, sf)))
+    return render.rendered(settled(noise.cleaned(_nodes(spark, sf))))
 
 
 @query("page_breadcrumb")

@@ -218,8 +218,7 @@ select page_id, len(a) > 0 or len(s) > 0 or (len(b) > 0 and (n < 3500 or len(b)
 
 @query("page_challenge", SQL_CHALLENGE)
 def page_challenge(spark: SparkSession, sf: str) -> DataFrame:
-    c = pages.challenge(F.col("html"))
-    return table(spark, sf, "pages").select("page_id", c["challenged"].alias("challenged"), F.array_join(c["evidence"], " ").alias("evidence"))
+    return pages.challenged(table(spark, sf, "pages")).select("page_id", "challenge.challenged", F.array_join("challenge.evidence", " ").alias("evidence"))
 
 
 SQL_SEMANTIC = f"""
@@ -245,7 +244,7 @@ def acquisition_modes(spark: SparkSession, sf: str) -> DataFrame:
     html = F.col("html")
     lost = F.when(html.isNull(), "no body")
     valid = pages.semantic_ok(F.lit("index"), html, pages.link_count(html, 'href="[^"]+"'), F.lower(tx.visible_text(html)).contains("the"))
-    return table(spark, sf, "pages").select("page_id", pages.acquisition_mode(lost, pages.challenge(html)["challenged"], valid, F.lit(200)).alias("mode"))
+    return pages.challenged(table(spark, sf, "pages")).select("page_id", pages.acquisition_mode(lost, F.col("challenge.challenged"), valid, F.lit(200)).alias("mode"))
 
 
 @query("final_url_ids", SQL_URL + "select page_id, len(list_filter(e, lambda z: split_part(z, '=', 1) = 'page')) > 0 as same from k")

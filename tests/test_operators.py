@@ -64,7 +64,7 @@ def test_reconcile(spark):
 def test_challenge(spark):
     cases = ["<title>Just a moment...</title>", "<p>captcha</p>", "<p>captcha</p>" + "<p>" + "word " * 900 + "</p>", "<noscript>access denied</noscript><p>ok</p>", "<script src='hcaptcha.com'></script>" + "x " * 4000, None]
     rows = spark.createDataFrame([(i, h) for i, h in enumerate(cases)], "i int, h string").orderBy("i")
-    assert [r[0] for r in rows.select(pages.challenge(F.col("h"))["challenged"]).collect()] == [True, True, False, False, True, False]
+    assert [r[0] for r in pages.challenged(rows, "h").orderBy("i").select("challenge.challenged").collect()] == [True, True, False, False, True, False]
 
 
 PLANS = [("p1", 1, "CSCI 104", ["1", "2"]), ("p1", 2, "MATH 225", ["3"]), ("p1", 3, "HIST 400", ["9"]), ("p2", 1, "csci 104", ["1"]), ("p2", 2, "ART 101", ["5"]), ("p3", 1, "ART 101", ["6"])]
