@@ -59,6 +59,19 @@ def as_of(left: DataFrame, right: DataFrame, key: str, at: str, tie: str, values
     return left.join(found, [key, at], "left").select(*left.columns, *[F.col("as_of_v")[v].alias(f"last_{v}") for v in values])
 
 
+def before(rows: DataFrame, key: list[str], order: list[str], value: str, out: str, size: int = ROWS) -> DataFrame:
+    """`rows` with a struct `out` (is_first, value): whether a row is the first of its key, and the value of the row before it."""
+    dealt = ranged(rows, [*key, *order], size)
+    here = Window.partitionBy(CELL, *key).orderBy(*order)
+    near = F.lag(F.struct(F.lit(False).alias("is_first"), F.col(value).alias("value"))).over(here)
+    last = dealt.groupBy(*key, CELL).agg(F.max_by(F.struct(F.lit(False).alias("is_first"), F.col(value).alias("value")), F.struct(*order)).alias("last"))
+    carried = last.withColumn("last", F.lag("last").over(Window.partitionBy(*key).orderBy(CELL)))
+    carried = carried.select(*[F.col(k).alias(f"c_{k}") for k in key], F.col(CELL).alias("c_cell"), F.col("last").alias("carried_last"))
+    none = F.struct(F.lit(True).alias("is_first"), F.lit(None).cast(rows.schema[value].dataType).alias("value"))
+    joined = dealt.withColumn(out, near).join(carried, (F.col(CELL) == F.col("c_cell")) & _paired("c_", key))
+    return joined.select(*rows.columns, F.coalesce(F.col(out), F.col("carried_last"), none).alias(out))
+
+
 def selected(rows: DataFrame, key: list[str], value: str, ranks: dict[str, Column], size: int = ROWS) -> DataFrame:
     """key, n and, for each name in `ranks`, the value of that rank (from 1; an expression over `n`) among the key's rows; nulls don't count.
 

@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recordloom.operators import ranges
+
 
 def accepted(rows: DataFrame, keys: list[str], ok: Column, order: str, value: Column) -> DataFrame:
     """The last row for which `ok` holds, else the first one seen, of each key."""
@@ -37,11 +39,11 @@ def continued(known: DataFrame, new: DataFrame, key: str, seq: str) -> DataFrame
     return known.select(key, seq).unionByName(fresh.crossJoin(F.broadcast(top)).select(key, (F.col("__top") + F.col("__n")).alias(seq)))
 
 
-def runs(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
-    """keys, n_runs, longest of the runs of equal consecutive values."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    changed = (~F.col(value).eqNullSafe(F.lag(value).over(w)) | F.lag(F.lit(1)).over(w).isNull()).cast("int")
-    marked = rows.withColumn("__new", changed).withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+def runs(rows: DataFrame, keys: list[str], order: list[str], value: str, size: int = ranges.ROWS) -> DataFrame:
+    """keys, n_runs, longest of the runs of equal consecutive values; `order` is unique in a key, whose rows may lie in several ranges."""
+    last = ranges.before(rows.select(*keys, *order, value), keys, order, value, "__last", size)
+    changed = F.col("__last.is_first") | ~F.col(value).eqNullSafe(F.col("__last.value"))
+    marked = ranges.running_total(last.withColumn("__new", changed.cast("long")), keys, order, "__new", "__run", size)
     return marked.groupBy(*keys, "__run").agg(F.count("*").alias("__n")).groupBy(*keys).agg(F.count("*").alias("n_runs"), F.max("__n").alias("longest"))
 
 

@@ -97,8 +97,10 @@ with f as (select l_suppkey, l_partkey, min(l_orderkey) as o from lineitem group
 select l_suppkey, l_partkey, cast(row_number() over (partition by l_suppkey order by o, l_partkey) as int) as seq from f
 """)
 def link_sequence(spark: SparkSession, sf: str) -> DataFrame:
-    first = table(spark, sf, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.min("l_orderkey").alias("o"))
-    return first.select("l_suppkey", "l_partkey", F.row_number().over(Window.partitionBy("l_suppkey").orderBy("o", "l_partkey")).alias("seq"))
+    """Each supplier's parts numbered by their first order, by ranges, so that a supplier of very many is not one task's."""
+    first = table(spark, sf, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.min("l_orderkey").alias("o")).withColumn("one", F.lit(1))
+    numbered = ranges.running_total(first, ["l_suppkey"], ["o", "l_partkey"], "one", "seq")
+    return numbered.select("l_suppkey", "l_partkey", F.col("seq").cast("int").alias("seq"))
 
 
 @query("filename_reserve", """
@@ -209,15 +211,19 @@ def already_taken(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("missing_prereq", SQL_TAKEN + """,
-need as (select p_partkey as part from part where p_size = 1 and p_type = 'ECONOMY'), c as (select distinct cust from x)
-select cust, count(*) as n, string_agg(cast(part as varchar), ',' order by part) as missing from c, need where not exists (select 1 from x where x.s = 'F' and x.cust = c.cust and x.part = need.part) group by cust
+need as (select p_partkey as part, unnest([(p_partkey + 13) % 200, (p_partkey + 26) % 200, (p_partkey + 39) % 200]) as req from part),
+asked as (select distinct cust, part, req from (select distinct cust, part from x where s = 'O') join need using (part) where req <> part)
+select cust, part, count(*) as n, string_agg(cast(req as varchar), ',' order by req) as missing from asked where not exists (select 1 from x where x.s = 'F' and x.cust = asked.cust and x.part = asked.req) group by cust, part
 """)
 def missing_prereq(spark: SparkSession, sf: str) -> DataFrame:
-    """What of a small required list each customer lacks."""
-    need = table(spark, sf, "part").where("p_size = 1 and p_type = 'ECONOMY'").agg(F.array_sort(F.collect_set("p_partkey")).alias("need"))
-    rows = _taken(spark, sf).groupBy("cust").agg(F.collect_set(F.when(F.col("s") == "F", F.col("part"))).alias("done"))
-    lacks = rows.crossJoin(F.broadcast(need)).select("cust", F.array_except("need", "done").alias("m")).where(F.size("m") > 0)
-    return lacks.select("cust", F.size("m").cast("long").alias("n"), F.array_join(F.transform("m", lambda x: x.cast("string")), ",").alias("missing"))
+    """What each open course of a customer requires and the customer has not completed: equal joins, three requirements a course."""
+    p = F.col("p_partkey")
+    need = table(spark, sf, "part").select(p.alias("part"), F.explode(F.array((p + 13) % 200, (p + 26) % 200, (p + 39) % 200)).alias("req")).where("req <> part").distinct()
+    taken = _taken(spark, sf)
+    asked = taken.where("s = 'O'").select("cust", "part").distinct().join(need, "part")
+    lacks = asked.join(taken.where("s = 'F'").select("cust", F.col("part").alias("req")).distinct(), ["cust", "req"], "left_anti")
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list("req")), lambda x: x.cast("string")), ",")
+    return lacks.groupBy("cust", "part").agg(F.count("*").alias("n"), listed.alias("missing"))
 
 
 @query("not_in_catalog", "select distinct l_orderkey, l_partkey from lineitem where not exists (select 1 from part where p_partkey = l_partkey and p_size > 5)")

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recordloom.operators import containment, limits, ranges
+from recordloom.operators import relational as rel
 
 
 def rows_of(df):
@@ -30,6 +31,18 @@ def test_running_total_over_ranges(spark, size):
     assert rows_of(got) == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("size", [20, 1_000_000])
+def test_runs_over_ranges(spark, size):
+    rows = [(k, t or 0, i, v) for k, t, i, v in hot_rows(8)]
+    got = {r["k"]: (r["n_runs"], r["longest"]) for r in rel.runs(spark.createDataFrame(rows, "k string, t int, i int, v int"), ["k"], ["t", "i"], "v", size).collect()}
+    want = {}
+    for k in {r[0] for r in rows}:
+        values = [r[3] for r in sorted((r for r in rows if r[0] == k), key=lambda r: r[1:3])]
+        sizes = [len(list(g)) for _, g in itertools.groupby(values)]
+        want[k] = (len(sizes), max(sizes))
+    assert got == want
+
+
 @pytest.mark.parametrize("size", [20, 1_000_000])
 @pytest.mark.parametrize("strict", [True, False])
 def test_as_of_over_ranges(spark, size, strict):
