@@ -6,14 +6,14 @@ the longest match not yet covered is marked again and again, down to matches of
 Karp-Rabin pass finds the matches of each length from rolling hashes.  The tiles' share of the
 item's words is its coverage, whatever their order, so reordered passages count in full.
 
-Seeds are held as a sorted array of at most MAX_SEEDS hashes, which is broadcast; more items are
-passed in parts of that size, each over all documents.  Parts are made one at a time, and released
-once their result is written.  Pairs whose shared seeds cover less of the item than is asked for are
-not tiled.
+Seeds are held as a sorted array of about MAX_SEEDS hashes at most, which is broadcast; more items are
+passed in parts of that size, each over all documents, which are read once a part and never written.  Parts
+are made one at a time, and released once what they found is written.  Items with equal text are tiled
+as one.  Pairs whose shared seeds cover less of the item than is asked for are not tiled.
 
 Edge cases: null and empty texts have no words and match nothing; an item of fewer than `seed` words
-is matched as a whole; repeated documents or items pair separately; without items or documents the
-result is empty; other columns may have any name.
+is matched as a whole; repeated documents or items pair separately; items without an id take no part in
+`contaminated` and `clean`; without items or documents the result is empty; other columns may have any name.
 """
 
 from collections import deque
@@ -145,13 +145,18 @@ class Items:
         return sorted(out)
 
 
-def item_parts(items: DataFrame, seed: int = SEED, max_seeds: int = MAX_SEEDS) -> Iterator[tuple[Broadcast, bool]]:
-    """Broadcasts of all items, in parts of at most about `max_seeds` characters, hence seeds, made one at a time; and whether it is the only one."""
-    sized = items.where("text is not null").select("item_id", "text")
-    n_parts = max(1, -(-int(sized.agg(F.sum(F.length("text"))).first()[0] or 0) // max_seeds))
+def texts_of(items: DataFrame) -> DataFrame:
+    """(text, item): the different texts of the items, numbered; an id may have several, and a text several ids."""
+    named = items.where("text is not null and item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    return settle(named.select("text").distinct().withColumn("item", F.monotonically_increasing_id()))
+
+
+def item_parts(texts: DataFrame, seed: int = SEED, max_seeds: int = MAX_SEEDS) -> Iterator[tuple[Broadcast, bool]]:
+    """Broadcasts of all `texts_of` the items, in parts of about `max_seeds` characters, hence seeds, made one at a time; and whether it is the only one."""
+    n_parts = max(1, -(-int(texts.agg(F.sum(F.length("text"))).first()[0] or 0) // max_seeds))
     for part in range(n_parts):
-        rows = sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_parts)) == part).orderBy("item_id", "text").collect()
-        yield items.sparkSession.sparkContext.broadcast(Items([r["item_id"] for r in rows], [r["text"] for r in rows], seed)), n_parts == 1
+        rows = texts.where(F.pmod(F.xxhash64("text"), F.lit(n_parts)) == part).orderBy("text").collect()
+        yield texts.sparkSession.sparkContext.broadcast(Items([r["item"] for r in rows], [r["text"] for r in rows], seed)), n_parts == 1
 
 
 def matches(it: Items, data: np.ndarray, at: np.ndarray, coverage: float, seed: int) -> list[tuple]:
@@ -168,21 +173,27 @@ def matches(it: Items, data: np.ndarray, at: np.ndarray, coverage: float, seed:
 
 
 def clean(docs: DataFrame, items: DataFrame, seed: int = SEED, coverage: float = COVERAGE, max_seeds: int = MAX_SEEDS) -> DataFrame:
-    """The rows of `docs` that contain no test item, with all their columns."""
-    rows = docs
-    (hit_,) = unused(docs, "hit")
-    for shared, only in item_parts(items, seed, max_seeds):
+    """The rows of `docs` that contain no test item, with all their columns.
+
+    With several parts, each gives the digests of the texts that it finds, and one join takes these texts out.
+    """
+    hit_, digest = unused(docs, "hit", "digest")
+    found = None
+    for shared, only in item_parts(texts_of(items), seed, max_seeds):
 
         def flag(data: np.ndarray, at: np.ndarray, shared=shared) -> list:
             hit = np.zeros(len(at) - 1, bool)
             hit[[m[0] for m in matches(shared.value, data, at, coverage, seed)]] = True
             return [hit]
 
-        rows = add_columns(rows, "text", docs.columns, {hit_: "boolean"}, flag).where(~F.col(hit_)).select(docs.columns)
-        if not only:
-            rows = settle(rows)
-            shared.destroy()
-    return rows
+        if only:
+            return add_columns(docs, "text", docs.columns, {hit_: "boolean"}, flag).where(~F.col(hit_)).select(docs.columns)
+        texts = docs.where("text is not null").select("text", F.md5(F.col("text").cast("binary")).alias(digest))
+        one = settle(add_columns(texts, "text", [digest], {hit_: "boolean"}, flag).where(F.col(hit_)).select(digest).distinct())
+        shared.destroy()
+        found = one if found is None else found.unionAll(one)
+    rows = docs.withColumn(digest, F.md5(F.col("text").cast("binary")))
+    return rows.join(found.distinct(), digest, "left_anti").select(docs.columns)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, seed: int = SEED, coverage: float = COVERAGE, key: str = "doc_id", max_seeds: int = MAX_SEEDS) -> DataFrame:
@@ -192,7 +203,8 @@ def contaminated(docs: DataFrame, items: DataFrame, seed: int = SEED, coverage:
     """
     out = {"item_id": "long", "item_words": "long", "matched_words": "long", "n_tiles": "long", "longest_tile": "long", "coverage": "double"}
     done = None
-    for shared, only in item_parts(items, seed, max_seeds):
+    texts = texts_of(items)
+    for shared, only in item_parts(texts, seed, max_seeds):
 
         def tile(data: np.ndarray, at: np.ndarray, shared=shared) -> tuple[np.ndarray, list]:
             found = matches(shared.value, data, at, coverage, seed)
@@ -205,4 +217,8 @@ def contaminated(docs: DataFrame, items: DataFrame, seed: int = SEED, coverage:
             one = settle(one)
             shared.destroy()
         done = one if done is None else done.unionAll(one)
-    return done
+    # a text stands for all items that have it
+    named = items.where("text is not null and item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    stands = settle(named.join(texts, "text").select("item", "item_id"))
+    (item,) = unused(done, "item")
+    return done.withColumnRenamed("item_id", item).join(stands.withColumnRenamed("item", item), item).select(key, *out)

@@ -144,6 +144,49 @@ def test_tiles_equal_the_plain_rule():
         assert len({k for d, i, n in got for k in range(i, i + n)}) == sum(t[2] for t in got)
 
 
+def folded_words(text):
+    """Words of letters and digits as bytes, ASCII and Latin-1 capitals folded."""
+    fold = "".join(chr(ord(c) + 32) if c.isascii() and c.isupper() or "À" <= c <= "Þ" and c != "×" else c for c in text or "")
+    return [w.encode("latin-1") for w in re.findall("[A-Za-z0-9\x80-\xff]+", fold.encode().decode("latin-1"))]
+
+
+def contaminated_by_rule(docs, items, seed, coverage):
+    """(doc_id, item_id, words, matched, tiles, longest) of every pair whose tiles by the plain rule cover enough of the item."""
+    out = []
+    for d, t in docs:
+        for i, u in items:
+            doc, item = folded_words(t), folded_words(u)
+            tiles = tiles_by_rule(doc, item, min(seed, len(item))) if item else []
+            matched = sum(n for _, _, n in tiles)
+            if tiles and matched >= coverage * len(item):
+                out.append((d, i, len(item), matched, len(tiles), max(n for _, _, n in tiles)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("max_seeds", [1 << 20, 150])
+def test_contaminated_equals_the_plain_rule(spark, max_seeds):
+    """Seeds, coverage and result against every document tiled with every item: reordered, cut, doubled and folded passages."""
+    r = random.Random(12)
+    word = lambda: r.choice(["ab", "Ab", "cd", "éf", "Éf", "x1", "the", "of", "zz", "q", "ÿ"])
+    items = [(k, " ".join(word() for _ in range(r.choice([1, 3, 4, 5, 6, 9, 14, 30])))) for k in range(14)] + [(3, "twice under one id, the second text of it"), (90, None), (91, " - "), (92, "same text as another item has it"), (93, "same text as another item has it")]
+    docs = []
+    for k in range(60):
+        parts = []
+        for _ in range(r.randrange(1, 4)):
+            w = (r.choice(items)[1] or "").split()
+            a, b = sorted((r.randrange(len(w) + 1), r.randrange(len(w) + 1))) if r.random() < 0.5 else (0, len(w))
+            cut = w[a:b]
+            parts.append(" ".join(cut[len(cut) // 2 :] + [word()] + cut[: len(cut) // 2]) if r.random() < 0.4 else ", ".join(cut).upper() if r.random() < 0.3 else " ".join(cut))
+        docs.append((k % 50, " . ".join(parts + [word()])))
+    docs += [(70, None), (71, ""), (None, items[0][1])]
+    df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = decontamination.contaminated(df, it, max_seeds=max_seeds)
+    want = contaminated_by_rule(docs, items, 5, 0.5)
+    assert sorted(((r["doc_id"], r["item_id"], r["item_words"], r["matched_words"], r["n_tiles"], r["longest_tile"]) for r in got.collect()), key=str) == want and len(want) > 20
+    hit = {t for d, t in docs if contaminated_by_rule([(d, t)], items, 5, 0.5)}
+    assert sorted((tuple(x) for x in decontamination.clean(df, it, max_seeds=max_seeds).collect()), key=str) == sorted((x for x in docs if x[1] not in hit), key=str)
+
+
 ITEM = "Alpha beta gamma delta epsilon zeta. Eta theta iota kappa lambda mu; nu xi omicron pi rho sigma"
 
 
