@@ -1,15 +1,16 @@
 """Approximate nearest neighbours with balanced posting lists.
 
-Centroids of a bounded sample are trained by k-means that splits heavy clusters; every vector is
-posted to its nearest centroid's list, and boundary vectors also to further lists whose centroids are
-nearly as near.  A query finds centroids by best-first search in an in-memory neighbour graph and
-keeps the lists whose distance is within a ratio of the nearest.  Lists over `list_size` vectors are
-dealt into parts that are searched side by side, so no task ever gets a whole hot list.
-
-The k-th distance that this finds is a bound.  The search is then finished exactly: every list whose
-ball (centroid and radius of the vectors nearest to it) reaches within a query's bound is compared in
-full, each vector once, so that the probes decide how early a list is met and never what is found.
-Where balls overlap, as those of noise in many dimensions do, that is nearly every list.
+Centroids of a bounded sample are trained by k-means that splits heavy clusters, in two levels where they
+are many; every vector is posted to its nearest centroid's list, and boundary vectors also to further lists
+whose centroids are nearly as near.  A query finds centroids by best-first search in an in-memory
+neighbour graph and keeps the lists whose distance is within a ratio of the nearest.  The vectors and the
+queries of a list are dealt into blocks that meet side by side, so no task ever gets a whole hot list.
+
+The ratio, and how many lists are searched at most, are measured: a bounded number of queries is compared
+with every row, and the least are taken that hold the asked share of their true neighbours.  Where that is
+over MOST_LISTS of the lists, these do not carry the search, and it is finished exactly instead (`finish` asks for that, or
+forbids it): the k-th distance found so far is a bound, and every list whose ball (centroid and radius of the
+vectors nearest to it) reaches within a query's bound is compared in full, each vector once.
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components take no part; vectors
 of another dimension than the sample's most frequent take none either, as they have no distance to
@@ -27,10 +28,13 @@ from pyspark.sql import functions as F
 
 from recordloom.llm.store import settle
 
-#: Rows to train on, and centroids: with 64 floats each these are at most 5 MB and 0.5 MB.
-MAX_TRAIN, MAX_CENTROIDS = 20_000, 2_048
-LIST_SIZE, COPIES, BOUNDARY = 512, 2, 1.15
-PROBES, LEAST_LISTS, RATIO, GRAPH_DEGREE, BEAM = 48, 8, 1.6, 16, 96
+#: Centroids, the square root of the rows up to a limit, and rows to train on, so many for each: with 64 floats each these are at most 8 MB and 67 MB.
+MAX_CENTROIDS, LEAST_TRAIN, TRAIN_EACH, ONE_LEVEL = 16_384, 20_000, 8, 2_048
+#: Vectors, and queries, of a list that a task compares at once, lists of a vector, and how much further the others may be.
+LIST_SIZE, QUERY_BLOCK, COPIES, BOUNDARY = 2_048, 4_096, 2, 1.15
+GRAPH_DEGREE, LEAST_BEAM, LEAST_LISTS = 16, 32, 8
+#: Queries that the ratio is measured on, the share of their neighbours that its lists hold, and the share of the lists up to which these carry the search.
+MEASURED, RECALL, MOST_LISTS = 128, 0.98, 0.5
 #: Of the exact finish: vectors and queries that a task compares, by their floats (16 MB) and at least, and cells that are aimed at.
 CELL_FLOATS, LEAST_CELL, CELLS = 1 << 21, 1_024, 64
 
@@ -59,15 +63,28 @@ def train_centroids(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np
     return np.unique(c, axis=0)
 
 
+def train_levels(x: np.ndarray, k: int, seed: int = 3) -> np.ndarray:
+    """About `k` balanced centroids: in two levels where they are many, each part of the first with its share of them."""
+    if k <= ONE_LEVEL:
+        return train_centroids(x, k, seed=seed)
+    top = train_centroids(x, int(np.sqrt(k)), seed=seed)
+    near = np.concatenate([squared(x[i : i + 2048], top).argmin(1) for i in range(0, len(x), 2048)])
+    return np.unique(np.concatenate([train_centroids(x[near == j], max(1, round(k * (near == j).sum() / len(x))), seed=seed) for j in range(len(top)) if (near == j).any()]), axis=0)
+
+
 class Centroids:
     """Centroids and their neighbour graph."""
 
     def __init__(self, points: np.ndarray, degree: int = GRAPH_DEGREE) -> None:
         self.points = points
-        near = squared(points, points)
-        np.fill_diagonal(near, np.inf)
         degree = min(degree, len(points) - 1)
-        self.graph = np.argsort(near, axis=1, kind="stable")[:, :degree]
+        rows = []
+        for i in range(0, len(points), 1024):
+            near = squared(points[i : i + 1024], points)
+            near[np.arange(len(near)), np.arange(i, i + len(near))] = np.inf
+            some = np.argpartition(near, degree, axis=1)[:, : degree + 1] if degree + 1 < len(points) else np.argsort(near, axis=1)
+            rows.append(np.take_along_axis(some, np.argsort(np.take_along_axis(near, some, 1), axis=1, kind="stable"), 1)[:, :degree])
+        self.graph = np.concatenate(rows)
         # links both ways keep the graph connected in more places; entries are spread over the space
         links: list[set[int]] = [set(map(int, row)) for row in self.graph]
         for a, row in enumerate(self.graph):
@@ -76,7 +93,17 @@ class Centroids:
         self.links = [np.array(sorted(s), np.int64) for s in links]
         self.entries = np.unique(np.linspace(0, len(points) - 1, min(16, len(points))).astype(int))
 
-    def search(self, q: np.ndarray, n: int, beam: int = BEAM) -> list[tuple[float, int]]:
+    def within(self, q: np.ndarray, ratio: float, most: int) -> list[tuple[float, int]]:
+        """Of the `most` nearest centroids those within `ratio` times the distance of the nearest, and the nearest few; by a walk that is widened until it leaves that ball or has found enough."""
+        beam = LEAST_BEAM
+        while True:
+            found = self.search(q, beam, beam)
+            inside = [f for place, f in enumerate(found[:most]) if place < LEAST_LISTS or f[0] <= ratio**2 * found[0][0]]
+            if len(inside) < min(len(found), most) or len(found) == len(self.points) or beam >= 2 * most:
+                return inside
+            beam *= 2
+
+    def search(self, q: np.ndarray, n: int, beam: int) -> list[tuple[float, int]]:
         """The nearest centroids that a best-first walk finds: (squared distance, index), nearest first."""
         def far(k: np.ndarray) -> np.ndarray:
             return ((self.points[k] - q) ** 2).sum(1)
@@ -152,33 +179,77 @@ def closest(v: np.ndarray, ids: np.ndarray, q: np.ndarray, qids: np.ndarray, bou
     return made
 
 
-def search(vectors: DataFrame, is_query, k: int = 10, list_size: int = LIST_SIZE, probes: int = PROBES, ratio: float = RATIO) -> DataFrame:
+def measured_ratio(posted: DataFrame, sample: np.ndarray, ids: np.ndarray, points: np.ndarray, k: int, recall: float) -> tuple[float, int]:
+    """The ratio and the number of nearest lists that together hold `recall` of the true neighbours of some queries.
+
+    Every row is compared with these few queries; what comes to the driver is their neighbours.
+    """
+    shared = posted.sparkSession.sparkContext.broadcast((sample, ids))
+
+    def best(batches):
+        q, qids = shared.value
+        for b in batches:
+            v, own = _matrix(b.column("v")), b.column("id").to_numpy()
+            if not len(v):
+                continue
+            at, of = [], []
+            for i in range(0, len(q), 16):
+                d = squared(q[i : i + 16], v)
+                d[qids[i : i + 16, None] == own[None, :]] = np.inf
+                # rows are in as many lists as they have copies
+                keep = min(COPIES * k, len(v)) - 1
+                row, col = np.nonzero((d <= np.partition(d, keep, axis=1)[:, keep : keep + 1]) & np.isfinite(d))
+                at.append(col)
+                of.append(np.stack([row + i, d[row, col]], 1))
+            at, of = pa.array(np.concatenate(at)), np.concatenate(of)
+            yield pa.RecordBatch.from_arrays([pa.array(of[:, 0].astype(np.int32)), pa.array(of[:, 1]), b.column("id").take(at), b.column("list").take(at)], ["q", "d", "id", "list"])
+
+    found = posted.select("id", "list", "v").mapInArrow(best, "q int, d double, id long, list int").groupBy("q", "id").agg(F.min("d").alias("d"), F.collect_set("list").alias("lists"))
+    near = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("d", "id"))).where(F.col("r") <= k).select("q", "lists").collect()
+    if not near:
+        return 1.0, 1
+    far = np.sqrt(squared(sample, points))
+    nearest = np.maximum(far.min(1), 1e-12)
+    rank = far.argsort(1, kind="stable").argsort(1, kind="stable")
+    place = np.array([rank[r["q"], r["lists"]].min() for r in near])
+    apart = np.array([far[r["q"], r["lists"]].min() / nearest[r["q"]] for r in near])
+    # half of what may be lost goes to the number of lists, the rest to their distance; the nearest few lists are searched whatever that is
+    most = max(LEAST_LISTS, int(np.sort(place)[min(len(place) - 1, int(np.ceil((1 + recall) / 2 * len(place))))]) + 1)
+    needed = np.sort(np.where(place < LEAST_LISTS, 0.0, np.where(place < most, apart, np.inf)))
+    ratio = float(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))])
+    return ratio * (1 + 1e-9), most
+
+
+def search(vectors: DataFrame, is_query, k: int = 10, list_size: int = LIST_SIZE, recall: float = RECALL, finish: bool | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the `k` nearest of each row where `is_query` (a function of the id) holds."""
     spark = vectors.sparkSession
     rows = valid(vectors)
     out = "query_id long, rank int, vec_id long, score double"
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(MAX_TRAIN).toPandas()
+    n = rows.count()
+    wanted = max(1, min(MAX_CENTROIDS, int(np.sqrt(n)) + 1))
+    sample = rows.orderBy(F.xxhash64("id"), "id").limit(max(LEAST_TRAIN, TRAIN_EACH * wanted)).toPandas()
     if sample.empty:
         return spark.createDataFrame([], out)
     dims = sample["v"].map(len)
     dim = int(dims.mode().iloc[0])
-    x = np.stack(sample["v"][dims == dim].to_list()).astype(np.float64)
+    sample = sample[dims == dim]
+    x = np.stack(sample["v"].to_list()).astype(np.float64)
     kind = rows.schema["v"].dataType.simpleString()
-    n = rows.count()
-    centroids = Centroids(train_centroids(x, max(1, min(MAX_CENTROIDS, len(x), int(np.sqrt(n)) + 1))))
+    centroids = Centroids(train_levels(x, min(wanted, len(x))))
     shared = spark.sparkContext.broadcast(centroids)
     rows = rows.where(F.size("v") == dim)
 
     def post(batches):
         c = shared.value.points
+        step = max(16, (1 << 21) // len(c))
         for b in batches:
             v = _matrix(b.column(1))
             if not len(v):
                 continue
             keep = min(COPIES, len(c))
             lists, picked, far = [], [], []
-            for i in range(0, len(v), 1024):
-                d = squared(v[i : i + 1024], c)
+            for i in range(0, len(v), step):
+                d = squared(v[i : i + step], c)
                 near = np.argpartition(d, keep - 1, axis=1)[:, :keep]
                 dn = np.take_along_axis(d, near, 1)
                 row, col = np.nonzero(dn <= BOUNDARY**2 * dn.min(1, keepdims=True))
@@ -191,25 +262,28 @@ def search(vectors: DataFrame, is_query, k: int = 10, list_size: int = LIST_SIZE
 
     # far: distance to the nearest centroid, null in the further lists
     posted = settle(rows.mapInArrow(post, f"id long, list int, far double, v {kind}"))
-    # one row a list: the parts that it is dealt into
-    parts = F.broadcast(posted.groupBy("list").agg(F.ceil(F.count("*") / list_size).cast("int").alias("parts")))
-    dealt = posted.join(parts, "list").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    ratio, most = measured_ratio(posted, x[:MEASURED], sample["id"].to_numpy()[:MEASURED], centroids.points, k, recall)
+    whole = most > MOST_LISTS * len(centroids.points) if finish is None else finish
 
     def route(batches):
         c = shared.value
         for b in batches:
             ids, lists = [], []
             for k_, q in enumerate(_matrix(b.column(1))):
-                found = c.search(q, probes)
-                for place, (d, at) in enumerate(found):
-                    if place < LEAST_LISTS or d <= ratio**2 * found[0][0]:
-                        ids.append(k_)
-                        lists.append(at)
+                for _, at in c.within(q, ratio, most):
+                    ids.append(k_)
+                    lists.append(at)
             at = pa.array(np.array(ids, np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array(np.array(lists, np.int32)), b.column(1).take(at)], ["qid", "list", "q"])
 
-    asked = rows.where(is_query(F.col("id"))).mapInArrow(route, f"qid long, list int, q {kind}")
-    asked = asked.join(parts, "list").select("qid", "q", "list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    asked = settle(rows.where(is_query(F.col("id"))).mapInArrow(route, f"qid long, list int, q {kind}"))
+    # one row a list: the parts that its vectors and its queries are dealt into, so that every two of these meet in a task of their own
+    sizes = posted.groupBy("list").agg(F.ceil(F.count("*") / list_size).cast("int").alias("parts"))
+    blocks = asked.groupBy("list").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))
+    grid = F.broadcast(sizes.join(blocks, "list"))
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    dealt = posted.join(grid, "list").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("block", each("blocks"))
+    asked = asked.join(grid, "list").withColumn("block", F.pmod(F.xxhash64("qid"), F.col("blocks")).cast("int")).select("qid", "q", "list", "block", each("parts").alias("part"))
 
     def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
         made = ([], [], [])
@@ -226,29 +300,33 @@ def search(vectors: DataFrame, is_query, k: int = 10, list_size: int = LIST_SIZE
         return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
     asked = asked.withColumn("bound", F.lit(float("inf")))
-    early = settle(ranked(dealt.groupBy("list", "part").cogroup(asked.groupBy("list", "part")).applyInArrow(nearest, pairs)))
+    met = ["list", "part", "block"]
+    early = ranked(dealt.groupBy(*met).cogroup(asked.groupBy(*met)).applyInArrow(nearest, pairs))
+    if not whole:
+        return early
+    early = settle(early)
 
     # the exact finish; one row a list comes to the driver
-    radius, sizes = np.full(len(centroids.points), -np.inf), np.zeros(len(centroids.points), np.int64)
+    radius, held = np.full(len(centroids.points), -np.inf), np.zeros(len(centroids.points), np.int64)
     for r in posted.where("far is not null").groupBy("list").agg(F.max("far").alias("far"), F.count("*").alias("n")).collect():
-        radius[r["list"]], sizes[r["list"]] = r["far"], r["n"]
-    most = max(1, CELL_FLOATS // dim)
-    cell, cell_parts = pack(centroids.points, sizes, min(most, max(LEAST_CELL, n // CELLS)))
-    grid = spark.sparkContext.broadcast((radius, cell, cell_parts))
+        radius[r["list"]], held[r["list"]] = r["far"], r["n"]
+    per_cell = max(1, CELL_FLOATS // dim)
+    cell, cell_parts = pack(centroids.points, held, min(per_cell, max(LEAST_CELL, n // CELLS)))
+    balls = spark.sparkContext.broadcast((radius, cell, cell_parts))
     bounds = early.groupBy("query_id").agg(F.when(F.count("*") == k, F.max("score")).alias("bound"))
     queries = rows.where(is_query(F.col("id"))).select(F.col("id").alias("qid"), F.col("v").alias("q"))
     queries = queries.join(bounds, F.col("qid") == F.col("query_id"), "left").select("qid", "q", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
-    blocks = max(1, -(-queries.count() // most))
+    n_blocks = max(1, -(-queries.count() // per_cell))
 
     def place(batches):
-        _, cell, cell_parts = grid.value
+        _, cell, cell_parts = balls.value
         for b in batches:
             at = cell[b.column(1).to_numpy()]
             part = b.column(0).to_numpy().view(np.uint64) % cell_parts[at].astype(np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(2), pa.array(at), pa.array(part.astype(np.int32)), b.column(3)], ["id", "cell", "part", "v"])
 
     def reach(batches):
-        (radius, cell, cell_parts), c = grid.value, shared.value.points
+        (radius, cell, cell_parts), c = balls.value, shared.value.points
         inside = np.zeros((len(c), len(cell_parts)), np.float32)
         inside[np.arange(len(c)), cell] = 1
         widest = (np.sqrt((c**2).sum(1)) + np.maximum(radius, 0)).max()
@@ -266,8 +344,8 @@ def search(vectors: DataFrame, is_query, k: int = 10, list_size: int = LIST_SIZE
                 yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), b.column(2).take(at), pa.array(np.repeat(col, times).astype(np.int32)), pa.array(part.astype(np.int32))], ["qid", "q", "bound", "cell", "part"])
 
     side = posted.where("far is not null").select(F.xxhash64("id").alias("h"), "list", "id", "v").mapInArrow(place, f"id long, cell int, part int, v {kind}")
-    side = side.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    met = queries.mapInArrow(reach, f"qid long, q {kind}, bound double, cell int, part int").withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int"))
+    side = side.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    met = queries.mapInArrow(reach, f"qid long, q {kind}, bound double, cell int, part int").withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(n_blocks)).cast("int"))
     keys = ["cell", "part", "block"]
     late = side.groupBy(*keys).cogroup(met.groupBy(*keys)).applyInArrow(nearest, pairs)
     return ranked(early.select("query_id", "vec_id", "score").unionByName(late))

@@ -250,9 +250,9 @@ def test_neighbours_are_exact_when_few_lists_are_probed(spark):
     x = r.normal(0, 1, (3000, 16))
     x[1000:2000] = x[0]  # a third of the rows are one vector
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(3000, x[5].tolist())] * 12
-    # 55 lists, one of them probed
+    # 55 lists, of which the ratio lets few be searched
     got: dict[int, list] = {}
-    for w in neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i % 100 == 0, list_size=64, probes=1).orderBy("query_id", "rank").collect():
+    for w in neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i % 100 == 0, list_size=64, recall=0.0, finish=True).orderBy("query_id", "rank").collect():
         got.setdefault(w["query_id"], []).append((w["vec_id"], w["score"]))
     x = np.vstack([x, x[5]])
     for q in range(0, 3001, 100):
@@ -263,6 +263,65 @@ def test_neighbours_are_exact_when_few_lists_are_probed(spark):
     assert len(got) == 31
 
 
+def clustered(n=6000, dim=24, groups=40, seed=10):
+    """Vectors around many middles, a sixth of them one vector, so that one list is hot."""
+    r = np.random.default_rng(seed)
+    x = 6 * r.normal(size=(groups, dim))[r.integers(0, groups, n)] + r.normal(size=(n, dim))
+    x[n // 2 : n // 2 + n // 6] = x[3]
+    return x
+
+
+def test_lists_carry_the_search_where_vectors_form_groups(spark, monkeypatch):
+    """Without the finish, with blocks of a few vectors and queries, the lists within the measured ratio hold nearly all neighbours, and are few."""
+    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 7)
+    x = clustered()
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(5)
+    got: dict[int, list] = {}
+    for w in neighbours.search(df, lambda i: i % 100 == 0, list_size=100, finish=False).orderBy("query_id", "rank").collect():
+        got.setdefault(w["query_id"], []).append((w["vec_id"], w["score"]))
+    hit = 0
+    for q in range(0, 6000, 100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        best = np.lexsort((np.arange(6000), d))[:10]
+        hit += len({int(i) for i in best} & {i for i, _ in got[q]})
+        assert all(s == float(d[i]) for i, s in got[q]) and got[q] == sorted(got[q], key=lambda g: (g[1], g[0]))
+    assert len(got) == 60 and hit >= 0.95 * 600
+
+
+def test_the_measured_ratio_is_the_least_that_holds_the_neighbours(spark):
+    x = clustered(1500, 8, 12)
+    points = neighbours.train_centroids(x, 39)
+    lists = neighbours.squared(x, points).argmin(1)
+    posted = spark.createDataFrame([(i, int(lists[i]), None, v.tolist()) for i, v in enumerate(x)], "id long, list int, far double, v array<double>")
+    ratio, most = neighbours.measured_ratio(posted, x[:50], np.arange(50), points, 10, 0.9)
+    far = np.sqrt(neighbours.squared(x[:50], points))
+    held = []
+    for q in range(50):
+        d = neighbours.squared(x[q : q + 1], x)[0]
+        d[q] = np.inf
+        place = far[q].argsort(kind="stable").argsort(kind="stable")
+        held += [place[lists[i]] < most and (place[lists[i]] < neighbours.LEAST_LISTS or far[q, lists[i]] <= ratio * far[q].min()) for i in np.lexsort((np.arange(1500), d))[:10]]
+    assert np.mean(held) >= 0.9 and most <= 39
+
+
+def test_centroids_in_two_levels_and_their_graph():
+    r = np.random.default_rng(11)
+    x = r.normal(size=(4000, 4))
+    points = neighbours.train_levels(x, neighbours.ONE_LEVEL + 52)
+    assert 0.8 * 2100 <= len(points) <= 2200
+    sizes = np.bincount(neighbours.squared(x, points).argmin(1), minlength=len(points))
+    assert sizes.max() <= 40
+    c = neighbours.Centroids(points)
+    right = 0
+    for q in x[:60]:
+        d = ((points - q) ** 2).sum(1)
+        inside = np.flatnonzero(d <= 2.0**2 * d.min())
+        found = {k for _, k in c.within(q, 2.0, len(points))}
+        right += len(found & set(inside.tolist())) / max(1, len(inside))
+    assert right >= 0.97 * 60
+
+
 def test_a_query_is_met_by_every_list_that_may_matter():
     r = np.random.default_rng(9)
     points, sizes = r.normal(0, 1, (40, 3)), r.integers(0, 50, 40)
