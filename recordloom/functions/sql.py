@@ -15,7 +15,7 @@ from recordloom.dom import nodes
 SCALARS = {
     "normal_code": ("c STRING", "STRING", r"upper(CASE WHEN regexp_extract(trim(c), '^([A-Za-z]+)\\s*(\\d+[A-Za-z]?)', 1) <> '' THEN concat_ws(' ', regexp_extract(trim(c), '^([A-Za-z]+)\\s*(\\d+[A-Za-z]?)', 1), regexp_extract(trim(c), '^([A-Za-z]+)\\s*(\\d+[A-Za-z]?)', 2)) ELSE trim(c) END)"),
     "strip_footnotes": ("c STRING", "STRING", r"trim(BOTH ' \t\n\u000B\f\r' FROM regexp_replace(c, '[\\s*†‡+^]+$', ''))"),
-    "folded": ("c STRING", "STRING", r"lower(trim(regexp_replace(c, '(?U)\\s+', ' ')))"),
+    "folded": ("c STRING", "STRING", r"replace(lower(trim(regexp_replace(c, '(?U)\\s+', ' '))), 'ß', 'ss')"),
     "clock_minutes": ("c STRING", "INT", r"CASE WHEN c RLIKE '^\\s*[+-]?\\d+\\s*:\\s*[+-]?\\d+\\s*$' THEN try_cast(regexp_extract(c, '^\\s*([+-]?\\d+)\\s*:\\s*([+-]?\\d+)\\s*$', 1) AS INT) * 60 + try_cast(regexp_extract(c, '^\\s*([+-]?\\d+)\\s*:\\s*([+-]?\\d+)\\s*$', 2) AS INT) END"),
     "academic_year": ("term STRING", "STRING", r"concat(CAST(try_cast(regexp_extract(term, '^(\\d{4})\\d$', 1) AS INT) AS STRING), '-', substring(CAST(try_cast(regexp_extract(term, '^(\\d{4})\\d$', 1) AS INT) + 1 AS STRING), 3, 2))"),
 }

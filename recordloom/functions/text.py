@@ -10,8 +10,11 @@ def collapse(c: Column) -> Column:
 
 
 def folded(c: Column) -> Column:
-    """The form in which sentences and bodies are compared: collapsed and lower-cased."""
-    return F.lower(collapse(c))
+    """The form in which sentences and bodies are compared: collapsed, and without case as far as lower case and sharp s go.
+
+    `unicode.casefold` folds the rest too, in Python; this stays in the JVM, as whole texts pass through it.
+    """
+    return F.replace(F.lower(collapse(c)), F.lit("ß"), F.lit("ss"))
 
 
 def strip(c: Column) -> Column:

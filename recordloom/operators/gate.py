@@ -128,3 +128,27 @@ def output_problems(outputs: DataFrame, key: str, value: str = "value") -> DataF
     marked = outputs.select(F.col(key).alias("file"), F.col(value).contains(files.MARKER).alias("marked"))
     problem = F.when(~F.col("marked"), "no_marker").when(F.col("verdict") != "PASS", "content")
     return marked.join(judged, "file").select(F.col("file").alias(key), problem.alias("problem"), F.when(F.col("marked"), F.col("reasons")).alias("reasons"))
+
+
+# fixed values: the size under which a body has to show that it is complete, and what is said of a body that refers to its owner only
+SHORT_CHARS = 400
+DEFERS = "defers_to_owning_school_no_course_list_on_catalogue"
+
+
+def audited(outputs: DataFrame, key: str, body: str, name: str, expected: str, cleared: str, short: int = SHORT_CHARS) -> DataFrame:
+    """key, status, reasons and note: the gate's verdict under advisory flags, which demote a pass to a review and never fail.
+
+    Flags are a title that differs from the index (`expected`), an accepted fetch that did not clear a challenge (`cleared`
+    is false; null where there was no fetch), and a short body that does not show that it is complete.
+    """
+    judged = features(outputs, key, body, F.col(name)).withColumn("found", reasons()).select(key, "found", "semantic", "ends_cleanly", "stub", "codes", "units", "body_chars")
+    rows = outputs.select(key, F.col(name).alias("name"), F.col(expected).alias("expected"), F.col(cleared).alias("cleared")).join(judged, key)
+    differs = (F.coalesce("expected", F.lit("")) != "") & (F.coalesce("name", F.lit("")) != "") & (tx.folded(F.col("expected")) != tx.folded(F.col("name")))
+    flags = F.array_compact(F.array(
+        F.when(differs, F.lit("title_mismatch_vs_index")),
+        F.when(~F.coalesce("cleared", F.lit(True)), F.lit("accepted_fetch_did_not_clear_challenge")),
+        F.when((F.col("body_chars") < short) & ~(F.col("semantic") & F.col("ends_cleanly")), F.lit("short_body_without_completeness_evidence")),
+    ))
+    status = F.when(F.size("found") > 0, "FAIL").when(F.size("flags") > 0, "REVIEW").otherwise("PASS")
+    note = F.when(F.col("stub") & (F.col("codes") == 0) & (F.col("units") == 0), F.lit(DEFERS))
+    return rows.withColumn("flags", flags).select(key, status.alias("status"), F.concat("found", "flags").alias("reasons"), note.alias("note"))

@@ -47,14 +47,19 @@ def runs(rows: DataFrame, keys: list[str], order: list[str], value: str, size: i
     return marked.groupBy(*keys, "__run").agg(F.count("*").alias("__n")).groupBy(*keys).agg(F.count("*").alias("n_runs"), F.max("__n").alias("longest"))
 
 
-def reserved_names(rows: DataFrame, key: str, stem: Column) -> DataFrame:
-    """key, name: the first of each stem keeps it, all later ones get the key as a suffix.
+def reserved_names(rows: DataFrame, key: str, stem: Column, known: DataFrame | None = None) -> DataFrame:
+    """key, name: a key that is in `known` (key, name) keeps its name; of the others the first of each stem that no known name is gets it, all later ones get the key as a suffix.
 
     The first is found by an aggregate, so that a frequent stem is not one task's rows.
     """
     stems = rows.select(key, stem.alias("stem"))
+    if known is not None:
+        stems = stems.join(known.select(key), key, "left_anti")
     first = stems.groupBy("stem").agg(F.min(key).alias("__first"))
-    return stems.join(first, "stem").select(key, F.when(F.col(key) == F.col("__first"), F.col("stem")).otherwise(F.concat_ws("_", "stem", F.col(key).cast("string"))).alias("name"))
+    if known is not None:
+        first = first.join(known.select(F.col("name").alias("stem")).distinct(), "stem", "left_anti")
+    named = stems.join(first, "stem", "left").select(key, F.when(F.col(key) == F.col("__first"), F.col("stem")).otherwise(F.concat_ws("_", "stem", F.col(key).cast("string"))).alias("name"))
+    return named if known is None else named.unionByName(known.select(key, "name"))
 
 
 def section(rows: DataFrame, group: str, pos: str, level: str, wanted: Column) -> DataFrame:

@@ -20,7 +20,7 @@ def _docs(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents")
 
 
-SQL_FOLD = "lower(trim(regexp_replace({0}, '[\\s\\x0b]+', ' ', 'g')))"
+SQL_FOLD = "replace(lower(trim(regexp_replace({0}, '[\\s\\x0b]+', ' ', 'g'))), 'ß', 'ss')"
 SQL_BODY = "regexp_replace(coalesce(text, ''), '^[\\s\\x0b]+|[\\s\\x0b]+$', '', 'g')"
 SQL_SENTENCES = f"""
   bodies as (select doc_id, {SQL_BODY} as body from documents),

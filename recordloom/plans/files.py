@@ -155,12 +155,32 @@ def _sql_outputs() -> str:
     return sql.replace(old, _SQL_TITLED.replace("doc_id", "b.doc_id"))
 
 
+def _named(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document as an output: (doc_id, name, body)."""
+    d = F.col("doc_id")
+    head: Column = F.when(d % 3 == 0, F.concat(F.lit("# Program "), (d % 7).cast("string"), F.lit(" and requirements\n"))).when(d % 3 == 1, F.lit("## Other\n")).otherwise("")
+    return table(spark, sf, "documents").select("doc_id", F.concat(F.lit("Program "), (d % 7).cast("string"), F.lit(" (BA)")).alias("name"), F.concat(head, F.coalesce("text", F.lit(""))).alias("body"))
+
+
+@query("doc_audit", _sql_outputs() + """,
+index as (select doc_id, name, 'program ' || (case when doc_id % 11 = 0 then 9 else doc_id % 7 end) || '  (ba)' as expected, event_type not in ('error', 'view') as cleared from named left join events on event_id = doc_id),
+flagged as (select h.doc_id, rs as found, list_filter([case when regexp_replace(lower(expected), '\\s+', ' ', 'g') <> lower(name) then 'title_mismatch_vs_index' end, case when cleared = false then 'accepted_fetch_did_not_clear_challenge' end,
+  case when h.body_chars < 400 and not (has_title and content and ends_cleanly and h.body_chars > 0) then 'short_body_without_completeness_evidence' end], lambda x: x is not null) as flags, stub and codes = 0 and units = 0 as defers from h join k using (doc_id) join index using (doc_id))
+select doc_id, case when len(found) > 0 then 'FAIL' when len(flags) > 0 then 'REVIEW' else 'PASS' end as status, array_to_string(list_concat(found, flags), ' | ') as reasons, case when defers then 'defers_to_owning_school_no_course_list_on_catalogue' end as note from flagged
+""")
+def doc_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Status of every output under the audit's advisory flags, against the index and the log of its fetch."""
+    d = F.col("doc_id")
+    expected = F.concat(F.lit("program "), F.when(d % 11 == 0, 9).otherwise(d % 7).cast("string"), F.lit("  (ba)"))
+    fetched = table(spark, sf, "events").select(F.col("event_id").alias("doc_id"), (~F.col("event_type").isin("error", "view")).alias("cleared"))
+    rows = _named(spark, sf).withColumn("expected", expected).join(fetched, "doc_id", "left")
+    return gate.audited(rows, "doc_id", "body", "name", "expected", "cleared").withColumn("reasons", F.array_join("reasons", " | "))
+
+
 @query("output_validity", _sql_outputs() + "select j.doc_id, case when not marked then 'no_marker' when verdict <> 'PASS' then 'content' end as problem, case when marked then reasons end as reasons from judged j join named using (doc_id)")
 def output_validity(spark: SparkSession, sf: str) -> DataFrame:
     """Whether each stored output may stay: it has the marker, and its body passes the gate under the name in its header."""
-    d = F.col("doc_id")
-    name = F.concat(F.lit("Program "), (d % 7).cast("string"), F.lit(" (BA)"))
-    head: Column = F.when(d % 3 == 0, F.concat(F.lit("# Program "), (d % 7).cast("string"), F.lit(" and requirements\n"))).when(d % 3 == 1, F.lit("## Other\n")).otherwise("")
-    rows = table(spark, sf, "documents").select("doc_id", F.create_map(F.lit("Program"), name).alias("header"), F.concat(head, F.coalesce("text", F.lit(""))).alias("body"), d.cast("string").alias("file"))
+    named = _named(spark, sf)
+    rows = named.select(F.create_map(F.lit("Program"), F.col("name")).alias("header"), "body", F.col("doc_id").cast("string").alias("file"))
     written = files.composed(rows).withColumn("value", F.when(F.col("file").cast("long") % 5 != 0, F.col("text")).otherwise(F.replace("text", F.lit(files.MARKER), F.lit(""))))
     return gate.output_problems(written.select(F.col("file").cast("long").alias("doc_id"), "value"), "doc_id")

@@ -4,10 +4,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recordloom.functions import text as tx
+from recordloom.functions import unicode as uni
 from recordloom.operators import audit, ranges
 from recordloom.operators import relational as rel
 from recordloom.registry import query
 from recordloom.sources.tables import table
+from recordloom.streaming.budget import fresh
 
 
 def _ok() -> Column:
@@ -104,11 +106,27 @@ def link_sequence(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("filename_reserve", """
-with s as (select p_partkey, regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g') as stem from part)
-select p_partkey, case when p_partkey = min(p_partkey) over (partition by stem) then stem else stem || '_' || p_partkey end as name from s
+with s as (select p_partkey, p_size <= 25 as early, regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g') as stem from part),
+known as (select p_partkey, case when p_partkey = min(p_partkey) over (partition by stem) then stem else stem || '_' || p_partkey end as name from s where early)
+select p_partkey, name from known union all
+select p_partkey, case when p_partkey = min(p_partkey) over (partition by stem) and stem not in (select name from known) then stem else stem || '_' || p_partkey end from s where not early
 """)
 def filename_reserve(spark: SparkSession, sf: str) -> DataFrame:
-    return rel.reserved_names(table(spark, sf, "part"), "p_partkey", tx.slug(F.col("p_name")))
+    """Names of all parts: those of an earlier run, of the smaller parts, are stored, read back and kept."""
+    at, parts, stem = fresh(spark, "names"), table(spark, sf, "part"), tx.slug(F.col("p_name"))
+    rel.reserved_names(parts.where("p_size <= 25"), "p_partkey", stem).write.parquet(at)
+    return rel.reserved_names(parts, "p_partkey", stem, spark.read.schema("p_partkey long, name string").parquet(at))
+
+
+@query("file_slugs", r"""
+with w as (select doc_id, array_to_string(string_split(coalesce(text, ''), ' ')[1:6], ' ') as t from documents),
+s as (select doc_id, regexp_replace(regexp_replace(lower(regexp_replace(strip_accents(t), '[^\x00-\x7F]', '', 'g')), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') as s from w)
+select doc_id, case when s = '' then 'program' else regexp_replace(substr(s, 1, 70), '_+$', '') end as name from s
+""")
+def file_slugs(spark: SparkSession, sf: str) -> DataFrame:
+    """A file name of the first words of every document, accents dropped."""
+    words = F.array_join(F.slice(F.split(F.coalesce("text", F.lit("")), " "), 1, 6), " ")
+    return table(spark, sf, "documents").select("doc_id", words.alias("t")).select("doc_id", uni.name_slug(F.col("t")).alias("name"))
 
 
 @query("stable_runs", """

@@ -134,7 +134,7 @@ class _Sheet(InputPartition):
         self.path, self.sheet = path, sheet
 
 
-def _read(path: str) -> bytes:
+def read_bytes(path: str) -> bytes:
     """A whole file of any store that pyarrow reaches by the path."""
     store, at = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
     with store.open_input_stream(at) as f:
@@ -148,11 +148,11 @@ class WorkbookReader(DataSourceReader):
         self.path = options["path"]
 
     def partitions(self) -> list[_Sheet]:
-        with zipfile.ZipFile(io.BytesIO(_read(self.path))) as z:
+        with zipfile.ZipFile(io.BytesIO(read_bytes(self.path))) as z:
             return [_Sheet(self.path, n) for n in sorted(z.namelist()) if n.startswith("xl/worksheets/") and n.endswith(".xml")]
 
     def read(self, partition: _Sheet) -> Iterator[tuple]:
-        for n, cells in sheet_rows(_read(partition.path), partition.sheet):
+        for n, cells in sheet_rows(read_bytes(partition.path), partition.sheet):
             yield partition.sheet, n, cells
 
 

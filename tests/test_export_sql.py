@@ -1,6 +1,7 @@
 """Exports that are whole or not there, and SQL functions that equal the column functions."""
 
 import json
+import sqlite3
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from recordloom.dom import nodes as dom
 from recordloom.functions import codes, sql
 from recordloom.functions import text as tx
-from recordloom.sources import export, files
+from recordloom.sources import export, files, sqlite
 
 SF = "/root/testdata/sf0.001"
 VALUES = [None, "", " csci  104l ", "MATH-225", "225x", "a1b2", "10:30", " 9 : 05 ", "25:99", "TBA", "10:3x", "20263", "2026", "19991", "Title *†", "x + ", "A  B\tC", "ÄRGER", "+1:-2"]
@@ -91,3 +92,24 @@ def test_pages_as_tables_in_sql(spark):
     got = spark.sql("select p.page_id, n.tag, count(*) as n from page_rows p, lateral parse_html(p.html) n group by all")
     want = dom.nodes(pages).groupBy("page_id", "tag").agg(F.count("*").alias("n"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_sqlite_tables(spark, tmp_path, parts):
+    spark.dataSource.register(sqlite.Sqlite)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    con = sqlite3.connect(tmp_path / "state.db")
+    con.execute('create table links (catoid TEXT, seq INTEGER, "a ""b" REAL, raw BLOB, note)')
+    rows = [("22", k, k / 2 if k % 3 else None, bytes([k]), f"n{k}" if k % 2 else None) for k in range(20)] + [("23", 20, 1.0, None, "x'y")]
+    con.executemany("insert into links values (?, ?, ?, ?, ?)", rows)
+    con.execute("create table empty (k INTEGER)")
+    con.commit()
+    con.close()
+    load = lambda t: spark.read.format("sqlite").option("table", t).option("partitions", parts).load(str(tmp_path / "state.db"))
+    df = load("links")
+    assert df.dtypes == [("catoid", "string"), ("seq", "bigint"), ('a "b', "double"), ("raw", "binary"), ("note", "string")]
+    assert sorted((r[0], r[1], r[2], None if r[3] is None else bytes(r[3]), r[4]) for r in df.collect()) == sorted(rows) and df.rdd.getNumPartitions() == parts
+    assert [r["seq"] for r in df.where("catoid = '23' and seq > 3").collect()] == [20] and df.where("note = \"x'y\"").count() == 1
+    assert df.where("seq = 4").orderBy("seq").select("catoid").collect()[0][0] == "22" and load("empty").count() == 0
+    with pytest.raises(Exception, match="no table"):
+        load("none").count()
