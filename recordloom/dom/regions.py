@@ -154,9 +154,15 @@ def metadata(nodes: DataFrame, within: int = 60) -> DataFrame:
 
 
 def locators(nodes: DataFrame, most: int = 12) -> DataFrame:
-    """(key, pre, path): each element's path of tags from the root, with ids and first classes."""
+    """(key, pre, path): each element's path of tags from the root, the last `most` of them, with ids and first classes.
+
+    Paths are doubled: an element's path is that of the ancestor where its own ends, then its own, so that a few equal
+    joins of the elements with themselves do, however deep a page is.
+    """
     mark = F.concat("tag", F.when(F.col("id") != "", F.concat(F.lit("#"), "id")).otherwise(""), F.when(F.col("class") != "", F.concat(F.lit("."), F.split_part("class", F.lit(" "), F.lit(1)))).otherwise(""))
-    outer = nodes.where("tag <> '#text'").select(KEY, F.col("pre").alias("o_pre"), F.col("post").alias("o_post"), mark.alias("mark"))
-    each = contained(nodes.where("tag <> '#text'").select(KEY, "pre"), outer, [KEY, "pre", "o_pre", "mark"], itself=True)
-    path = F.transform(F.array_sort(F.collect_list(F.struct("o_pre", "mark"))), lambda x: x["mark"])
-    return each.groupBy(KEY, "pre").agg(path.alias("p")).select(KEY, "pre", F.array_join(F.slice("p", -F.least(F.size("p"), F.lit(most)), F.lit(most)), " > ").alias("path"))
+    paths, length = nodes.where("tag <> '#text'").select(KEY, "pre", F.col("parent").alias("up"), F.array(mark).alias("path")), 1
+    while length < most:
+        above = paths.select(KEY, F.col("pre").alias("up"), F.col("up").alias("next"), F.col("path").alias("head"))
+        paths = paths.join(above, [KEY, "up"], "left").select(KEY, "pre", F.coalesce("next", F.lit(-1)).alias("up"), F.when(F.col("head").isNotNull(), F.concat("head", "path")).otherwise(F.col("path")).alias("path"))
+        length *= 2
+    return paths.select(KEY, "pre", F.array_join(F.slice("path", -F.least(F.size("path"), F.lit(most)), F.lit(most)), " > ").alias("path"))

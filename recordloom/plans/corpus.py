@@ -207,6 +207,21 @@ def before_after_counts(spark: SparkSession, sf: str) -> DataFrame:
     return _runs(spark, sf).groupBy("change").agg(F.count("*").alias("n"))
 
 
+#: How many rows of each kind of change a report shows; rows that are the same are not shown.
+SAMPLES = {"changed": 200, "repaired": 40, "regressed": 40, "added": 40, "removed": 40}
+
+
+@query("before_after_samples", SQL_RUNS + "select change, k from (select *, row_number() over (partition by change order by k) as r from j) where r <= case change when 'changed' then 200 when 'same' then 0 else 40 end")
+def before_after_samples(spark: SparkSession, sf: str) -> DataFrame:
+    """The first rows of each kind of change, as a report shows them."""
+    runs = _runs(spark, sf)
+    parts = [runs.where(F.col("change") == kind).orderBy("k").limit(n).select("change", "k") for kind, n in SAMPLES.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 @query("repeatability", f"""
 with a as (select doc_id, md5({SQL_FOLD.format("coalesce(text, '')")}) as h from documents), b as (select doc_id, md5({SQL_FOLD.format("translate(coalesce(text, ''), 'abcxyz', 'ABCXYZ') || ' '")}) as h from documents)
 select a.doc_id, a.h = b.h as equal from a join b on a.doc_id = b.doc_id

@@ -22,24 +22,24 @@ def as_of_purchase(spark: SparkSession, sf: str) -> DataFrame:
 
 
 SQL_COURSES = """
-with c as (select o_custkey as student, l_orderkey, l_linenumber, l_quantity as units, l_partkey, l_suppkey, l_returnflag, l_linestatus from lineitem join orders on o_orderkey = l_orderkey)
+with c as (select o_custkey as student, l_orderkey, l_linenumber, l_quantity as units, l_partkey, l_suppkey, l_extendedprice, l_returnflag, l_linestatus from lineitem join orders on o_orderkey = l_orderkey)
 """
 
 
 def _courses(spark: SparkSession, sf: str) -> DataFrame:
     """What a customer ordered, as the courses of a student."""
-    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("units"), "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("units"), "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag", "l_linestatus")
     return lines.join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("student")), "l_orderkey")
 
 
 #: What tells a customer's lines apart, in their order.
-ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 LIMITS = {"physical education": ("l_suppkey % 7 = 0", 40), "music": ("l_suppkey % 7 = 1", 80), "pass or no pass": ("l_returnflag = 'R'", 240), "upper division": ("l_linestatus = 'F' and units > 25", 400)}
 
 
 @query("unit_limits", SQL_COURSES + ", e as (" + " union all ".join(f"select *, '{k}' as \"limit\", {float(most)}::double as most from c where {c}" for k, (c, most) in LIMITS.items()) + """),
-s as (select *, sum(units) over (partition by student, "limit" order by l_orderkey, l_linenumber, l_partkey, l_suppkey rows between unbounded preceding and current row) as upto from e)
-select student, "limit", l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(units as double) as units, cast(upto as double) as upto, cast(least(units, upto - most) as double) as over from s where upto > most and least(units, upto - most) > 0
+s as (select *, sum(units) over (partition by student, "limit" order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice rows between unbounded preceding and current row) as upto from e)
+select student, "limit", l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, cast(units as double) as units, cast(upto as double) as upto, cast(least(units, upto - most) as double) as over from s where upto > most and least(units, upto - most) > 0
 """)
 def unit_limits(spark: SparkSession, sf: str) -> DataFrame:
     """Courses with which a student passes a limit, and the units that no longer count."""

@@ -7,7 +7,7 @@ rows of `part`, reports, feeds and plans of orders and their lines, so that the
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.functions import codes, urls
+from recordloom.functions import codes, enums, urls
 from recordloom.functions import text as tx
 from recordloom.operators import clauses, feed, pages, plan_check, report, resolve, titles
 from recordloom.registry import query
@@ -97,6 +97,18 @@ def classify_modes(spark: SparkSession, sf: str) -> DataFrame:
     return titles.classify(_titles(spark, sf)).select("id", c.alias("bachelors"), titles.collected(c, "all_undergraduate").alias("all_undergraduate"), titles.collected(c, "minors").alias("minors"))
 
 
+@query("enum_audit", f"""
+with r as (select o_orderkey, ([{", ".join(repr(m) for m in [*enums.MODES, "httpx"])}])[cast(o_orderkey % 7 as int) + 1] as mode, ([{", ".join(repr(m) for m in [*enums.PAGE_KINDS, "other"])}])[cast(o_custkey % 5 as int) + 1] as kind,
+  case o_orderstatus when 'F' then 'complete' when 'O' then 'pending' else 'partly' end as status from orders)
+select o_orderkey, 'mode' as enumeration, mode as value from r where mode = 'httpx' union all select o_orderkey, 'page_kind', kind from r where kind = 'other' union all select o_orderkey, 'status', status from r where status = 'partly'
+""")
+def enum_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Values that are outside of their enumeration, of an attempt made of every order."""
+    status = F.when(F.col("o_orderstatus") == "F", "complete").when(F.col("o_orderstatus") == "O", "pending").otherwise("partly")
+    rows = table(spark, sf, "orders").select("o_orderkey", _pick([*enums.MODES, "httpx"], "o_orderkey", False).alias("mode"), _pick([*enums.PAGE_KINDS, "other"], "o_custkey", False).alias("kind"), status.alias("status"))
+    return enums.violations(rows, "o_orderkey", {"mode": "mode", "page_kind": "kind", "status": "status"})
+
+
 @query("reconcile_verdicts", SQL_TITLES + "," + _sql_class("title", "label", "t", "c") + "," + _sql_class("page", "''", "(select * from t where page is not null)", "p") + """
 select c.id, case when p.class is null or p.class = c.class then c.class when c.class = 'included' and p.class like 'excluded\\_%' escape '\\' then p.class when c.class = 'manual_review' and p.class = 'included' then 'included' else 'manual_review' end as verdict
 from c left join p on c.id = p.id
@@ -221,6 +233,16 @@ def page_challenge(spark: SparkSession, sf: str) -> DataFrame:
     return pages.challenged(table(spark, sf, "pages")).select("page_id", "challenge.challenged", F.array_join("challenge.evidence", " ").alias("evidence"))
 
 
+@query("fetch_errors", f"""
+select page_id, case when refused then 'robots_disallowed' when html is null then 'network_failure' when challenged then 'human_verification_required' end as error
+from pages join ({SQL_URL} select page_id, starts_with(p, '/fr/') or contains(p, '/fr/') or starts_with(p, '/private') as refused from k) using (page_id) join ({SQL_CHALLENGE}) using (page_id)
+""")
+def fetch_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """The error that the fetch of each page ends in, or null."""
+    rows = pages.challenged(table(spark, sf, "pages"))
+    return rows.select("page_id", enums.fetch_error(~urls.disallowed(F.col("url"), SELECTED), F.col("challenge.challenged"), F.col("html").isNull()).alias("error"))
+
+
 SQL_SEMANTIC = f"""
 with p as (select page_id, html, {_sql_hidden()} as t from pages)
 select page_id, length(t) >= 700 and (regexp_matches(html, '(?i)<h1[^>]*>\\s*\\S') or contains(html, 'Program:')) and ({" + ".join(f"cast(contains(lower(t), '{s}') as int)" for s in pages.SIGNALS)}) >= 2 as program_ok,

@@ -143,3 +143,33 @@ def test_candidates_locators_and_breadcrumbs_equal_a_walk(parsed):
         n = next((n for n in page if n["tag"] == "nav"), None)
         line = list(dict.fromkeys(x["text"] for x in _held(page, n) if x["tag"] == "#text")) if n else []
         assert crumbs.get(k, "") == " > ".join(line)[:400]
+
+
+def test_locators_of_a_very_deep_page(spark):
+    page = "<div>" * 3000 + "<p id='x'>t</p>"
+    got = {r["pre"]: r["path"] for r in regions.locators(dom.nodes(spark.createDataFrame([(1, page)], "page_id int, html string"))).collect()}
+    assert len(got) == 3001 and got[3000] == " > ".join(["div"] * 11 + ["p#x"]) and got[2] == "div > div > div"
+
+
+def test_nodes_equal_the_parse(parsed):
+    nodes, walks = parsed
+    columns = [c.split()[0] for c in dom.SCHEMA.split(", ")]
+    got = {(r["page_id"], r["pre"]): tuple(r[c] for c in columns) for r in nodes.collect()}
+    assert got == {(k, n["pre"]): tuple(n[c] for c in columns) for k, page in walks.items() for n in page}
+
+
+def test_metadata_and_sections_equal_a_walk(parsed):
+    nodes, walks = parsed
+    meta = {r["page_id"]: r for r in regions.metadata(nodes).collect()}
+    held = {}
+    for r in regions.section(nodes, F.lit(True)).collect():
+        held.setdefault(r["page_id"], set()).add(r["pre"])
+    for k, page in walks.items():
+        first = lambda tag: next((n for n in page if n["tag"] == tag and _line(page, n)), None)  # noqa: B023, E731
+        title = _line(page, first("h1")) if first("h1") else re.sub("^Program:\\s*", "", re.split("[|–]", _line(page, first("title")))[0]).strip() if first("title") else None
+        assert meta[k]["title"] == title
+        heads = [n for n in page if n["tag"] in regions.HEADINGS and _line(page, n)]
+        if heads:
+            level = int(heads[0]["tag"][1])
+            stop = next((n["pre"] for n in heads[1:] if int(n["tag"][1]) <= level), len(page))
+            assert held.get(k, set()) == {n["pre"] for n in page if heads[0]["post"] < n["pre"] < stop}
