@@ -152,3 +152,89 @@ def program_links(spark: SparkSession, sf: str) -> DataFrame:
 @query("program_link_duplicates", SQL_SITES + "select page_id, 1::bigint as duplicates from s")
 def program_link_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return resolve.program_links(_anchors(spark, sf))[1]
+
+
+# a programmes page for every supplier: a navigation that is no target, text, the section with its programmes, some twice, and the next section
+LISTING = (
+    '<body><main><nav><h2>Programs</h2><a href="preview_program.php?catoid={k}&poid=9">N</a></nav><p>{text}</p><h2>• Programs:</h2>{links}<h3>Minor</h3><a href="preview_program.php?catoid={k}&poid={p}&returnto=7">Minor {p}</a>'
+    '<h2>Other</h2><a href="preview_program.php?catoid={k}&poid=8">Late</a></main></body>'
+)
+
+
+def _listing(spark: SparkSession, sf: str) -> DataFrame:
+    """(page_id, url, html): the parts that a supplier ships are its programmes; those that it ships more than twice are listed twice."""
+    parts = table(spark, sf, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.count("*").alias("n"))
+    link = F.concat(F.lit('<a href="preview_program.php?catoid='), F.col("l_suppkey").cast("string"), F.lit("&poid="), F.col("l_partkey").cast("string"), F.lit('&utm_x=1">Part '), F.col("l_partkey").cast("string"), F.lit("</a>"))
+    links = parts.where("l_partkey < 400").groupBy("l_suppkey").agg(F.array_sort(F.collect_list(F.struct("l_partkey", F.when(F.col("n") > 2, F.concat(link, F.lit(" "), link)).otherwise(link).alias("a")))).alias("l"))
+    html = F.lit(LISTING.replace("{text}", "words of the page " * 30))
+    s = F.col("s_suppkey").cast("string")
+    whole = table(spark, sf, "supplier").join(links, F.col("l_suppkey") == F.col("s_suppkey"), "left")
+    shown = F.coalesce(F.array_join(F.transform("l", lambda x: x["a"]), " "), F.lit(""))
+    html = F.replace(F.replace(F.replace(html, F.lit("{links}"), shown), F.lit("{k}"), s), F.lit("{p}"), (F.col("s_suppkey") + 1000).cast("string"))
+    return settled(whole.select(F.col("s_suppkey").alias("page_id"), F.lit("https://site.example.org/a/list.php").alias("url"), html.alias("html")))
+
+
+SQL_LISTING = """with l as (select l_suppkey as page_id, l_partkey as poid, 'Part ' || l_partkey as title, 0 as o from lineitem where l_partkey < 400 group by l_suppkey, l_partkey union all select s_suppkey, s_suppkey + 1000, 'Minor ' || (s_suppkey + 1000), 1 from supplier)
+"""
+
+
+@query("site_discovery", SQL_LISTING + """
+select page_id, cast(row_number() over (partition by page_id order by o, poid) as int) as seq, cast(poid as varchar) as poid, title, 'https://site.example.org/a/preview_program.php?catoid=' || page_id || '&poid=' || poid as canonical from l
+""")
+def site_discovery(spark: SparkSession, sf: str) -> DataFrame:
+    """The programmes inside of the proven section of each supplier's page, in order, each once."""
+    rows = _listing(spark, sf)
+    links = discovery.discover(settled(dom.nodes(rows)), rows, F.col("form") == "programs")[0]
+    return links.select("page_id", F.col("seq").cast("int").alias("seq"), "poid", "title", "canonical")
+
+
+@query("site_sections", "select s_suppkey as page_id, 'Other' as stop_heading, 'heading' as ended_by, null::varchar as error from supplier")
+def site_sections(spark: SparkSession, sf: str) -> DataFrame:
+    """Where the section of each supplier's page ends, and by what."""
+    rows = _listing(spark, sf)
+    return discovery.discover(settled(dom.nodes(rows)), rows, F.col("form") == "programs")[1].select("page_id", "stop_heading", "ended_by", "error")
+
+
+# a page of every customer with what a renderer has to tell apart; {rows} are the customer's orders
+ACCOUNT = (
+    '<body><nav>skip</nav><h1>Account {k}</h1><p>Segment: <b>{s}</b><br>See <a href="https://x.example.org/{k}">the page</a><sup>1</sup></p><ol start="{n}"><li>one<ul><li>in {k}</li></ul></li><li value="9">two<p>more</p></li></ol>'
+    '<dl><dt>Nation</dt><dd>{n}</dd></dl><table><caption>Orders</caption><tr><th>Order</th><th>Status</th><th>Notes</th></tr>{rows}</table><table role="presentation"><tr><td>left</td><td>right</td></tr></table>'
+    '<blockquote>said <i>by</i> {k}</blockquote><div class="social-media">share</div><p>Back to top</p></body>'
+)
+
+
+@query("account_text", """
+with o as (select o_custkey, string_agg('Row ' || r || ': ' || case when o_orderstatus = 'P' then o_orderkey || ' | ' || o_orderkey || ' | partly' else o_orderkey || ' | ' || o_orderstatus || ' | a x' || o_orderkey || ' ; y' end, chr(10) order by r) as body
+  from (select *, row_number() over (partition by o_custkey order by o_orderkey) as r from orders) group by o_custkey)
+select c_custkey as page_id, '# Account ' || c_custkey || chr(10) || chr(10) || 'Segment: ' || c_mktsegment || chr(10) || 'See the page [https://x.example.org/' || c_custkey || '][1]' || chr(10) || chr(10)
+  || c_nationkey || '. one' || chr(10) || '  - in ' || c_custkey || chr(10) || '9. twomore' || chr(10) || chr(10) || 'Nation:' || chr(10) || '  ' || c_nationkey || chr(10) || chr(10)
+  || 'TABLE: Orders' || chr(10) || 'Columns: Order | Status | Notes' || coalesce(chr(10) || body, '') || chr(10) || chr(10) || 'left' || chr(10) || chr(10) || 'right' || chr(10) || chr(10) || '  said by ' || c_custkey || chr(10) as text
+from customer left join o on o_custkey = c_custkey
+""")
+def account_text(spark: SparkSession, sf: str) -> DataFrame:
+    """The text of every customer's page: headings, breaks, links, lists in lists, terms, a table with spans and lists in cells, layout and a quote."""
+    return render.rendered(settled(noise.cleaned(_accounts(spark, sf))))
+
+
+@query("account_noise", "select c_custkey as page_id, unnest(['nav', '.social-media']) as selector from customer")
+def account_noise(spark: SparkSession, sf: str) -> DataFrame:
+    """What is noise on every customer's page."""
+    return noise.noise(_accounts(spark, sf)).select("page_id", "selector")
+
+
+@query("account_metadata", "select c_custkey as page_id, 'Account ' || c_custkey as title, '' as credential, null::varchar as school, 'skip' as breadcrumb from customer")
+def account_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    """Title, credential, school and breadcrumb of every customer's page."""
+    nodes = _accounts(spark, sf)
+    return regions.metadata(nodes).join(regions.breadcrumb(nodes), "page_id", "left")
+
+
+def _accounts(spark: SparkSession, sf: str) -> DataFrame:
+    """The node table of a page of every customer."""
+    k = F.col("o_orderkey").cast("string")
+    cells = F.when(F.col("o_orderstatus") == "P", F.concat(F.lit("<tr><td colspan=2>"), k, F.lit("</td><td>partly</td></tr>"))).otherwise(F.concat(F.lit("<tr><td>"), k, F.lit("</td><td>"), F.col("o_orderstatus"), F.lit("</td><td>a<ul><li>x"), k, F.lit("<li>y</ul></td></tr>")))
+    rows = table(spark, sf, "orders").groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", cells.alias("c")))), lambda x: x["c"]), "").alias("rows"))
+    html, customers = F.lit(ACCOUNT), table(spark, sf, "customer").join(rows, F.col("o_custkey") == F.col("c_custkey"), "left")
+    for name, value in {"k": F.col("c_custkey").cast("string"), "s": F.col("c_mktsegment"), "n": F.col("c_nationkey").cast("string"), "rows": F.coalesce("rows", F.lit(""))}.items():
+        html = F.replace(html, F.lit(f"{{{name}}}"), value)
+    return settled(dom.nodes(customers.select(F.col("c_custkey").alias("page_id"), html.alias("html"))))
