@@ -142,3 +142,17 @@ def test_repeated_rows_do_not_fill_the_sample(spark, copies):
     assert sample.count() == sample.select("h").distinct().count() == 100 and counts == {0: 132, 1: 67}
     got = {x["doc_id"]: x["predicted"] for x in tox.toxicity_digest(docs, labels, max_train=100).collect()}
     assert got == {1: 1} | {k: int(k % 3 == 0) for k in range(2, 200)}
+
+
+def test_very_long_texts(spark):
+    """A text of several chunks is one text: what stands at its end counts, and its neighbours are not touched."""
+    calm = "sun tree river stone " * 120_000
+    texts = ["calm", calm + "you idiot, you moron", calm, "you scum"]
+    assert len(calm) > 8 * tk.CHUNK_BYTES
+    got = tox.features(*tk.utf8(pa.array(texts)), LEXICON)
+    assert got[:, 1].round(6).tolist() == np.log1p([0, 2, 0, 1]).round(6).tolist() and got[:, 6].tolist() == [0, 2, 0, 1] and got[2, 0] == 0
+    rows = [(k, "you worthless scum " + "word " * k if k % 3 == 0 else "word of peace " * (1 + k % 5) + str(k)) for k in range(90)]
+    docs = spark.createDataFrame(rows + [(100, texts[1]), (101, texts[2])], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(90)], "doc_id long, toxic int")
+    score = {r["doc_id"]: r["score"] for r in tox.toxicity_digest(docs, labels).collect()}
+    assert score[100] >= score[101]
