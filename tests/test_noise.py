@@ -108,9 +108,9 @@ def test_breadcrumbs_in_their_order(spark):
 
 def test_metadata_of_pages(spark):
     pages = [
-        "<head><title>Program: Art (BA) | Site</title></head><p>no unit here</p><p>Offered by the <b>Dornsife College of Letters, Arts</b></p><p>Later School of Music</p>",
-        "<h1>Physics, BS</h1><div>" + "long " * 60 + "School of Long Texts</div><div>University College</div><h2>Roski School</h2>", "<h1>Law (Minor)</h1>", "<p>x</p>",
+        "<head><title>Program: Art (BA) | Site</title></head><p>no unit here</p><p>Offered by the <b>Harwood College of Letters, Arts</b></p><p>Later School of Music</p>",
+        "<h1>Physics, BS</h1><div>" + "long " * 60 + "School of Long Texts</div><div>University College</div><h2>Roland School</h2>", "<h1>Law (Minor)</h1>", "<p>x</p>",
     ]
     n = dom.nodes(spark.createDataFrame(list(enumerate(pages)), "page_id int, html string"))
     got = {r["page_id"]: (r["title"], r["credential"], r["school"]) for r in regions.metadata(n).collect()}
-    assert got == {0: ("Art (BA)", "BA", "Dornsife College of Letters, Arts"), 1: ("Physics, BS", "BS", "Roski School"), 2: ("Law (Minor)", "", None), 3: (None, None, None)}
+    assert got == {0: ("Art (BA)", "BA", "Harwood College of Letters, Arts"), 1: ("Physics, BS", "BS", "Roland School"), 2: ("Law (Minor)", "", None), 3: (None, None, None)}
