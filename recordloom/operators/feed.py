@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.operators import relational as rel
+from recordloom.sources.shared import settled
 
 # fixed values: section kinds by mode
 KINDS = {"Lecture": "lectures", "Lecture/Lab": "lectures", "Lecture/Discussion": "lectures", "Lab": "labs", "Discussion": "discussions", "Quiz": "quizzes"}
@@ -70,7 +71,10 @@ def courses(responses: DataFrame) -> DataFrame:
 
 def frequency(rows: DataFrame, term: str = "term", course: str = "course_name") -> DataFrame:
     """course, count, terms, label: how often a course is offered; repeats within a term count."""
-    total = rows.agg(F.count_distinct(term).alias("total"))
-    n = rows.groupBy(course).agg(F.count("*").alias("count"), F.array_sort(F.collect_list(term)).alias("terms"))
+    # counted once, as both the terms in all and those of a course are taken from the counts
+    each = settled(rows.groupBy(course, term).agg(F.count("*").alias("n")))
+    total = each.agg(F.count_distinct(term).alias("total"))
+    repeats = F.when(F.col(term).isNotNull(), F.array_repeat(F.col(term), F.col("n").cast("int")))
+    n = each.groupBy(course).agg(F.sum("n").alias("count"), F.array_sort(F.flatten(F.collect_list(repeats))).alias("terms"))
     label = rel.frequency_label(F.col("count"), F.col("total"))
     return n.crossJoin(F.broadcast(total)).select(course, "count", "terms", label.alias("label"))

@@ -15,3 +15,9 @@ def test_plans_are_judged_once_and_not_shuffled_with_their_entries(spark):
     for result in records.checked(spark, SF):
         plan = result._jdf.queryExecution().optimizedPlan().toString()
         assert "link_code" not in plan and "requisite" not in plan
+
+
+def test_courses_are_read_once_for_their_frequency(spark):
+    """The terms in all are counted from what is counted for each course."""
+    plan = records.feed_frequency(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" not in plan
