@@ -4,7 +4,7 @@ The record operators have no table of their own among the given ones: titles, cl
 rows of `part`, reports, feeds and plans of orders and their lines, so that the work grows with the tables.
 """
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.functions import codes, enums, urls
@@ -425,20 +425,31 @@ _TERM = "concat(cast(year(o_orderdate) as string), cast(1 + quarter(o_orderdate)
 _DEPT = "split_part(split_part(o_orderpriority, '-', 2), ' ', 1)"
 
 
+#: Lines whose responses one task makes: what a task sorts is bounded by it, however many lines there are.
+LINES = 200_000
+
+
 def _responses(spark: SparkSession, sf: str) -> DataFrame:
-    section = lambda n, key: F.struct(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", F.lit(n)).alias("sisSectionId"), _pick(_MODES, key, False).alias("rnrMode"), F.lit(30).alias("totalSeats"), F.col("l_quantity").cast("int").alias("registeredSeats"),
-        (F.col("l_linestatus") == "F").alias("hasDClearance"), F.when(F.col("l_returnflag") == "R", "ask").when(F.col("l_returnflag") == "A", "").alias("notes"),
-    )
-    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", F.expr(_TERM).alias("term"), F.expr(_DEPT).alias("dept"))
-    lines = table(spark, sf, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    course = F.struct(
-        F.concat(F.lit("c"), (F.col("l_partkey") % 200).cast("string")).alias("courseId"), F.concat(F.when(F.col("l_suppkey") % 3 == 0, "OTHER").otherwise(F.col("dept")), F.lit(" "), (100 + F.col("l_partkey") % 400).cast("string")).alias("fullCourseName"),
-        F.when(F.col("l_returnflag") == "N", F.array().cast("array<double>")).otherwise(F.array("l_quantity")).alias("courseUnits"), F.when(F.col("l_suppkey") % 2 == 0, F.array(section(1, "l_suppkey"), section(2, "l_suppkey div 2"))).otherwise(F.array(section(1, "l_suppkey"))).alias("sections"),
+    lines = table(spark, sf, "lineitem")
+    tasks = max(8, -(-lines.count() // LINES))
+    named = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_linestatus", "l_returnflag"]
+    listed = lines.select(*named).repartition(tasks, "l_orderkey").groupBy("l_orderkey").agg(F.collect_list(F.struct(*named)).alias("lines"))
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", F.expr(_TERM).alias("term"), F.expr(_DEPT).alias("dept")).repartition(tasks, "o_orderkey")
+    mode = lambda key: F.element_at(F.array(*[F.lit(m) for m in _MODES]), (key % len(_MODES) + 1).cast("int"))
+    section = lambda x, n, key: F.struct(
+        F.concat_ws("-", x["l_orderkey"], x["l_linenumber"], x["l_partkey"], F.lit(n)).alias("sisSectionId"), mode(key).alias("rnrMode"), F.lit(30).alias("totalSeats"), x["l_quantity"].cast("int").alias("registeredSeats"),
+        (x["l_linestatus"] == "F").alias("hasDClearance"), F.when(x["l_returnflag"] == "R", "ask").when(x["l_returnflag"] == "A", "").alias("notes"),
     )
-    listed = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(course)).alias("courses"))
-    whole = orders.join(listed, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    body = F.when(F.col("o_orderstatus") == "P", "not json").otherwise(F.to_json(F.struct(F.coalesce("courses", F.array().cast(listed.schema["courses"].dataType)).alias("courses"))))
+
+    def course(x: Column) -> Column:
+        one, half = section(x, 1, x["l_suppkey"]), ((x["l_suppkey"] - x["l_suppkey"] % 2) / 2).cast("long")
+        return F.struct(
+            F.concat(F.lit("c"), (x["l_partkey"] % 200).cast("string")).alias("courseId"), F.concat(F.when(x["l_suppkey"] % 3 == 0, "OTHER").otherwise(F.col("dept")), F.lit(" "), (100 + x["l_partkey"] % 400).cast("string")).alias("fullCourseName"),
+            F.when(x["l_returnflag"] == "N", F.array().cast("array<double>")).otherwise(F.array(x["l_quantity"])).alias("courseUnits"), F.when(x["l_suppkey"] % 2 == 0, F.array(one, section(x, 2, half))).otherwise(F.array(one)).alias("sections"),
+        )
+
+    whole = orders.join(listed, F.col("o_orderkey") == F.col("l_orderkey"), "left").withColumn("courses", F.sort_array(F.transform(F.coalesce("lines", F.array().cast(listed.schema["lines"].dataType)), course)))
+    body = F.when(F.col("o_orderstatus") == "P", "not json").otherwise(F.to_json(F.struct("courses")))
     return whole.select("term", "dept", F.col("o_orderkey").alias("dept_ord"), body.alias("body"))
 
 
