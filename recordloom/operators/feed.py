@@ -41,9 +41,9 @@ def _section(s: Column) -> Column:
 
 def departments(responses: DataFrame) -> DataFrame:
     """(term, dept, dept_ord, state, n_courses) of every response: failed if its body has no list of courses, empty if the list is."""
-    c = F.from_json("body", FEED)["courses"]
+    parsed, c = responses.select("term", "dept", "dept_ord", F.from_json("body", FEED)["courses"].alias("c")), F.col("c")
     state = F.when(c.isNull(), "failed").when(F.size(c) == 0, "empty").otherwise("ok")
-    return responses.select("term", "dept", "dept_ord", state.alias("state"), F.when(c.isNull(), 0).otherwise(F.size(c)).alias("n_courses"))
+    return parsed.select("term", "dept", "dept_ord", state.alias("state"), F.when(c.isNull(), 0).otherwise(F.size(c)).alias("n_courses"))
 
 
 def courses(responses: DataFrame) -> DataFrame:
@@ -52,11 +52,19 @@ def courses(responses: DataFrame) -> DataFrame:
     A body that doesn't parse gives no courses; names of other departments are dropped; a course that
     an earlier department of the term already brought is dropped, repeats within one response stay.
     """
-    parsed = responses.select("term", "dept", "dept_ord", F.from_json("body", FEED)["courses"].alias("c"))
-    rows = parsed.select("term", "dept", "dept_ord", F.explode("c").alias("c")).where(F.col("c.fullCourseName").startswith(F.concat("dept", F.lit(" "))))
-    rows = rows.withColumn("id", F.coalesce("c.courseId", F.lit("")))
-    first = rows.groupBy("term", "id").agg(F.min("dept_ord").alias("first_ord"))
-    rows = rows.join(first, ["term", "id"]).where(F.col("dept_ord") == F.col("first_ord"))
+
+
+    def listed(r: DataFrame) -> DataFrame:
+        parsed = r.select("term", "dept", "dept_ord", F.from_json("body", FEED)["courses"].alias("c"))
+        # outer, as Spark would else test each body for courses first, and so make and parse it several times; null names drop out
+        rows = parsed.select("term", "dept", "dept_ord", F.explode_outer("c").alias("c")).where(F.col("c.fullCourseName").startswith(F.concat("dept", F.lit(" "))))
+        return rows.withColumn("id", F.coalesce("c.courseId", F.lit("")))
+
+    # settled, so that Spark knows its size: where it is small, responses and courses are neither shuffled nor sorted again
+    first = settled(listed(responses).groupBy("term", "id").agg(F.min("dept_ord").alias("first_ord")))
+    # whole courses are read only from responses that brought one first
+    some = first.select("term", F.col("first_ord").alias("dept_ord")).distinct()
+    rows = listed(responses.join(some, ["term", "dept_ord"], "left_semi")).join(first, ["term", "id"]).where(F.col("dept_ord") == F.col("first_ord"))
     rows = rows.select("term", "c", F.transform("c.sections", _section).alias("s"))
     some = lambda f: F.coalesce(F.exists("s", f), F.lit(False))
     kinds = F.array_sort(F.array_distinct(F.transform("s", lambda x: x["kind"])))
