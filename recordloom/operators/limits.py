@@ -9,11 +9,14 @@ are running sums in the order of the courses.
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.operators.ranges import ROWS, running_total
 
+#: Ranks below which Spark limits the groups of a window before it shuffles them.
+LIMITED = 1_000
+
 
 def flows(kinds: dict[int, int], needs: list[int]) -> dict[tuple[int, int], int]:
     """(kind, requirement) -> courses, for kinds (bit r set: fits requirement r) with their numbers; every flow is above 0.
@@ -90,7 +93,11 @@ def fills(courses: DataFrame, student: str, fits: list[Column], needs: list[int]
 
 def assignments(courses: DataFrame, student: str, order: list[str], fits: list[Column], needs: list[int], size: int = ROWS) -> DataFrame:
     """(student, *order, requirement) of every course that counts for a requirement; the first courses of a kind are taken first."""
-    numbered = running_total(_kinds(courses, student, fits).select(student, *order, "kind").withColumn("one", F.lit(1).cast("long")), [student, "kind"], order, "one", "number", size)
+    rows, most = _kinds(courses, student, fits).select(student, *order, "kind"), sum(needs)
+    if most < LIMITED:  # no kind gives more than all needs: Spark drops the others before it shuffles, so that a hot student is few rows
+        numbered = rows.withColumn("number", F.row_number().over(Window.partitionBy(student, "kind").orderBy(*order))).where(F.col("number") <= most)
+    else:
+        numbered = running_total(rows.withColumn("one", F.lit(1).cast("long")), [student, "kind"], order, "one", "number", size)
     ranges = assigned_kinds(courses, student, fits, needs).withColumnRenamed("kind", "of_kind").withColumnRenamed(student, "of_student")
     mine = (F.col(student) == F.col("of_student")) & (F.col("kind") == F.col("of_kind")) & (F.col("number") > F.col("before")) & (F.col("number") <= F.col("before") + F.col("n"))
     return numbered.join(ranges, mine).select(student, *order, "requirement")
