@@ -7,10 +7,10 @@ with it: intervals nest, so the furthest end so far tells.
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordloom.dom.regions import HEADINGS, KEY, running, sums
+from recordloom.dom.regions import HEADINGS, KEY, sums
 from recordloom.sources.shared import settled
 
 # fixed values: the selectors of noise, in their order, and names of navigation
@@ -58,14 +58,19 @@ def matches(nodes: DataFrame, selectors: list[str] = SELECTORS) -> DataFrame:
 
 
 def marked(nodes: DataFrame, removed: DataFrame) -> DataFrame:
-    """Nodes with `is_noise`: whether they are in `removed` (key, pre) or within one of these."""
-    gone = removed.select(KEY, "pre").distinct().withColumn("is_gone", F.lit(True))
-    ends = nodes.join(gone, [KEY, "pre"], "left").withColumn("noise_end", F.max(F.when(F.col("is_gone"), F.col("post"))).over(running()))
-    return ends.withColumn("is_noise", F.coalesce(F.col("pre") <= F.col("noise_end"), F.lit(False))).drop("is_gone", "noise_end")
+    """Nodes with `is_noise`: whether they are in `removed` (key, pre, post) or within one of these.
+
+    What is removed goes along as rows of its own, before the node that it is, so that nodes are shuffled once, by page.
+    """
+    gone = removed.select(KEY, "pre", F.col("post").alias("gone_to"))
+    both = nodes.withColumn("gone_to", F.lit(None).cast("int")).unionByName(gone, allowMissingColumns=True)
+    upto = Window.partitionBy(KEY).orderBy("pre", F.col("gone_to").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    ends = both.withColumn("noise_end", F.max("gone_to").over(upto)).where("gone_to is null")
+    return ends.withColumn("is_noise", F.coalesce(F.col("pre") <= F.col("noise_end"), F.lit(False))).select(*nodes.columns, "is_noise")
 
 
 def outside(nodes: DataFrame, removed: DataFrame) -> DataFrame:
-    """Nodes that are neither in `removed` (key, pre) nor within one of these."""
+    """Nodes that are neither in `removed` (key, pre, post) nor within one of these."""
     return marked(nodes, removed).where("not is_noise").drop("is_noise")
 
 

@@ -39,6 +39,8 @@ INTERFACE = [
     "share this page:", "back to top", "[archived catalogue]", "close", "help",
 ]
 BREAK = "\x01"
+#: Columns of the node table that texts are not made of: they are neither shuffled nor written.
+UNREAD = ["depth", "id", "class", "level", "aria", "text"]
 
 
 def _within(flag: Column, name: str, nodes: DataFrame) -> DataFrame:
@@ -68,10 +70,12 @@ def structured(nodes: DataFrame) -> DataFrame:
     `own` elements are blocks that are no containers, and items, terms, rows and cells below them; `seg` is the last
     block before a node, which parts the inline runs of a container or cell.
     """
-    cells = nodes.where("tag in ('td', 'th') and above = 'tr'").groupBy(KEY, F.col("table").alias("pre"), "parent").agg(F.count("*").alias("n"))
-    wide = cells.groupBy(KEY, "pre").agg(F.max("n").alias("n")).where("n > 1").select(KEY, "pre", F.lit(True).alias("wide"))
     tag, above = F.col("tag"), F.col("above")
-    n = nodes.join(wide, [KEY, "pre"], "left").withColumn("data", (tag == "table") & F.coalesce("wide", F.lit(False)) & (F.lower("role") != "presentation")).drop("wide")
+    # cells of a row, and the most of them in a table, by windows within a page, so that nodes are shuffled once
+    cell = tag.isin("td", "th") & (above == "tr")
+    n = nodes.withColumn("grid", F.when(tag == "table", F.col("pre")).when(cell, F.col("table")))
+    n = n.withColumn("n_cells", F.count(F.when(cell, 1)).over(Window.partitionBy(KEY, "grid", "parent"))).withColumn("most", F.max(F.when(cell, F.col("n_cells"))).over(Window.partitionBy(KEY, "grid")))
+    n = n.withColumn("data", (tag == "table") & (F.coalesce("most", F.lit(0)) > 1) & (F.lower("role") != "presentation")).drop("grid", "n_cells", "most")
     element = tag != "#text"
     stop = element & (tag.isin(*HEADINGS, *PARAGRAPHS, "ul", "ol", "dl", "pre", "hr") | F.col("data") | ~tag.isin(*BLOCKS))
     n = _within(stop, "inside", n).withColumn("block", ~F.col("inside") & ~F.col("tag").eqNullSafe("#text")).withColumn("top", F.col("block") & stop & tag.isin(*BLOCKS))
@@ -207,6 +211,7 @@ def _tables(cells: DataFrame, runs: DataFrame, inner: DataFrame, captions: DataF
 
 def rendered(nodes: DataFrame, interface: list[str] = INTERFACE) -> DataFrame:
     """(key, text) of every page that has a node; lines that say one of `interface` are left out, alone or parted by bars."""
+    nodes = nodes.drop(*UNREAD)
     clean = _within(F.col("tag").isin(*SILENT), "hidden", nodes).where(~F.col("hidden") & ~F.col("tag").isin(*SILENT)).drop("hidden")
     n = settled(structured(clean))
     tag = F.col("tag")
