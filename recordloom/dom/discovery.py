@@ -37,6 +37,8 @@ NAV_NAME = r"(?i)(?:^|\b)(nav|navbar|menu|sidebar|footer|header|breadcrumb|socia
 VENDOR = r"(?i)(?:^|\b)(?:acalog[-_][\w-]*heading|filter[-_]heading)(?:\b|$)"
 EDGE = " \t\r\n:;·•*–—-.[]|"
 WHOLE = ["body", "html"]
+#: Columns of the node table that links are found by; others are neither shuffled nor written.
+READ = [KEY, "pre", "post", "parent", "tag", "id", "class", "role", "level", "href", "text"]
 
 
 def named(pattern: str) -> Column:
@@ -193,6 +195,7 @@ def discover(nodes: DataFrame, pages: DataFrame, wanted: Column, path: str = "pr
 
     `pages` has the key and `url`, against which links are resolved.  Each set of ids, and each canonical url, counts once.
     """
+    nodes = nodes.select(*READ)
     chosen = settled(pages.select(KEY).join(region(regions(nodes)), KEY, "left").withColumn("error", F.when(F.col("o_pre").isNull(), "content_region_missing")))
     clean = settled(navigation_free(inside(nodes, chosen)))
     section = settled(boundary(clean, chosen, wanted))
