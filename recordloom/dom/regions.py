@@ -11,6 +11,17 @@ KEY = "page_id"
 REGIONS = ["main", "article", "section", "td", "div", "body"]
 CHROME = ["nav", "header", "footer"]
 HEADINGS = [f"h{k}" for k in range(1, 7)]
+#: The columns of the node table that metadata and breadcrumbs are found by.
+READ = ["pre", "post", "tag", "id", "class", "aria", "text"]
+
+
+def joined(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """An equal join of tables that grow with the pages, sorted and merged.
+
+    Spark would broadcast many of them through the driver: it takes their size from files in which nodes are packed
+    to some bytes a row.
+    """
+    return left.join(right.hint("merge"), on, how)
 
 
 def contained(nodes: DataFrame, outer: DataFrame, inside: list[str], itself: bool = False) -> DataFrame:
@@ -20,7 +31,7 @@ def contained(nodes: DataFrame, outer: DataFrame, inside: list[str], itself: boo
     the sum of what the outer nodes hold, and one large page is spread over many tasks.
     """
     begin = F.col("o_pre") + (0 if itself else 1)
-    return nodes.join(outer.where(begin <= F.col("o_post")).withColumn("pre", F.explode(F.sequence(begin, "o_post"))), [KEY, "pre"]).select(*inside)
+    return joined(nodes, outer.where(begin <= F.col("o_post")).withColumn("pre", F.explode(F.sequence(begin, "o_post"))), [KEY, "pre"]).select(*inside)
 
 
 def running() -> WindowSpec:
@@ -28,11 +39,20 @@ def running() -> WindowSpec:
     return Window.partitionBy(KEY).orderBy("pre").rowsBetween(Window.unboundedPreceding, 0)
 
 
-def sums(nodes: DataFrame, measures: dict[str, Column]) -> DataFrame:
-    """Nodes (whole subtrees) with the sum of each measure over what they hold: two running sums and an equal join, however deep a page is."""
+def sums(nodes: DataFrame, measures: dict[str, Column], of: Column | None = None) -> DataFrame:
+    """Nodes (whole subtrees) with the sum of each measure over what they hold: two running sums and an equal join, however deep a page is.
+
+    With `of`, only of the nodes that it holds for, without a join: each has a second row where it ends, after the node
+    there, which reads the running sum so far.
+    """
     run = nodes.withColumns({m: F.sum(c).over(running()) for m, c in measures.items()})
+    if of is not None:
+        both = run.select("*", F.posexplode(F.when(of, F.array("pre", "post")).otherwise(F.array("pre"))).alias("is_end", "at"))
+        upto = Window.partitionBy(KEY).orderBy("at", "is_end").rowsBetween(Window.unboundedPreceding, 0)
+        so_far = F.last(F.when(F.col("is_end") == 0, F.struct(*measures)), ignorenulls=True).over(upto)
+        return both.withColumn("so_far", so_far).where("is_end = 1").select(*nodes.columns, *[(F.col("so_far")[m] - F.col(m)).alias(m) for m in measures])
     last = run.select(KEY, F.col("pre").alias("post"), *[F.col(m).alias(f"to_{m}") for m in measures])
-    return run.join(last, [KEY, "post"]).select(*nodes.columns, *[(F.col(f"to_{m}") - F.col(m)).alias(m) for m in measures])
+    return joined(run, last, [KEY, "post"]).select(*nodes.columns, *[(F.col(f"to_{m}") - F.col(m)).alias(m) for m in measures])
 
 
 def score(length: Column, link_length: Column, named: Column) -> Column:
@@ -119,11 +139,11 @@ def breadcrumb(nodes: DataFrame, most: int = 400) -> DataFrame:
     found = each.groupBy(KEY).agg(F.nullif(F.array_join(F.array_distinct(trails), " | "), F.lit("")).alias("trail"), first(2).alias("link"), first(4).alias("nav"))
     # the sentence may run over several elements, so it is looked for in the whole text of pages that speak of it
     speaks = nodes.where("tag = '#text' and text like '%Return to%'").select(KEY).distinct()
-    whole = nodes.where("tag = '#text'").join(speaks, KEY, "left_semi").groupBy(KEY).agg(F.array_join(line, " ").alias("page"))
+    whole = joined(nodes.where("tag = '#text'"), speaks, KEY, "left_semi").groupBy(KEY).agg(F.array_join(line, " ").alias("page"))
     said = F.regexp_extract("page", r"Return to[^<:]*:?\s*([^<>{|}]{3,120})", 1)
     sentence = whole.select(KEY, F.when(said != "", F.concat(F.lit("Return to: "), F.trim(said))).alias("sentence"))
     best = F.coalesce("trail", "link", "sentence", "nav")
-    return found.join(sentence, KEY, "full").where(best.isNotNull()).select(KEY, F.substring(best, 1, most).alias("breadcrumb"))
+    return joined(found, sentence, KEY, "full").where(best.isNotNull()).select(KEY, F.substring(best, 1, most).alias("breadcrumb"))
 
 
 # fixed values: how a unit of a school is named, and the elements that may name it
@@ -144,13 +164,15 @@ def metadata(nodes: DataFrame, within: int = 60) -> DataFrame:
     named = texts.groupBy(KEY).agg(F.coalesce(first("h1"), F.trim(page)).alias("title"))
     titled = titles.credential(named, "title", "credential")
     # only elements with a short text are read
-    some = nodes.where(F.col("tag").isin(SCHOOL_TAGS)).withColumn("nth", F.row_number().over(Window.partitionBy(KEY).orderBy("pre"))).where(F.col("nth") <= within).select(KEY, "pre", "nth")
-    sized = sums(nodes, {"n_chars": F.length("text") + (F.col("tag") == "#text").cast("int")}).where(F.col("n_chars").between(1, 201)).join(some, [KEY, "pre"])
+    named_so = F.col("tag").isin(SCHOOL_TAGS)
+    size = F.length("text") + (F.col("tag") == "#text").cast("int")
+    counted = nodes.select(KEY, "pre", "post", named_so.alias("some"), size.alias("size")).withColumn("nth", F.count(F.when(F.col("some"), 1)).over(running()).cast("int"))
+    sized = sums(counted, {"n_chars": F.col("size")}, F.col("some") & (F.col("nth") <= within)).where(F.col("n_chars").between(1, 201))
     short = sized.select(KEY, F.col("pre").alias("o_pre"), F.col("post").alias("o_post"), "nth")
     said = contained(nodes.where("tag = '#text'"), short, [KEY, "nth", "pre", "text"]).withColumn("part", F.lit(0)).groupBy(KEY, "nth").agg(_joined("pre", "part").alias("line"))
     unit = F.regexp_replace(F.trim(F.regexp_extract("line", SCHOOL, 1)), "[,.;]+$", "")
     schools = said.withColumn("unit", unit).where(F.length("unit").between(4, 90) & ~F.lower("unit").startswith("university")).groupBy(KEY).agg(F.min_by("unit", "nth").alias("school"))
-    return nodes.select(KEY).distinct().join(titled, KEY, "left").join(schools, KEY, "left")
+    return joined(joined(nodes.select(KEY).distinct(), titled, KEY, "left"), schools, KEY, "left")
 
 
 def locators(nodes: DataFrame, most: int = 12) -> DataFrame:
