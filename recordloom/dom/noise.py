@@ -1,16 +1,17 @@
 """What is no content of a page: elements by selectors, then small ones that are named like navigation.
 
-Selectors are a table of parts (tag, class, id, attribute with a value, attribute with a substring), joined with
-the attributes of every node; that table is a constant and is broadcast.  Whatever lies within a removed element goes
-with it: intervals nest, so the furthest end so far tells.
+Selectors are expressions over a node's own columns (tag, class, id, attribute with a value, attribute with a
+substring), so that no node is exploded, joined or shuffled to see which fits.  What may be noise is settled: few rows a
+page.  Whatever lies within a removed element goes with it: intervals nest, so the furthest end so far tells.
 """
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordloom.dom.regions import HEADINGS, KEY, sums
+from recordloom.dom.regions import HEADINGS, KEY, joined, running, sums
 from recordloom.sources.shared import settled
 
 # fixed values: the selectors of noise, in their order, and names of navigation
@@ -42,19 +43,32 @@ def parsed(selector: str) -> tuple[str, str, str, str, str]:
     return selector, m["tag"], "", "", ""
 
 
-def matches(nodes: DataFrame, selectors: list[str] = SELECTORS) -> DataFrame:
-    """(key, pre, post, selector) of every node and selector that fit."""
-    spark = nodes.sparkSession
-    rows = [(k, *parsed(s)) for k, s in enumerate(selectors)]
-    table = F.broadcast(spark.createDataFrame(rows, "s_order int, selector string, s_tag string, s_attr string, s_kind string, s_value string"))
-    words = lambda name, c: F.transform(F.filter(F.split(c, r"\s+"), lambda w: w != ""), lambda w: F.struct(F.lit(name).alias("a"), F.lit("has").alias("k"), w.alias("v")))
-    whole = lambda name, c: F.filter(F.array(F.struct(F.lit(name).alias("a"), F.lit("is").alias("k"), c.alias("v"))), lambda x: x["v"] != "")
-    # substrings can't be joined: each that is asked for is looked for where its attribute is
-    held = [F.when(F.col(ATTRIBUTES[a]).contains(v), F.struct(F.lit(a).alias("a"), F.lit("holds").alias("k"), F.lit(v).alias("v"))) for a, v in sorted({(r[3], r[5]) for r in rows if r[4] == "holds"})]
-    every = [F.array(F.struct(F.lit("").alias("a"), F.lit("").alias("k"), F.lit("").alias("v"))), words("class", F.col("class")), *(whole(a, F.col(c)) for a, c in ATTRIBUTES.items())]
-    each = nodes.where("tag <> '#text'").withColumn("x", F.explode(F.concat(*every, F.array_compact(F.array(*held)) if held else F.array().cast("array<struct<a:string,k:string,v:string>>"))))
-    fits = (F.col("x.a") == F.col("s_attr")) & (F.col("x.k") == F.col("s_kind")) & (F.col("x.v") == F.col("s_value"))
-    return each.join(table, fits & ((F.col("s_tag") == "") | (F.col("s_tag") == F.col("tag")))).select(KEY, "pre", "post", "selector", "s_order")
+def read(selectors: list[str] = SELECTORS) -> list[str]:
+    """The columns of the node table that noise is found by."""
+    asked = {ATTRIBUTES[attr] for _, _, attr, _, _ in map(parsed, selectors) if attr}
+    return ["pre", "post", "tag", "raw", *sorted(asked | {"id", "class"})]
+
+
+def fits(selector: str) -> Column:
+    """Whether a node, which is no text, fits a selector."""
+    _, tag, attr, kind, value = parsed(selector)
+    rules = [F.col("tag") == tag] if tag else []
+    if kind:
+        c = F.col(ATTRIBUTES[attr])
+        # the empty value and the empty substring are those of nodes without the attribute
+        rules += [c != "", F.array_contains(F.split(c, r"\s+"), value) if kind == "has" else c.contains(value) if kind == "holds" else c == value]
+    return reduce(lambda x, y: x & y, rules)
+
+
+def first_fit(selectors: list[str] = SELECTORS) -> Column:
+    """The place of the first selector that a node fits, else null."""
+    return F.coalesce(*[F.when(fits(s), F.lit(k)) for k, s in enumerate(selectors)], F.lit(None).cast("int"))
+
+
+def may_fit(selectors: list[str] = SELECTORS) -> Column:
+    """Whether a node is no text and has a tag or an attribute that selectors or names ask for: few have, and only they are looked at closely."""
+    tags = [tag for _, tag, attr, _, _ in map(parsed, selectors) if not attr]
+    return (F.col("tag") != "#text") & reduce(lambda x, y: x | y, [F.col(c) != "" for c in read(selectors)[4:]], F.col("tag").isin(tags))
 
 
 def marked(nodes: DataFrame, removed: DataFrame) -> DataFrame:
@@ -78,22 +92,35 @@ def _name() -> Column:
     return F.concat_ws(" ", "class", "id")
 
 
+def _is_named() -> Column:
+    return (F.col("tag") != "#text") & (F.trim(_name()) != "") & _name().rlike(NAV_NAME)
+
+
 def named(nodes: DataFrame, removed: DataFrame) -> DataFrame:
     """(key, pre, post) of elements that are named like navigation and, without what is `removed`, hold no heading, little text and no word of courses."""
     text = (F.col("tag") == "#text") & ~F.col("is_noise")
     size = F.length(F.regexp_replace("raw", r"^\s+|\s+$", ""))
     head = F.col("tag").isin(HEADINGS) & ~F.col("is_noise")
     # sums need whole subtrees, so what is removed stays and counts nothing
-    measured = sums(marked(nodes, removed), {"n_chars": F.when(text, size + 1).otherwise(0), "n_heads": head.cast("long"), "n_courses": (text & F.col("raw").rlike(SPEAKS_OF_COURSES)).cast("long")})
-    found = measured.where(~F.col("is_noise") & (F.col("tag") != "#text") & (F.trim(_name()) != "") & _name().rlike(NAV_NAME) & (F.col("n_heads") == 0) & (F.col("n_chars") - 1 < LEAST_CONTENT) & (F.col("n_courses") == 0))
-    return found.select(KEY, "pre", "post")
+    all_of = marked(nodes.select(KEY, "pre", "post", "tag", "id", "class", "raw"), removed)
+    measures = {"n_chars": F.when(text, size + 1).otherwise(0), "n_heads": head.cast("long"), "n_courses": (text & F.col("raw").rlike(SPEAKS_OF_COURSES)).cast("long")}
+    narrow = all_of.select(KEY, "pre", "post", (~F.col("is_noise") & _is_named()).alias("open"), *[c.alias(f"own_{m}") for m, c in measures.items()])
+    held = sums(narrow, {m: F.col(f"own_{m}") for m in measures}, F.col("open"))
+    return held.where((F.col("n_heads") == 0) & (F.col("n_chars") - 1 < LEAST_CONTENT) & (F.col("n_courses") == 0)).select(KEY, "pre", "post")
 
 
 def noise(nodes: DataFrame, selectors: list[str] = SELECTORS) -> DataFrame:
     """(key, pre, post, selector): every element that is noise by itself, with the first selector that fits, or as named like navigation."""
     # settled, as the names are looked for among what the selectors leave
-    first = settled(matches(nodes, selectors).groupBy(KEY, "pre", "post").agg(F.min_by("selector", "s_order").alias("selector")))
-    return first.unionByName(named(nodes, first).withColumn("selector", F.lit(NAMED)))
+    some = settled(nodes.where(may_fit(selectors)).select(KEY, "pre", "post", first_fit(selectors).alias("fit"), _is_named().alias("named")).where("fit is not null or named"))
+    known = F.array(*[F.lit(s) for s in selectors]).cast("array<string>")
+    first = some.where("fit is not null").groupBy(KEY, "pre", "post").agg(F.get(known, F.min("fit")).alias("selector"))
+    # pages are read again only where a name is left to judge
+    end = F.max(F.when(F.col("fit").isNotNull(), F.col("post"))).over(running())
+    left = settled(some.withColumn("noise_end", end).where(F.col("named") & ~F.coalesce(F.col("pre") <= F.col("noise_end"), F.lit(False))).select(KEY).distinct())
+    if left.isEmpty():
+        return first
+    return first.unionByName(named(joined(nodes, left, KEY, "left_semi"), joined(first, left, KEY, "left_semi")).withColumn("selector", F.lit(NAMED)))
 
 
 def cleaned(nodes: DataFrame, selectors: list[str] = SELECTORS) -> DataFrame:
