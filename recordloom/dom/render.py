@@ -20,7 +20,9 @@ that a cell starts in.  Blocks are parted by one empty line.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordloom.dom.regions import HEADINGS, KEY, contained, running
+from recordloom.dom import noise
+from recordloom.dom.nodes import COLUMNS
+from recordloom.dom.regions import HEADINGS, KEY, contained, joined, running
 from recordloom.sources.shared import settled
 
 # fixed values: which elements are blocks, paragraphs, and never shown
@@ -43,6 +45,11 @@ BREAK = "\x01"
 UNREAD = ["depth", "id", "class", "level", "aria", "text"]
 
 
+def read(selectors: list[str] = noise.SELECTORS) -> list[str]:
+    """The columns of the node table that noise and texts are found by."""
+    return [c for c in COLUMNS if c not in UNREAD or c in noise.read(selectors)]
+
+
 def _within(flag: Column, name: str, nodes: DataFrame) -> DataFrame:
     """Whether an element with `flag` holds each node: intervals nest, so the furthest end so far tells."""
     end = F.max(F.when(flag, F.col("post"))).over(running().rowsBetween(Window.unboundedPreceding, -1))
@@ -112,7 +119,7 @@ def pieces(n: DataFrame) -> DataFrame:
     outer = marks.select(KEY, "o_pre", "o_post")
     inner = marks.select(KEY, F.col("o_pre").alias("pre"))
     deep = contained(inner, outer, [KEY, "pre"]).groupBy(KEY, F.col("pre").alias("o_pre")).agg(F.count("*").alias("deep"))
-    marks = settled(marks.join(deep, [KEY, "o_pre"], "left").withColumn("deep", F.coalesce("deep", F.lit(0))))
+    marks = settled(joined(marks, deep, [KEY, "o_pre"], "left").withColumn("deep", F.coalesce("deep", F.lit(0))))
     out = texts.unionByName(ends)
     for level in range((marks.agg(F.max("deep")).first()[0] or 0), -1, -1):
         mine = marks.where(F.col("deep") == level)
@@ -145,7 +152,7 @@ def _numbers(n: DataFrame) -> DataFrame:
     item = n.where("own and tag = 'li'").select(KEY, "pre", F.col("parent").alias("up"), F.col("start").alias("value"), F.col("above").alias("list"))
     begin = n.where("own and tag = 'ol'").select(KEY, F.col("pre").alias("up"), F.coalesce(F.trim("start").try_cast("int"), F.lit(1)).alias("begin"))
     w = Window.partitionBy(KEY, "up").orderBy("pre")
-    item = item.join(begin, [KEY, "up"], "left").withColumns({"i": F.row_number().over(w), "set": F.when(F.col("value").rlike("^[0-9]+$"), F.col("value").try_cast("int"))})
+    item = joined(item, begin, [KEY, "up"], "left").withColumns({"i": F.row_number().over(w), "set": F.when(F.col("value").rlike("^[0-9]+$"), F.col("value").try_cast("int"))})
     base = F.last(F.when(F.col("set").isNotNull(), F.col("set") - F.col("i")), ignorenulls=True).over(w)
     number = F.concat((F.col("i") + F.coalesce(base, F.col("begin") - 1)).cast("string"), F.lit("."))
     return item.select(KEY, "pre", "up", F.when(F.col("list") == "ol", number).otherwise("-").alias("mark"))
@@ -161,7 +168,7 @@ def _none(kind: str = "string") -> Column:
 
 def _lists(items: DataFrame, texts: DataFrame, inner: DataFrame) -> DataFrame:
     """(key, pre, lines) of lists: each item's first line, the rest and inner blocks below it."""
-    own = items.join(texts.select(KEY, F.col("owner").alias("pre"), "lines"), [KEY, "pre"], "left").join(inner, [KEY, "pre"], "left")
+    own = joined(joined(items, texts.select(KEY, F.col("owner").alias("pre"), "lines"), [KEY, "pre"], "left"), inner, [KEY, "pre"], "left")
     first = F.rtrim(F.concat("mark", F.lit(" "), F.coalesce(F.try_element_at("lines", F.lit(1)), F.lit(""))))
     hang = F.repeat(F.lit(" "), F.length("mark") + 1)
     rest = F.slice(F.coalesce("lines", _none()), 2, LONG)
@@ -189,23 +196,23 @@ def _tables(cells: DataFrame, runs: DataFrame, inner: DataFrame, captions: DataF
     part = runs.select(KEY, F.col("owner").alias("pre"), F.col("seg").alias("k"), F.lit(1).alias("j"), F.array_join("lines", " ").alias("said"))
     block = inner.select(KEY, "pre", F.explode("inner").alias("b")).select(KEY, "pre", F.col("b.pre").alias("k"), F.lit(0).alias("j"), _cell(F.col("b.tag"), F.col("b.lines")).alias("said"))
     texts = part.unionByName(block).where("said <> ''").groupBy(KEY, "pre").agg(F.array_join(_ordered("said", "k", "j"), " ").alias("line"))
-    size = tables.join(cells, [KEY, "table"], "left").groupBy(KEY, "table").agg((F.max("row") + 1).alias("n_rows"), (F.max("col") + 1).alias("n_cols"))
-    known = tables.join(size, [KEY, "table"]).withColumn("height", F.coalesce("height", "n_rows"))
-    each = cells.join(known, [KEY, "table"]).join(texts, [KEY, "pre"], "left").withColumn("line", F.trim(F.coalesce("line", F.lit(""))))
+    size = joined(tables, cells, [KEY, "table"], "left").groupBy(KEY, "table").agg((F.max("row") + 1).alias("n_rows"), (F.max("col") + 1).alias("n_cols"))
+    known = joined(tables, size, [KEY, "table"]).withColumn("height", F.coalesce("height", "n_rows"))
+    each = joined(joined(cells, known, [KEY, "table"]), texts, [KEY, "pre"], "left").withColumn("line", F.trim(F.coalesce("line", F.lit(""))))
     end = lambda at, n, size: F.least(F.col(at).cast("long") + F.col(n), F.col(size).cast("long")) - 1
     spread = each.withColumn("r", F.explode(F.sequence(F.col("row").cast("long"), F.greatest(end("row", "rows", "height"), F.col("row").cast("long"))))).withColumn("c", F.explode(F.sequence(F.col("col").cast("long"), F.greatest(end("col", "cols", "n_cols"), F.col("col").cast("long")))))
     one = spread.groupBy(KEY, "table", "r", "c").agg(F.max_by("line", "pre").alias("line"))
     at = F.map_from_entries(F.collect_list(F.struct("c", "line")))
-    row = one.groupBy(KEY, "table", "r").agg(at.alias("at")).join(known.select(KEY, "table", "n_cols"), [KEY, "table"])
+    row = joined(one.groupBy(KEY, "table", "r").agg(at.alias("at")), known.select(KEY, "table", "n_cols"), [KEY, "table"])
     row = row.withColumn("cut", F.transform(F.sequence(F.lit(0).cast("long"), F.col("n_cols").cast("long") - 1), lambda c: F.coalesce(F.try_element_at("at", c), F.lit("")))).where(F.exists("cut", lambda x: x != ""))
     heads = cells.groupBy(KEY, "table", "row").agg(F.bool_and(F.col("tag") == "th").alias("th")).where("th").groupBy(KEY, "table").agg(F.min("row").alias("head"))
-    row = row.join(heads, [KEY, "table"], "left").withColumn("is_head", F.col("r").eqNullSafe(F.col("head").cast("long")))
+    row = joined(row, heads, [KEY, "table"], "left").withColumn("is_head", F.col("r").eqNullSafe(F.col("head").cast("long")))
     number = F.sum((~F.col("is_head")).cast("int")).over(Window.partitionBy(KEY, "table").orderBy("r").rowsBetween(Window.unboundedPreceding, 0))
     said = F.array_join("cut", " | ")
     shown = row.withColumn("k", number).withColumn("shown", F.when(F.col("is_head"), F.concat(F.lit("Columns: "), said)).otherwise(F.concat(F.lit("Row "), F.col("k").cast("string"), F.lit(": "), said)))
     body = shown.groupBy(KEY, "table").agg(_ordered("shown", "r").alias("body"))
     title = F.rtrim(F.concat(F.lit("TABLE: "), F.coalesce("caption", F.lit(""))))
-    whole = tables.where("height > 0").join(body, [KEY, "table"], "left").join(captions, [KEY, "table"], "left")
+    whole = joined(joined(tables.where("height > 0"), body, [KEY, "table"], "left"), captions, [KEY, "table"], "left")
     return whole.select(KEY, F.col("table").alias("pre"), F.concat(F.array(title), F.coalesce("body", _none())).alias("lines"))
 
 
@@ -216,7 +223,7 @@ def rendered(nodes: DataFrame, interface: list[str] = INTERFACE) -> DataFrame:
     n = settled(structured(clean))
     tag = F.col("tag")
     owners = n.where("own").select(KEY, F.col("pre").alias("owner"), F.col("tag").alias("o_tag"))
-    said = settled(pieces(n).join(owners, [KEY, "owner"], "left"))
+    said = settled(joined(pieces(n), owners, [KEY, "owner"], "left"))
     # texts of owners; containers and cells have one for each run between blocks
     runs = said.where("o_tag is null or o_tag in ('td', 'th')").groupBy(KEY, "owner", "seg", "o_tag").agg(F.array_join(_ordered("piece", "pre", "part"), "").alias("t"), F.min(F.when(F.col("part") >= 0, F.col("pre"))).alias("pre"))
     runs = runs.withColumn("lines", lines_of(F.col("t"))).where(F.size("lines") > 0)
@@ -226,42 +233,42 @@ def rendered(nodes: DataFrame, interface: list[str] = INTERFACE) -> DataFrame:
     nests = n.where(F.col("own") & tag.isin(*NESTING)).select(KEY, "pre", "post", "parent", "tag", "above")
     outer = nests.select(KEY, F.col("pre").alias("o_pre"), F.col("post").alias("o_post"))
     deep = contained(nests.select(KEY, "pre"), outer, [KEY, "pre"]).groupBy(KEY, "pre").agg(F.count("*").alias("deep"))
-    nests = settled(nests.join(deep, [KEY, "pre"], "left").withColumn("deep", F.coalesce("deep", F.lit(0))))
+    nests = settled(joined(nests, deep, [KEY, "pre"], "left").withColumn("deep", F.coalesce("deep", F.lit(0))))
     items = settled(_numbers(n))
-    joined = F.array_join("lines", "\n")
-    terms = n.where("own and tag in ('dt', 'dd')").select(KEY, F.col("parent").alias("up"), F.col("pre").alias("owner")).join(texts, [KEY, "owner"])
-    terms = terms.select(KEY, "up", "owner", F.when((F.col("o_tag") == "dt") & (F.size("lines") > 0), F.array(F.concat(joined, F.lit(":")))).when(F.col("o_tag") == "dd", _indent(F.col("lines"), F.lit("  "))).otherwise(_none()).alias("shown"))
+    as_text = F.array_join("lines", "\n")
+    terms = joined(n.where("own and tag in ('dt', 'dd')").select(KEY, F.col("parent").alias("up"), F.col("pre").alias("owner")), texts, [KEY, "owner"])
+    terms = terms.select(KEY, "up", "owner", F.when((F.col("o_tag") == "dt") & (F.size("lines") > 0), F.array(F.concat(as_text, F.lit(":")))).when(F.col("o_tag") == "dd", _indent(F.col("lines"), F.lit("  "))).otherwise(_none()).alias("shown"))
     cells = n.where("own and tag in ('td', 'th')").select(KEY, "pre", "table", "row", "col", "rows", "cols", "tag")
     heights = n.where("own and tag = 'tr'").groupBy(KEY, "table").agg(F.count("*").alias("height"))
-    captions = n.where("own and tag = 'caption'").groupBy(KEY, "table").agg(F.min("pre").alias("owner")).join(texts, [KEY, "owner"]).where(F.size("lines") > 0).select(KEY, "table", joined.alias("caption"))
+    captions = joined(n.where("own and tag = 'caption'").groupBy(KEY, "table").agg(F.min("pre").alias("owner")), texts, [KEY, "owner"]).where(F.size("lines") > 0).select(KEY, "table", as_text.alias("caption"))
     folded: list[DataFrame] = []
     inner = n.limit(0).select(KEY, "pre", _none(INNER).alias("inner"))
     deepest = nests.agg(F.max("deep")).first()[0]
     for level in range(-1 if deepest is None else deepest, -1, -1):
         mine = nests.where(F.col("deep") == level)
         at = lambda t, c, m=mine: m.where(F.col("tag").isin(*t)).select(KEY, F.col("pre").alias(c))
-        lists = _lists(items.join(at(["ul", "ol"], "up"), [KEY, "up"]), texts, inner)
-        defined = terms.join(at(["dl"], "up"), [KEY, "up"]).groupBy(KEY, F.col("up").alias("pre")).agg(F.flatten(_ordered("shown", "owner")).alias("lines"))
-        tables = at(["table"], "table").join(heights, [KEY, "table"])
-        made = lists.unionByName(defined).unionByName(_tables(cells.join(at(["table"], "table"), [KEY, "table"]), runs.where("o_tag is not null"), inner, captions, tables))
-        made = settled(made.where(F.size("lines") > 0).join(mine.select(KEY, "pre", "parent", "tag", "above"), [KEY, "pre"]))
+        lists = _lists(joined(items, at(["ul", "ol"], "up"), [KEY, "up"]), texts, inner)
+        defined = joined(terms, at(["dl"], "up"), [KEY, "up"]).groupBy(KEY, F.col("up").alias("pre")).agg(F.flatten(_ordered("shown", "owner")).alias("lines"))
+        tables = joined(at(["table"], "table"), heights, [KEY, "table"])
+        made = lists.unionByName(defined).unionByName(_tables(joined(cells, at(["table"], "table"), [KEY, "table"]), runs.where("o_tag is not null"), inner, captions, tables))
+        made = settled(joined(made.where(F.size("lines") > 0), mine.select(KEY, "pre", "parent", "tag", "above"), [KEY, "pre"]))
         inner = settled(made.where("above in ('li', 'td', 'th')").groupBy(KEY, F.col("parent").alias("pre")).agg(F.array_sort(F.collect_list(F.struct("pre", "tag", "lines"))).alias("inner")))
         folded.append(made.select(KEY, "pre", F.col("lines")))
     top = n.where("top and own").select(KEY, F.col("pre").alias("owner"), "tag")
-    plain = top.where(~tag.isin("pre", "hr", *NESTING)).join(texts, [KEY, "owner"]).where(F.size("lines") > 0)
-    marked = F.when(F.col("tag").isin(*HEADINGS), F.concat(F.repeat(F.lit("#"), F.substring("tag", 2, 1).cast("int")), F.lit(" "), joined)).otherwise(joined)
+    plain = joined(top.where(~tag.isin("pre", "hr", *NESTING)), texts, [KEY, "owner"]).where(F.size("lines") > 0)
+    marked = F.when(F.col("tag").isin(*HEADINGS), F.concat(F.repeat(F.lit("#"), F.substring("tag", 2, 1).cast("int")), F.lit(" "), as_text)).otherwise(as_text)
     blocks = plain.select(KEY, F.col("owner").alias("pre"), marked.alias("shown"))
-    blocks = blocks.unionByName(runs.where("o_tag is null").join(n.where("block and not own").select(KEY, F.col("pre").alias("owner")), [KEY, "owner"]).select(KEY, "pre", joined.alias("shown")))
+    blocks = blocks.unionByName(joined(runs.where("o_tag is null"), n.where("block and not own").select(KEY, F.col("pre").alias("owner")), [KEY, "owner"]).select(KEY, "pre", as_text.alias("shown")))
     blocks = blocks.unionByName(n.where("own and top and tag = 'hr'").select(KEY, "pre", F.lit("---").alias("shown")))
     written = contained(clean.where("tag = '#text' or gap <> ''").select(KEY, "pre", F.concat("gap", "raw").alias("raw")), n.where("own and top and tag = 'pre'").select(KEY, F.col("pre").alias("o_pre"), F.col("post").alias("o_post")), [KEY, "o_pre", "pre", "raw"])
     blocks = blocks.unionByName(written.groupBy(KEY, F.col("o_pre")).agg(F.regexp_replace(F.array_join(_ordered("raw", "pre"), ""), r"^\n+|\n+$", "").alias("shown")).where(r"shown rlike '\\S'").select(KEY, F.col("o_pre").alias("pre"), "shown"))
     direct = n.where(F.col("own") & tag.isin(*NESTING) & (F.col("top") | F.col("above").isin(*PARAGRAPHS))).select(KEY, "pre")
     for f in folded:
-        blocks = blocks.unionByName(f.join(direct, [KEY, "pre"]).select(KEY, "pre", joined.alias("shown")))
+        blocks = blocks.unionByName(joined(f, direct, [KEY, "pre"]).select(KEY, "pre", as_text.alias("shown")))
     blocks = settled(blocks)
     quotes = n.where("block and tag = 'blockquote'").select(KEY, F.col("pre").alias("o_pre"), F.col("post").alias("o_post"))
     quoted = contained(blocks.select(KEY, "pre"), quotes, [KEY, "pre"]).groupBy(KEY, "pre").agg(F.count("*").cast("int").alias("quotes"))
-    blocks = blocks.join(quoted, [KEY, "pre"], "left").withColumn("lines", _indent(F.split("shown", "\n"), F.repeat(F.lit("  "), F.coalesce("quotes", F.lit(0)))))
+    blocks = joined(blocks, quoted, [KEY, "pre"], "left").withColumn("lines", _indent(F.split("shown", "\n"), F.repeat(F.lit("  "), F.coalesce("quotes", F.lit(0)))))
     text = F.array_join(_ordered("page_lines", "pre"), "\n\n")
     kept = F.col("lines")
     if interface:
@@ -275,4 +282,4 @@ def rendered(nodes: DataFrame, interface: list[str] = INTERFACE) -> DataFrame:
         kept = F.filter(kept, lambda x: ~chrome(x))
     pages = blocks.withColumn("page_lines", F.array_join(F.transform(kept, lambda x: F.regexp_replace(x, r"[ \t]+$", "")), "\n")).groupBy(KEY).agg(text.alias("t"))
     tidy = F.regexp_replace(F.regexp_replace(F.col("t"), r"\n{3,}", "\n\n"), r"^\n+|\n+$", "")
-    return nodes.select(KEY).distinct().join(pages, KEY, "left").select(KEY, F.concat(F.coalesce(tidy, F.lit("")), F.lit("\n")).alias("text"))
+    return joined(nodes.select(KEY).distinct(), pages, KEY, "left").select(KEY, F.concat(F.coalesce(tidy, F.lit("")), F.lit("\n")).alias("text"))
