@@ -508,7 +508,8 @@ def checked(spark: SparkSession, sf: str, full_time: bool = False) -> tuple[Data
     code = lambda p: F.concat(_one(_DEPTS, p), F.lit(" "), (F.expr(p) + 100).cast("string"))
     text = lambda c: F.expr(c).cast("string")
     named = lambda p, n: F.concat(F.col(p).cast("string"), F.lit(f"-{n}"))
-    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").distinct()
+    # by order, where they are made distinct, summed and joined
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").repartition("l_orderkey").distinct()
     chosen = F.when(F.col("l_linenumber") == 7, F.array(F.lit("none"))).when(F.col("l_linenumber") % 2 == 0, F.array(named("l_partkey", 1), named("l_partkey", 2))).otherwise(F.array(named("l_partkey", 1)))
     typed = F.when(F.col("l_partkey") % 2 == 1, F.lower(code("l_partkey"))).otherwise(code("l_partkey"))
     plans = lines.select(F.col("l_orderkey").alias("plan_id"), (F.col("l_linenumber").cast("long") * 1_000_000_000 + F.col("l_partkey")).alias("ord"), typed.alias("course"), chosen.alias("sections"))
@@ -560,7 +561,7 @@ courses as (select plan_id, ord, course, known, units, len(f) + clashes as n_rea
 @query("plan_validate", SQL_CHECKS + "select plan_id, ord, course, case worst when 2 then 'fail' when 1 then 'warning' else 'pass' end as status, cast(n_reasons as int) as n_reasons from courses")
 def plan_validate(spark: SparkSession, sf: str) -> DataFrame:
     """Every course of every plan, with its status and the number of its reasons."""
-    return checked(spark, sf)[0].select("plan_id", "ord", "course", "status", F.size("reasons").alias("n_reasons"))
+    return checked(spark, sf)[0].select("plan_id", "ord", "course", "status", "n_reasons")
 
 
 @query("plan_overall", SQL_CHECKS + """, t as (select plan_id, coalesce(sum(case when known then units end), 0)::double as total_units, max(worst) as worst, bool_or(not known) as lost from courses group by plan_id)
