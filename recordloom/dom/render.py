@@ -216,8 +216,12 @@ def _tables(cells: DataFrame, runs: DataFrame, inner: DataFrame, captions: DataF
     return whole.select(KEY, F.col("table").alias("pre"), F.concat(F.array(title), F.coalesce("body", _none())).alias("lines"))
 
 
-def rendered(nodes: DataFrame, interface: list[str] = INTERFACE) -> DataFrame:
-    """(key, text) of every page that has a node; lines that say one of `interface` are left out, alone or parted by bars."""
+def rendered(nodes: DataFrame, interface: list[str] = INTERFACE, pages: DataFrame | None = None) -> DataFrame:
+    """(key, text) of every page that has a node; lines that say one of `interface` are left out, alone or parted by bars.
+
+    `pages` are the keys of all pages that have a node, where these are known; nodes are then read once, but for pages
+    with text that is shown as written.
+    """
     nodes = nodes.drop(*UNREAD)
     clean = _within(F.col("tag").isin(*SILENT), "hidden", nodes).where(~F.col("hidden") & ~F.col("tag").isin(*SILENT)).drop("hidden")
     n = settled(structured(clean))
@@ -260,8 +264,10 @@ def rendered(nodes: DataFrame, interface: list[str] = INTERFACE) -> DataFrame:
     blocks = plain.select(KEY, F.col("owner").alias("pre"), marked.alias("shown"))
     blocks = blocks.unionByName(joined(runs.where("o_tag is null"), n.where("block and not own").select(KEY, F.col("pre").alias("owner")), [KEY, "owner"]).select(KEY, "pre", as_text.alias("shown")))
     blocks = blocks.unionByName(n.where("own and top and tag = 'hr'").select(KEY, "pre", F.lit("---").alias("shown")))
-    written = contained(clean.where("tag = '#text' or gap <> ''").select(KEY, "pre", F.concat("gap", "raw").alias("raw")), n.where("own and top and tag = 'pre'").select(KEY, F.col("pre").alias("o_pre"), F.col("post").alias("o_post")), [KEY, "o_pre", "pre", "raw"])
-    blocks = blocks.unionByName(written.groupBy(KEY, F.col("o_pre")).agg(F.regexp_replace(F.array_join(_ordered("raw", "pre"), ""), r"^\n+|\n+$", "").alias("shown")).where(r"shown rlike '\\S'").select(KEY, F.col("o_pre").alias("pre"), "shown"))
+    as_written = n.where("own and top and tag = 'pre'").select(KEY, F.col("pre").alias("o_pre"), F.col("post").alias("o_post"))
+    if not as_written.isEmpty():
+        written = contained(clean.where("tag = '#text' or gap <> ''").select(KEY, "pre", F.concat("gap", "raw").alias("raw")), as_written, [KEY, "o_pre", "pre", "raw"])
+        blocks = blocks.unionByName(written.groupBy(KEY, F.col("o_pre")).agg(F.regexp_replace(F.array_join(_ordered("raw", "pre"), ""), r"^\n+|\n+$", "").alias("shown")).where(r"shown rlike '\\S'").select(KEY, F.col("o_pre").alias("pre"), "shown"))
     direct = n.where(F.col("own") & tag.isin(*NESTING) & (F.col("top") | F.col("above").isin(*PARAGRAPHS))).select(KEY, "pre")
     for f in folded:
         blocks = blocks.unionByName(joined(f, direct, [KEY, "pre"]).select(KEY, "pre", as_text.alias("shown")))
@@ -280,6 +286,7 @@ def rendered(nodes: DataFrame, interface: list[str] = INTERFACE) -> DataFrame:
             return low.isin(known) | ((F.size(parts) > 1) & F.forall(parts, lambda p: p.isin(known)))
 
         kept = F.filter(kept, lambda x: ~chrome(x))
-    pages = blocks.withColumn("page_lines", F.array_join(F.transform(kept, lambda x: F.regexp_replace(x, r"[ \t]+$", "")), "\n")).groupBy(KEY).agg(text.alias("t"))
+    shown = blocks.withColumn("page_lines", F.array_join(F.transform(kept, lambda x: F.regexp_replace(x, r"[ \t]+$", "")), "\n")).groupBy(KEY).agg(text.alias("t"))
     tidy = F.regexp_replace(F.regexp_replace(F.col("t"), r"\n{3,}", "\n\n"), r"^\n+|\n+$", "")
-    return joined(nodes.select(KEY).distinct(), pages, KEY, "left").select(KEY, F.concat(F.coalesce(tidy, F.lit("")), F.lit("\n")).alias("text"))
+    pages = nodes.select(KEY).distinct() if pages is None else pages
+    return joined(pages, shown, KEY, "left").select(KEY, F.concat(F.coalesce(tidy, F.lit("")), F.lit("\n")).alias("text"))
